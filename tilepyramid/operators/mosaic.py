@@ -113,21 +113,25 @@ def _block_tiles(blocks: DataFrame, zooms: str | Iterable[int], forward: bool) -
 
 
 def _inverse_cells(tiles: DataFrame, compat: bool) -> DataFrame:
-    res = F.col("res")
-    df = tiles.withColumn("dy", F.explode(_cell_span(
-        (F.col("tile_maxy") - F.col("north")) / res, (F.col("tile_maxy") - F.col("south")) / res,
-        F.lit(0), F.lit(TILE - 1))))
+    res, geographic = F.col("res"), F.col("geographic")
+    df = tiles.withColumns({
+        "dys": _cell_span((F.col("tile_maxy") - F.col("north")) / res,
+                          (F.col("tile_maxy") - F.col("south")) / res, F.lit(0), F.lit(TILE - 1)),
+        "dxs": _cell_span((F.col("west") - F.col("tile_minx")) / res,
+                          (F.col("east") - F.col("tile_minx")) / res, F.lit(0), F.lit(TILE - 1)),
+    })
+    df = df.withColumn("dy", F.explode("dys"))
     # The source y depends on the tile row alone, so its trigonometry runs once per row.
     df = df.withColumn("sy", crs.from_mercator_y(
-        F.col("tile_maxy") + F.col("dy") * (-res), F.col("geographic")))
-    df = df.withColumn("dx", F.explode(_cell_span(
-        (F.col("west") - F.col("tile_minx")) / res, (F.col("east") - F.col("tile_minx")) / res,
-        F.lit(0), F.lit(TILE - 1))))
-    sx = crs.from_mercator_x(F.col("tile_minx") + F.col("dx") * res, F.col("geographic"))
-    px, py = affine.map_to_pixel(sx, F.col("sy"), [F.col(c) for c in AFFINE], compat)
-    df = df.withColumns({"px": px, "py": py}).filter(
-        (F.col("px") >= F.col("px0")) & (F.col("px") < F.col("px1"))
-        & (F.col("py") >= F.col("py0")) & (F.col("py") < F.col("py1")))
+        F.col("tile_maxy") + F.col("dy") * (-res), geographic))
+    df = df.withColumn("dx", F.explode("dxs"))
+    df = df.withColumn("sx", crs.from_mercator_x(
+        F.col("tile_minx") + F.col("dx") * res, geographic))
+    u, v = affine.map_to_pixel_exact(F.col("sx"), F.col("sy"), [F.col(c) for c in AFFINE])
+    df = df.withColumns({"u": u, "v": v}).filter(
+        _inside(F.col("u"), F.col("px0"), F.col("px1"), compat)
+        & _inside(F.col("v"), F.col("py0"), F.col("py1"), compat))
+    df = df.withColumns({"px": _index(F.col("u"), compat), "py": _index(F.col("v"), compat)})
     return _with_value(df, compat).filter(F.col("value").isNotNull())
 
 
@@ -139,31 +143,39 @@ def _forward_cells(tiles: DataFrame, window: str | None, compat: bool) -> DataFr
     east = crs.from_mercator_x(F.col("tile_maxx"), geographic)
     south = crs.from_mercator_y(F.col("tile_miny"), geographic)
     north = crs.from_mercator_y(F.col("tile_maxy") + res, geographic)
-    corners = [affine.map_to_pixel_exact(x, y, g) for x in (west, east) for y in (south, north)]
+    df = tiles.withColumns({"src_west": west, "src_east": east,
+                            "src_south": south, "src_north": north})
+    corners = [
+        affine.map_to_pixel_exact(F.col(x), F.col(y), g)
+        for x in ("src_west", "src_east") for y in ("src_south", "src_north")
+    ]
     us, vs = [c[0] for c in corners], [c[1] for c in corners]
-    df = tiles.withColumns({
-        "u0": F.least(*us), "u1": F.greatest(*us), "v0": F.least(*vs), "v1": F.greatest(*vs),
-    })
     x_from, x_to, y_from, y_to = F.col("px0"), F.col("px1") - 1, F.col("py0"), F.col("py1") - 1
     if window:
         df = _source_window(df, window, compat)
         x_from, y_from = F.greatest(x_from, F.col("start_x")), F.greatest(y_from, F.col("start_y"))
         x_to, y_to = F.least(x_to, F.col("end_x") - 1), F.least(y_to, F.col("end_y") - 1)
-    df = df.withColumn("py", F.explode(_cell_span(F.col("v0"), F.col("v1"), y_from, y_to)))
+    df = df.withColumns({
+        "pys": _cell_span(F.least(*vs), F.greatest(*vs), y_from, y_to),
+        "pxs": _cell_span(F.least(*us), F.greatest(*us), x_from, x_to),
+    })
+    df = df.withColumn("py", F.explode("pys"))
     # North-up scenes: the row's y is shared by all its cells, so project it once.
     row_y = g[3] + F.col("py") * g[5]
     df = df.withColumn("row_y", F.when(
-        (g[4] == 0.0), F.when(geographic, crs.lat_to_y(row_y)).otherwise(row_y)))
-    df = df.withColumn("px", F.explode(_cell_span(F.col("u0"), F.col("u1"), x_from, x_to)))
+        g[4] == 0.0, F.when(geographic, crs.lat_to_y(row_y)).otherwise(row_y)))
+    df = df.withColumn("px", F.explode("pxs"))
     df = _with_value(df, compat).filter(F.col("value") > 0)
     sx, sy = affine.pixel_to_map(F.col("px"), F.col("py"), g)
     mx, my = crs.to_mercator(sx, sy, geographic)
+    df = df.withColumns({"mx": mx, "my": F.coalesce(F.col("row_y"), my)})
     # The tile's affine has no shear, so the general inverse reduces to these exact terms.
-    dx = affine.whole((mx * (-res) - F.col("tile_minx") * (-res)) / (res * (-res)), compat)
-    dy = affine.whole(
-        (F.coalesce(F.col("row_y"), my) * res - res * F.col("tile_maxy")) / (res * (-res)), compat)
-    return df.withColumns({"dx": dx, "dy": dy}).filter(
-        (F.col("dx") >= 0) & (F.col("dx") < TILE) & (F.col("dy") >= 0) & (F.col("dy") < TILE))
+    u = (F.col("mx") * (-res) - F.col("tile_minx") * (-res)) / (res * (-res))
+    v = (F.col("my") * res - res * F.col("tile_maxy")) / (res * (-res))
+    df = df.withColumns({"u": u, "v": v}).filter(
+        _inside(F.col("u"), F.lit(0), F.lit(TILE), compat)
+        & _inside(F.col("v"), F.lit(0), F.lit(TILE), compat))
+    return df.withColumns({"dx": _index(F.col("u"), compat), "dy": _index(F.col("v"), compat)})
 
 
 def _source_window(df: DataFrame, window: str, compat: bool) -> DataFrame:
@@ -185,15 +197,34 @@ def _source_window(df: DataFrame, window: str, compat: bool) -> DataFrame:
 
 
 def _cell_span(first: Column, last: Column, low: Column, high: Column) -> Column:
-    """Integers of [first, last], with slack, clipped to [low, high]; NULL if there are none."""
+    """Integers of [first, last], with slack, clipped to [low, high], as an array.
+
+    Built once per (block, tile).  The higher-order ``filter`` also ends the code-generated span
+    here: the per-tile code above and the per-cell loops below stay separate methods, each small
+    enough for the JIT.
+    """
     a = F.greatest(low.cast("double"), F.ceil(first - CELL_SLACK).cast("double")).cast("int")
     b = F.least(high.cast("double"), F.floor(last + CELL_SLACK).cast("double")).cast("int")
-    return F.when(a <= b, F.sequence(a, b))
+    return F.filter(F.sequence(a, F.greatest(a, b)), lambda k: k <= b)
+
+
+def _inside(at: Column, low: Column, high: Column, compat: bool) -> Column:
+    """Whether the index of an unrounded position is in [low, high)."""
+    if compat:
+        # Truncation takes (-1, 0) to 0: the bound is the first double above -1.
+        low = F.when(low == 0, F.lit(-0.9999999999999999)).otherwise(low.cast("double"))
+    return (at >= low) & (at < high)
+
+
+def _index(at: Column, compat: bool) -> Column:
+    """Index of a position already known to be in range."""
+    return (at if compat else F.floor(at)).cast("int")
 
 
 def _with_value(df: DataFrame, compat: bool) -> DataFrame:
     at = (F.col("py") - F.col("py0")) * F.col("bw") + (F.col("px") - F.col("px0"))
-    return df.withColumn("value", sample(F.get(F.col("cells"), at), compat))
+    return df.withColumn("raw", F.get(F.col("cells"), at)).withColumn(
+        "value", sample(F.col("raw"), compat))
 
 
 def _last_write(

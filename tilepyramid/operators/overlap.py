@@ -95,7 +95,7 @@ def scene_tile_pairs(
     return df.select(
         "z", F.col("tile_column").alias("x"),
         tile_row(F.col("z"), F.col("grid_row"), compat).alias("y"),
-        "grid_row", "scene_id", "seq", "tile_minx", "tile_maxx", "tile_miny", "tile_maxy",
+        "grid_row", "scene_id", "seq", "bands", "tile_minx", "tile_maxx", "tile_miny", "tile_maxy",
     )
 
 

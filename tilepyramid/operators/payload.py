@@ -70,9 +70,11 @@ def pack_entries(entries: DataFrame, payload: str = "png", compat: bool = True)
     return entries.withColumn("tile_data", packed).drop("entries")
 
 
-def pack_tiles(cells: DataFrame, payload: str = "png", compat: bool = True) -> DataFrame:
-    """Payload of every covered (tile, band) of a packed mosaic."""
-    return pack_entries(tile_entries(cells, compat), payload, compat)
+def pack_tiles(
+    cells: DataFrame, payload: str = "png", compat: bool = True, touched: DataFrame | None = None
+) -> DataFrame:
+    """Payload of every (tile, band) of a packed mosaic and, all zero, of ``touched`` tiles."""
+    return pack_entries(tile_entries(cells, compat, touched), payload, compat)
 
 
 def blank_payload(payload: str) -> bytes:

@@ -47,24 +47,29 @@ def stretch(v: Column, lo: Column, hi: Column, compat: bool = True) -> Column:
     )
 
 
-def tile_entries(cells: DataFrame, compat: bool = True) -> DataFrame:
+def tile_entries(
+    cells: DataFrame, compat: bool = True, touched: DataFrame | None = None
+) -> DataFrame:
     """One row per (tile, band): ``entries`` and the zero-inclusive cuts ``lo``, ``hi``.
 
     A mosaic holds a cell at most once, so a group is at most 65,536 cells (256 KB) whatever the
     input.  An entry is ``value << 16 | cell`` in one INT; sorting entries sorts values, and the
-    cuts of the zero-filled canvas are read by position without ever filling it.
+    cuts of the zero-filled canvas are read by position without ever filling it.  ``touched``
+    (tile_id, band) adds tiles that were reached but received no cell.
     """
     bias = 0 if compat else 32768
     entry = F.shiftleft(F.col("value") - bias, 16).bitwiseOR(F.col("cell"))
+    rows = cells.select("tile_id", "band", "value", entry.alias("entry"))
+    if touched is not None:
+        rows = rows.unionByName(touched.select("tile_id", "band"), allowMissingColumns=True)
     df = (
-        cells.select("tile_id", "band", "value", entry.alias("entry"))
         # The pre-shuffle leaves collect_list nothing to do map-side.
-        .repartition("tile_id", "band")
+        rows.repartition("tile_id", "band")
         .groupBy("tile_id", "band")
         .agg(
             F.sort_array(F.collect_list("entry")).alias("entries"),
             F.count_if(F.col("value") < 0).cast("int").alias("n_negative"),
-            F.count(F.lit(1)).cast("int").alias("n_filled"),
+            F.count("entry").cast("int").alias("n_filled"),
         )
     )
     pad = F.lit(TILE_CELLS) - F.col("n_filled")

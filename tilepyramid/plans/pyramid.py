@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tilepyramid.constants import DEFAULT_BANDS
 from tilepyramid.operators.georeference import BROADCAST_ROWS
-from tilepyramid.operators.mosaic import mosaic, tile_key_columns, unpack
+from tilepyramid.operators.mosaic import mosaic, tile_id, tile_key_columns, unpack
+from tilepyramid.operators.overlap import scene_tile_pairs
 from tilepyramid.operators.payload import blank_payload, pack_tiles
 from tilepyramid.operators.tileset import dense_tiles
 from tilepyramid.sources.zooms import check_zooms
@@ -33,6 +34,7 @@ def build_pyramid(
 ) -> DataFrame:
     """Tiles of the pyramid: zoom_level, tile_column, tile_row, tile_data.
 
+    Every tile a scene's extent touches is emitted, even if no cell of it was filled.
     With ``stretch=False`` the payload is the unstretched 16-bit cells.  With more than one
     band a ``band`` column is added and each band is a row.  ``dense=True`` (single band) also
     returns blank tiles for the uncovered part of the grid.
@@ -43,7 +45,7 @@ def build_pyramid(
         raise ValueError("dense output needs exactly one band")
     kind = payload if stretch else "u16"
     cells = mosaic(blocks, scenes, levels, method, window, bands, compat, broadcast_rows)
-    packed = pack_tiles(cells, kind, compat)
+    packed = pack_tiles(cells, kind, compat, touched_tiles(scenes, levels, bands))
     key = tile_key_columns(compat)
     tiles = packed.select(
         key["z"].alias("zoom_level"), key["x"].alias("tile_column"), key["y"].alias("tile_row"),
@@ -54,6 +56,18 @@ def build_pyramid(
     return tiles
 
 
+def touched_tiles(
+    scenes: DataFrame, zooms: str | Iterable[int], bands: Sequence[int] | None = DEFAULT_BANDS
+) -> DataFrame:
+    """Distinct (tile_id, band) that the extents of scenes having that band touch."""
+    available = F.sequence(F.lit(1), F.col("bands"))
+    wanted = available if bands is None else F.array_intersect(
+        available, F.array(*[F.lit(b) for b in bands]))
+    key = tile_id(F.col("z"), F.col("x"), F.col("grid_row")).alias("tile_id")
+    pairs = scene_tile_pairs(scenes, zooms)
+    return pairs.select(key, F.explode(wanted).alias("band")).distinct()
+
+
 def tile_cells(
     scenes: DataFrame, blocks: DataFrame, zooms: str | Iterable[int], **options
 ) -> DataFrame:
