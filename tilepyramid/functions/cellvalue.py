@@ -24,4 +24,4 @@ def unsigned_bytes(cells: Column) -> Column:
 
 def sample(v: Column, compat: bool = True) -> Column:
     """A 16-bit unsigned sample as it is compared and stored: ``compat`` wraps it to signed."""
-    return F.when(v > 32767, v - 65536).otherwise(v) if compat else v
+    return (v + 32768).bitwiseAND(0xFFFF) - 32768 if compat else v

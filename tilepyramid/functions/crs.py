@@ -64,8 +64,22 @@ def to_mercator(x: Column, y: Column, geographic: Column) -> tuple[Column, Colum
     )
 
 
-def from_mercator_x(x: Column, geographic: Column) -> Column:
-    return F.when(geographic, x_to_lon(x)).otherwise(x)
+def x_scale(geographic: Column) -> dict[str, Column]:
+    """Per-scene factors that make both directions of x branch-free in a per-cell loop."""
+    return {
+        "x_radius": F.when(geographic, F.lit(MERCATOR_RADIUS)).otherwise(F.lit(1.0)),
+        "x_degrees": F.when(geographic, F.lit(math.degrees(1.0))).otherwise(F.lit(1.0)),
+        "x_radians": F.when(geographic, F.lit(math.radians(1.0))).otherwise(F.lit(1.0)),
+    }
+
+
+def scaled_to_mercator_x(x: Column) -> Column:
+    """``to_mercator`` of x with the factors of :func:`x_scale`."""
+    return F.col("x_radius") * (x * F.col("x_radians"))
+
+
+def scaled_from_mercator_x(x: Column) -> Column:
+    return (x / F.col("x_radius")) * F.col("x_degrees")
 
 
 def from_mercator_y(y: Column, geographic: Column) -> Column:

@@ -27,12 +27,11 @@ from tilepyramid.operators.georeference import (
 )
 from tilepyramid.operators.grid import zoom_levels
 from tilepyramid.operators.overlap import (
-    in_scene_x,
-    in_scene_y,
-    tile_box_x,
-    tile_box_y,
-    tile_span_x,
-    tile_span_y,
+    reached_tiles,
+    tile_east,
+    tile_north,
+    tile_south,
+    tile_west,
 )
 
 # Slack, in tiles or cells, that keeps a computed window a superset of the exact answer: far
@@ -86,7 +85,7 @@ def _block_tiles(blocks: DataFrame, zooms: str | Iterable[int], forward: bool) -
     df = df.withColumns({
         "px1": F.least(F.col("px0") + F.col("bw"), F.col("width")),
         "py1": F.least(F.col("py0") + F.col("bh"), F.col("height")),
-    }).filter((F.col("px0") < F.col("px1")) & (F.col("py0") < F.col("py1")))
+    })
     # Truncation lets the inverse direction accept source offsets down to -1.
     back = 0 if forward else 1
     g = [F.col(c) for c in AFFINE]
@@ -104,12 +103,12 @@ def _block_tiles(blocks: DataFrame, zooms: str | Iterable[int], forward: bool) -
     df = df.select("*", F.inline(zoom_levels(zooms)))
     # Truncation lets the forward direction reach the tile east and south of a cell's own.
     reach = F.col("res") if forward else F.lit(0.0)
-    df = df.withColumn("tile_column", F.explode(tile_span_x(
-        F.col("west"), F.col("east") + reach, F.col("res"), F.col("n_cols"), TILE_SLACK)))
-    df = tile_box_x(df).filter(in_scene_x())
-    df = df.withColumn("grid_row", F.explode(tile_span_y(
-        F.col("south") - reach, F.col("north"), F.col("res"), F.col("n_rows"), TILE_SLACK)))
-    return tile_box_y(df).filter(in_scene_y())
+    df = df.withColumns(reached_tiles(
+        F.col("west"), F.col("east") + reach, F.col("south") - reach, F.col("north"), TILE_SLACK))
+    df = df.withColumn("tile_column", F.explode("tile_columns"))
+    df = df.withColumn("grid_row", F.explode("grid_rows"))
+    return df.withColumns({"tile_minx": tile_west(F.col("tile_column")),
+                           "tile_maxy": tile_north(F.col("grid_row"))})
 
 
 def _inverse_cells(tiles: DataFrame, compat: bool) -> DataFrame:
@@ -125,8 +124,7 @@ def _inverse_cells(tiles: DataFrame, compat: bool) -> DataFrame:
     df = df.withColumn("sy", crs.from_mercator_y(
         F.col("tile_maxy") + F.col("dy") * (-res), geographic))
     df = df.withColumn("dx", F.explode("dxs"))
-    df = df.withColumn("sx", crs.from_mercator_x(
-        F.col("tile_minx") + F.col("dx") * res, geographic))
+    df = df.withColumn("sx", crs.scaled_from_mercator_x(F.col("tile_minx") + F.col("dx") * res))
     u, v = affine.map_to_pixel_exact(F.col("sx"), F.col("sy"), [F.col(c) for c in AFFINE])
     df = df.withColumns({"u": u, "v": v}).filter(
         _inside(F.col("u"), F.col("px0"), F.col("px1"), compat)
@@ -138,9 +136,11 @@ def _inverse_cells(tiles: DataFrame, compat: bool) -> DataFrame:
 def _forward_cells(tiles: DataFrame, window: str | None, compat: bool) -> DataFrame:
     res, geographic = F.col("res"), F.col("geographic")
     g = [F.col(c) for c in AFFINE]
+    tiles = tiles.withColumns({"tile_maxx": tile_east(F.col("tile_column")),
+                               "tile_miny": tile_south(F.col("grid_row"))})
     # Source window that can reach the tile: its box, one cell wider to the west and north.
-    west = crs.from_mercator_x(F.col("tile_minx") - res, geographic)
-    east = crs.from_mercator_x(F.col("tile_maxx"), geographic)
+    west = crs.scaled_from_mercator_x(F.col("tile_minx") - res)
+    east = crs.scaled_from_mercator_x(F.col("tile_maxx"))
     south = crs.from_mercator_y(F.col("tile_miny"), geographic)
     north = crs.from_mercator_y(F.col("tile_maxy") + res, geographic)
     df = tiles.withColumns({"src_west": west, "src_east": east,
@@ -165,15 +165,16 @@ def _forward_cells(tiles: DataFrame, window: str | None, compat: bool) -> DataFr
     df = df.withColumn("row_y", F.when(
         g[4] == 0.0, F.when(geographic, crs.lat_to_y(row_y)).otherwise(row_y)))
     df = df.withColumn("px", F.explode("pxs"))
-    df = _with_value(df, compat).filter(F.col("value") > 0)
+    df = _with_value(df, compat)
     sx, sy = affine.pixel_to_map(F.col("px"), F.col("py"), g)
-    mx, my = crs.to_mercator(sx, sy, geographic)
-    df = df.withColumns({"mx": mx, "my": F.coalesce(F.col("row_y"), my)})
+    mx = crs.scaled_to_mercator_x(sx)
+    my = F.coalesce(F.col("row_y"), F.when(geographic, crs.lat_to_y(sy)).otherwise(sy))
     # The tile's affine has no shear, so the general inverse reduces to these exact terms.
-    u = (F.col("mx") * (-res) - F.col("tile_minx") * (-res)) / (res * (-res))
-    v = (F.col("my") * res - res * F.col("tile_maxy")) / (res * (-res))
+    u = (mx * (-res) - F.col("tile_minx") * (-res)) / (res * (-res))
+    v = (my * res - res * F.col("tile_maxy")) / (res * (-res))
     df = df.withColumns({"u": u, "v": v}).filter(
-        _inside(F.col("u"), F.lit(0), F.lit(TILE), compat)
+        (F.col("value") > 0)
+        & _inside(F.col("u"), F.lit(0), F.lit(TILE), compat)
         & _inside(F.col("v"), F.lit(0), F.lit(TILE), compat))
     return df.withColumns({"dx": _index(F.col("u"), compat), "dy": _index(F.col("v"), compat)})
 
@@ -182,10 +183,10 @@ def _source_window(df: DataFrame, window: str, compat: bool) -> DataFrame:
     """Half-open source window between the tile's upper-left and lower-right corners."""
     geographic, g = F.col("geographic"), [F.col(c) for c in AFFINE]
     start_x, start_y = affine.map_to_pixel(
-        crs.from_mercator_x(F.col("tile_minx"), geographic),
+        crs.scaled_from_mercator_x(F.col("tile_minx")),
         crs.from_mercator_y(F.col("tile_maxy"), geographic), g, compat)
     last_x, last_y = affine.map_to_pixel(
-        crs.from_mercator_x(F.col("tile_maxx"), geographic),
+        crs.scaled_from_mercator_x(F.col("tile_maxx")),
         crs.from_mercator_y(F.col("tile_miny"), geographic), g, compat)
     if window == "abs":
         last_x, last_y = F.abs(last_x), F.abs(last_y)

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from tilepyramid.constants import TILE, WORLD_MAX_Y, WORLD_MIN_X
 from tilepyramid.functions.affine import affine_columns
-from tilepyramid.functions.crs import is_geographic
+from tilepyramid.functions.crs import is_geographic, x_scale
 from tilepyramid.functions.extent import overlaps_x, raster_extent
 from tilepyramid.functions.tilekey import tile_row
 from tilepyramid.operators.grid import zoom_levels
 
-FOOTPRINT = ["g0", "g1", "g2", "g3", "g4", "g5", "geographic",
+FOOTPRINT = ["g0", "g1", "g2", "g3", "g4", "g5", "geographic", "x_radius", "x_degrees", "x_radians",
              "scene_minx", "scene_maxx", "scene_miny", "scene_maxy"]
 
 
@@ -29,73 +29,69 @@ def scene_footprints(scenes: DataFrame) -> DataFrame:
     box = raster_extent(
         F.col("height"), F.col("width"), [F.col(c) for c in g], F.col("geographic")
     )
-    df = df.withColumn("scene_box", box)
+    df = df.withColumns({"scene_box": box, **x_scale(F.col("geographic"))})
     return df.withColumns(
         {f"scene_{c}": F.col("scene_box")[c] for c in ("minx", "maxx", "miny", "maxy")}
     ).drop("scene_box", "gt")
 
 
-def tile_span_x(lo: Column, hi: Column, res: Column, n: Column, slack: float) -> Column:
-    """Tile columns touching [lo, hi] as an array, widened by ``slack`` tiles; NULL if none."""
-    return _span((lo - F.lit(WORLD_MIN_X)) / (res * TILE), (hi - F.lit(WORLD_MIN_X)) / (res * TILE),
-                 n, slack)
+def tile_west(j: Column) -> Column:
+    return F.lit(WORLD_MIN_X) + (j * TILE) * F.col("res")
 
 
-def tile_span_y(lo: Column, hi: Column, res: Column, n: Column, slack: float) -> Column:
-    """Grid rows (top-down) touching [lo, hi] as an array."""
-    return _span((F.lit(WORLD_MAX_Y) - hi) / (res * TILE), (F.lit(WORLD_MAX_Y) - lo) / (res * TILE),
-                 n, slack)
+def tile_east(j: Column) -> Column:
+    return tile_west(j) + F.lit(TILE) * F.col("res")
 
 
-def _span(first: Column, last: Column, n: Column, slack: float) -> Column:
-    a = F.greatest(F.lit(0.0), F.floor(first - slack).cast("double")).cast("int")
-    b = F.least((n - 1).cast("double"), F.floor(last + slack).cast("double")).cast("int")
-    return F.when(a <= b, F.sequence(a, b))
+def tile_north(i: Column) -> Column:
+    return F.lit(WORLD_MAX_Y) + (i * TILE) * (-F.col("res"))
 
 
-def tile_box_x(df: DataFrame) -> DataFrame:
-    """West and east edge of ``tile_column``."""
-    west = F.lit(WORLD_MIN_X) + (F.col("tile_column") * TILE) * F.col("res")
-    return df.withColumn("tile_minx", west).withColumn(
-        "tile_maxx", F.col("tile_minx") + F.lit(TILE) * F.col("res"))
+def tile_south(i: Column) -> Column:
+    return tile_north(i) + F.lit(TILE) * (-F.col("res"))
 
 
-def tile_box_y(df: DataFrame) -> DataFrame:
-    """North and south edge of ``grid_row``."""
-    north = F.lit(WORLD_MAX_Y) + (F.col("grid_row") * TILE) * (-F.col("res"))
-    return df.withColumn("tile_maxy", north).withColumn(
-        "tile_miny", F.col("tile_maxy") + F.lit(TILE) * (-F.col("res")))
+def reached_tiles(
+    west: Column, east: Column, south: Column, north: Column, slack: float
+) -> dict[str, Column]:
+    """Arrays ``tile_columns`` and ``grid_rows`` of the tiles that the box reaches and that touch
+    the row's scene extent, for the row's zoom level (``res, n_cols, n_rows``).
 
-
-def in_scene_x() -> Column:
-    return overlaps_x(F.col("scene_minx"), F.col("scene_maxx"),
-                      F.col("tile_minx"), F.col("tile_maxx"))
+    The box gives the span by division, widened by ``slack`` tiles; the inclusive test against
+    the scene is then made exactly, tile by tile.
+    """
+    side = F.col("res") * TILE
+    x0, y0 = F.lit(WORLD_MIN_X), F.lit(WORLD_MAX_Y)
+    columns = _span((west - x0) / side - slack, (east - x0) / side + slack, F.col("n_cols"))
+    rows = _span((y0 - north) / side - slack, (y0 - south) / side + slack, F.col("n_rows"))
+    return {
+        "tile_columns": F.filter(columns, lambda j: (j < F.col("n_cols")) & overlaps_x(
+            F.col("scene_minx"), F.col("scene_maxx"), tile_west(j), tile_east(j))),
+        "grid_rows": F.filter(rows, lambda i: (i < F.col("n_rows")) & overlaps_x(
+            F.col("scene_miny"), F.col("scene_maxy"), tile_south(i), tile_north(i))),
+    }
 
 
-def in_scene_y() -> Column:
-    return overlaps_x(F.col("scene_miny"), F.col("scene_maxy"),
-                      F.col("tile_miny"), F.col("tile_maxy"))
+def _span(first: Column, last: Column, n: Column) -> Column:
+    """Integers from ``first`` to ``last`` within [0, n); one value past ``n`` if there are none."""
+    a = F.least(F.greatest(F.floor(first), F.lit(0)), n.cast("bigint")).cast("int")
+    b = F.least(F.floor(last), (n - 1).cast("bigint")).cast("int")
+    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array(n))
 
 
 def scene_tile_pairs(
     scenes: DataFrame, zooms: str | Iterable[int], compat: bool = True
 ) -> DataFrame:
-    """One row per (tile, scene) whose extents touch: z, x, y, grid_row, scene_id, seq, tile box.
-
-    The span is widened by a tile on each side and then cut by the exact test, because the
-    inclusive test may accept a neighbour that division alone would miss.
-    """
+    """One row per (tile, scene) whose extents touch: z, x, y, grid_row, scene_id, seq, bands."""
     df = scene_footprints(scenes).select("*", F.inline(zoom_levels(zooms)))
-    df = df.withColumn("tile_column", F.explode(tile_span_x(
-        F.col("scene_minx"), F.col("scene_maxx"), F.col("res"), F.col("n_cols"), 1.0)))
-    df = tile_box_x(df).filter(in_scene_x())
-    df = df.withColumn("grid_row", F.explode(tile_span_y(
-        F.col("scene_miny"), F.col("scene_maxy"), F.col("res"), F.col("n_rows"), 1.0)))
-    df = tile_box_y(df).filter(in_scene_y())
+    df = df.withColumns(reached_tiles(
+        F.col("scene_minx"), F.col("scene_maxx"), F.col("scene_miny"), F.col("scene_maxy"), 1.0))
+    df = df.withColumn("tile_column", F.explode("tile_columns"))
+    df = df.withColumn("grid_row", F.explode("grid_rows"))
     return df.select(
         "z", F.col("tile_column").alias("x"),
         tile_row(F.col("z"), F.col("grid_row"), compat).alias("y"),
-        "grid_row", "scene_id", "seq", "bands", "tile_minx", "tile_maxx", "tile_miny", "tile_maxy",
+        "grid_row", "scene_id", "seq", "bands",
     )
 
 

@@ -42,9 +42,13 @@ def lookup(
 
 def dense_tiles(
     tiles: DataFrame, zooms: str | Iterable[int], blank: bytes, compat: bool = True,
-    max_tiles: int = MAX_DENSE_TILES,
+    covered: DataFrame | None = None, max_tiles: int = MAX_DENSE_TILES,
 ) -> DataFrame:
-    """``tiles`` plus a blank payload for every uncovered tile of the levels; adds ``is_blank``."""
+    """``tiles`` plus a blank payload for every uncovered tile of the levels; adds ``is_blank``.
+
+    ``covered`` gives the keys of ``tiles`` when they can be had without computing or reading the
+    tiles a second time.
+    """
     levels = check_zooms(zooms)
     estimate = sum(
         (2 * WORLD_MAX_X / (RESOLUTIONS[z] * TILE) + 1)
@@ -53,6 +57,7 @@ def dense_tiles(
         raise ValueError(f"a dense grid of about {estimate:.0f} tiles exceeds {max_tiles}")
     grid = world_grid(tiles.sparkSession, levels, compat).select(
         F.col("z").alias("zoom_level"), "tile_column", "tile_row")
-    blanks = grid.join(tiles.select(*TILE_KEY), list(TILE_KEY), "left_anti").select(
+    keys = (tiles if covered is None else covered).select(*TILE_KEY)
+    blanks = grid.join(keys, list(TILE_KEY), "left_anti").select(
         *TILE_KEY, F.lit(blank).alias("tile_data"), F.lit(True).alias("is_blank"))
     return tiles.select(*TILE_KEY, "tile_data", F.lit(False).alias("is_blank")).unionByName(blanks)

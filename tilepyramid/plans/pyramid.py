@@ -16,6 +16,7 @@ from tilepyramid.operators.mosaic import mosaic, tile_id, tile_key_columns, unpa
 from tilepyramid.operators.overlap import scene_tile_pairs
 from tilepyramid.operators.payload import blank_payload, pack_tiles
 from tilepyramid.operators.tileset import dense_tiles
+from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.zooms import check_zooms
 
 
@@ -45,14 +46,14 @@ def build_pyramid(
         raise ValueError("dense output needs exactly one band")
     kind = payload if stretch else "u16"
     cells = mosaic(blocks, scenes, levels, method, window, bands, compat, broadcast_rows)
-    packed = pack_tiles(cells, kind, compat, touched_tiles(scenes, levels, bands))
-    key = tile_key_columns(compat)
-    tiles = packed.select(
-        key["z"].alias("zoom_level"), key["x"].alias("tile_column"), key["y"].alias("tile_row"),
-        *([] if single else ["band"]), "tile_data",
-    )
+    touched = touched_tiles(scenes, levels, bands)
+    packed = pack_tiles(cells, kind, compat, touched)
+    key = [c.alias(name) for name, c in zip(TILE_KEY, tile_key_columns(compat).values())]
+    tiles = packed.select(*key, *([] if single else ["band"]), "tile_data")
     if dense:
-        tiles = dense_tiles(tiles, levels, blank_payload(kind), compat).drop("is_blank")
+        tiles = dense_tiles(
+            tiles, levels, blank_payload(kind), compat, covered=touched.select(*key)
+        ).drop("is_blank")
     return tiles
 
 

@@ -244,7 +244,8 @@ TEXTS = """texts AS (
   FROM (SELECT s_suppkey AS k FROM supplier))"""
 
 SNAPPED = """snapped AS (
-  SELECT k, ((k * 37) % 300 - 170) // 10 * 10 AS minx, ((k * 37) % 300 - 170) // 10 * 10 + 10 AS maxx,
+  SELECT k, floor(((k * 37) % 300 - 170) / 10e0) * 10 AS minx,
+    floor(((k * 37) % 300 - 170) / 10e0) * 10 + 10 AS maxx,
     ((k * 23) % 110) // 10 * 10 AS miny, ((k * 23) % 110) // 10 * 10 + 10 AS maxy
   FROM (SELECT s_suppkey AS k FROM supplier))"""
 

@@ -16,6 +16,7 @@ from tilepyramid.operators.payload import PNG_SIGNATURE, blank_payload, pack_til
 from tilepyramid.operators.stretch import stretch_scenes, stretch_tiles, tile_entries
 from tilepyramid.operators.tileset import dense_tiles, lookup
 from tilepyramid.plans.pyramid import build_pyramid, pyramid_report, tile_cells
+from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.rasters import block_cells
 from workloads import rasters
 
@@ -115,8 +116,6 @@ def extent_intersects(spark, sf_dir):
         return F.floor(v / F.lit(10.0)) * 10
 
     west, south = snap((k * 37) % 300 - 170), snap((k * 23) % 110)
-    # The oracle's integer division truncates below zero; so does this.
-    west = F.when((k * 37) % 300 - 170 < 0, -snap(-((k * 37) % 300 - 170))).otherwise(west)
     boxes = rasters.table(spark, sf_dir, "supplier").select(
         k.alias("id"), extent.extent(west, west + 10, south, south + 10).alias("box"))
     ahead = boxes.withColumn("other", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 20)))
@@ -241,7 +240,9 @@ def _png_check():
 def tiles_dense(spark, sf_dir):
     scenes, blocks = _sources(spark, sf_dir)
     tiles = build_pyramid(scenes, blocks, ZOOMS, method="forward", payload="raw")
-    return dense_tiles(tiles, ZOOMS, blank_payload("raw")).select(
+    covered = scene_tile_pairs(scenes, ZOOMS).select(
+        *[F.col(a).alias(b) for a, b in zip("zxy", TILE_KEY)])
+    return dense_tiles(tiles, ZOOMS, blank_payload("raw"), covered=covered).select(
         F.col("zoom_level").alias("z"), F.col("tile_column").alias("x"),
         F.col("tile_row").alias("y"), "is_blank")
 
