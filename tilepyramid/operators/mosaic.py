@@ -103,10 +103,10 @@ def _block_tiles(blocks: DataFrame, zooms: str | Iterable[int], forward: bool) -
     df = df.select("*", F.inline(zoom_levels(zooms)))
     # Truncation lets the forward direction reach the tile east and south of a cell's own.
     reach = F.col("res") if forward else F.lit(0.0)
-    df = df.withColumns(reached_tiles(
-        F.col("west"), F.col("east") + reach, F.col("south") - reach, F.col("north"), TILE_SLACK))
-    df = df.withColumn("tile_column", F.explode("tile_columns"))
-    df = df.withColumn("grid_row", F.explode("grid_rows"))
+    # A higher-order expression is not code-generated, which ends the block-level stage here on
+    # purpose: block code and the cell loops become separate methods, small enough for the JIT.
+    df = df.select("*", F.inline(reached_tiles(
+        F.col("west"), F.col("east") + reach, F.col("south") - reach, F.col("north"), TILE_SLACK)))
     return df.withColumns({"tile_minx": tile_west(F.col("tile_column")),
                            "tile_maxy": tile_north(F.col("grid_row"))})
 
@@ -119,11 +119,11 @@ def _inverse_cells(tiles: DataFrame, compat: bool) -> DataFrame:
         "dxs": _cell_span((F.col("west") - F.col("tile_minx")) / res,
                           (F.col("east") - F.col("tile_minx")) / res, F.lit(0), F.lit(TILE - 1)),
     })
-    df = df.withColumn("dy", F.explode("dys"))
+    df = df.withColumn("dy", _each("dys"))
     # The source y depends on the tile row alone, so its trigonometry runs once per row.
     df = df.withColumn("sy", crs.from_mercator_y(
         F.col("tile_maxy") + F.col("dy") * (-res), geographic))
-    df = df.withColumn("dx", F.explode("dxs"))
+    df = df.withColumn("dx", _each("dxs"))
     df = df.withColumn("sx", crs.scaled_from_mercator_x(F.col("tile_minx") + F.col("dx") * res))
     u, v = affine.map_to_pixel_exact(F.col("sx"), F.col("sy"), [F.col(c) for c in AFFINE])
     df = df.withColumns({"u": u, "v": v}).filter(
@@ -159,12 +159,12 @@ def _forward_cells(tiles: DataFrame, window: str | None, compat: bool) -> DataFr
         "pys": _cell_span(F.least(*vs), F.greatest(*vs), y_from, y_to),
         "pxs": _cell_span(F.least(*us), F.greatest(*us), x_from, x_to),
     })
-    df = df.withColumn("py", F.explode("pys"))
+    df = df.withColumn("py", _each("pys"))
     # North-up scenes: the row's y is shared by all its cells, so project it once.
     row_y = g[3] + F.col("py") * g[5]
     df = df.withColumn("row_y", F.when(
         g[4] == 0.0, F.when(geographic, crs.lat_to_y(row_y)).otherwise(row_y)))
-    df = df.withColumn("px", F.explode("pxs"))
+    df = df.withColumn("px", _each("pxs"))
     df = _with_value(df, compat)
     sx, sy = affine.pixel_to_map(F.col("px"), F.col("py"), g)
     mx = crs.scaled_to_mercator_x(sx)
@@ -198,15 +198,15 @@ def _source_window(df: DataFrame, window: str, compat: bool) -> DataFrame:
 
 
 def _cell_span(first: Column, last: Column, low: Column, high: Column) -> Column:
-    """Integers of [first, last], with slack, clipped to [low, high], as an array.
+    """First and last integer of [first, last], with slack, clipped to [low, high]; or NULL."""
+    a = F.greatest(F.ceil(first - CELL_SLACK), low.cast("bigint")).cast("int")
+    b = F.least(F.floor(last + CELL_SLACK), high.cast("bigint")).cast("int")
+    return F.when(a <= b, F.struct(a.alias("first"), b.alias("last")))
 
-    Built once per (block, tile).  The higher-order ``filter`` also ends the code-generated span
-    here: the per-tile code above and the per-cell loops below stay separate methods, each small
-    enough for the JIT.
-    """
-    a = F.greatest(low.cast("double"), F.ceil(first - CELL_SLACK).cast("double")).cast("int")
-    b = F.least(high.cast("double"), F.floor(last + CELL_SLACK).cast("double")).cast("int")
-    return F.filter(F.sequence(a, F.greatest(a, b)), lambda k: k <= b)
+
+def _each(span: str) -> Column:
+    """One row per integer of a span; none for NULL."""
+    return F.explode(F.sequence(F.col(f"{span}.first"), F.col(f"{span}.last")))
 
 
 def _inside(at: Column, low: Column, high: Column, compat: bool) -> Column:

@@ -53,8 +53,8 @@ def tile_south(i: Column) -> Column:
 
 def reached_tiles(
     west: Column, east: Column, south: Column, north: Column, slack: float
-) -> dict[str, Column]:
-    """Arrays ``tile_columns`` and ``grid_rows`` of the tiles that the box reaches and that touch
+) -> Column:
+    """``ARRAY<STRUCT<tile_column, grid_row>>`` of the tiles that the box reaches and that touch
     the row's scene extent, for the row's zoom level (``res, n_cols, n_rows``).
 
     The box gives the span by division, widened by ``slack`` tiles; the inclusive test against
@@ -62,21 +62,23 @@ def reached_tiles(
     """
     side = F.col("res") * TILE
     x0, y0 = F.lit(WORLD_MIN_X), F.lit(WORLD_MAX_Y)
-    columns = _span((west - x0) / side - slack, (east - x0) / side + slack, F.col("n_cols"))
-    rows = _span((y0 - north) / side - slack, (y0 - south) / side + slack, F.col("n_rows"))
-    return {
-        "tile_columns": F.filter(columns, lambda j: (j < F.col("n_cols")) & overlaps_x(
-            F.col("scene_minx"), F.col("scene_maxx"), tile_west(j), tile_east(j))),
-        "grid_rows": F.filter(rows, lambda i: (i < F.col("n_rows")) & overlaps_x(
-            F.col("scene_miny"), F.col("scene_maxy"), tile_south(i), tile_north(i))),
-    }
+    columns = F.filter(
+        _span((west - x0) / side - slack, (east - x0) / side + slack, F.col("n_cols")),
+        lambda j: overlaps_x(
+            F.col("scene_minx"), F.col("scene_maxx"), tile_west(j), tile_east(j)))
+    rows = F.filter(
+        _span((y0 - north) / side - slack, (y0 - south) / side + slack, F.col("n_rows")),
+        lambda i: overlaps_x(
+            F.col("scene_miny"), F.col("scene_maxy"), tile_south(i), tile_north(i)))
+    return F.flatten(F.transform(columns, lambda j: F.transform(
+        rows, lambda i: F.struct(j.alias("tile_column"), i.alias("grid_row")))))
 
 
 def _span(first: Column, last: Column, n: Column) -> Column:
-    """Integers from ``first`` to ``last`` within [0, n); one value past ``n`` if there are none."""
-    a = F.least(F.greatest(F.floor(first), F.lit(0)), n.cast("bigint")).cast("int")
+    """Integers from ``first`` to ``last`` within [0, n), as an array; NULL if there are none."""
+    a = F.greatest(F.floor(first), F.lit(0)).cast("int")
     b = F.least(F.floor(last), (n - 1).cast("bigint")).cast("int")
-    return F.when(b >= a, F.sequence(a, b)).otherwise(F.array(n))
+    return F.when(b >= a, F.sequence(a, b))
 
 
 def scene_tile_pairs(
@@ -84,10 +86,8 @@ def scene_tile_pairs(
 ) -> DataFrame:
     """One row per (tile, scene) whose extents touch: z, x, y, grid_row, scene_id, seq, bands."""
     df = scene_footprints(scenes).select("*", F.inline(zoom_levels(zooms)))
-    df = df.withColumns(reached_tiles(
-        F.col("scene_minx"), F.col("scene_maxx"), F.col("scene_miny"), F.col("scene_maxy"), 1.0))
-    df = df.withColumn("tile_column", F.explode("tile_columns"))
-    df = df.withColumn("grid_row", F.explode("grid_rows"))
+    df = df.select("*", F.inline(reached_tiles(
+        F.col("scene_minx"), F.col("scene_maxx"), F.col("scene_miny"), F.col("scene_maxy"), 1.0)))
     return df.select(
         "z", F.col("tile_column").alias("x"),
         tile_row(F.col("z"), F.col("grid_row"), compat).alias("y"),

@@ -37,18 +37,12 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pixel_value(k: Column, band: Column, px: Column, py: Column) -> Column:
-    u = (k * 131 + band * 977 + px * 17 + py * 29 + px * py) % 4096
-    return F.when(u % 11 == 0, 0).when(k % 13 == 0, u * 16).otherwise(u).cast("int")
-
-
 def blocks(scene_table: DataFrame) -> DataFrame:
-    """Blocks of 32x32 cells, padded with zeros beyond the scene's edge.
+    """Blocks of 32x32 cells; cells beyond the scene's edge are padding with arbitrary values.
 
     The supplier file is a single split; its rows are spread before they fan out to cells.
     """
-    spark = scene_table.sparkSession
-    parts = spark.sparkContext.defaultParallelism
+    parts = scene_table.sparkSession.sparkContext.defaultParallelism
     df = scene_table.select("scene_id", "width", "height", "bands").repartition(parts, "scene_id")
 
     def upto(n: Column) -> Column:
@@ -57,17 +51,20 @@ def blocks(scene_table: DataFrame) -> DataFrame:
     df = df.withColumn("band", F.explode(F.sequence(F.lit(1), F.col("bands"))))
     df = df.withColumn("block_row", F.explode(upto(F.col("height"))))
     df = df.withColumn("block_col", F.explode(upto(F.col("width"))))
-
-    def cell(pos: Column) -> Column:
-        px = F.col("block_col") * BLOCK + pos % BLOCK
-        py = F.col("block_row") * BLOCK + F.floor(pos / BLOCK).cast("int")
-        inside = (px < F.col("width")) & (py < F.col("height"))
-        return F.when(inside, pixel_value(F.col("scene_id"), F.col("band"), px, py)).otherwise(0)
-
-    return df.select(
+    k, x0, y0 = F.col("scene_id"), F.col("block_col") * BLOCK, F.col("block_row") * BLOCK
+    df = df.withColumns({
+        "base": (k * 131 + F.col("band") * 977).cast("int"),
+        "factor": F.when(k % 13 == 0, 16).otherwise(1),
+        "xs": F.sequence(x0, x0 + (BLOCK - 1)), "ys": F.sequence(y0, y0 + (BLOCK - 1)),
+    })
+    # u = (k*131 + band*977 + px*17 + py*29 + px*py) % 4096, row by row.
+    u = F.flatten(F.transform("ys", lambda py: F.transform(
+        "xs", lambda px: (F.col("base") + py * 29 + px * (py + 17)) % 4096)))
+    return df.withColumn("u", u).select(
         "scene_id", "band", "block_row", "block_col",
         F.lit(BLOCK).alias("bw"), F.lit(BLOCK).alias("bh"),
-        F.transform(F.sequence(F.lit(0), F.lit(BLOCK * BLOCK - 1)), cell).alias("cells"),
+        F.transform("u", lambda v: F.when(v % 11 == 0, 0).otherwise(v * F.col("factor")))
+        .alias("cells"),
     )
 
 
