@@ -245,7 +245,8 @@ def _last_write(
     kept = written.groupBy(*keys).agg(last[1].alias("last"))
     band = F.col("band") if "band" in keys else F.lit(bands[0])
     return kept.select(
-        F.shiftright("cell_id", 16).alias("tile_id"),
+        # Never NULL; saying so keeps the null filters of later joins out of the cell loops.
+        F.coalesce(F.shiftright("cell_id", 16), F.lit(-1)).alias("tile_id"),
         band.cast("int").alias("band"),
         F.col("cell_id").bitwiseAND(0xFFFF).cast("int").alias("cell"),
         value.cast("int").alias("value"),
