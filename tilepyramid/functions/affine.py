@@ -39,9 +39,9 @@ def map_to_pixel_exact(x: Column, y: Column, g: Sequence[Column]) -> tuple[Colum
 
 def whole(v: Column, compat: bool = True) -> Column:
     """Double to INT, saturating.  ``compat`` truncates toward zero, otherwise floors."""
-    v = v if compat else F.floor(F.least(F.greatest(v, F.lit(INT_MIN)), F.lit(INT_MAX)))
-    v = v.cast("double")
-    return F.least(F.greatest(v, F.lit(INT_MIN)), F.lit(INT_MAX)).cast("int")
+    held = F.least(F.greatest(v, F.lit(INT_MIN)), F.lit(INT_MAX))
+    # least and greatest skip NULL, so an unknown position has to be kept unknown.
+    return F.when(v.isNotNull(), (held if compat else F.floor(held)).cast("int"))
 
 
 def map_to_pixel(
