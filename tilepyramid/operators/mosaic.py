@@ -138,27 +138,7 @@ def _forward_cells(tiles: DataFrame, window: str | None, compat: bool) -> DataFr
     g = [F.col(c) for c in AFFINE]
     tiles = tiles.withColumns({"tile_maxx": tile_east(F.col("tile_column")),
                                "tile_miny": tile_south(F.col("grid_row"))})
-    # Source window that can reach the tile: its box, one cell wider to the west and north.
-    west = crs.scaled_from_mercator_x(F.col("tile_minx") - res)
-    east = crs.scaled_from_mercator_x(F.col("tile_maxx"))
-    south = crs.from_mercator_y(F.col("tile_miny"), geographic)
-    north = crs.from_mercator_y(F.col("tile_maxy") + res, geographic)
-    df = tiles.withColumns({"src_west": west, "src_east": east,
-                            "src_south": south, "src_north": north})
-    corners = [
-        affine.map_to_pixel_exact(F.col(x), F.col(y), g)
-        for x in ("src_west", "src_east") for y in ("src_south", "src_north")
-    ]
-    us, vs = [c[0] for c in corners], [c[1] for c in corners]
-    x_from, x_to, y_from, y_to = F.col("px0"), F.col("px1") - 1, F.col("py0"), F.col("py1") - 1
-    if window:
-        df = _source_window(df, window, compat)
-        x_from, y_from = F.greatest(x_from, F.col("start_x")), F.greatest(y_from, F.col("start_y"))
-        x_to, y_to = F.least(x_to, F.col("end_x") - 1), F.least(y_to, F.col("end_y") - 1)
-    df = df.withColumns({
-        "pys": _cell_span(F.least(*vs), F.greatest(*vs), y_from, y_to),
-        "pxs": _cell_span(F.least(*us), F.greatest(*us), x_from, x_to),
-    })
+    df = _source_window(tiles, window, compat) if window else _reachable_source(tiles)
     df = df.withColumn("py", _each("pys"))
     # North-up scenes: the row's y is shared by all its cells, so project it once.
     row_y = g[3] + F.col("py") * g[5]
@@ -179,10 +159,34 @@ def _forward_cells(tiles: DataFrame, window: str | None, compat: bool) -> DataFr
     return df.withColumns({"dx": _index(F.col("u"), compat), "dy": _index(F.col("v"), compat)})
 
 
-def _source_window(df: DataFrame, window: str, compat: bool) -> DataFrame:
-    """Half-open source window between the tile's upper-left and lower-right corners."""
+def _reachable_source(tiles: DataFrame) -> DataFrame:
+    """Spans ``pxs, pys`` of the block that can reach the tile: a superset, only to prune.
+
+    The tile's box, one cell wider to the west and north, is taken back to the source; its
+    bounding box in pixels also holds for sheared scenes.
+    """
+    res, geographic, g = F.col("res"), F.col("geographic"), [F.col(c) for c in AFFINE]
+    df = tiles.withColumns({
+        "src_west": crs.scaled_from_mercator_x(F.col("tile_minx") - res),
+        "src_east": crs.scaled_from_mercator_x(F.col("tile_maxx")),
+        "src_south": crs.from_mercator_y(F.col("tile_miny"), geographic),
+        "src_north": crs.from_mercator_y(F.col("tile_maxy") + res, geographic),
+    })
+    corners = [
+        affine.map_to_pixel_exact(F.col(x), F.col(y), g)
+        for x in ("src_west", "src_east") for y in ("src_south", "src_north")
+    ]
+    us, vs = [c[0] for c in corners], [c[1] for c in corners]
+    return df.withColumns({
+        "pxs": _cell_span(F.least(*us), F.greatest(*us), F.col("px0"), F.col("px1") - 1),
+        "pys": _cell_span(F.least(*vs), F.greatest(*vs), F.col("py0"), F.col("py1") - 1),
+    })
+
+
+def _source_window(tiles: DataFrame, window: str, compat: bool) -> DataFrame:
+    """Spans ``pxs, pys`` of the block between the tile's upper-left and lower-right corners."""
     geographic, g = F.col("geographic"), [F.col(c) for c in AFFINE]
-    start_x, start_y = affine.map_to_pixel(
+    first_x, first_y = affine.map_to_pixel(
         crs.scaled_from_mercator_x(F.col("tile_minx")),
         crs.from_mercator_y(F.col("tile_maxy"), geographic), g, compat)
     last_x, last_y = affine.map_to_pixel(
@@ -190,10 +194,13 @@ def _source_window(df: DataFrame, window: str, compat: bool) -> DataFrame:
         crs.from_mercator_y(F.col("tile_miny"), geographic), g, compat)
     if window == "abs":
         last_x, last_y = F.abs(last_x), F.abs(last_y)
+    df = tiles.withColumns({
+        "first_x": F.greatest(F.col("px0"), first_x), "last_x": F.least(F.col("px1") - 1, last_x),
+        "first_y": F.greatest(F.col("py0"), first_y), "last_y": F.least(F.col("py1") - 1, last_y),
+    })
     return df.withColumns({
-        "start_x": F.greatest(F.lit(0), start_x), "start_y": F.greatest(F.lit(0), start_y),
-        "end_x": F.least(F.col("width"), last_x + 1),
-        "end_y": F.least(F.col("height"), last_y + 1),
+        "pxs": _span(F.col("first_x"), F.col("last_x")),
+        "pys": _span(F.col("first_y"), F.col("last_y")),
     })
 
 
@@ -201,7 +208,11 @@ def _cell_span(first: Column, last: Column, low: Column, high: Column) -> Column
     """First and last integer of [first, last], with slack, clipped to [low, high]; or NULL."""
     a = F.greatest(F.ceil(first - CELL_SLACK), low.cast("bigint")).cast("int")
     b = F.least(F.floor(last + CELL_SLACK), high.cast("bigint")).cast("int")
-    return F.when(a <= b, F.struct(a.alias("first"), b.alias("last")))
+    return _span(a, b)
+
+
+def _span(first: Column, last: Column) -> Column:
+    return F.when(first <= last, F.struct(first.alias("first"), last.alias("last")))
 
 
 def _each(span: str) -> Column:
