@@ -7,7 +7,7 @@ from tests import model
 from tests.scenes import sample_scenes, scene, tables
 from tilepyramid import scene_tile_pairs, scenes_per_tile
 from tilepyramid.constants import WORLD_MAX_X, WORLD_MAX_Y, WORLD_MIN_X, WORLD_MIN_Y
-from tilepyramid.operators.grid import grid_dims, subdivide, world_grid, zoom_table
+from tilepyramid.operators.grid import grid_dims, subdivide, world_dims, world_grid, zoom_table
 
 # Zoom, total columns, total rows, tile columns, tile rows of the world grid.
 DIMS = [(0, 256, 257, 1, 2), (1, 512, 513, 2, 3), (2, 1024, 1025, 4, 5), (3, 2047, 2050, 8, 9),
@@ -17,7 +17,7 @@ DIMS = [(0, 256, 257, 1, 2), (1, 512, 513, 2, 3), (2, 1024, 1025, 4, 5), (3, 204
 
 def test_world_dims(spark):
     got = {r.z: (r.n_cols, r.n_rows) for r in zoom_table(spark, range(16)).collect()}
-    assert got == {z: model.dims(z) for z in range(16)}
+    assert got == {z: model.dims(z) for z in range(16)} == {z: world_dims(z) for z in range(16)}
     world = spark.createDataFrame(
         [(z, WORLD_MIN_X, WORLD_MAX_X, WORLD_MIN_Y, WORLD_MAX_Y) for z, *_ in DIMS],
         "z int, minx double, maxx double, miny double, maxy double")

@@ -105,6 +105,11 @@ def test_order_tiers_agree(source, shift, method):
         tile_cells(*source, [2], method=method))
 
 
+def test_spreading_coarse_blocks_changes_nothing(source, inverse_model, monkeypatch):
+    monkeypatch.setattr(mosaic_module, "OVERSAMPLED", 0)
+    assert cells_of(tile_cells(*source, [2])) == expected(inverse_model[True], 2)
+
+
 def test_order_tiers_are_chosen_by_bounds():
     def kind(max_seq, max_cells, min_seq=0, place=True):
         stats = SceneStats(1, min_seq, max_seq, max_cells)

@@ -45,7 +45,7 @@ def operators(df):
     {}, {"compat": False}, {"method": "forward"}, {"method": "forward", "window": "clip"},
     {"method": "forward", "window": "abs", "compat": False}, {"method": "forward", "bands": None}])
 def test_mosaic_is_one_shuffle_with_compiled_loops(source, options):
-    df = mosaic(source[1], source[0], "0-15", **options)
+    df = mosaic(source[1], source[0], "0-3", **options)
     names = operators(df)
     assert names.count("Exchange") == 1
     assert "SortMergeJoin" not in names and "SortAggregate" not in names
@@ -63,10 +63,18 @@ def test_block_scan_is_pruned(source):
     assert not any("path:string" in p for p in paths)
 
 
-def test_pairs_do_not_shuffle_or_join(source):
+def test_pairs_do_not_join(source):
     pairs = scene_tile_pairs(source[0], "0-15")
-    assert not any("Exchange" in n or "Join" in n for n in operators(pairs))
-    assert operators(scenes_per_tile(pairs)).count("Exchange") == 1
+    assert not any("Join" in n for n in operators(pairs))
+    # One shuffle of narrow (scene, column) rows, one for the counts.
+    assert operators(pairs).count("Exchange") == 1
+    assert operators(scenes_per_tile(pairs)).count("Exchange") == 2
+
+
+def test_coarse_scenes_are_spread_before_the_fan_out(source):
+    # The coarsest sample cell is about 190 km; zoom 3 has 20 km cells, zoom 9 about 300 m.
+    assert operators(mosaic(source[1], source[0], [3])).count("Exchange") == 1
+    assert operators(mosaic(source[1], source[0], [9])).count("Exchange") == 2
 
 
 def test_salted_join_beyond_the_broadcast_bound(source):

@@ -7,12 +7,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilepyramid.functions.affine import affine_columns
 from tilepyramid.operators.overlap import FOOTPRINT, scene_footprints
 
 # A georeference row is 14 fixed-width values, under 200 bytes: 2M rows stay under 400 MB.
 BROADCAST_ROWS = 2_000_000
 # Beyond that, one scene's blocks are spread over this many join keys.
 SALTS = 32
+METRES_PER_DEGREE = 111320.0
 
 GEOREFERENCE = ["seq", "width", "height", *FOOTPRINT]
 
@@ -24,14 +26,19 @@ class SceneStats(NamedTuple):
     min_seq: int
     max_seq: int
     max_cells: int
+    coarsest: float = 0.0
 
 
 def scene_stats(scenes: DataFrame) -> SceneStats:
+    """Row count, ``seq`` range, largest scene and coarsest cell (metres, roughly)."""
+    g = affine_columns("gt")
+    side = F.greatest(F.abs(g[1]) + F.abs(g[2]), F.abs(g[4]) + F.abs(g[5]))
     row = scenes.agg(
         F.count(F.lit(1)), F.min("seq"), F.max("seq"),
         F.max(F.col("width").cast("long") * F.col("height")),
+        F.max(F.when(F.col("epsg") == 4326, side * METRES_PER_DEGREE).otherwise(side)),
     ).first()
-    return SceneStats(row[0], row[1] or 0, row[2] or 0, row[3] or 0)
+    return SceneStats(row[0], *[v or 0 for v in row[1:]])
 
 
 def join_by_scene(

@@ -6,6 +6,7 @@ tiles come from ``explode(sequence(..))`` over closed-form dimensions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,18 +46,22 @@ def grid_size(
     )
 
 
+def world_dims(z: int) -> tuple[int, int]:
+    """Tile columns and rows of a level of the world grid (:func:`grid_size` at plan time)."""
+    res = RESOLUTIONS[z]
+    cols = int((WORLD_MAX_X * -res - WORLD_MIN_X * -res) / (res * -res)) + 1
+    rows = int((WORLD_MAX_Y * res - WORLD_MIN_Y * res) / (res * res)) + 1
+    return math.ceil(cols / TILE), math.ceil(rows / TILE)
+
+
 def zoom_levels(zooms: str | Iterable[int]) -> Column:
-    """The world grid's levels as ``ARRAY<STRUCT<z, res, n_cols, n_rows>>``; folds to a literal."""
-    levels = []
-    for z in check_zooms(zooms):
-        res = F.lit(RESOLUTIONS[z])
-        _, _, n_cols, n_rows = grid_size(
-            F.lit(WORLD_MIN_X), F.lit(WORLD_MAX_X), F.lit(WORLD_MIN_Y), F.lit(WORLD_MAX_Y), res
-        )
-        levels.append(F.struct(
-            F.lit(z).alias("z"), res.alias("res"), n_cols.alias("n_cols"), n_rows.alias("n_rows")
-        ))
-    return F.array(*levels)
+    """The world grid's levels as a literal ``ARRAY<STRUCT<z, res, n_cols, n_rows>>``."""
+    levels = [
+        "named_struct('z', {}, 'res', {!r}D, 'n_cols', {}, 'n_rows', {})".format(
+            z, RESOLUTIONS[z], *world_dims(z))
+        for z in check_zooms(zooms)
+    ]
+    return F.expr(f"array({', '.join(levels)})")
 
 
 def zoom_table(spark: SparkSession, zooms: str | Iterable[int]) -> DataFrame:
@@ -88,6 +93,7 @@ def subdivide(
     df = grid_dims(extents, width, height).filter((F.col("n_cols") > 0) & (F.col("n_rows") > 0))
     df = df.withColumn("tile_column", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
     if spread:
+        # The explicit number keeps adaptive execution from merging the still small partitions.
         parts = int(extents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(parts, "z", "tile_column")
     df = df.withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))

@@ -15,7 +15,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilepyramid.constants import DEFAULT_BANDS, TILE
+from tilepyramid.constants import DEFAULT_BANDS, RESOLUTIONS, TILE
 from tilepyramid.functions import affine, crs
 from tilepyramid.functions.cellvalue import sample
 from tilepyramid.functions.tilekey import tile_row
@@ -27,18 +27,24 @@ from tilepyramid.operators.georeference import (
 )
 from tilepyramid.operators.grid import zoom_levels
 from tilepyramid.operators.overlap import (
-    reached_tiles,
+    reached_columns,
+    reached_rows,
+    spread,
     tile_east,
     tile_north,
     tile_south,
     tile_west,
 )
+from tilepyramid.sources.zooms import check_zooms
 
 # Slack, in tiles or cells, that keeps a computed window a superset of the exact answer: far
 # above double rounding, far below one cell.  Every cell is tested exactly afterwards.
 TILE_SLACK = 1e-6
 CELL_SLACK = 1e-3
 
+# Tile cells per source cell and axis above which one block makes too much work for one task.
+OVERSAMPLED = 16
+
 AFFINE = [f"g{i}" for i in range(6)]
 
 
@@ -64,12 +70,14 @@ def mosaic(
         raise ValueError(f"unknown method {method!r}")
     if window not in (None, "clip", "abs") or (window and method == "inverse"):
         raise ValueError(f"unknown window {window!r} for method {method!r}")
+    zooms = check_zooms(zooms)
     stats = scene_stats(scenes)
     if bands is not None:
         blocks = blocks.filter(F.col("band").isin(*bands))
     placed = georeference(blocks, scenes, stats, broadcast_rows)
     forward = method == "forward"
-    tiles = _block_tiles(placed, zooms, forward)
+    oversampled = stats.coarsest > OVERSAMPLED * RESOLUTIONS[max(zooms)]
+    tiles = _block_tiles(placed, zooms, forward, oversampled)
     if forward:
         cells = _forward_cells(tiles, window, compat)
     else:
@@ -77,8 +85,15 @@ def mosaic(
     return _last_write(cells, stats, forward, bands)
 
 
-def _block_tiles(blocks: DataFrame, zooms: str | Iterable[int], forward: bool) -> DataFrame:
-    """Fan blocks out to the tiles their footprint can reach."""
+def _block_tiles(
+    blocks: DataFrame, zooms: Sequence[int], forward: bool, oversampled: bool
+) -> DataFrame:
+    """Fan blocks out to the tiles their footprint can reach.
+
+    When cells are far coarser than the finest zoom, one block covers many tiles and its fan-out
+    would be one task's work; its (block, tile column) copies are then spread first, which moves
+    about a hundredth of what they grow into.
+    """
     df = blocks.withColumns({
         "px0": F.col("block_col") * F.col("bw"), "py0": F.col("block_row") * F.col("bh"),
     })
@@ -105,8 +120,12 @@ def _block_tiles(blocks: DataFrame, zooms: str | Iterable[int], forward: bool) -
     reach = F.col("res") if forward else F.lit(0.0)
     # A higher-order expression is not code-generated, which ends the block-level stage here on
     # purpose: block code and the cell loops become separate methods, small enough for the JIT.
-    df = df.select("*", F.inline(reached_tiles(
-        F.col("west"), F.col("east") + reach, F.col("south") - reach, F.col("north"), TILE_SLACK)))
+    df = df.withColumn("tile_column", F.explode(
+        reached_columns(F.col("west"), F.col("east") + reach, TILE_SLACK)))
+    if oversampled:
+        df = spread(df, "scene_id", "band", "block_row", "block_col", "z", "tile_column")
+    df = df.withColumn("grid_row", F.explode(
+        reached_rows(F.col("south") - reach, F.col("north"), TILE_SLACK)))
     return df.withColumns({"tile_minx": tile_west(F.col("tile_column")),
                            "tile_maxy": tile_north(F.col("grid_row"))})
 

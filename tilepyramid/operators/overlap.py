@@ -51,27 +51,27 @@ def tile_south(i: Column) -> Column:
     return tile_north(i) + F.lit(TILE) * (-F.col("res"))
 
 
-def reached_tiles(
-    west: Column, east: Column, south: Column, north: Column, slack: float
-) -> Column:
-    """``ARRAY<STRUCT<tile_column, grid_row>>`` of the tiles that the box reaches and that touch
-    the row's scene extent, for the row's zoom level (``res, n_cols, n_rows``).
-
-    The box gives the span by division, widened by ``slack`` tiles; the inclusive test against
-    the scene is then made exactly, tile by tile.
+def reached_columns(west: Column, east: Column, slack: float) -> Column:
+    """Array of the tile columns that [west, east] reaches and that touch the row's scene, for
+    the row's zoom level (``res, n_cols``).
+
+    Division gives the span, widened by ``slack`` tiles; the inclusive test against the scene is
+    then made exactly, column by column.
     """
-    side = F.col("res") * TILE
-    x0, y0 = F.lit(WORLD_MIN_X), F.lit(WORLD_MAX_Y)
-    columns = F.filter(
+    side, x0 = F.col("res") * TILE, F.lit(WORLD_MIN_X)
+    return F.filter(
         _span((west - x0) / side - slack, (east - x0) / side + slack, F.col("n_cols")),
         lambda j: overlaps_x(
             F.col("scene_minx"), F.col("scene_maxx"), tile_west(j), tile_east(j)))
-    rows = F.filter(
+
+
+def reached_rows(south: Column, north: Column, slack: float) -> Column:
+    """Array of the top-down grid rows that [south, north] reaches and that touch the scene."""
+    side, y0 = F.col("res") * TILE, F.lit(WORLD_MAX_Y)
+    return F.filter(
         _span((y0 - north) / side - slack, (y0 - south) / side + slack, F.col("n_rows")),
         lambda i: overlaps_x(
             F.col("scene_miny"), F.col("scene_maxy"), tile_south(i), tile_north(i)))
-    return F.flatten(F.transform(columns, lambda j: F.transform(
-        rows, lambda i: F.struct(j.alias("tile_column"), i.alias("grid_row")))))
 
 
 def _span(first: Column, last: Column, n: Column) -> Column:
@@ -84,17 +84,31 @@ def _span(first: Column, last: Column, n: Column) -> Column:
 def scene_tile_pairs(
     scenes: DataFrame, zooms: str | Iterable[int], compat: bool = True
 ) -> DataFrame:
-    """One row per (tile, scene) whose extents touch: z, x, y, grid_row, scene_id, seq, bands."""
+    """One row per (tile, scene) whose extents touch: z, x, y, grid_row, scene_id, seq, bands.
+
+    Between columns and rows the few narrow (scene, column) rows are shuffled, so that a scene
+    covering the world at a high zoom is not fanned out by one task.
+    """
     df = scene_footprints(scenes).select("*", F.inline(zoom_levels(zooms)))
-    df = df.select("*", F.inline(reached_tiles(
-        F.col("scene_minx"), F.col("scene_maxx"), F.col("scene_miny"), F.col("scene_maxy"), 1.0)))
+    df = df.select(
+        "scene_id", "seq", "bands", "z", "res", "n_rows", "scene_miny", "scene_maxy",
+        F.explode(reached_columns(F.col("scene_minx"), F.col("scene_maxx"), 1.0)).alias("x"))
+    df = spread(df, "scene_id", "z", "x").withColumn("grid_row", F.explode(
+        reached_rows(F.col("scene_miny"), F.col("scene_maxy"), 1.0)))
     return df.select(
-        "z", F.col("tile_column").alias("x"),
-        tile_row(F.col("z"), F.col("grid_row"), compat).alias("y"),
+        "z", "x", tile_row(F.col("z"), F.col("grid_row"), compat).alias("y"),
         "grid_row", "scene_id", "seq", "bands",
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions ahead of a fan-out.
+
+    The explicit number keeps adaptive execution from merging partitions that are small now.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scenes_per_tile(pairs: DataFrame) -> DataFrame:
     """Count, first and last scene of each tile in ``seq`` order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilepyramid.constants import CLIP_HIGH, CLIP_LOW, TILE_CELLS
-from tilepyramid.operators.georeference import BROADCAST_ROWS, join_by_scene, scene_stats
+from tilepyramid.operators.georeference import BROADCAST_ROWS, join_by_scene
 from tilepyramid.functions.cellvalue import sample
 
 
@@ -59,7 +59,7 @@ def tile_entries(
     """
     bias = 0 if compat else 32768
     entry = F.shiftleft(F.col("value") - bias, 16).bitwiseOR(F.col("cell"))
-    rows = cells.select("tile_id", "band", "value", entry.alias("entry"))
+    rows = cells.select("tile_id", "band", entry.alias("entry"))
     if touched is not None:
         rows = rows.unionByName(touched.select("tile_id", "band"), allowMissingColumns=True)
     df = (
@@ -68,7 +68,8 @@ def tile_entries(
         .groupBy("tile_id", "band")
         .agg(
             F.sort_array(F.collect_list("entry")).alias("entries"),
-            F.count_if(F.col("value") < 0).cast("int").alias("n_negative"),
+            # Only biased entries are negative without a negative value.
+            F.count_if(F.lit(compat) & (F.col("entry") < 0)).cast("int").alias("n_negative"),
             F.count("entry").cast("int").alias("n_filled"),
         )
     )
@@ -120,16 +121,15 @@ def stretch_scenes(
 
     Samples stay unsigned here.  Padding cells of edge blocks are left out.
     """
-    stats = scene_stats(scenes)
+    n_scenes, band_rows = scenes.agg(F.count(F.lit(1)), F.sum("bands")).first()
     size = scenes.select("scene_id", "width", "height", "bands")
-    placed = join_by_scene(blocks, size, ["scene_id"], stats.rows, broadcast_rows)
+    placed = join_by_scene(blocks, size, ["scene_id"], n_scenes, broadcast_rows)
     cells = placed.select(
         "scene_id", "band", "width", "height", "block_row", "block_col", "bw", "bh",
         F.posexplode("cells").alias("pos", "value"))
     inside = _inside(cells)
     cuts = scene_cuts(inside.filter(F.col("value").isNotNull()), ["scene_id", "band"])
-    band_rows = scenes.agg(F.sum("bands")).first()[0] or 0
-    stretched = join_by_scene(placed, cuts, ["scene_id", "band"], band_rows, broadcast_rows)
+    stretched = join_by_scene(placed, cuts, ["scene_id", "band"], band_rows or 0, broadcast_rows)
     out = _inside(stretched.select(
         "scene_id", "band", "width", "height", "block_row", "block_col", "bw", "bh", "lo", "hi",
         F.posexplode("cells").alias("pos", "value")))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilepyramid.constants import RESOLUTIONS, TILE, WORLD_MAX_X, WORLD_MAX_Y
-from tilepyramid.operators.grid import world_grid
+from tilepyramid.operators.grid import world_dims, world_grid
 from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.zooms import check_zooms
 
@@ -50,11 +50,9 @@ def dense_tiles(
     tiles a second time.
     """
     levels = check_zooms(zooms)
-    estimate = sum(
-        (2 * WORLD_MAX_X / (RESOLUTIONS[z] * TILE) + 1)
-        * (2 * WORLD_MAX_Y / (RESOLUTIONS[z] * TILE) + 1) for z in levels)
-    if estimate > max_tiles:
-        raise ValueError(f"a dense grid of about {estimate:.0f} tiles exceeds {max_tiles}")
+    n_tiles = sum(math.prod(world_dims(z)) for z in levels)
+    if n_tiles > max_tiles:
+        raise ValueError(f"a dense grid of {n_tiles} tiles exceeds {max_tiles}")
     grid = world_grid(tiles.sparkSession, levels, compat).select(
         F.col("z").alias("zoom_level"), "tile_column", "tile_row")
     keys = (tiles if covered is None else covered).select(*TILE_KEY)
