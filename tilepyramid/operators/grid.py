@@ -21,7 +21,6 @@ from tilepyramid.constants import (
     WORLD_MIN_Y,
 )
 from tilepyramid.functions.affine import map_to_pixel, pixel_to_map
-from tilepyramid.functions.extent import raster_extent
 from tilepyramid.functions.tilekey import resolution, tile_path, tile_row
 from tilepyramid.sources.zooms import check_zooms
 
@@ -79,6 +78,11 @@ def grid_dims(extents: DataFrame, width: int = TILE, height: int = TILE) -> Data
     })
 
 
+def _indexes(n: Column) -> Column:
+    """``0..n-1`` as an array; NULL if there are none."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1))
+
+
 def subdivide(
     extents: DataFrame, width: int = TILE, height: int = TILE, compat: bool = True,
     root: str | None = None, spread: bool = False,
@@ -90,24 +94,24 @@ def subdivide(
     is added.  ``spread`` shuffles the (few) columns before the rows are fanned out, so that one
     huge extent is not built by one task.
     """
-    df = grid_dims(extents, width, height).filter((F.col("n_cols") > 0) & (F.col("n_rows") > 0))
-    df = df.withColumn("tile_column", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)))
+    df = grid_dims(extents, width, height)
+    df = df.withColumn("tile_column", F.explode(_indexes(F.col("n_cols"))))
     if spread:
         # The explicit number keeps adaptive execution from merging the still small partitions.
         parts = int(extents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         df = df.repartition(parts, "z", "tile_column")
-    df = df.withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)))
+    df = df.withColumn("grid_row", F.explode(_indexes(F.col("n_rows"))))
     j, i, res = F.col("tile_column"), F.col("grid_row"), F.col("res")
     gx, gy = pixel_to_map(j * width, i * height, grid_affine(F.col("minx"), F.col("maxy"), res))
-    df = df.withColumns({"gt0": gx, "gt3": gy})
-    box = raster_extent(
-        F.lit(height), F.lit(width), grid_affine(F.col("gt0"), F.col("gt3"), res)
-    )
-    df = df.withColumn("box", box).withColumn("tile_row", tile_row(F.col("z"), i, compat))
-    df = df.withColumns({c: F.col("box")[c] for c in ("minx", "maxx", "miny", "maxy")})
+    df = df.withColumns({"gt0": gx, "gt3": gy, "tile_row": tile_row(F.col("z"), i, compat)})
+    # A north-up tile's extent: its corner plus its size.
+    df = df.withColumns({
+        "minx": F.col("gt0"), "maxx": F.col("gt0") + F.lit(width) * res,
+        "miny": F.col("gt3") + F.lit(height) * (-res), "maxy": F.col("gt3"),
+    })
     if root is not None:
         df = df.withColumn("path", tile_path(F.lit(root), F.col("z"), j, F.col("tile_row")))
-    return df.drop("box", "total_cols", "total_rows", "n_cols", "n_rows")
+    return df.drop("total_cols", "total_rows", "n_cols", "n_rows")
 
 
 def world_grid(
