@@ -22,7 +22,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt3 = F.when(geo, 70 - (k * 23) % 110 + F.lit(0.0731)).otherwise(
         15000000 - (k * 7654321) % 28000000 + F.lit(0.41))
     zero = F.lit(0.0)
-    # Every supplier key is far below 1009^2, so the last digit group keeps seq unique.
+    # The quotient keeps seq unique beyond 1009 suppliers.
     seq = (k * 31) % 1009 + F.floor(k / 1009) * 1009
     return table(spark, sf_dir, "supplier").select(
         k.alias("scene_id"),
