@@ -47,18 +47,21 @@ def key_digits(rows: int, rows_per_part: int = 50_000) -> int:
 
 
 def ranked(df: DataFrame, groups: list[str], key: str, ties: list[Column], rank: str,
-           rows: int) -> DataFrame:
+           rows: int, part_by: Column | None = None) -> DataFrame:
     """``df`` with the 0-based rank of each row within its group, by ``key`` and then ``ties``.
 
     ``key`` is a hex string (:func:`id_key`). Rows are numbered within (group, first digits of
     the key), and the counts of the parts before are added, so a group that holds a third of all
-    rows is the work of many tasks. ``groups`` must not be null. ``rows`` is the number of rows;
-    it sets the number of digits only, never the result. Rows equal in key and ties get the ranks
-    in any order.
+    rows is the work of many tasks. ``part_by`` gives other parts: not null, and never falling
+    as the key rises. ``groups`` must not be null. ``rows`` is the number of rows; it sets the
+    number of digits only, never the result. Rows equal in key and ties get the ranks in any
+    order.
     """
-    digits = key_digits(rows)
     part = "_part"
-    df = df.withColumn(part, F.substring(key, 1, digits) if digits else F.lit(""))
+    if part_by is None:
+        digits = key_digits(rows)
+        part_by = F.substring(key, 1, digits) if digits else F.lit("")
+    df = df.withColumn(part, part_by)
     own = Window.partitionBy(*groups, part)
     earlier = Window.partitionBy(*groups).orderBy(part).rowsBetween(
         Window.unboundedPreceding, -1)

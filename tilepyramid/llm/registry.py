@@ -6,20 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilepyramid.llm import language_id, licenses, secrets
+from tilepyramid.llm import language_id, licenses, mixing, secret_scan, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
-        "op6_secrets": secrets.op6_secrets,
+        "op1_mixing": mixing.op1_mixing,
+        "op6_secrets": secret_scan.op6_secrets,
         "op7_language_id": language_id.op7_language_id,
+        "op8_sharding": sharding.op8_sharding,
         "op10_licenses": licenses.op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": mixing.OP1_SQL,
         "op10_licenses": licenses.OP10_SQL,
     }
