@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilepyramid.llm import language_id, licenses, mixing, secret_scan, sharding
+from tilepyramid.llm import decontamination, language_id, licenses, mixing, secret_scan, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op4_decontamination": decontamination.op4_decontamination,
         "op6_secrets": secret_scan.op6_secrets,
         "op7_language_id": language_id.op7_language_id,
         "op8_sharding": sharding.op8_sharding,
@@ -24,5 +25,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op4_decontamination": decontamination.OP4_SQL,
         "op10_licenses": licenses.OP10_SQL,
     }
