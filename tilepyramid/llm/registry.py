@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilepyramid.llm import decontamination, language_id, licenses, mixing, secret_scan, sharding
+from tilepyramid.llm import decontamination, language_id, licenses, mixing, secret_scan, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op6_secrets": secret_scan.op6_secrets,
         "op7_language_id": language_id.op7_language_id,
         "op8_sharding": sharding.op8_sharding,
+        "op9_warc": warc.op9_warc,
         "op10_licenses": licenses.op10_licenses,
     }
 
@@ -26,5 +27,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
         "op4_decontamination": decontamination.OP4_SQL,
+        "op9_warc": warc.OP9_SQL,
         "op10_licenses": licenses.OP10_SQL,
     }
