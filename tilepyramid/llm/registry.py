@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilepyramid.llm import decontamination, embedding_dedup, language_id, licenses, mixing, secret_scan, sharding, warc
+from tilepyramid.llm import decontamination, embedding_dedup, language_id, licenses, mixing, ngram_join, secret_scan, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
         "op6_secrets": secret_scan.op6_secrets,
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.OP1_SQL,
+        "op2_ngram_join": ngram_join.OP2_SQL,
         "op3_embedding_dedup": embedding_dedup.OP3_SQL,
         "op4_decontamination": decontamination.OP4_SQL,
         "op9_warc": warc.OP9_SQL,
