@@ -7,10 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tilepyramid.llm.common import read, shared_dir
+from tilepyramid.llm.decontamination import clean
 from tilepyramid.llm.language_id import known_language
+from tilepyramid.llm.mixing import mixed
+from tilepyramid.llm.ngram_join import one_of_each
+from tilepyramid.llm.sharding import sharded
 
 STAGES = [
     ("language_id", known_language),
+    ("ngram_join", one_of_each),
+    ("decontamination", clean),
+    ("mixing", mixed),
+    ("sharding", sharded),
 ]
 
 #: No SQL: language ID fits a classifier. tests/llm holds each stage against brute force.

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilepyramid.llm import decontamination, embedding_dedup, language_id, licenses, mixing, ngram_join, secret_scan, sharding, warc
+from tilepyramid.llm import (
+    cotraining,
+    decontamination,
+    embedding_dedup,
+    language_id,
+    licenses,
+    mixing,
+    ngram_join,
+    secret_scan,
+    sharding,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op2_ngram_join": ngram_join.op2_ngram_join,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op4_decontamination": decontamination.op4_decontamination,
+        "op5_quality": cotraining.op5_quality,
         "op6_secrets": secret_scan.op6_secrets,
         "op7_language_id": language_id.op7_language_id,
         "op8_sharding": sharding.op8_sharding,
