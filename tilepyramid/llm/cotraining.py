@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
     known = slim.join(some, slim["doc_id"] == F.col("_id")).select("doc_id", *COLUMNS, "y").collect()
     total = docs.select("doc_id").count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    pool = (slim.filter(draw < max_pool / total).limit(2 * max_pool)
+    pool = (slim.filter(draw < max_pool / max(total, 1)).limit(2 * max_pool)
             .join(labels.select("_id"), slim["doc_id"] == F.col("_id"), "left_anti").collect())
     known.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     pool.sort(key=lambda r: str(r["doc_id"]))

@@ -40,6 +40,7 @@ SLACK = 0.1
 MAX_FIT = 8_000
 MAX_PROBES = 256
 CHUNK = 2_048
+COUNT, TIE = 0, 1
 
 
 @dataclass(frozen=True)
@@ -177,7 +178,7 @@ def _forest(hits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
 
 
 def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
-    """(kind, a, b): kind 'n' tells b links more of vector a, kind 'e' a link of the forest.
+    """(kind, a, b): kind COUNT tells b links more of vector a, kind TIE a link of the forest.
 
     A pair is met where one visits the other's cell. If each visits the other's, each counts its
     own side; if only one does, it counts both.
@@ -203,11 +204,14 @@ def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
         dealt(visitors, "v_chunks", "r_chunks", 1))
     shipped = spark.sparkContext.broadcast(grid)
 
+    def told(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b})
+
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         grid = shipped.value
         res, vis = frame[frame["side"] == 0], frame[frame["side"] == 1]
         if res.empty or vis.empty:
-            return pd.DataFrame({"kind": [], "a": [], "b": []})
+            return told(COUNT, np.zeros(0, np.int64), np.zeros(0, np.int64))
         y, y_id = _matrix(res["unit"]), res["vec_id"].to_numpy()
         y_copies, y_edge = res["copies"].to_numpy(), res["edge"].to_numpy()
         y_own2 = res["own2"].to_numpy()
@@ -226,15 +230,15 @@ def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
             met = (back1[:, part["own1"]] + back2[:, part["own2"]] <= y_edge[:, None]).T
             y_more += part["copies"].to_numpy() @ (hits & ~met)
             mine = n > 0
-            out.append(pd.DataFrame({"kind": "n", "a": x_id[mine], "b": n[mine]}))
+            out.append(told(COUNT, x_id[mine], n[mine]))
             tied = _forest(hits, x_id, y_id)
-            out.append(pd.DataFrame({"kind": "e", "a": tied[:, 0], "b": tied[:, 1]}))
+            out.append(told(TIE, tied[:, 0], tied[:, 1]))
         more = y_more > 0
-        out.append(pd.DataFrame({"kind": "n", "a": y_id[more], "b": y_more[more]}))
+        out.append(told(COUNT, y_id[more], y_more[more]))
         return pd.concat(out)
 
     return rows.groupBy("code", "r_chunks", "v_chunks").applyInPandas(
-        compare, "kind string, a long, b long")
+        compare, "kind int, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -267,8 +271,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     count = copies.count()
     grid = fit(unit, count, threshold)
     links = stored(near_links(stored(cells(unit, grid), "cells"), grid, threshold), "vector-links")
-    counts = links.filter("kind = 'n'").groupBy("a").agg(F.sum("b").alias("found"))
-    comps = components(links.filter("kind = 'e'"))
+    counts = links.filter(F.col("kind") == COUNT).groupBy("a").agg(F.sum("b").alias("found"))
+    comps = components(links.filter(F.col("kind") == TIE))
     told = (copies.join(counts, F.col("first_id") == F.col("a"), "left")
             .join(comps, F.col("first_id") == F.col("id"), "left")
             .select("v", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"),

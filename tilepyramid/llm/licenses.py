@@ -141,7 +141,8 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "text") ->
         for batch in batches:
             for value in batch[text]:
                 counts.update(filter(wanted.__contains__, WORD.findall(_lower(value))))
-        yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"word": [w.decode() for w in counts], "n": list(counts.values())})
 
     rows = (docs.select(text).mapInPandas(run, "word string, n long")
             .groupBy("word").agg(F.sum("n")).collect())
