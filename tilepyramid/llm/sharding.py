@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepyramid.llm.common import id_key, ranked, read
+from tilepyramid.llm.common import id_key, ranked, read, stored
 
 SHARDS = 24
 LARGE = 32
@@ -38,11 +38,10 @@ ADDED = ("size", "tokens", "text_crc32", "shard", "slot")
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with size, tokens, CRC-32 and the key of the group of equal texts."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    words = F.size(F.split(F.trim(F.regexp_replace(F.col(text), r"\s+", " ")), " "))
-    empty = F.trim(F.regexp_replace(F.col(text), r"\s+", " ")) == ""
+    words = F.size(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""))
     return docs.withColumns({
         "size": (F.octet_length(raw) + OVERHEAD).cast("long"),
-        "tokens": F.when(F.col(text).isNull() | empty, 0).otherwise(words).cast("long"),
+        "tokens": F.when(F.col(text).isNull(), 0).otherwise(words).cast("long"),
         "text_crc32": F.crc32(raw),
         "_group": F.coalesce(F.unhex(F.sha2(F.col(text).cast("binary"), 256)),
                              F.lit(b"").cast("binary")),
@@ -65,44 +64,52 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id",
-           order: tuple[Column, Column] | None = None) -> DataFrame:
-    """``docs`` with size, tokens, text_crc32, shard and slot.
+           order: tuple[Column, Column] | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with size, tokens, text_crc32, shard and slot; without the text if so asked.
 
     Slots count from 0 in each shard, in a mixed order of the ids, or by ``order``: a part and
-    the key within it, as :func:`ranked` takes them.
+    the key within it, as :func:`ranked` takes them. Texts are measured in one scan, which is
+    stored without them; with the text asked for, a second scan carries it to its shard.
     """
     part, key = order or (None, id_key(F.col(doc_id)))
     kept = [c for c in docs.columns if c not in ADDED]
     rows = measured(docs.select(*kept, key.alias("_key"), *(
         [part.alias("_by")] if order else [])), text)
-    groups = rows.groupBy("_group").agg(
+    lean = stored(rows.drop(*[c for c in kept if c != doc_id and (keep_text or c == text)]),
+                  "measured")
+    groups = stored(lean.groupBy("_group").agg(
         F.sum("size").alias("size"), F.sum("tokens").alias("tokens"),
-        F.count(F.lit(1)).alias("rows"))
-    totals = rows.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()
+        F.count(F.lit(1)).alias("rows")), "text-groups")
+    totals = groups.agg(*[F.sum(d) for d in DIMENSIONS]).first()
     total = [float(max(x or 0, 1)) for x in totals]
     share = F.greatest(*[F.col(d) / F.lit(t) for d, t in zip(DIMENSIONS, total, strict=True)])
     large = (groups.filter(share >= 1.0 / (LARGE * shards))
              .select("_group", F.ceil(share * 2 * shards).cast("int").alias("_pieces")))
     known = docs.sparkSession.createDataFrame(
         large.collect(), "_group binary, _pieces int")  # 3 * LARGE * shards rows at most
-    item = F.when(F.col("_pieces").isNull(), F.concat(F.lit("b"), F.pmod(
-        F.xxhash64("_group"), F.lit(BUNDLES)))).otherwise(F.concat(
-            F.hex("_group"), F.lit("/"),
-            F.pmod(F.xxhash64(F.col(doc_id), F.lit("piece")), F.col("_pieces"))))
-    rows = rows.join(F.broadcast(known), "_group", "left").withColumn("_item", item)
-    items = (rows.groupBy("_item").agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1)))
+
+    def with_item(df: DataFrame) -> DataFrame:
+        item = F.when(F.col("_pieces").isNull(), F.concat(F.lit("b"), F.pmod(
+            F.xxhash64("_group"), F.lit(BUNDLES)))).otherwise(F.concat(
+                F.hex("_group"), F.lit("/"),
+                F.pmod(F.xxhash64(F.col(doc_id), F.lit("piece")), F.col("_pieces"))))
+        return df.join(F.broadcast(known), "_group", "left").withColumn("_item", item)
+
+    items = (with_item(lean).groupBy("_item")
+             .agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1)))
              .orderBy("_item").collect())  # BUNDLES and the pieces of the large groups at most
     vectors = np.array([[r[k + 1] / total[k] for k in range(3)] for r in items]).reshape(-1, 3)
     where = [(r[0], int(s)) for r, s in zip(items, pack(vectors, shards), strict=True)]
     target = docs.sparkSession.createDataFrame(where, "_item string, shard int")
-    placed = rows.join(F.broadcast(target), "_item").drop("_group", "_pieces", "_item")
+    placed = (with_item(rows if keep_text else lean).join(F.broadcast(target), "_item")
+              .drop("_group", "_pieces", "_item"))
     return ranked(placed, ["shard"], "_key", [F.col(doc_id), F.col("text_crc32")], "slot",
-                  int(totals[2]), F.col("_by") if order else None).drop("_key", "_by")
+                  int(totals[2] or 0), F.col("_by") if order else None).drop("_key", "_by")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return assign(docs).select(
+    return assign(docs, keep_text=False).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
 
