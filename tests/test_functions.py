@@ -86,7 +86,7 @@ def test_extent_intersects(spark, other, hit):
 
 @pytest.mark.parametrize("path,key", [
     ("/o/4/3/16.png", (4, 3, 16)), ("o\\4\\3\\16.png", (4, 3, 16)),
-    ("/a/b/c/d/11/7/-1.png", (11, 7, -1)), ("/o/4/3/16", None), ("3/16.png", None),
+    ("/a/b/c/d/11/7/-1.png", (11, 7, -1)), ("/o/4/3/16", (4, 3, 16)), ("3/16.png", None), ("/o/4/3/16.", (4, 3, 16)), ("/o/4/3/x", None),
     ("/o/99999999999/3/1.png", None)])
 def test_tile_key(spark, path, key):
     got = one(spark, tilekey.tile_key(F.lit(path)).alias("k")).k

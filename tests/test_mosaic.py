@@ -6,7 +6,7 @@ from tests.scenes import cells_of, expected, sample_scenes, scene, tables
 from tilepyramid import mosaic, tile_cells, unpack
 from tilepyramid.constants import RESOLUTIONS, WORLD_MAX_Y, WORLD_MIN_X
 from tilepyramid.operators import mosaic as mosaic_module
-from tilepyramid.operators.georeference import SceneStats, georeference
+from tilepyramid.operators.georeference import GEOREFERENCE, SceneStats, georeference
 from tilepyramid.sinks.tables import write_blocks
 from tilepyramid.sources.rasters import read_blocks
 
@@ -92,8 +92,11 @@ def test_salted_join_and_stored_georeference(spark, source, inverse_model, tmp_p
     assert cells_of(unpack(salted)) == want
     write_blocks(source[1], source[0], str(tmp_path / "blocks"))
     stored = read_blocks(spark, str(tmp_path / "blocks"))
-    assert georeference(stored, source[0]) is stored
     assert cells_of(tile_cells(source[0], stored, [2])) == want
+    # the given scenes say which blocks take part and in which order
+    few = source[0].filter("epsg = 4326").withColumn("seq", -F.col("seq"))
+    assert cells_of(tile_cells(few, stored, [2])) == cells_of(tile_cells(few, source[1], [2]))
+    assert set(GEOREFERENCE) <= set(georeference(stored, few).columns)
 
 
 @pytest.mark.parametrize("shift", [2 ** 40, 2 ** 59, -100])
@@ -105,14 +108,29 @@ def test_order_tiers_agree(source, shift, method):
         tile_cells(*source, [2], method=method))
 
 
+@pytest.mark.parametrize("method", ["forward", "inverse"])
+def test_ties_of_seq_go_to_the_larger_scene_id_in_every_tier(source, method):
+    got = [cells_of(tile_cells(source[0].withColumn("seq", F.lit(seq)), source[1], [2], method=method))
+           for seq in (7, 2 ** 50, -3)]
+    by_id = source[0].withColumn("seq", F.col("scene_id"))
+    assert got == [cells_of(tile_cells(by_id, source[1], [2], method=method))] * 3
+
+
+def test_values_beyond_16_bits_fail_and_do_not_wrap(spark):
+    s = scene(1, 0, 3857, 2, 2, [1.5, 9783.939621 * 40, 0, -1.5, 0, -9783.939621 * 40],
+              values=lambda: 200000)
+    with pytest.raises(Exception, match="does not fit 16 bits"):
+        tile_cells(*tables(spark, [s], block=2), [4], compat=False).collect()
+
+
 def test_spreading_coarse_blocks_changes_nothing(source, inverse_model, monkeypatch):
     monkeypatch.setattr(mosaic_module, "OVERSAMPLED", 0)
     assert cells_of(tile_cells(*source, [2])) == expected(inverse_model[True], 2)
 
 
 def test_order_tiers_are_chosen_by_bounds():
-    def kind(max_seq, max_cells, min_seq=0, place=True):
-        stats = SceneStats(1, min_seq, max_seq, max_cells)
+    def kind(max_seq, max_cells, min_seq=0, place=True, unique=True):
+        stats = SceneStats(1, min_seq, max_seq, max_cells, unique_seq=unique)
         place = F.col("place") if place else None
         return str(mosaic_module._last_value(stats, place)[0][1])
 
@@ -121,6 +139,7 @@ def test_order_tiers_are_chosen_by_bounds():
     assert "max(write)" in kind(2 ** 40, 2 ** 30)
     assert "max(write)" in kind(10, 10, min_seq=-1)
     assert "max(packed)" in kind(2 ** 45, 2 ** 60, place=False)
+    assert "max(write)" in kind(1000, 4096, unique=False)
 
 
 def test_wrap_of_large_samples(spark):

@@ -12,6 +12,7 @@ from tilepyramid.sinks.tables import create_tiles_table, write_tiles
 from tilepyramid.sources.rasters import (
     block_cells,
     list_scenes,
+    listed_scenes,
     read_blocks,
     read_scenes,
     with_path_seq,
@@ -102,6 +103,49 @@ def test_shards_round_trip(spark, tiles, tmp_path):
     assert keyed(read_shards(spark, str(tmp_path / "shards"))) == keyed(tiles)
 
 
+def banded(df):
+    return sorted((r.zoom_level, r.tile_column, r.tile_row, r.band, bytes(r.tile_data))
+                  for r in df.collect())
+
+
+def test_bands_reach_every_sink_that_can_hold_them(spark, tmp_path):
+    scenes, blocks = tables(spark, sample_scenes())
+    tiles = build_pyramid(scenes, blocks, [2], bands=None).cache()
+    assert tiles.count() > tiles.select(*schemas.TILE_KEY).distinct().count()
+    write_tiles(tiles, str(tmp_path / "t"))
+    assert banded(read_tiles(spark, str(tmp_path / "t"))) == banded(tiles)
+    report = export_tile_files(tiles, str(tmp_path / "f")).collect()
+    assert len({r.path for r in report}) == tiles.count()
+    for z, x, y, band, data in banded(tiles):
+        assert (tmp_path / "f" / f"b{band}" / str(z) / str(x) / f"{y}.png").read_bytes() == data
+    with pytest.raises(ValueError, match="bands"):
+        write_shards(tiles, str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="mounted folder"):
+        write_shards(tiles.drop("band"), "s3a://bucket/shards")
+
+
+def test_listing_orders_scenes(spark):
+    scenes = tables(spark, sample_scenes())[0].withColumn(
+        "path", F.concat(F.lit("r/"), F.col("path")))
+    files = with_path_seq(spark.createDataFrame(
+        [("file:/x/r/s/3.tif",), ("file:/x/r/s/1.tif",), ("file:/x/r/s/8.tif",)], "path string"))
+    got = listed_scenes(scenes, files)
+    assert got.columns == scenes.columns
+    assert {(r.scene_id, r.seq) for r in got.collect()} == {(1, 0), (3, 1)}
+
+
+def test_lookup_reads_the_levels_and_range_asked_for(spark, tiles, tmp_path):
+    write_tiles(tiles, str(tmp_path / "t"))
+    requests = spark.createDataFrame([(1, 2, 1, 1), (2, 2, 2, 1)], "req_id bigint, z int, x int, y int")
+    plan = lookup(requests, read_tiles(spark, str(tmp_path / "t")))._jdf.queryExecution().toString()
+    assert "zoom_level#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "= 2)" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    pushed = plan.split("PushedFilters")[1].split("ReadSchema")[0]
+    assert "GreaterThanOrEqual(tile_column,1)" in pushed  # the rest of the text is cut off
+    empty = lookup(requests.limit(0), read_tiles(spark, str(tmp_path / "t")))
+    assert empty.collect() == []
+
+
 def test_tile_files(spark, tiles, tmp_path):
     report = export_tile_files(tiles, str(tmp_path / "out")).collect()
     assert {r.status for r in report} == {"finished"}

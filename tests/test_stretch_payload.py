@@ -105,10 +105,47 @@ def test_dense_pyramid(spark):
     blank = blank_payload("png")
     assert sum(r.tile_data != blank for r in dense) <= len(sparse)
     assert {bytes(r.tile_data) for r in sparse} <= {bytes(r.tile_data) for r in dense}
-    with pytest.raises(ValueError, match="exceeds"):
-        build_pyramid(scenes, blocks, [12], dense=True)
-    with pytest.raises(ValueError, match="one band"):
-        build_pyramid(scenes, blocks, [2], dense=True, bands=None)
+    # of any size: the grid is made by the tasks, and planning does not run it
+    plan = build_pyramid(scenes, blocks, [12], dense=True)._jdf.queryExecution().toString()
+    assert "LeftAnti" in plan
+
+
+def test_dense_pyramid_of_several_bands(spark):
+    scenes, blocks = tables(spark, sample_scenes())
+    options = {"method": "forward", "stretch": False}
+    for bands, held in ((None, [1, 2, 3]), ((2, 3), [2, 3])):
+        sparse = build_pyramid(scenes, blocks, "1-2", bands=bands, **options).collect()
+        dense = build_pyramid(scenes, blocks, "1-2", bands=bands, dense=True, **options).collect()
+        keyed = {(r.zoom_level, r.tile_column, r.tile_row, r.band): bytes(r.tile_data) for r in dense}
+        assert len(keyed) == len(dense) == (6 + 20) * len(held)
+        for r in sparse:
+            assert keyed.pop((r.zoom_level, r.tile_column, r.tile_row, r.band)) == bytes(r.tile_data)
+        assert set(keyed.values()) == {blank_payload("u16")}
+
+
+def test_payload_must_go_with_stretch(spark):
+    scenes, blocks = tables(spark, sample_scenes())
+    for options in ({"stretch": False, "payload": "png"}, {"payload": "u16"}):
+        with pytest.raises(ValueError, match="does not go with"):
+            build_pyramid(scenes, blocks, [2], **options)
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_unfilled_cells_take_the_stretched_zero(spark, compat):
+    # 3 % of the canvas is negative (compat), so the low cut is, and 0 lies between the cuts
+    res, side = RESOLUTIONS[2], 120
+    west, north = WORLD_MIN_X + 256 * res, WORLD_MAX_Y - 256 * res
+    values = iter(range(side * side))
+    s = scene(1, 0, 3857, side, side, [west + 20 * res, res, 0, north - 20 * res, 0, -res],
+              values=lambda: 50000 if next(values) % 7 == 0 else 900)
+    scenes, blocks = tables(spark, [s], block=40)
+    tiles = canvases(cells_of(tile_cells(scenes, blocks, [2], compat=compat)))
+    built = build_pyramid(scenes, blocks, [2], payload="raw", compat=compat).collect()
+    got = {(r.zoom_level, r.tile_column, r.tile_row, 1): list(r.tile_data) for r in built}
+    want = {k: model.clip(v, compat) for k, v in tiles.items()}
+    assert {k: v for k, v in got.items() if k in want} == want
+    if compat:
+        assert any(model.percentile(v, .02) < 0 and 0 < want[k][0] for k, v in tiles.items())
 
 
 def test_multiband_pyramid(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilepyramid.constants import RESOLUTIONS
 
-KEY_PATTERN = r"(-?\d+)[/\\](-?\d+)[/\\](-?\d+)\.[^./\\]*$"
+KEY_PATTERN = r"(-?\d+)[/\\](-?\d+)[/\\](-?\d+)(?:\.[^./\\]*)?$"
 
 
 def resolution(z: Column) -> Column:
@@ -27,7 +27,10 @@ def tile_path(root: Column, z: Column, x: Column, y: Column, ext: str = "png") -
 
 
 def tile_key(path: Column) -> Column:
-    """``STRUCT<z, x, y>`` from the tail of a path with either separator; NULL if it has none."""
+    """``STRUCT<z, x, y>`` from the tail of a path with either separator; NULL if it has none.
+
+    The last part may have an extension.
+    """
     part = [F.regexp_extract(path, KEY_PATTERN, n).try_cast("int") for n in (1, 2, 3)]
     valid = part[0].isNotNull() & part[1].isNotNull() & part[2].isNotNull()
     return F.when(valid, F.struct(part[0].alias("z"), part[1].alias("x"), part[2].alias("y")))

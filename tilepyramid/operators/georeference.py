@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tilepyramid.functions.affine import affine_columns
 from tilepyramid.operators.overlap import FOOTPRINT, scene_footprints
 
-# A georeference row is 14 fixed-width values, under 200 bytes: 2M rows stay under 400 MB.
-BROADCAST_ROWS = 2_000_000
+# A georeference row is 14 fixed-width values, under 200 bytes: 200,000 rows stay under 40 MB.
+BROADCAST_ROWS = 200_000
 # Beyond that, one scene's blocks are spread over this many join keys.
 SALTS = 32
 METRES_PER_DEGREE = 111320.0
@@ -27,18 +27,21 @@ class SceneStats(NamedTuple):
     max_seq: int
     max_cells: int
     coarsest: float = 0.0
+    unique_seq: bool = False
 
 
 def scene_stats(scenes: DataFrame) -> SceneStats:
-    """Row count, ``seq`` range, largest scene and coarsest cell (metres, roughly)."""
+    """Row count, ``seq`` range, largest scene, coarsest cell (metres, roughly) and whether no
+    two scenes share a ``seq``."""
     g = affine_columns("gt")
     side = F.greatest(F.abs(g[1]) + F.abs(g[2]), F.abs(g[4]) + F.abs(g[5]))
     row = scenes.agg(
         F.count(F.lit(1)), F.min("seq"), F.max("seq"),
         F.max(F.col("width").cast("long") * F.col("height")),
         F.max(F.when(F.col("epsg") == 4326, side * METRES_PER_DEGREE).otherwise(side)),
+        F.count_distinct("seq"),
     ).first()
-    return SceneStats(row[0], *[v or 0 for v in row[1:]])
+    return SceneStats(row[0], *[v or 0 for v in row[1:5]], row[5] == row[0])
 
 
 def join_by_scene(
@@ -64,11 +67,13 @@ def georeference(
 ) -> DataFrame:
     """Blocks with their scene's order, size, affine and extent.
 
-    Blocks that already carry these columns (a table written once from this result) pass
-    through unchanged, so repeated builds over a large archive need no join at all.
+    Blocks that already carry these columns (a table written once from this result) keep the
+    geometry they were stored with; the given scenes still say which of them take part and in
+    which order.
     """
-    if set(GEOREFERENCE) <= set(blocks.columns):
-        return blocks
     stats = stats or scene_stats(scenes)
+    if set(GEOREFERENCE) <= set(blocks.columns):
+        return join_by_scene(blocks.drop("seq"), scenes.select("scene_id", "seq"), ["scene_id"],
+                             stats.rows, broadcast_rows)
     side = scene_footprints(scenes).select("scene_id", *GEOREFERENCE)
     return join_by_scene(blocks, side, ["scene_id"], stats.rows, broadcast_rows)

@@ -85,21 +85,20 @@ def _indexes(n: Column) -> Column:
 
 def subdivide(
     extents: DataFrame, width: int = TILE, height: int = TILE, compat: bool = True,
-    root: str | None = None, spread: bool = False,
+    root: str | None = None,
 ) -> DataFrame:
     """Cut each row's extent into tiles of ``width`` x ``height`` cells.
 
     Adds ``tile_column, grid_row, tile_row``, the tile affine's ``gt0, gt3`` and replaces the
     extent columns by the tile's own; edge tiles keep the full size.  With ``root`` a ``path``
-    is added.  ``spread`` shuffles the (few) columns before the rows are fanned out, so that one
-    huge extent is not built by one task.
+    is added.  The (few) columns are shuffled before the rows are fanned out, so that one huge
+    extent is not built by one task.
     """
     df = grid_dims(extents, width, height)
     df = df.withColumn("tile_column", F.explode(_indexes(F.col("n_cols"))))
-    if spread:
-        # The explicit number keeps adaptive execution from merging the still small partitions.
-        parts = int(extents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        df = df.repartition(parts, "z", "tile_column")
+    # The explicit number keeps adaptive execution from merging the still small partitions.
+    parts = int(extents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(parts, "z", "tile_column")
     df = df.withColumn("grid_row", F.explode(_indexes(F.col("n_rows"))))
     j, i, res = F.col("tile_column"), F.col("grid_row"), F.col("res")
     gx, gy = pixel_to_map(j * width, i * height, grid_affine(F.col("minx"), F.col("maxy"), res))
@@ -123,4 +122,4 @@ def world_grid(
         F.lit(WORLD_MIN_X).alias("minx"), F.lit(WORLD_MAX_X).alias("maxx"),
         F.lit(WORLD_MIN_Y).alias("miny"), F.lit(WORLD_MAX_Y).alias("maxy"),
     )
-    return subdivide(world, compat=compat, root=root, spread=True)
+    return subdivide(world, compat=compat, root=root)

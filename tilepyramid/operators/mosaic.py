@@ -74,6 +74,8 @@ def mosaic(
     stats = scene_stats(scenes)
     if bands is not None:
         blocks = blocks.filter(F.col("band").isin(*bands))
+    if not compat:  # compat wraps every sample to 16 bits
+        blocks = sixteen_bit(blocks)
     placed = georeference(blocks, scenes, stats, broadcast_rows)
     forward = method == "forward"
     oversampled = stats.coarsest > OVERSAMPLED * RESOLUTIONS[max(zooms)]
@@ -85,6 +87,16 @@ def mosaic(
     return _last_write(cells, stats, forward, bands)
 
 
+def sixteen_bit(blocks: DataFrame) -> DataFrame:
+    """``blocks``, failing the query at a cell (padding included) that 16 bits cannot hold: a
+    mosaic packs values of that width."""
+    bad = (F.array_max("cells") > 0xFFFF) | (F.array_min("cells") < -0x8000)
+    told = F.raise_error(F.concat(F.lit("a sample of scene "), F.col("scene_id").cast("string"),
+                                  F.lit(" does not fit 16 bits")))
+    return blocks.withColumn("cells", F.when(bad, told.cast(blocks.schema["cells"].dataType))
+                             .otherwise(F.col("cells")))
+
+
 def _block_tiles(
     blocks: DataFrame, zooms: Sequence[int], forward: bool, oversampled: bool
 ) -> DataFrame:
@@ -286,23 +298,25 @@ def _last_write(
 def _last_value(
     stats: SceneStats, place: Column | None
 ) -> tuple[tuple[list[Column], Column], Column]:
-    """(inputs, aggregate) and the decoded value of "last by (seq, place)".
+    """(inputs, aggregate) and the decoded value of "last by (seq, scene_id, place)".
 
-    With the proven bounds of ``stats`` the order and the 16-bit value usually fit one BIGINT,
-    and a plain ``max`` over it stays in hash aggregation with a fixed-width buffer.  If only
-    the order fits, ``max_by`` does the same; otherwise the exact struct order is used.
+    While no two scenes share a ``seq``, it stands for the scene too.  With the proven bounds of
+    ``stats`` the order and the 16-bit value then usually fit one BIGINT, and a plain ``max`` over
+    it stays in hash aggregation with a fixed-width buffer.  If only the order fits, ``max_by``
+    does the same; otherwise the exact struct order is used.  All three are the same total order.
     """
     seq, value = F.col("seq").cast("long"), F.col("value")
     place_bits = stats.max_cells.bit_length() if place is not None else 0
     order_bits = place_bits + stats.max_seq.bit_length()
-    if stats.min_seq >= 0 and order_bits <= 63:
+    if stats.unique_seq and stats.min_seq >= 0 and order_bits <= 63:
         order = seq if place is None else F.shiftleft(seq, place_bits).bitwiseOR(place)
         if order_bits <= 63 - 17:
             packed = F.shiftleft(order, 17).bitwiseOR((value + 32768).cast("long"))
             decoded = F.col("last").bitwiseAND((1 << 17) - 1) - 32768
             return ([packed.alias("packed")], F.max("packed")), decoded
         return ([order.alias("order"), value], F.max_by("value", "order")), F.col("last")
-    parts = [seq.alias("seq"), *([] if place is None else [place.alias("place")]), value]
+    parts = [seq.alias("seq"), F.col("scene_id"),
+             *([] if place is None else [place.alias("place")]), value]
     return ([F.struct(*parts).alias("write")], F.max("write")), F.col("last.value")
 
 

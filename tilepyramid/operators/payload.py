@@ -35,14 +35,14 @@ def _png_encoder(side: int = TILE):
 
 
 def _packer(payload: str, compat: bool):
-    """A pandas UDF (entries, lo, hi) -> payload bytes."""
+    """A pandas UDF (entries, lo, hi, blank) -> payload bytes."""
     side, png, bias, high = TILE, _png_encoder(), 0 if compat else 32768, 0 if compat else 255
 
-    def pack(entries: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+    def pack(entries: pd.Series, lo: pd.Series, hi: pd.Series, blank: pd.Series) -> pd.Series:
         import numpy as np
 
         out = []
-        for packed, low, top in zip(entries, lo, hi):
+        for packed, low, top, unfilled in zip(entries, lo, hi, blank):
             packed = np.asarray(packed, dtype=np.int32)
             cell, value = packed & 0xFFFF, (packed >> 16) + bias
             if payload == "u16":
@@ -50,7 +50,8 @@ def _packer(payload: str, compat: bool):
                 canvas[cell] = value.astype("<i4").astype("<u2")
                 out.append(canvas.tobytes())
                 continue
-            canvas = np.zeros(side * side, dtype=np.uint8)
+            canvas = np.full(side * side, unfilled, dtype=np.uint8)
+            canvas[cell] = 0
             inside = (value >= low) & (value <= top)
             if top != low:
                 canvas[cell[inside]] = ((value[inside] - low) / ((top - low) / 255.0)).astype("i4")
@@ -66,14 +67,18 @@ def pack_entries(entries: DataFrame, payload: str = "png", compat: bool = True)
     """Add ``tile_data`` to the rows of :func:`~tilepyramid.operators.stretch.tile_entries`."""
     if payload not in PAYLOADS:
         raise ValueError(f"unknown payload {payload!r}")
-    packed = _packer(payload, compat)(F.col("entries"), F.col("lo"), F.col("hi"))
+    packed = _packer(payload, compat)(
+        F.col("entries"), F.col("lo"), F.col("hi"), F.col("blank"))
     return entries.withColumn("tile_data", packed).drop("entries")
 
 
 def pack_tiles(
     cells: DataFrame, payload: str = "png", compat: bool = True, touched: DataFrame | None = None
 ) -> DataFrame:
-    """Payload of every (tile, band) of a packed mosaic and, all zero, of ``touched`` tiles."""
+    """Payload of every (tile, band) of a packed mosaic and, all zero, of ``touched`` tiles.
+
+    All 65,536 cells of a tile are stretched: one that no scene filled holds the stretched 0.
+    """
     return pack_entries(tile_entries(cells, compat, touched), payload, compat)
 
 

@@ -50,7 +50,9 @@ def stretch(v: Column, lo: Column, hi: Column, compat: bool = True) -> Column:
 def tile_entries(
     cells: DataFrame, compat: bool = True, touched: DataFrame | None = None
 ) -> DataFrame:
-    """One row per (tile, band): ``entries`` and the zero-inclusive cuts ``lo``, ``hi``.
+    """One row per (tile, band): ``entries``, the zero-inclusive cuts ``lo``, ``hi`` and ``blank``.
+
+    ``blank`` is the stretched 0, which every cell outside ``entries`` takes.
 
     A mosaic holds a cell at most once, so a group is at most 65,536 cells (256 KB) whatever the
     input.  An entry is ``value << 16 | cell`` in one INT; sorting entries sorts values, and the
@@ -87,11 +89,15 @@ def tile_entries(
     return df.withColumns({
         "lo": percentile_at(at, TILE_CELLS, CLIP_LOW),
         "hi": percentile_at(at, TILE_CELLS, CLIP_HIGH),
-    }).select("tile_id", "band", "n_filled", "lo", "hi", "entries")
+    }).select("tile_id", "band", "n_filled", "lo", "hi",
+              stretch(F.lit(0), F.col("lo"), F.col("hi"), compat).alias("blank"), "entries")
 
 
 def stretch_tiles(entries: DataFrame, compat: bool = True) -> DataFrame:
-    """Packed cells with their stretched byte ``b``, from :func:`tile_entries`."""
+    """Packed filled cells with their stretched byte ``b``, from :func:`tile_entries`.
+
+    The cells of a tile that are not among them hold its ``blank``.
+    """
     bias = 0 if compat else 32768
     cells = entries.select("tile_id", "band", "lo", "hi", F.explode("entries").alias("entry"))
     value = F.shiftright("entry", 16) + bias
@@ -121,7 +127,7 @@ def stretch_scenes(
 
     Samples stay unsigned here.  Padding cells of edge blocks are left out.
     """
-    n_scenes, band_rows = scenes.agg(F.count(F.lit(1)), F.sum("bands")).first()
+    n_scenes = scenes.count()
     size = scenes.select("scene_id", "width", "height", "bands")
     placed = join_by_scene(blocks, size, ["scene_id"], n_scenes, broadcast_rows)
     cells = placed.select(
@@ -129,7 +135,9 @@ def stretch_scenes(
         F.posexplode("cells").alias("pos", "value"))
     inside = _inside(cells)
     cuts = scene_cuts(inside.filter(F.col("value").isNotNull()), ["scene_id", "band"])
-    stretched = join_by_scene(placed, cuts, ["scene_id", "band"], band_rows or 0, broadcast_rows)
+    # Blocks may hold bands that no scene row declares: the bound is counted from them.
+    band_rows = blocks.select("scene_id", "band").distinct().limit(broadcast_rows + 1).count()
+    stretched = join_by_scene(placed, cuts, ["scene_id", "band"], band_rows, broadcast_rows)
     out = _inside(stretched.select(
         "scene_id", "band", "width", "height", "block_row", "block_col", "bw", "bh", "lo", "hi",
         F.posexplode("cells").alias("pos", "value")))

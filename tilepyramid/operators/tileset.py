@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilepyramid.operators.grid import world_dims, world_grid
+from tilepyramid.operators.grid import world_grid
 from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.zooms import check_zooms
 
 # A request key is four short values; one million of them is tens of megabytes.
 BROADCAST_KEYS = 1_000_000
-# Dense output lists every tile of a level; above this a level must be asked for knowingly.
-MAX_DENSE_TILES = 5_000_000
 
 
 def lookup(
@@ -25,15 +23,25 @@ def lookup(
 
     ``tile_data`` is NULL when the tile is missing; if a key is stored more than once the
     smallest payload is taken, so the answer does not depend on row order.  The tile table is
-    first cut to the requested keys: with a proven small key set by broadcast, which also prunes
-    ``zoom_level`` partitions at run time.  Duplicate rows shrink map-side.
+    first cut to the levels and to the column and row ranges that are asked for, as literal
+    filters, so that partitions and row groups are skipped; then to the keys, by broadcast if they
+    are counted small.
     """
     named = ["tileset"] if "tileset" in requests.columns else []
     rename = {"zoom_level": "z", "tile_column": "x", "tile_row": "y"}
     stored = tiles.select(*named, *[F.col(c).alias(rename[c]) for c in TILE_KEY], "tile_data")
     on = [*named, "z", "x", "y"]
     keys = requests.select(*on).distinct()
-    if keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
+    n, levels, *ends = keys.agg(
+        F.count(F.lit(1)), F.collect_set("z"),  # the levels of a pyramid: a few
+        F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if levels:
+        stored = stored.filter(
+            F.col("z").isin(*sorted(levels)) & F.col("x").between(*ends[:2])
+            & F.col("y").between(*ends[2:]))
+    else:
+        stored = stored.limit(0)
+    if n <= broadcast_keys:
         keys = F.broadcast(keys)
     hits = stored.join(keys, on, "left_semi").groupBy(*on).agg(
         F.min("tile_data").alias("tile_data"))
@@ -42,20 +50,29 @@ def lookup(
 
 def dense_tiles(
     tiles: DataFrame, zooms: str | Iterable[int], blank: bytes, compat: bool = True,
-    covered: DataFrame | None = None, max_tiles: int = MAX_DENSE_TILES,
+    covered: DataFrame | None = None, bands: Sequence[int] | None = None,
 ) -> DataFrame:
     """``tiles`` plus a blank payload for every uncovered tile of the levels; adds ``is_blank``.
 
+    With ``bands`` the tiles have a ``band`` column and each band of the grid is filled. The grid
+    is generated by the tasks, so its size is bounded by the output alone.
+
     ``covered`` gives the keys of ``tiles`` when they can be had without computing or reading the
     tiles a second time.
     """
-    levels = check_zooms(zooms)
-    n_tiles = sum(math.prod(world_dims(z)) for z in levels)
-    if n_tiles > max_tiles:
-        raise ValueError(f"a dense grid of {n_tiles} tiles exceeds {max_tiles}")
-    grid = world_grid(tiles.sparkSession, levels, compat).select(
+    grid = world_grid(tiles.sparkSession, check_zooms(zooms), compat).select(
         F.col("z").alias("zoom_level"), "tile_column", "tile_row")
-    keys = (tiles if covered is None else covered).select(*TILE_KEY)
-    blanks = grid.join(keys, list(TILE_KEY), "left_anti").select(
-        *TILE_KEY, F.lit(blank).alias("tile_data"), F.lit(True).alias("is_blank"))
-    return tiles.select(*TILE_KEY, "tile_data", F.lit(False).alias("is_blank")).unionByName(blanks)
+    key = [*TILE_KEY]
+    if bands is not None:
+        key.append("band")
+        grid = grid.withColumn("band", F.explode(F.array(*[F.lit(int(b)) for b in bands])))
+    keys = (tiles if covered is None else covered).select(*key)
+    blanks = grid.join(keys, key, "left_anti").select(
+        *key, F.lit(blank).alias("tile_data"), F.lit(True).alias("is_blank"))
+    return tiles.select(*key, "tile_data", F.lit(False).alias("is_blank")).unionByName(blanks)
+
+
+def union_tilesets(parts: Mapping[str, DataFrame]) -> DataFrame | None:
+    """Tile tables under their names in a ``tileset`` column; None if there is none."""
+    named = [tiles.withColumn("tileset", F.lit(name)) for name, tiles in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named) if named else None

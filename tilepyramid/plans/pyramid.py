@@ -29,22 +29,23 @@ def build_pyramid(
     bands: Sequence[int] | None = DEFAULT_BANDS,
     stretch: bool = True,
     dense: bool = False,
-    payload: str = "png",
+    payload: str | None = None,
     compat: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Tiles of the pyramid: zoom_level, tile_column, tile_row, tile_data.
 
     Every tile a scene's extent touches is emitted, even if no cell of it was filled.
-    With ``stretch=False`` the payload is the unstretched 16-bit cells.  With more than one
-    band a ``band`` column is added and each band is a row.  ``dense=True`` (single band) also
-    returns blank tiles for the uncovered part of the grid.
+    The payload is ``"png"`` (default) or ``"raw"``; with ``stretch=False`` it is the unstretched
+    16-bit cells (``"u16"``).  With more than one band a ``band`` column is added and each band is
+    a row.  ``dense=True`` also returns blank tiles for the uncovered part of the grid, of every
+    band asked for, or with ``bands=None`` of every band that a scene has.
     """
     levels = check_zooms(zooms)
     single = bands is not None and len(bands) == 1
-    if dense and not single:
-        raise ValueError("dense output needs exactly one band")
-    kind = payload if stretch else "u16"
+    kind = payload or ("png" if stretch else "u16")
+    if stretch == (kind == "u16"):
+        raise ValueError(f"payload {kind!r} does not go with stretch={stretch}")
     cells = mosaic(blocks, scenes, levels, method, window, bands, compat, broadcast_rows)
     touched = touched_tiles(scenes, levels, bands)
     packed = pack_tiles(cells, kind, compat, touched)
@@ -52,11 +53,19 @@ def build_pyramid(
     tiles = packed.select(*key, *([] if single else ["band"]), "tile_data")
     if dense:
         tiles = dense_tiles(
-            tiles, levels, blank_payload(kind), compat, covered=touched.select(*key)
-        ).drop("is_blank")
+            tiles, levels, blank_payload(kind), compat,
+            covered=touched.select(*key, *([] if single else ["band"])),
+            bands=None if single else _band_list(scenes, bands)).drop("is_blank")
     return tiles
 
 
+def _band_list(scenes: DataFrame, bands: Sequence[int] | None) -> list[int]:
+    """The bands asked for, or 1 to the most that a scene has."""
+    if bands is not None:
+        return list(bands)
+    return list(range(1, (scenes.agg(F.max("bands")).first()[0] or 0) + 1))
+
+
 def touched_tiles(
     scenes: DataFrame, zooms: str | Iterable[int], bands: Sequence[int] | None = DEFAULT_BANDS
 ) -> DataFrame:

@@ -34,6 +34,12 @@ TILES = T.StructType([
     T.StructField("tile_data", T.BinaryType()),
 ])
 
+
+def tiles_schema(band: bool) -> T.StructType:
+    """``TILES``, with a ``band`` column if tiles of several bands are held."""
+    return T.StructType([*TILES.fields, *([T.StructField("band", T.IntegerType())] if band else [])])
+
+
 TILE_KEY = ("zoom_level", "tile_column", "tile_row")
 
 

@@ -21,7 +21,12 @@ def write_shards(tiles: DataFrame, root: str, bits: int = SHARD_BITS) -> DataFra
     Rows are shuffled and sorted by shard, then streamed, so a task holds one Arrow batch and
     one open file.  A shard is built under a private name in ``root`` (a shared folder) and
     renamed when complete: a lost executor leaves no half shard, and a retry replaces it whole.
+    The format has no place for bands and needs a mounted folder; other input is refused.
     """
+    if "band" in tiles.columns:
+        raise ValueError("a shard cannot hold bands; write one set of shards for each")
+    if "://" in root:
+        raise ValueError(f"shards need a mounted folder that all executors share, not {root}")
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
         import sqlite3

@@ -13,11 +13,15 @@ def write_tiles(tiles: DataFrame, path: str | None = None, format: str = "parque
     """Write tiles to Parquet by zoom, or to any sink (``jdbc``, a document store connector).
 
     The Parquet form overwrites just the zooms it holds, so a repeated run does not duplicate
-    rows.  Other sinks append in batches, unless ``mode`` says otherwise.
+    rows; neighbouring tiles are stored together, so a lookup can skip row groups.  A ``band``
+    column is kept.  Other sinks append in batches, unless ``mode`` says otherwise: they repeat
+    rows if a run is repeated.
     """
     if format == "parquet":
+        rows = schemas.conform(tiles, schemas.tiles_schema("band" in tiles.columns))
         (
-            schemas.conform(tiles, schemas.TILES).write.mode(mode or "overwrite")
+            rows.repartitionByRange(*schemas.TILE_KEY).sortWithinPartitions(*schemas.TILE_KEY)
+            .write.mode(mode or "overwrite")
             .option("partitionOverwriteMode", "dynamic").options(**options)
             .partitionBy("zoom_level").parquet(path)
         )
@@ -29,9 +33,10 @@ def write_tiles(tiles: DataFrame, path: str | None = None, format: str = "parque
         writer.save()
 
 
-def create_tiles_table(spark: SparkSession, name: str, path: str) -> None:
+def create_tiles_table(spark: SparkSession, name: str, path: str, band: bool = False) -> None:
     """Register the ``tiles`` table over a Parquet folder."""
-    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.TILES)
+    columns = ", ".join(
+        f"{f.name} {f.dataType.simpleString()}" for f in schemas.tiles_schema(band))
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
         f"PARTITIONED BY (zoom_level) LOCATION '{path}'"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +32,9 @@ def with_path_seq(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not configured:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(configured)
     placed = files.orderBy("path").select(
         "*",
         F.spark_partition_id().alias("part"),
@@ -51,6 +51,18 @@ def with_path_seq(files: DataFrame) -> DataFrame:
     )
 
 
+def listed_scenes(scenes: DataFrame, files: DataFrame) -> DataFrame:
+    """``scenes`` whose ``path`` is in the listing, ordered by it: its ``seq`` replaces theirs.
+
+    Paths match where the listed one ends with the scene's, after a separator; both sides are
+    keyed by the last three parts (``root/<sub>/<file>.tif``), so the join is an equality.
+    """
+    tail = F.substring_index(F.col("path"), "/", -3)
+    ranks = files.select(tail.alias("_tail"), F.col("seq").alias("_seq"))
+    return (scenes.withColumn("_tail", tail).join(ranks, "_tail")
+            .withColumn("seq", F.col("_seq")).select(*scenes.columns))
+
+
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     """Scene metadata table with the enforced schema."""
     return schemas.conform(spark.read.parquet(path), schemas.SCENES)

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilepyramid import schemas
+from tilepyramid.operators.tileset import union_tilesets
 
 
 def read_tiles(spark: SparkSession, path: str | None = None, format: str = "parquet",
                **options) -> DataFrame:
-    """A ``tiles`` table from Parquet or any DataFrame source.
+    """A ``tiles`` table from Parquet or any DataFrame source, with ``band`` if it has one.
 
     For ``format="jdbc"`` pass ``partitionColumn="tile_column"`` with its bounds to read in
     parallel.
     """
     reader = spark.read.format(format).options(**options)
-    return schemas.conform(reader.load(path) if path else reader.load(), schemas.TILES)
+    df = reader.load(path) if path else reader.load()
+    return schemas.conform(df, schemas.tiles_schema("band" in df.columns))
 
 
 def parse_tilesets(conf: Mapping[str, str]) -> dict[str, str]:
@@ -31,11 +32,7 @@ def parse_tilesets(conf: Mapping[str, str]) -> dict[str, str]:
 
 def read_tilesets(spark: SparkSession, paths: Mapping[str, str], **options) -> DataFrame:
     """Union of named tile tables with a ``tileset`` column; blank paths are skipped."""
-    parts = [
-        read_tiles(spark, path, **options).withColumn("tileset", F.lit(name))
-        for name, path in paths.items() if path
-    ]
-    if not parts:
-        empty = spark.createDataFrame([], schemas.TILES)
-        return empty.withColumn("tileset", F.lit(None).cast("string"))
-    return reduce(DataFrame.unionByName, parts)
+    parts = {name: read_tiles(spark, path, **options) for name, path in paths.items() if path}
+    empty = spark.createDataFrame([], schemas.TILES).withColumn(
+        "tileset", F.lit(None).cast("string"))
+    return union_tilesets(parts) if parts else empty

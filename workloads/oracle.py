@@ -137,8 +137,11 @@ cells AS (
 
 
 def forward(low: int, high: int, strict: bool = False, window: bool = False,
-            bands: str = "1") -> str:
-    """CTEs ending in ``cells``: every pixel of every paired scene is projected."""
+            bands: str = "1", ends: str = "") -> str:
+    """CTEs ending in ``cells``: every pixel of every paired scene is projected.
+
+    ``ends="abs"`` takes the absolute value of the window's end indexes.
+    """
     span = ""
     if window:
         lon_w = f"CASE WHEN p.geo THEN {to_lon('p.minx')} ELSE p.minx END"
@@ -147,9 +150,9 @@ def forward(low: int, high: int, strict: bool = False, window: bool = False,
         lat_s = f"CASE WHEN p.geo THEN {to_lat('p.miny')} ELSE p.miny END"
         span = f"""
   WHERE px >= trunc({col_of(f'({lon_w})', f'({lat_n})', 'p.')})
-    AND px < trunc({col_of(f'({lon_e})', f'({lat_s})', 'p.')}) + 1
+    AND px < {ends}(trunc({col_of(f'({lon_e})', f'({lat_s})', 'p.')})) + 1
     AND py >= trunc({row_of(f'({lon_w})', f'({lat_n})', 'p.')})
-    AND py < trunc({row_of(f'({lon_e})', f'({lat_s})', 'p.')}) + 1"""
+    AND py < {ends}(trunc({row_of(f'({lon_e})', f'({lat_s})', 'p.')})) + 1"""
     return f"""{common(low, high)},
 pixels AS (
   SELECT scene_id, band, px, py, {cell_value('scene_id', 'band', 'px', 'py', not strict)} AS value,
@@ -210,9 +213,16 @@ bytes AS (
   SELECT z, i, j, dx, dy, {stretched('value', strict)} AS b FROM cells JOIN cuts USING (z, i, j))"""
 
 
+def canvas_bytes(ctes: str, strict: bool = False) -> str:
+    """The stretched bytes of all 65,536 cells of every tile that has a filled one."""
+    return f"""{cuts(ctes)},
+bytes AS (
+  SELECT z, i, j, {stretched('value', strict)} AS b FROM canvas JOIN cuts USING (z, i, j))"""
+
+
 def payload(ctes: str, columns: str, strict: bool = False) -> str:
     """One row per tile that any scene touches, whether or not a cell was filled."""
-    return f"""{bytes_of(ctes, strict)},
+    return f"""{canvas_bytes(ctes, strict)},
 touched AS (SELECT DISTINCT z, i, j FROM pairs)
 SELECT z, j AS x, {row_name(strict)} AS y, {columns}
 FROM touched LEFT JOIN bytes USING (z, i, j) GROUP BY ALL"""
@@ -361,12 +371,28 @@ FROM touched LEFT JOIN cells USING (z, i, j) GROUP BY ALL""",
         "pyramid_forward_u16_dense": dense(
             cell["forward"],
             "coalesce(sum(value % 256 + value // 256), 0)::BIGINT AS sum_bytes", "cells"),
-        "pyramid_forward_png_dense": dense(bytes_of(cell["forward"]), total),
-        "pyramid_windowed_png_dense": dense(bytes_of(forward(2, 3, window=True)), total),
+        "pyramid_forward_png_dense": dense(canvas_bytes(cell["forward"]), total),
+        "pyramid_windowed_png_dense": dense(canvas_bytes(forward(2, 3, window=True)), total),
+        "pyramid_abs_window_png_dense": dense(
+            canvas_bytes(forward(2, 3, window=True, ends="abs")), total),
+        "mosaic_forward_abs_window": select_cells(forward(2, 3, window=True, ends="abs")),
+        "pyramid_inverse_raw": payload(cell["inverse"], "65536 AS n_bytes, " + total),
+        "pyramid_bands_u16_dense": f"""{forward(2, 3, bands="bands")},
+banded AS (SELECT * FROM grid, (SELECT unnest(range(1, max(bands)::INT + 1)) AS band FROM scenes))
+SELECT g.z, g.j AS x, (2 ** g.z)::INT - g.i AS y, g.band::INT AS band,
+  coalesce(sum(value % 256 + value // 256), 0)::BIGINT AS sum_bytes
+FROM banded g LEFT JOIN cells b ON b.z = g.z AND b.i = g.i AND b.j = g.j AND b.band = g.band
+GROUP BY g.z, g.j, g.i, g.band""",
+        "overlap_south_edge": f"""WITH {SCENES.replace("SELECT k AS scene_id", "SELECT k AS scene_id, k AS kk", 1)
+    .replace("scenes AS", "placed AS", 1)},
+scenes AS (SELECT * REPLACE (-19500000e0 - (kk % 7) * 90000e0 AS g3) FROM placed WHERE NOT geo),
+{EXTENTS}, {grid(11, 11)}
+SELECT scene_id, j AS x, {row_name()} AS y FROM grid g, extents s
+WHERE NOT (s.smaxx < g.minx OR s.smaxy < g.miny OR s.sminx > g.maxx OR s.sminy > g.maxy)""",
         "pyramid_windowed_raw": payload(forward(2, 3, window=True), total),
         "pyramid_inverse_png": payload(cell["inverse"], total),
         "pyramid_inverse_png_strict": payload(inverse(2, 3, strict=True), total, strict=True),
-        "tile_lookup": f"""{bytes_of(cell['forward'])}, {requests},
+        "tile_lookup": f"""{canvas_bytes(cell['forward'])}, {requests},
 touched AS (SELECT DISTINCT z, i, j FROM pairs), stored AS (
   SELECT z, j AS x, {row_name()} AS y, {total}
   FROM touched LEFT JOIN bytes USING (z, i, j) GROUP BY ALL)

@@ -14,7 +14,7 @@ from tilepyramid.operators.grid import grid_dims, subdivide
 from tilepyramid.operators.overlap import scene_footprints, scenes_per_tile
 from tilepyramid.operators.payload import PNG_SIGNATURE, blank_payload, pack_tiles, payload_sum
 from tilepyramid.operators.stretch import stretch_scenes, stretch_tiles, tile_entries
-from tilepyramid.operators.tileset import dense_tiles, lookup
+from tilepyramid.operators.tileset import dense_tiles, lookup, union_tilesets
 from tilepyramid.plans.pyramid import build_pyramid, pyramid_report, tile_cells
 from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.rasters import block_cells
@@ -191,7 +191,7 @@ def _mosaic(band: bool = False, **options) -> Query:
 def tile_percentile_cuts(spark, sf_dir):
     scenes, blocks = _sources(spark, sf_dir)
     entries = tile_entries(mosaic(blocks, scenes, ZOOMS))
-    return unpack(entries.withColumn("cell", F.lit(0)).drop("entries", "n_filled")).drop(
+    return unpack(entries.withColumn("cell", F.lit(0)).drop("entries", "n_filled", "blank")).drop(
         "band", "dx", "dy")
 
 
@@ -271,19 +271,37 @@ def tile_lookup(spark, sf_dir):
 
 def tileset_lookup(spark, sf_dir):
     scenes, blocks = _sources(spark, sf_dir)
-    parts = [
-        build_pyramid(scenes.filter(F.col("epsg") == epsg), blocks, ZOOMS)
-        .withColumn("tileset", F.lit(name))
+    parts = {
+        name: build_pyramid(scenes.filter(F.col("epsg") == epsg), blocks, ZOOMS)
         for name, epsg in (("geographic", 4326), ("projected", 3857))
-    ]
+    }
     requests = _requests(spark, sf_dir).withColumn(
         "tileset", F.get(F.array(*[F.lit(n) for n in ("geographic", "projected", "unknown")]),
                          (F.col("req_id") % 3).cast("int")))
-    found = lookup(requests, parts[0].unionByName(parts[1]))
+    found = lookup(requests, union_tilesets(parts))
     return found.select("req_id", "tileset", "z", "x", "y",
                         F.col("tile_data").isNotNull().alias("found"))
 
 
+def bands_dense(spark, sf_dir):
+    """Every band of every scene, with blank tiles for the rest of the grid."""
+    scenes, blocks = _sources(spark, sf_dir)
+    tiles = build_pyramid(scenes, blocks, ZOOMS, method="forward", bands=None, stretch=False,
+                          dense=True)
+    return tiles.select(
+        F.col("zoom_level").alias("z"), F.col("tile_column").alias("x"),
+        F.col("tile_row").alias("y"), "band", *_sum()())
+
+
+def overlap_south_edge(spark, sf_dir):
+    """The projected scenes moved to the southern edge of the grid, where rows turn negative."""
+    scenes = rasters.scenes(spark, sf_dir).filter(F.col("epsg") == 3857)
+    south = F.lit(-19500000.0) - (F.col("scene_id") % 7) * F.lit(90000.0)
+    moved = scenes.withColumn("gt", F.transform(
+        "gt", lambda g, i: F.when(i == 3, south).otherwise(g)))
+    return scene_tile_pairs(moved, "11-11").select("scene_id", "x", "y")
+
+
 def zoom_report(spark, sf_dir):
     scenes, blocks = _sources(spark, sf_dir)
     return pyramid_report(mosaic(blocks, scenes, "2-4"))
@@ -329,6 +347,12 @@ def queries() -> dict[str, Query]:
             _sum(), method="forward", window="clip", dense=True),
         "pyramid_windowed_raw": _pyramid(
             _sum(), method="forward", window="clip", payload="raw"),
+        "pyramid_abs_window_png_dense": _pyramid(
+            _sum(), method="forward", window="abs", dense=True),
+        "mosaic_forward_abs_window": _mosaic(method="forward", window="abs"),
+        "pyramid_inverse_raw": _pyramid(_sum_and_size, payload="raw"),
+        "pyramid_bands_u16_dense": bands_dense,
+        "overlap_south_edge": overlap_south_edge,
         "pyramid_inverse_png": _pyramid(_sum()),
         "pyramid_inverse_png_strict": _pyramid(_sum(), compat=False),
         "tile_lookup": tile_lookup,
