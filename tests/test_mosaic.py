@@ -123,6 +123,14 @@ def test_values_beyond_16_bits_fail_and_do_not_wrap(spark):
         tile_cells(*tables(spark, [s], block=2), [4], compat=False).collect()
 
 
+@pytest.mark.parametrize("oversampled", [1, 3, 5])
+@pytest.mark.parametrize("method", ["forward", "inverse"])
+def test_mixed_coarseness_changes_nothing(source, monkeypatch, method, oversampled):
+    want = cells_of(tile_cells(*source, [2], method=method))
+    monkeypatch.setattr(mosaic_module, "OVERSAMPLED", oversampled)
+    assert cells_of(tile_cells(*source, [2], method=method)) == want
+
+
 def test_spreading_coarse_blocks_changes_nothing(source, inverse_model, monkeypatch):
     monkeypatch.setattr(mosaic_module, "OVERSAMPLED", 0)
     assert cells_of(tile_cells(*source, [2])) == expected(inverse_model[True], 2)

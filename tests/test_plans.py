@@ -77,6 +77,12 @@ def test_coarse_scenes_are_spread_before_the_fan_out(source):
     assert operators(mosaic(source[1], source[0], [9])).count("Exchange") == 2
 
 
+def test_fine_blocks_are_not_moved_for_coarse_ones(source):
+    # at zoom 5 the 20 km cells of one scene are fine and the 190 km cells of others coarse
+    found = operators(mosaic(source[1], source[0], [5]))
+    assert found.count("Union") == 1 and found.count("Exchange") == 2
+
+
 def test_salted_join_beyond_the_broadcast_bound(source):
     plan = explain(mosaic(source[1], source[0], [2], broadcast_rows=0))
     assert "salt" in plan

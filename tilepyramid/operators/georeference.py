@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilepyramid.functions.affine import affine_columns
@@ -27,21 +27,26 @@ class SceneStats(NamedTuple):
     max_seq: int
     max_cells: int
     coarsest: float = 0.0
+    finest: float = 0.0
     unique_seq: bool = False
 
 
 def scene_stats(scenes: DataFrame) -> SceneStats:
-    """Row count, ``seq`` range, largest scene, coarsest cell (metres, roughly) and whether no
-    two scenes share a ``seq``."""
-    g = affine_columns("gt")
-    side = F.greatest(F.abs(g[1]) + F.abs(g[2]), F.abs(g[4]) + F.abs(g[5]))
+    """Row count, ``seq`` range, largest scene, coarsest and finest cell and whether no two
+    scenes share a ``seq``."""
     row = scenes.agg(
         F.count(F.lit(1)), F.min("seq"), F.max("seq"),
         F.max(F.col("width").cast("long") * F.col("height")),
-        F.max(F.when(F.col("epsg") == 4326, side * METRES_PER_DEGREE).otherwise(side)),
-        F.count_distinct("seq"),
+        F.max(cell_side()), F.min(cell_side()), F.count_distinct("seq"),
     ).first()
-    return SceneStats(row[0], *[v or 0 for v in row[1:5]], row[5] == row[0])
+    return SceneStats(row[0], *[v or 0 for v in row[1:6]], row[6] == row[0])
+
+
+def cell_side() -> Column:
+    """Longer side of a scene's cell in metres, roughly."""
+    g = affine_columns("gt")
+    side = F.greatest(F.abs(g[1]) + F.abs(g[2]), F.abs(g[4]) + F.abs(g[5]))
+    return F.when(F.col("epsg") == 4326, side * METRES_PER_DEGREE).otherwise(side)
 
 
 def join_by_scene(

@@ -22,6 +22,7 @@ from tilepyramid.functions.tilekey import tile_row
 from tilepyramid.operators.georeference import (
     BROADCAST_ROWS,
     SceneStats,
+    cell_side,
     georeference,
     scene_stats,
 )
@@ -76,15 +77,28 @@ def mosaic(
         blocks = blocks.filter(F.col("band").isin(*bands))
     if not compat:  # compat wraps every sample to 16 bits
         blocks = sixteen_bit(blocks)
-    placed = georeference(blocks, scenes, stats, broadcast_rows)
     forward = method == "forward"
-    oversampled = stats.coarsest > OVERSAMPLED * RESOLUTIONS[max(zooms)]
-    tiles = _block_tiles(placed, zooms, forward, oversampled)
-    if forward:
-        cells = _forward_cells(tiles, window, compat)
-    else:
-        cells = _inverse_cells(tiles, compat)
-    return _last_write(cells, stats, forward, bands)
+    written = None
+    for part, oversampled in _by_coarseness(scenes, stats, zooms):
+        placed = georeference(blocks, part, stats, broadcast_rows)
+        tiles = _block_tiles(placed, zooms, forward, oversampled)
+        cells = _forward_cells(tiles, window, compat) if forward else _inverse_cells(tiles, compat)
+        cells = _writes(cells, stats, forward, bands)
+        written = cells if written is None else written.union(cells)
+    return _last_write(written, stats, forward, bands)
+
+
+def _by_coarseness(
+    scenes: DataFrame, stats: SceneStats, zooms: Sequence[int]
+) -> list[tuple[DataFrame, bool]]:
+    """(scenes, whether their blocks must be spread): fine blocks are not moved for coarse ones."""
+    limit = OVERSAMPLED * RESOLUTIONS[max(zooms)]
+    if stats.coarsest <= limit:
+        return [(scenes, False)]
+    if stats.finest > limit:
+        return [(scenes, True)]
+    coarse = cell_side() > limit
+    return [(scenes.filter(~coarse), False), (scenes.filter(coarse), True)]
 
 
 def sixteen_bit(blocks: DataFrame) -> DataFrame:
@@ -270,10 +284,10 @@ def _with_value(df: DataFrame, compat: bool) -> DataFrame:
         "value", sample(F.col("raw"), compat))
 
 
-def _last_write(
+def _writes(
     cells: DataFrame, stats: SceneStats, forward: bool, bands: Sequence[int] | None
 ) -> DataFrame:
-    """Keep the last value written to each tile cell."""
+    """Packed key, and order with value, of every write to a tile cell."""
     cell = F.col("dy") * TILE + F.col("dx")
     keys = {
         "cell_id": F.shiftleft(tile_id(F.col("z"), F.col("tile_column"), F.col("grid_row")), 16)
@@ -281,9 +295,20 @@ def _last_write(
     }
     if bands is None or len(bands) > 1:
         keys["band"] = F.col("band")
-    place = F.col("py").cast("long") * F.col("width") + F.col("px")
-    last, value = _last_value(stats, place if forward else None)
-    written = cells.select(*[c.alias(k) for k, c in keys.items()], *last[0])
+    last, _ = _last_value(stats, _place(forward))
+    return cells.select(*[c.alias(k) for k, c in keys.items()], *last[0])
+
+
+def _place(forward: bool) -> Column | None:
+    return F.col("py").cast("long") * F.col("width") + F.col("px") if forward else None
+
+
+def _last_write(
+    written: DataFrame, stats: SceneStats, forward: bool, bands: Sequence[int] | None
+) -> DataFrame:
+    """Keep the last value written to each tile cell."""
+    last, value = _last_value(stats, _place(forward))
+    keys = [k for k in ("cell_id", "band") if k in written.columns]
     kept = written.groupBy(*keys).agg(last[1].alias("last"))
     band = F.col("band") if "band" in keys else F.lit(bands[0])
     return kept.select(
