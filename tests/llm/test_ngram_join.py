@@ -48,20 +48,36 @@ def test_join_equals_brute_force(spark, width, percent):
     assert len(got) == len(texts)
 
 
-def test_allowances_hold_their_sum_and_move_off_poor_segments():
-    import numpy as np
-
-    v = ngram_join.allowances(np.array([6, 9, 0, 5, 1]), 2)
-    assert v.sum() == 5 and v[2] == 0 and v[1] == 2
-    assert (ngram_join.allowances(np.array([3]), 0) == 1).all()
+def test_allocation_exceeds_the_difference_and_follows_cost():
+    for most in range(200):
+        m, twos, spare = ngram_join.allocation(most, max(1, most * 5))
+        assert twos <= m and m + twos == most + 1 + spare and not (spare and twos)
+    assert ngram_join.allocation(1, 8)[1] == 1  # two small segments cost more than one large
+    assert ngram_join.allocation(90, 500)[1] == 0 < ngram_join.allocation(90, 500)[2]
 
 
 def test_groups_meet_for_all_sizes_that_can_link():
     for a in range(1, 400):
         for b in range(a, 100 * a // 80 + 1):
-            mine, other = dict(ngram_join.groups_of(a, 80)), dict(ngram_join.groups_of(b, 80))
-            shared = mine.keys() & other.keys()
-            assert any(mine[g] >= (a + b) * 20 // 180 for g in shared), (a, b)
+            mine = {g: most for g, _, most in ngram_join.groups_of(a, 80)}
+            other = {g for g, _, _ in ngram_join.groups_of(b, 80)}
+            assert any(mine[g] >= (a + b) * 20 // 180 for g in mine.keys() & other), (a, b)
+
+
+def test_linked_sets_share_more_keys_than_are_spare():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (3, 8, 20, 60, 300, 2000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n * 15 // 200:], rng.integers(
+            0, 2**64, n * 15 // 200, dtype=np.uint64)]))
+        assert 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+        shared = {}
+        for k, p in set(zip(*map(tuple, ngram_join.signatures(a, 85)), strict=True)) & set(
+                zip(*map(tuple, ngram_join.signatures(b, 85)), strict=True)):
+            shared[int(p)] = shared.get(int(p), 0) + 1
+        assert any(n > p % ngram_join.PART for p, n in shared.items())
 
 
 def test_null_and_repeated_ids(spark):
@@ -93,3 +109,22 @@ def test_components(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
     assert {r.component for r in components(chain).collect()} == {0}
     assert components(links.limit(0)).collect() == []
+
+
+def test_blocks_of_dense_keys_change_nothing(spark, monkeypatch):
+    texts = corpus()
+    want = brute(texts, 4, 85)
+    monkeypatch.setattr(ngram_join, "DENSE", 1)
+    monkeypatch.setattr(ngram_join, "CHUNK", 5)
+    got = ngram_join.joined(documents(spark, texts)).collect()
+    assert {tuple(r) for r in got} == want
+
+
+def test_shared_counts_over_slices(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "SLICE", 7)
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 30, 60, 90, 9)]
+    got = ngram_join.shared_counts(sets, slice(0, 3), slice(3, 6))
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3]]

@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilepyramid.llm.blocks import spanning_forest
 from tilepyramid.llm.common import read, stored
 from tilepyramid.llm.components import components
 
@@ -161,22 +162,6 @@ def cells(unit: DataFrame, grid: Grid) -> DataFrame:
              "edge double")
 
 
-def _forest(hits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Each linked id with the smallest id of its component within the block, from links
-    ``hits`` of rows ``left`` with columns ``right``."""
-    top = np.iinfo(np.int64).max
-    a, b = left.copy(), right.copy()
-    while True:
-        a2 = np.minimum(a, np.where(hits, b, top).min(1, initial=top))
-        b2 = np.minimum(b, np.where(hits, a2[:, None], top).min(0, initial=top))
-        if (a2 == a).all() and (b2 == b).all():
-            break
-        a, b = a2, b2
-    used = np.concatenate([hits.any(1), hits.any(0)])
-    return np.unique(np.stack([np.concatenate([left, right])[used],
-                               np.concatenate([a, b])[used]], axis=1), axis=0)
-
-
 def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
     """(kind, a, b): kind COUNT tells b links more of vector a, kind TIE a link of the forest.
 
@@ -231,7 +216,7 @@ def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
             y_more += part["copies"].to_numpy() @ (hits & ~met)
             mine = n > 0
             out.append(told(COUNT, x_id[mine], n[mine]))
-            tied = _forest(hits, x_id, y_id)
+            tied = spanning_forest(hits, x_id, y_id)
             out.append(told(TIE, tied[:, 0], tied[:, 1]))
         more = y_more > 0
         out.append(told(COUNT, y_id[more], y_more[more]))

@@ -3,22 +3,24 @@
 A document is the set of its distinct word shingles. Two sets link when ``100 * |A & B| >= percent *
 |A | B|``. Sets are grouped by size band: group g holds the sets of band g and the larger ones that
 can still link to them. In a group two linked sets differ in at most H tokens, H known from the
-band. Tokens are hashed into H + 1 segments. For a set, each segment i gets an allowance v_i of 0, 1
-or 2 with sum H + 1: were two sets to differ in v_i tokens or more in every segment, they would
-differ in more than H. So linked sets have a segment where they are equal (v = 1), or differ in one
-token at most (v = 2: the segment's subset meets the other's one-deletion neighbourhood). Every
-set indexes all its subsets, and the deletions of the first ``RESERVE`` segments; it probes what
-its own allowance needs.
-
-The allowance starts at 1 everywhere. A segment with few tokens is costly, as its subset is shared
-with unrelated sets; where that costs more than a deletion neighbourhood in a reserve segment does,
-its allowance goes there. A subset that no set probes joins nothing.
-
-What shares a key is verified exactly on the shingle sets of the whole texts, in three rounds, none
-of which makes pairs that a component already joins: each document with one hub; with the hubs of
-all its keys; then every remaining pair of different components that shares a key. So no link is
-lost that could join two components, and a group of thousands of near copies costs about one pair
-per document. Exact copies are one document throughout.
+band. Tokens are hashed into m segments; segment i has an allowance v_i of 1 or 2. Were two sets to
+differ in v_i tokens or more in every segment, they would differ in the sum of all v_i, which is
+more than H. So linked sets have a segment where their subsets are equal (v = 1) or differ in one
+token at most (v = 2: a subset meets the other's one-deletion neighbourhood).
+
+The allocation is by cost, twice. How many segments get v = 2 is what makes the expected cost of a
+group least: fewer and larger segments with their neighbourhoods for small sets, plain segments for
+large ones. And groups of large sets have ``spare`` segments beyond H + 1: linked sets then agree in
+``spare + 1`` segments, so each set may give up (v = 0) its ``spare`` costliest keys, by the number
+of sets in which each key occurs, and pairs that share no more than ``spare`` keys are dropped
+before their texts are looked at. A passage that many documents share costs nothing this way.
+
+What is left is verified exactly on the shingle sets of the whole texts: each document with its best
+hub; then, where a key is held by several components, every pair of different ones. Keys with few
+holders give pairs; documents tied by keys with many holders are compared chunk by chunk, as a
+product of matrices that returns a spanning forest, so a group of thousands of near copies never
+becomes a table of its pairs. No link is lost that could join two components. Exact copies are one
+document throughout.
 
 Defined results: a text without words, or null, has no shingles, links with nothing and is its own
 component; a null id gets its n_shingles, a null component, and no links; rows repeating id and
@@ -38,19 +40,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilepyramid.llm.blocks import spanning_forest
 from tilepyramid.llm.common import read, stored
 from tilepyramid.llm.components import components
 from tilepyramid.llm.textbytes import chunks, with_text_columns
 
 WORDS = 4
 PERCENT = 85
-RESERVE = 2
 GROWTH = 1.25
+#: One spare segment for so many of H + 1.
+SPARE_OF = 5
+#: Sets that the cost of a key is reckoned for.
+EXPECTED_SETS = 1_000
 #: Documents compared with one hub in one run of rows; a hub with more gets several runs.
 RUN = 512
 #: Ids broadcast at most; beyond that the same join shuffles.
 BROADCAST_IDS = 200_000
 
+#: A key with more holders is compared in blocks of ``CHUNK`` documents instead of by pairs.
+DENSE = 32
+CHUNK = 256
+#: Columns of the token matrix held at once in a block.
+SLICE = 4_096
+#: Keys of a group are told apart by group * PART + spare.
+PART = 1 << 20
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint64)
@@ -110,8 +124,8 @@ def shingle_sets(raws: list[bytes], width: int) -> Iterator[np.ndarray]:
             yield np.unique(mixed(total))
 
 
-@lru_cache(maxsize=4)
-def _bands(percent: int, up_to: int) -> list[int]:
+@lru_cache(maxsize=8)
+def _bands(up_to: int) -> list[int]:
     """First sizes of the bands, until beyond ``up_to``."""
     firsts = [1]
     while firsts[-1] <= up_to:
@@ -119,76 +133,73 @@ def _bands(percent: int, up_to: int) -> list[int]:
     return firsts
 
 
-def groups_of(size: int, percent: int) -> list[tuple[int, int]]:
-    """(group, H) of the groups a set of ``size`` tokens takes part in."""
-    firsts = _bands(percent, 1 << max(10, int(size).bit_length()))
+def groups_of(size: int, percent: int) -> list[tuple[int, int, int]]:
+    """(group, its least size, H) of the groups a set of ``size`` tokens takes part in."""
+    firsts = _bands(1 << max(10, int(size).bit_length()))
     own = int(np.searchsorted(firsts, size, side="right")) - 1
     found = []
     for g in range(own, -1, -1):
         largest = firsts[g + 1] - 1
         if size * percent > 100 * largest:
             break
-        found.append((g, largest * (100 - percent) // percent))
+        found.append((g, firsts[g], largest * (100 - percent) // percent))
     return found
 
 
-def allowances(tokens: np.ndarray, reserve: int) -> np.ndarray:
-    """v_i of each segment, from its number of tokens; the sum is the number of segments."""
-    v = np.ones(len(tokens), dtype=np.int8)
-    alone = np.exp(-tokens.astype(float))  # expected share of sets with the same subset
-    deletions = (1 + tokens) * np.exp(1.0 - tokens)
-    for _ in range(reserve):
-        if v[:reserve].max(initial=0) > 1 and (v[:reserve] == 1).sum() == 0:
-            break
-        poor = int(np.where(v == 1, alone, -1.0).argmax())
-        price = np.where((v[:reserve] == 1) & (np.arange(reserve) != poor),
-                         deletions[:reserve], np.inf)
-        rich = int(price.argmin())
-        if not price[rich] < alone[poor]:
-            break
-        v[poor], v[rich] = 0, 2
-    return v
+@lru_cache(maxsize=512)
+def allocation(most: int, size: int) -> tuple[int, int, int]:
+    """(segments, segments with v = 2, spare) of a group by its H and least size.
+
+    The expected cost of a key is writing it and the sets that share it by chance.
+    """
+    spare = (most + 1) // SPARE_OF if most + 1 >= 2 * SPARE_OF else 0
+    best = None
+    for twos in range((most + 1) // 2 + 1 if not spare else 1):
+        m = most + 1 + spare - twos
+        tokens = size / m
+        cost = (m - twos) * (1 + EXPECTED_SETS * np.exp(-tokens)) + twos * (1 + tokens) * (
+            1 + EXPECTED_SETS * np.exp(1 - tokens))
+        if best is None or cost < best[0]:
+            best = (cost, m, twos)
+    return best[1], best[2], spare
 
 
 def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set, and for each whether the set probes it (else it only indexes it)."""
-    keys, probes = [], []
-    for group, most in groups_of(len(tokens), percent):
-        m = most + 1
+    """Keys of a set, and for each its part: group * PART + spare."""
+    keys, parts = [], []
+    for group, least, most in groups_of(len(tokens), percent):
+        m, twos, spare = allocation(most, least)
         segment = ((tokens >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
         sums = np.zeros(m, dtype=np.uint64)
         np.add.at(sums, segment, tokens)
-        reserve = min(RESERVE, m - 1)
-        v = allowances(np.bincount(segment, minlength=m), reserve)
         salt = mixed(np.arange(m, dtype=np.uint64) + np.uint64(group << 32))
         keys.append(mixed(sums + salt))
-        probes.append(v > 0)
-        cut = np.flatnonzero(segment < reserve)
+        cut = np.flatnonzero(segment < twos)
         if len(cut):
             at = segment[cut]
             keys.append(mixed(sums[at] - tokens[cut] + salt[at]))
-            probes.append(v[at] > 1)
-    return np.concatenate(keys), np.concatenate(probes)
+        parts.append(np.full(m + len(cut), group * PART + spare, dtype=np.int64))
+    return np.concatenate(keys), np.concatenate(parts)
 
 
 def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Flat rows (key, doc, probe, n): the keys of (doc, text), and a row with n for each doc."""
+    """Flat rows (key, doc, part): the keys of (doc, text), and for each doc a row whose part is
+    -1 - n_shingles."""
 
     def flat(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        keys, probes, owners, sizes = [], [], [], []
+        keys, parts, owners = [], [], []
         for doc, tokens in zip(ids, sets, strict=True):
-            key, probe = signatures(tokens, percent) if len(tokens) else (tokens, tokens > 0)
-            keys += [key, np.array([doc], dtype=np.int64).view(np.uint64)]
-            probes += [probe, np.array([False])]
-            owners.append(np.full(len(key) + 1, doc, dtype=np.int64))
-            size = np.full(len(key) + 1, -1, dtype=np.int64)
-            size[-1] = len(tokens)
-            sizes.append(size)
-        size = np.concatenate(sizes)
+            if len(tokens):
+                key, part = signatures(tokens, percent)
+                keys.append(key.view(np.int64))
+                parts.append(part)
+                owners.append(np.full(len(key), doc, dtype=np.int64))
+            keys.append(np.array([doc], dtype=np.int64))
+            parts.append(np.array([-1 - len(tokens)]))
+            owners.append(keys[-1])
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)),
-             pa.array(np.concatenate(probes)), pa.array(size, mask=size < 0)],
-            names=["key", "doc", "probe", "n"])
+            [pa.array(np.concatenate(c)) for c in (keys, owners, parts)],
+            names=["key", "doc", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +208,7 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 yield flat(ids[at:at + len(raws)], list(shingle_sets(raws, width)))
                 at += len(raws)
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, probe boolean, n long")
+    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, part long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -263,37 +274,30 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
                      copies.filter("doc <> rep").select("doc"), "doc")
     same = Window.partitionBy("key")
     told = stored(signed(single, width, percent).withColumns({
-        "hub": F.min(F.when(F.col("probe"), F.col("doc"))).over(same),
+        "freq": F.count(F.lit(1)).over(same),
         "low": F.min("doc").over(same), "high": F.max("doc").over(same)})
-        .filter(F.col("n").isNotNull() | (F.col("hub").isNotNull()
-                                          & (F.col("low") < F.col("high"))))
-        .select("key", "doc", "probe", "n", "hub"), "ngram-keys")
-    sizes = told.filter("n IS NOT NULL").groupBy("doc").agg(F.max("n").alias("n"))
-    keys = told.filter("n IS NULL").select("key", "doc", "probe", "hub")
-
-    # round 1: one hub for each document
-    pairs = stored(keys.filter("doc <> hub").groupBy("doc").agg(F.min("hub").alias("hub")),
-                   "ngram-pairs")
-    tested = pairs
-    links = stored(verified(pairs, single, width, percent), "ngram-links")
+        .filter((F.col("part") < 0) | (F.col("low") < F.col("high")))
+        .select("key", "doc", "part", "freq"), "ngram-keys")
+    sizes = told.filter("part < 0").groupBy("doc").agg((-1 - F.min("part")).alias("n"))
+    keys = told.filter("part >= 0").dropDuplicates(["key", "doc"])
+    costly = Window.partitionBy("doc", "part").orderBy(F.desc("freq"), "key")
+    used = stored(keys.withColumn("rank", F.row_number().over(costly))
+                  .filter(F.col("rank") > F.col("part") % PART).select("key", "doc", "part"),
+                  "ngram-used-keys")
+    lists = keys.groupBy("doc", "part").agg(F.collect_list("key").alias("keys"))
+
+    # round 1: each document with the hub that it shares most keys with
+    hubs = used.withColumn("hub", F.min("doc").over(same)).filter("doc <> hub")
+    best = hubs.groupBy("doc", "hub", "part").agg(F.count(F.lit(1)).alias("shared"))
+    best = best.groupBy("doc").agg(
+        F.max_by(F.struct("hub", "part"), F.struct("shared", -F.col("hub"))).alias("b"))
+    links = _links(best.select("doc", "b.hub", "b.part"), lists, sizes, single, width, percent)
+    # round 2: what else shares a key across components
+    held = _open_keys(used, components(links))
+    links = links.union(_links(_pairs(held.filter(F.col("held") <= DENSE)), lists, sizes, single,
+                               width, percent))
+    links = links.union(_block_links(held.filter(F.col("held") > DENSE), single, width, percent))
     parts = components(links)
-    # round 2: all hubs, where they would join components
-    placed = _placed(keys, parts)
-    pairs = placed.filter("doc <> hub").select("doc", "hub", "part").distinct()
-    named = parts.select(F.col("id").alias("hub"), F.col("component").alias("hub_part"))
-    pairs = (pairs.join(named, "hub", "left")
-             .filter(F.col("part") != F.coalesce("hub_part", "hub")).select("doc", "hub"))
-    pairs = stored(pairs.join(tested, ["doc", "hub"], "left_anti"), "ngram-pairs")
-    if not pairs.isEmpty():
-        tested = tested.union(pairs)
-        links = links.union(stored(verified(pairs, single, width, percent), "ngram-links"))
-        parts = components(links)
-        # round 3: what else shares a key across components
-        pairs = _across(_placed(keys, parts), sizes, percent)
-        pairs = stored(_untested(pairs, tested), "ngram-pairs")
-        if not pairs.isEmpty():
-            links = links.union(stored(verified(pairs, single, width, percent), "ngram-links"))
-            parts = components(links)
 
     known = (copies.join(sizes.withColumnRenamed("doc", "rep"), "rep")
              .join(parts.withColumnRenamed("id", "rep"), "rep", "left")
@@ -316,30 +320,95 @@ def _nameless(docs: DataFrame, width: int) -> DataFrame:
                        F.lit(None).cast("long").alias("component_id"))
 
 
-def _placed(keys: DataFrame, parts: DataFrame) -> DataFrame:
-    """``keys`` with the component of each document, where a key has several components."""
+def _open_keys(used: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, doc, part, comp, held): used keys that several components hold; stored."""
     same = Window.partitionBy("key")
-    named = keys.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn(
-        "part", F.coalesce("component", "doc")).drop("component")
-    return (named.withColumns({"low": F.min("part").over(same), "high": F.max("part").over(same)})
-            .filter("low < high").drop("low", "high"))
-
-
-def _across(placed: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different components that share a key and whose sizes allow a link."""
-    rows = stored(placed.join(sizes, "doc").select("key", "doc", "probe", "part", "n"),
-                  "ngram-open-keys")
-    other = rows.toDF("key", "hub", "hub_probe", "hub_part", "hub_n")
-    return (rows.join(other, "key")
-            .filter((F.col("doc") > F.col("hub")) & (F.col("part") != F.col("hub_part"))
-                    & (F.col("probe") | F.col("hub_probe"))
-                    & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
-            .select("doc", "hub").distinct())
+    placed = used.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn(
+        "comp", F.coalesce("component", "doc")).drop("component")
+    return stored(placed.withColumns({
+        "held": F.count(F.lit(1)).over(same), "low": F.min("comp").over(same),
+        "high": F.max("comp").over(same)}).filter("low < high").drop("low", "high"),
+        "ngram-open-keys")
+
 
+def _pairs(held: DataFrame) -> DataFrame:
+    """(doc, hub, part) of different components that share a key of at most ``DENSE`` holders."""
+    other = held.select("key", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp"))
+    return (held.join(other, "key")
+            .filter((F.col("doc") > F.col("hub")) & (F.col("comp") != F.col("hub_comp")))
+            .select("doc", "hub", "part").distinct())
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    done = tested.select(F.greatest("doc", "hub").alias("doc"), F.least("doc", "hub").alias("hub"))
-    return pairs.join(done, ["doc", "hub"], "left_anti")
+
+def _block_links(held: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among documents that share keys with many holders, without a row for each pair.
+
+    Documents tied by such keys form clusters; a cluster is cut into chunks of about ``CHUNK``, and
+    each task compares one chunk with another and returns a spanning forest of the links it finds.
+    """
+    ties = held.withColumn("hub", F.min("doc").over(Window.partitionBy("key")))
+    clusters = components(ties.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
+    sizes = clusters.groupBy("component").agg(
+        F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = (clusters.join(sizes, "component")
+             .withColumn("own", F.expr("CAST(pmod(xxhash64(id), chunks) AS INT)"))
+             .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+             .select(F.col("id").alias("_doc"), "component", F.least("own", "other").alias("low"),
+                     F.greatest("own", "other").alias("high"), "own"))
+    rows = dealt.join(docs.select("doc", "text"), F.col("_doc") == F.col("doc")).select(
+        "component", "low", "high", "own", "doc", "text")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("own", kind="stable")
+        sets = [s for raws in chunks(frame["text"]) for s in shingle_sets(raws, width)]
+        ids = frame["doc"].to_numpy()
+        first = int((frame["own"] == frame["low"]).sum())
+        left = slice(0, first)
+        right = left if frame["low"].iloc[0] == frame["high"].iloc[0] else slice(first, len(ids))
+        sizes = np.array([len(s) for s in sets])
+        both = shared_counts(sets, left, right)
+        total = sizes[left, None] + sizes[None, right] - both
+        hits = (both > 0) & (100 * both >= percent * total) & (
+            ids[left, None] != ids[None, right])
+        tied = spanning_forest(hits, ids[left], ids[right])
+        return pd.DataFrame({"a": tied[:, 0], "b": tied[:, 1]})
+
+    found = rows.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
+    return stored(found, "ngram-links")
+
+
+def shared_counts(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
+    """Sizes of the intersections of the sets of ``left`` with those of ``right``.
+
+    A product of 0/1 matrices, taken over slices of the tokens that several sets hold, so that
+    memory is bounded whatever the length of the texts.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, token, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]),
+                                return_inverse=True, return_counts=True)
+    kept = count[token] > 1
+    order = np.argsort(token[kept], kind="stable")
+    owner, token = owner[kept][order], token[kept][order]
+    out = np.zeros((len(sets[left]), len(sets[right])), dtype=np.int64)
+    at = 0
+    while at < len(token):
+        end = np.searchsorted(token, token[at] + SLICE)
+        part = np.zeros((len(sets), SLICE), dtype=np.float32)
+        part[owner[at:end], token[at:end] - token[at]] = 1
+        out += (part[left] @ part[right].T).astype(np.int64)
+        at = end
+    return out
+
+
+def _links(pairs: DataFrame, lists: DataFrame, sizes: DataFrame, docs: DataFrame, width: int,
+           percent: int) -> DataFrame:
+    """The links (a, b) among ``pairs`` (doc, hub, part): by size, by shared keys, by the sets."""
+    mine = lists.join(sizes, "doc")
+    other = mine.toDF("hub", "part", "hub_keys", "hub_n")
+    able = (pairs.join(mine, ["doc", "part"]).join(other, ["hub", "part"])
+            .filter((F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+                    & (F.size(F.array_intersect("keys", "hub_keys")) > F.col("part") % PART))
+            .select("doc", "hub").distinct())
+    return stored(verified(stored(able, "ngram-pairs"), docs, width, percent), "ngram-links")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
