@@ -218,15 +218,14 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     one hub's set and one batch of texts at a time.
     """
     runs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
-    slim = docs.select(F.col("doc").alias("_doc"), "text")
-    others = (pairs.join(runs, "hub")
-              .withColumn("run", F.expr("CAST(pmod(xxhash64(doc), runs) AS INT)"))
-              .join(slim, F.col("doc") == F.col("_doc")).select(
-                  "hub", "run", F.lit(1).alias("role"), "doc", "text"))
-    hubs = (runs.join(slim, F.col("hub") == F.col("_doc"))
-            .withColumn("run", F.explode(F.expr("sequence(0, runs - 1)")))
-            .select("hub", "run", F.lit(0).alias("role"), F.col("hub").alias("doc"), "text"))
-    rows = others.union(hubs).repartition("hub", "run").sortWithinPartitions("hub", "run", "role")
+    # who goes where: (doc, hub, run, role), hubs themselves with role 0
+    sent = pairs.join(runs, "hub").select(
+        "doc", "hub", F.expr("CAST(pmod(xxhash64(doc), runs) AS INT)").alias("run"),
+        F.lit(1).alias("role")).union(runs.select(
+            F.col("hub").alias("doc"), "hub",
+            F.explode(F.expr("sequence(0, runs - 1)")).alias("run"), F.lit(0).alias("role")))
+    rows = with_texts(sent, docs).select("hub", "run", "role", "doc", "text")
+    rows = rows.repartition("hub", "run").sortWithinPartitions("hub", "run", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, held = None, None
@@ -249,6 +248,13 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long")
 
 
+def with_texts(sent: DataFrame, docs: DataFrame) -> DataFrame:
+    """``sent`` with the text of each ``doc``; few rows go to the texts, many meet them halfway."""
+    sent = stored(sent, "ngram-sent")
+    few = sent.count() <= BROADCAST_IDS
+    return docs.select("doc", "text").join(F.broadcast(sent) if few else sent, "doc")
+
+
 def text_copies(docs: DataFrame) -> DataFrame:
     """(doc, rep): each document with the smallest id that has the same text; stored."""
     keyed = docs.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("copy")).filter(
@@ -279,23 +285,24 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
         .filter((F.col("part") < 0) | (F.col("low") < F.col("high")))
         .select("key", "doc", "part", "freq"), "ngram-keys")
     sizes = told.filter("part < 0").groupBy("doc").agg((-1 - F.min("part")).alias("n"))
-    keys = told.filter("part >= 0").dropDuplicates(["key", "doc"])
+    keys = told.filter("part >= 0")  # a repeated row only makes its set give up fewer keys
     costly = Window.partitionBy("doc", "part").orderBy(F.desc("freq"), "key")
     used = stored(keys.withColumn("rank", F.row_number().over(costly))
                   .filter(F.col("rank") > F.col("part") % PART).select("key", "doc", "part"),
                   "ngram-used-keys")
-    lists = keys.groupBy("doc", "part").agg(F.collect_list("key").alias("keys"))
+    lists = stored(keys.groupBy("doc", "part").agg(F.collect_list("key").alias("keys"))
+                   .join(sizes, "doc"), "ngram-key-lists")
 
     # round 1: each document with the hub that it shares most keys with
     hubs = used.withColumn("hub", F.min("doc").over(same)).filter("doc <> hub")
     best = hubs.groupBy("doc", "hub", "part").agg(F.count(F.lit(1)).alias("shared"))
     best = best.groupBy("doc").agg(
         F.max_by(F.struct("hub", "part"), F.struct("shared", -F.col("hub"))).alias("b"))
-    links = _links(best.select("doc", "b.hub", "b.part"), lists, sizes, single, width, percent)
+    links = _links(best.select("doc", "b.hub", "b.part"), lists, single, width, percent)
     # round 2: what else shares a key across components
     held = _open_keys(used, components(links))
-    links = links.union(_links(_pairs(held.filter(F.col("held") <= DENSE)), lists, sizes, single,
-                               width, percent))
+    links = links.union(_links(_pairs(held.filter(F.col("held") <= DENSE)), lists, single, width,
+                               percent))
     links = links.union(_block_links(held.filter(F.col("held") > DENSE), single, width, percent))
     parts = components(links)
 
@@ -352,10 +359,9 @@ def _block_links(held: DataFrame, docs: DataFrame, width: int, percent: int) ->
     dealt = (clusters.join(sizes, "component")
              .withColumn("own", F.expr("CAST(pmod(xxhash64(id), chunks) AS INT)"))
              .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-             .select(F.col("id").alias("_doc"), "component", F.least("own", "other").alias("low"),
+             .select(F.col("id").alias("doc"), "component", F.least("own", "other").alias("low"),
                      F.greatest("own", "other").alias("high"), "own"))
-    rows = dealt.join(docs.select("doc", "text"), F.col("_doc") == F.col("doc")).select(
-        "component", "low", "high", "own", "doc", "text")
+    rows = with_texts(dealt, docs)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("own", kind="stable")
@@ -399,10 +405,10 @@ def shared_counts(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarr
     return out
 
 
-def _links(pairs: DataFrame, lists: DataFrame, sizes: DataFrame, docs: DataFrame, width: int,
+def _links(pairs: DataFrame, lists: DataFrame, docs: DataFrame, width: int,
            percent: int) -> DataFrame:
     """The links (a, b) among ``pairs`` (doc, hub, part): by size, by shared keys, by the sets."""
-    mine = lists.join(sizes, "doc")
+    mine = lists.select("doc", "part", "keys", "n")
     other = mine.toDF("hub", "part", "hub_keys", "hub_n")
     able = (pairs.join(mine, ["doc", "part"]).join(other, ["hub", "part"])
             .filter((F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
