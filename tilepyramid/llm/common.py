@@ -4,12 +4,26 @@ from __future__ import annotations
 
 import math
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it, whatever folder they
+    start in. On a cluster that is its shared or installed path."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, ROOT])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -19,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     That is ``spark.checkpoint.dir`` or the context's checkpoint folder. Only a purely local
     session may do without; it then uses its warehouse folder.
     """
+    importable(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local["):

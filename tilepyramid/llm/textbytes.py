@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tilepyramid.llm.common import importable
+
 CHUNK_BYTES = 1 << 20
 GRAM_FACTOR = np.uint32(0x9E3779B1)
 
@@ -72,6 +74,7 @@ def with_text_columns(df: DataFrame, text: str, added: T.StructType,
 
     Every other column passes through as it is; columns with an added name are replaced.
     """
+    importable(df.sparkSession)
     names = [f.name for f in added]
     kept = df.select(*[c for c in df.columns if c not in names or c == text])
     types = [to_arrow_type(f.dataType) for f in added]
