@@ -64,3 +64,33 @@ def test_chunks_of_a_hot_cell_change_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, embedding_dedup.near_duplicates(table(spark, x)).collect()))
     monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
     assert sorted(map(tuple, embedding_dedup.near_duplicates(table(spark, x)).collect())) == whole
+
+
+def turned(rng, x, cosine):
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    return cosine[:, None] * x + np.sqrt(1 - cosine[:, None] ** 2) * side
+
+
+def links_by_brute_force(x):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    return near.sum(1)
+
+
+def test_a_large_group_does_not_set_the_reach_of_others(spark):
+    rng = np.random.default_rng(11)
+    single = rng.normal(size=(4000, 16))
+    single /= np.linalg.norm(single, axis=1)[:, None]
+    partner = turned(rng, single[:200], rng.uniform(0.9005, 0.905, 200))
+    hot = single[-1] + rng.normal(size=(2000, 16)) * 0.004
+    x = np.vstack([single, partner, hot]).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(
+        table(spark, x.tolist())).collect()}
+    want = links_by_brute_force(x)
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= want).all() and (found[4200:] == want[4200:]).all()
+    pairs = [*range(200), *range(4000, 4200)]
+    assert found[pairs].sum() >= 0.99 * want[pairs].sum()

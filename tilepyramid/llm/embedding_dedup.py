@@ -2,13 +2,20 @@
 
 Unit vectors are cut into two halves, each quantised by its own codebook of K codes; the product
 grid has K*K cells. A vector visits cells in the order of the multi-sequence traversal, i.e. by the
-sum of its squared distances to the cell's two codes, as far as a reach beyond its own cell. The
-reach is set on a bounded sample of rows, each compared with all rows by brute force: the sample's
-true partners lie within it to at least ``TARGET_RECALL``, and the margin ``SLACK`` is added. Every
-pair met is verified by its cosine in double precision.
+sum of its squared distances to the cell's two codes, as far as a reach beyond its own cell, and
+with a cell all others of the same first code. Every pair met is verified by its cosine in double
+precision, and every pair verified counts.
 
-The codebooks are fitted on at most ``MAX_FIT`` vectors and the reach on ``MAX_PROBES``; both are
-parameters of the method and bound what the driver holds. All rows are indexed and all rows search.
+The reach is the larger of two, plus the margin ``SLACK``; neither is weighted by pairs, so a large
+group does not speak for the others. One is measured: sampled rows, taken in turn from all cells so
+that a crowded cell gives no more than others, are compared with all rows by brute force, and the
+farthest partner of any of them counts. Rounds of probes are drawn until ``ENOUGH`` have partners
+without being in a large group, or ``ROUNDS`` are through. The other needs no partners in the table:
+each sampled row is given partners at the threshold itself, turned toward other rows and in free
+directions, and all but ``1 - TARGET_RECALL`` of the rows have theirs within the reach.
+
+The codebooks are fitted on at most ``MAX_FIT`` vectors, and the reach is set on those; this is a
+parameter of the method and bounds what the driver holds. All rows are indexed and all rows search.
 
 Exact copies are one vector with a multiplicity. Cells are dealt out by the first code, and a code's
 residents and visitors are cut into chunks of ``CHUNK``; each task compares one chunk with another
@@ -39,7 +46,12 @@ THRESHOLD = 0.9
 TARGET_RECALL = 0.995
 SLACK = 0.1
 MAX_FIT = 8_000
+#: Probes of the rounds: each is compared with all rows.
 MAX_PROBES = 256
+ROUNDS = (MAX_PROBES, 3 * MAX_PROBES, 12 * MAX_PROBES)
+ENOUGH = 64
+#: Partners drawn for a sampled row, of each kind.
+DRAWS = 4
 CHUNK = 2_048
 COUNT, TIE = 0, 1
 
@@ -94,6 +106,68 @@ def _sample(unit: DataFrame, rows: int, most: int, seed: str) -> np.ndarray:
     return np.array([r[0] for r in got], dtype=np.float64)
 
 
+def _away(grid: Grid, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far beyond the own cell of each row of ``x`` the cell of the same row of ``y`` lies."""
+    d1, d2 = grid.distances(x)
+    e1, e2 = grid.distances(y)
+    row = np.arange(len(x))
+    return d1[row, e1.argmin(1)] + d2[row, e2.argmin(1)] - d1.min(1) - d2.min(1)
+
+
+def imagined_reach(grid: Grid, sample: np.ndarray, threshold: float) -> float:
+    """The reach that the sampled rows need for partners at the threshold itself."""
+    rng = np.random.default_rng(5)
+    worst = np.zeros(len(sample))
+    for _ in range(DRAWS):
+        for toward in (sample[rng.permutation(len(sample))], rng.normal(size=sample.shape)):
+            side = toward - (toward * sample).sum(1)[:, None] * sample
+            length = np.linalg.norm(side, axis=1)
+            turned = np.flatnonzero(length > 1e-9)
+            for at in range(0, len(turned), 512):
+                row = turned[at:at + 512]
+                partner = threshold * sample[row] + math.sqrt(max(0, 1 - threshold ** 2)) * (
+                    side[row] / length[row, None])
+                worst[row] = np.maximum(worst[row], _away(grid, sample[row], partner))
+    return float(np.quantile(worst, TARGET_RECALL, method="higher"))
+
+
+def probes_in_turn(grid: Grid, sample: np.ndarray) -> np.ndarray:
+    """The sample in an order that takes one row of every cell before a second of any."""
+    d = [np.concatenate(c) for c in zip(*(
+        [e.argmin(1) for e in grid.distances(sample[at:at + 512])]
+        for at in range(0, len(sample), 512)), strict=True)]
+    cell = pd.Series(d[0].astype(np.int64) * len(grid.second) + d[1])
+    return sample[np.argsort(cell.groupby(cell).cumcount().to_numpy(), kind="stable")]
+
+
+def probed(unit: DataFrame, grid: Grid, probes: np.ndarray, threshold: float) -> np.ndarray:
+    """(partners, farthest) of each probe that has partners, among all rows."""
+    shipped = unit.sparkSession.sparkContext.broadcast((grid, probes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grid, probes = shipped.value
+        to_first, to_second = grid.distances(probes)
+        nearest = to_first.min(1) + to_second.min(1)
+        partners, farthest = np.zeros(len(probes), dtype=np.int64), np.zeros(len(probes))
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                x = _matrix(batch["unit"].iloc[at:at + 512])
+                d1, d2 = grid.distances(x)
+                own1, own2 = d1.argmin(1), d2.argmin(1)
+                cosine = x @ probes.T
+                # copies are gone, so a cosine of one is the probe itself
+                row, probe = np.nonzero((cosine >= threshold) & (cosine < 1 - 1e-12))
+                away = to_first[probe, own1[row]] + to_second[probe, own2[row]] - nearest[probe]
+                partners += np.bincount(probe, minlength=len(probes))
+                np.maximum.at(farthest, probe, away)
+        at = np.flatnonzero(partners)
+        yield pd.DataFrame({"probe": at, "n": partners[at], "away": farthest[at]})
+
+    told = (unit.select("unit").mapInPandas(run, "probe long, n long, away double")
+            .groupBy("probe").agg(F.sum("n"), F.max("away")).collect())  # a row for each probe
+    return np.array([(r[1], r[2]) for r in told], dtype=np.float64).reshape(-1, 2)
+
+
 def fit(unit: DataFrame, rows: int, threshold: float = THRESHOLD) -> Grid:
     """Codebooks from a sample, then the reach from sampled rows against all rows."""
     sample = _sample(unit, rows, MAX_FIT, "fit")
@@ -102,44 +176,22 @@ def fit(unit: DataFrame, rows: int, threshold: float = THRESHOLD) -> Grid:
     half = sample.shape[1] // 2
     k = min(codes_for(rows), len(sample))
     grid = Grid(codebook(sample[:, :half], k), codebook(sample[:, half:], k))
-    probes = _sample(unit, rows, MAX_PROBES, "probe")
-    if not len(probes):
-        return grid
-    spark = unit.sparkSession
-    shipped = spark.sparkContext.broadcast((grid, probes, np.add(*(
-        d.min(1) for d in grid.distances(probes)))))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid, probes, nearest = shipped.value
-        to_first, to_second = grid.distances(probes)
-        bins = np.zeros(4097, dtype=np.int64)
-        for batch in batches:
-            x = _matrix(batch["unit"])
-            d1, d2 = grid.distances(x)
-            own1, own2 = d1.argmin(1), d2.argmin(1)
-            cosine = x @ probes.T
-            # copies are gone, so a cosine of one is the probe itself
-            row, probe = np.nonzero((cosine >= threshold) & (cosine < 1 - 1e-12))
-            away = to_first[probe, own1[row]] + to_second[probe, own2[row]] - nearest[probe]
-            # a partner's cell is at most a few units away; bins of 1/512
-            bins += np.bincount(np.clip(np.ceil(away * 512), 0, 4096).astype(int), minlength=4097)
-        at = np.flatnonzero(bins)
-        yield pd.DataFrame({"bin": at, "n": bins[at]})
-
-    told = sorted(tuple(r) for r in unit.select("unit").mapInPandas(run, "bin int, n long")
-                  .groupBy("bin").agg(F.sum("n")).collect())  # 4097 rows at most
-    total, seen, reach = sum(n for _, n in told), 0, 0.0
-    for at, n in told:
-        seen += n
-        reach = at / 512
-        if seen >= TARGET_RECALL * total:
+    reach = imagined_reach(grid, sample, threshold)
+    probes, at, useful = probes_in_turn(grid, sample), 0, 0
+    for size in ROUNDS:
+        if useful >= ENOUGH or at >= len(probes):
             break
+        told = probed(unit, grid, probes[at:at + size], threshold)
+        at += size
+        reach = max(reach, told[:, 1].max(initial=0.0))
+        # a probe with a hundredth of all rows as partners is in a large group
+        useful += int((told[:, 0] <= max(8, rows / 100)).sum())
     return Grid(grid.first, grid.second, reach + SLACK)
 
 
 def cells(unit: DataFrame, grid: Grid) -> DataFrame:
-    """(vec_id, copies, unit, own1, own2, visits): own codes, and for each first code visited the
-    second codes."""
+    """(vec_id, copies, unit, own1, visits, visited): the own first code, and the first codes
+    visited, as a list and as bits."""
     shipped = unit.sparkSession.sparkContext.broadcast(grid)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,28 +199,23 @@ def cells(unit: DataFrame, grid: Grid) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at:at + 512]
-                d1, d2 = grid.distances(_matrix(part["unit"]))
-                order2 = np.sort(d2, axis=1)
-                limit = d1.min(1) + order2[:, 0] + grid.reach
-                visits = []
-                for row in range(len(part)):
-                    near = np.flatnonzero(d1[row] + order2[row, 0] <= limit[row])
-                    visits.append([int(c) for c in near])
-                yield part.assign(own1=d1.argmin(1), own2=d2.argmin(1), visits=visits,
-                                  edge=limit)
+                d1, _ = grid.distances(_matrix(part["unit"]))
+                near = d1 <= d1.min(1)[:, None] + grid.reach
+                yield part.assign(own1=d1.argmin(1),
+                                  visits=[np.flatnonzero(n).tolist() for n in near],
+                                  visited=[b.tobytes() for b in np.packbits(near, axis=1)])
 
     return unit.mapInPandas(
-        run, "vec_id long, copies long, unit array<double>, own1 int, own2 int, visits array<int>, "
-             "edge double")
+        run, "vec_id long, copies long, unit array<double>, own1 int, visits array<int>, "
+             "visited binary")
 
 
-def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
+def near_links(placed: DataFrame, threshold: float) -> DataFrame:
     """(kind, a, b): kind COUNT tells b links more of vector a, kind TIE a link of the forest.
 
-    A pair is met where one visits the other's cell. If each visits the other's, each counts its
-    own side; if only one does, it counts both.
+    A pair is met where one visits the other's first code. If each visits the other's, each counts
+    its own side; if only one does, it counts both.
     """
-    spark = placed.sparkSession
     # chunks of each first code: residents by their own code, visitors by the codes they visit
     residents = placed.withColumn("code", F.col("own1"))
     visitors = placed.withColumn("code", F.explode("visits"))
@@ -177,7 +224,7 @@ def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
     visit = visitors.groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "v_chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
     plan = F.broadcast(size.join(visit, "code"))  # K rows at most, K <= 1024
-    common = ["vec_id", "copies", "unit", "own1", "own2", "edge"]
+    common = ["vec_id", "copies", "unit", "own1", "visited"]
 
     def dealt(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         mine = F.expr(f"CAST(pmod(xxhash64(vec_id, 'chunk'), {own}) AS INT)")
@@ -187,32 +234,27 @@ def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
 
     rows = dealt(residents, "r_chunks", "v_chunks", 0).union(
         dealt(visitors, "v_chunks", "r_chunks", 1))
-    shipped = spark.sparkContext.broadcast(grid)
 
     def told(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = shipped.value
         res, vis = frame[frame["side"] == 0], frame[frame["side"] == 1]
         if res.empty or vis.empty:
             return told(COUNT, np.zeros(0, np.int64), np.zeros(0, np.int64))
         y, y_id = _matrix(res["unit"]), res["vec_id"].to_numpy()
-        y_copies, y_edge = res["copies"].to_numpy(), res["edge"].to_numpy()
-        y_own2 = res["own2"].to_numpy()
-        back1, back2 = grid.distances(y)
+        y_copies = res["copies"].to_numpy()
+        y_visits = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in res["visited"]]),
+                                 axis=1).astype(bool)
         out, y_more = [], np.zeros(len(y), dtype=np.int64)
         for at in range(0, len(vis), 512):
             part = vis.iloc[at:at + 512]
             x, x_id = _matrix(part["unit"]), part["vec_id"].to_numpy()
-            d1, d2 = grid.distances(x)
-            code = int(part["code"].iloc[0])
-            seen = d1[:, [code]] + d2[:, y_own2] <= part["edge"].to_numpy()[:, None]
-            hits = seen & (x @ y.T >= threshold) & (x_id[:, None] != y_id[None, :])
+            hits = (x @ y.T >= threshold) & (x_id[:, None] != y_id[None, :])
             if not hits.any():
                 continue
             n = hits @ y_copies
-            met = (back1[:, part["own1"]] + back2[:, part["own2"]] <= y_edge[:, None]).T
+            met = y_visits[:, part["own1"]].T
             y_more += part["copies"].to_numpy() @ (hits & ~met)
             mine = n > 0
             out.append(told(COUNT, x_id[mine], n[mine]))
@@ -255,7 +297,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     unit = copies.select(F.col("first_id").alias("vec_id"), "copies", "unit")
     count = copies.count()
     grid = fit(unit, count, threshold)
-    links = stored(near_links(stored(cells(unit, grid), "cells"), grid, threshold), "vector-links")
+    links = stored(near_links(stored(cells(unit, grid), "cells"), threshold), "vector-links")
     counts = links.filter(F.col("kind") == COUNT).groupBy("a").agg(F.sum("b").alias("found"))
     comps = components(links.filter(F.col("kind") == TIE))
     told = (copies.join(counts, F.col("first_id") == F.col("a"), "left")
