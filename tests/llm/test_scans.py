@@ -116,3 +116,19 @@ def test_license_rows_equal_brute_force(spark, tmp_path):
 
 def test_license_scan_of_nothing(spark):
     assert licenses.scan(documents(spark, [])).collect() == []
+
+
+def test_wrapped_notices_are_found(spark, tmp_path):
+    bsd = ("Redistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions are met")
+    template = next(t for t, label in licenses.TEMPLATES.items() if label == "bsd-grant")
+    short = " * " + "\n * ".join(template.split())
+    far = template.replace(" with", "\n" + "x " * 40 + "\nwith")
+    texts = [bsd, short, far, "intro\n\n" + bsd.replace("binary", "object"), "all\nrights reserved",
+             bsd.split("\n")[0]]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in licenses.op10_licenses(spark, str(tmp_path)).collect()}
+    assert [rows[k].labels for k in range(6)] == [
+        "bsd-grant", "bsd-grant", "", "bsd-grant", "all-rights-reserved", ""]
+    assert rows[0].score == rows[1].score == 1.0 and rows[2].score == rows[5].score == 0
+    assert 0.8 <= rows[3].score < 1

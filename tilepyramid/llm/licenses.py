@@ -1,7 +1,10 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a known license notice; both are sets of words. A
-block matches where it holds at least ``THRESHOLD`` of the template's words. Words are ordered by
+A block is a line of a document, a template a known license notice; both are sets of words. A notice
+may also be wrapped anywhere, over any number of lines: a run of words over line breaks is a block
+too, if it holds the template's words in their order but for as many as it may miss, and no more
+other words than that and one for each line begun, as in a comment (words of neighbouring lines in
+any order or far apart are not a notice). A block matches where it holds at least ``THRESHOLD`` of the template's words. Words are ordered by
 their frequency in the corpus, rare ones first. If a block misses too few words to fail, it must
 hold one of the template's first ``size - needed + 1`` words in that order (prefix filter); it
 needs at least ``needed`` distinct words (length filter), and from the first shared word on the
@@ -64,6 +67,24 @@ class Template:
     label: str
     words: tuple[bytes, ...]  # rare first
     needed: int
+    text: tuple[bytes, ...]  # in order, repeated words too
+
+    @property
+    def reach(self) -> int:
+        """Words of a run at most, besides one for each line begun."""
+        return len(self.text) + len(self.words) - self.needed
+
+    def in_order(self, words: list[bytes], width: int) -> bool:
+        """Whether ``words``, all that a run of ``width`` words holds of the template, are the text
+        in order, but for as many words as it may miss, and as many others."""
+        row = [0] * (len(self.text) + 1)  # longest common subsequence
+        for word in words:
+            left = 0
+            for k, own in enumerate(self.text, 1):
+                above = row[k]
+                row[k] = left + 1 if word == own else max(above, row[k - 1])
+                left = above
+        return max(len(self.text), width) - row[-1] <= len(self.words) - self.needed
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -83,7 +104,7 @@ class Index:
             words = rare_first(text.encode().split())
             # the least count that reaches the threshold, safe from rounding
             needed = math.ceil(round(threshold * len(words), 9))
-            template = Template(label, words, max(1, needed))
+            template = Template(label, words, max(1, needed), tuple(text.encode().split()))
             for place, word in enumerate(template.prefix):
                 self.by_word.setdefault(word, []).append((place, template))
         self.phrases: dict[bytes, list[tuple[list[bytes], int, str]]] = {}
@@ -123,6 +144,55 @@ class Index:
                     found.append((number, template.label, held / size))
         return sorted(found)
 
+    def wrapped(self, lines: list[bytes], hits: frozenset[bytes]) -> list[tuple[int, str, float]]:
+        """(line, label, containment) of the runs of words over line breaks that meet a template's
+        threshold: of those that begin in a line, the best."""
+        candidates: dict[int, tuple[int, Template]] = {}
+        for word in hits:
+            for place, template in self.by_word.get(word, ()):
+                if id(template) not in candidates or place < candidates[id(template)][0]:
+                    candidates[id(template)] = (place, template)
+        able = [t for place, t in candidates.values() if len(t.words) - place >= t.needed]
+        if not able or len(lines) < 2:
+            return []
+        vocabulary = {w for t in able for w in t.words}
+        # place of each word, less one for each line begun
+        spots: dict[bytes, list[tuple[int, int]]] = {}
+        at = 0
+        for number, line in enumerate(lines):
+            words = WORD.findall(line)
+            at -= bool(words)
+            for word in words:
+                at += 1
+                if word in vocabulary:
+                    spots.setdefault(word, []).append((number, at))
+        found = []
+        for template in able:
+            if sum(w in spots for w in template.words) < template.needed:
+                continue
+            run = sorted((*spot, w) for w in template.words for spot in spots.get(w, ()))
+            best: dict[int, int] = {}
+            held: Counter = Counter()
+            first = 0
+            for end, (number, place, word) in enumerate(run, 1):
+                held[word] += 1
+                while run[first][1] <= place - template.reach:
+                    gone = run[first][2]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                    first += 1
+                for begin in range(first, end) if len(held) >= template.needed else ():
+                    start, place_0, _ = run[begin]
+                    words = [w for _, _, w in run[begin:end]]
+                    holds = len(set(words))
+                    if start == number or holds < template.needed:
+                        break
+                    if holds > best.get(start, 0) and template.in_order(words, place - place_0 + 1):
+                        best[start] = holds
+            found += [(n, template.label, k / len(template.words)) for n, k in best.items()]
+        return sorted(found)
+
 
 def _lower(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if isinstance(text, str) else b""
@@ -153,7 +223,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
          templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES,
          threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``places`` (phrase matches by first word) and
-    ``blocks`` (matching lines with label and containment)."""
+    ``blocks`` (matching lines, and first lines of matching runs, with label and containment)."""
     vocabulary = {w for t in [*templates, *phrases] for w in t.encode().split()}
     index = Index(frequencies(docs, vocabulary, text), templates, phrases, threshold)
     shipped = docs.sparkSession.sparkContext.broadcast(index)
@@ -173,8 +243,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             hits = own.words.intersection(words)
             places.append([{"word": p, "label": k} for p, k in own.places(words, hits)]
                           if hits else [])
+            lines = raw.split(b"\n")
             blocks.append([{"line": n, "label": k, "containment": c}
-                           for n, k, c in own.blocks(raw.split(b"\n"), hits)] if hits else [])
+                           for n, k, c in own.blocks(lines, hits) + own.wrapped(lines, hits)]
+                          if hits else [])
         return [counts, places, blocks]
 
     return with_text_columns(docs.select(doc_id, text), text, added, work).drop(text)
