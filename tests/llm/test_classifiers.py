@@ -100,3 +100,19 @@ def test_quality_cases(spark):
     rows = cotraining.score(docs, cotraining.train(docs, both)).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
     assert cotraining.score(docs.limit(0), cotraining.train(docs.limit(0), both)).collect() == []
+
+
+def test_stage_rejects_texts_of_no_learned_language(spark):
+    rng = np.random.default_rng(3)
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "doc_id", "text", "lang")
+
+    def alien(letters):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(120))
+
+    odd = [alien("абвгдежзиклмнопрстуфхцчшщыэюя") for _ in range(10)]
+    odd += [alien("abcdefghijklmnopqrstuvwxyz") for _ in range(10)]
+    docs = real.union(spark.createDataFrame(
+        [(-1 - k, text, None) for k, text in enumerate(odd)], real.schema))
+    kept = {r.doc_id for r in language_id.known_language(spark, docs, "").collect()}
+    assert kept == {r.doc_id for r in real.collect()}

@@ -4,6 +4,12 @@ Each language has a codeword; one binary classifier over hashed letter n-grams p
 A document goes to the codeword with the least loss, each bit weighted by how well its classifier
 did in training; a small lead over the second codeword marks the document as ambiguous.
 
+The pipeline's stage also rejects documents that are near no codeword: those whose weighted loss to
+the nearest one exceeds a bound. The bound is the worst loss of the training rows, each told by
+classifiers fitted on the other half of them, so that documents of the known languages stay; it is
+never below ``LEAST_BOUND``. With under ``MIN_CALIBRATION`` training rows or one language there is no
+bound.
+
 Defined results: a null text or one without a letter is ``und`` with score 0 and not ambiguous;
 with no learned language every document is ``und``; with one, every document with a letter is that
 language with score 1. A null doc_id is not held out. Repeated rows give equal rows. Ties between
@@ -15,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +39,9 @@ MAX_TRAINING_ROWS = 2_400
 #: A lead of less than this share of probability marks a document as ambiguous.
 AMBIGUOUS_BELOW = 0.2
 ROUNDS = 120
+MIN_CALIBRATION = 100
+#: Half of the loss of a classifier that knows nothing.
+LEAST_BOUND = float(np.log(2)) / 2
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are not ASCII letters nor part of a longer character count as a space.
 LETTERS_ONLY = np.array(
@@ -46,6 +55,7 @@ class Model:
     codes: np.ndarray  # (languages, bits) of +-1
     weights: np.ndarray  # (features + 1, bits)
     trust: np.ndarray  # (bits,)
+    bound: float = np.inf  # of the loss, beyond which a text is in no learned language
 
 
 def features(raws: list[bytes]) -> np.ndarray:
@@ -95,6 +105,27 @@ def fit(texts: list[str | None], langs: list[str]) -> Model:
     return Model(languages, codes, w, np.log((1 - error) / error))
 
 
+def losses(model: Model, x: np.ndarray) -> np.ndarray:
+    """(rows, languages): loss of each bit for each codeword, weighted and averaged."""
+    margin = x @ model.weights
+    loss = np.log1p(np.exp(-np.clip(margin[:, None, :] * model.codes, -30, 30)))
+    return (loss * model.trust).sum(axis=2) / model.trust.sum()
+
+
+def bound(texts: list[str | None], langs: list[str]) -> float:
+    """The worst loss of the rows, each under a model of the other half of them."""
+    if len(texts) < MIN_CALIBRATION or len(set(langs)) < 2:
+        return np.inf
+    worst = LEAST_BOUND
+    for k in (0, 1):
+        model = fit(texts[k::2], langs[k::2])
+        if len(model.languages) < 2:
+            return np.inf
+        for raws in chunks(texts[1 - k::2]):
+            worst = max(worst, float(losses(model, features(raws)).min(axis=1).max()))
+    return worst
+
+
 def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the nearest codeword by weighted loss, its probability, and its lead."""
     if len(model.languages) == 1:
@@ -115,7 +146,11 @@ def predict(model: Model, texts) -> list[list]:
     for raws in chunks(texts):
         lettered = [bool(LETTER.search(r.decode("utf-8", "replace"))) for r in raws]
         if model.languages:
-            top, score, lead = decode(model, features(raws))
+            x = features(raws)
+            top, score, lead = decode(model, x)
+            if model.bound < np.inf:
+                near = losses(model, x).min(axis=1) <= model.bound
+                lettered = [ok and bool(n) for ok, n in zip(lettered, near, strict=True)]
         for k, ok in enumerate(lettered):
             known = ok and bool(model.languages)
             langs.append(model.languages[top[k]] if known else UNDETERMINED)
@@ -125,11 +160,12 @@ def predict(model: Model, texts) -> list[list]:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-          max_rows: int = MAX_TRAINING_ROWS) -> Model:
+          max_rows: int = MAX_TRAINING_ROWS, bounded: bool = False) -> Model:
     """A model from about ``max_rows`` rows of ``labelled``.
 
     Each language gives an equal share at most, taken by a hash of the id, so rare languages are
-    not lost. Nulls in ``lang`` are left out, as are texts without a letter.
+    not lost. Nulls in ``lang`` are left out, as are texts without a letter. A ``bounded`` model
+    finds texts of no learned language ``und``.
     """
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(
@@ -142,7 +178,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     draw = F.pmod(F.xxhash64(doc_id), F.lit(1_000_003)) / F.lit(1_000_003.0)
     some = rows.filter(draw < share[F.col(lang)]).select(text, lang).limit(2 * max_rows).collect()
     some.sort(key=lambda r: (r[1], r[0]))
-    return fit([r[0] for r in some], [r[1] for r in some])
+    texts, langs = [r[0] for r in some], [r[1] for r in some]
+    model = fit(texts, langs)
+    return replace(model, bound=bound(texts, langs)) if bounded else model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -168,7 +206,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents whose language can be told; those found ``und`` go."""
-    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    """Stage: documents whose language can be told; those found ``und`` go, which are texts without
+    letters and texts of no learned language."""
+    model = train(docs.filter(~held_out(F.col("doc_id"))), bounded=True)
     return (identify(docs, model).filter(F.col("lang_pred") != UNDETERMINED)
             .select(*docs.columns))
