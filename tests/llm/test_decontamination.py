@@ -72,3 +72,12 @@ def test_plan_has_no_python(spark):
     docs, items = documents(spark, [prose(1, 30)]), items_of(spark, [prose(1, 30)])
     plan = decontamination.leaks(docs, items)._jdf.queryExecution().toString()
     assert not any(k in plan for k in ("Python", "Pandas", "ArrowEval", "MapIn"))
+
+
+def test_stage_keeps_clean_texts_that_share_an_id(spark, tmp_path):
+    items_of(spark, [prose(1, 30)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [prose(1, 30), prose(2, 30), None, f"a {prose(1, 30)} b", prose(3, 30), prose(4, 30)]
+    docs = documents(spark, texts, ids=[None, None, None, 7, 7, 8])
+    kept = decontamination.clean(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted((r.n for r in kept.collect())) == [1, 2, 4, 5]

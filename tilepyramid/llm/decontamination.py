@@ -103,13 +103,22 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
           item_id: str = "item_id", item_text: str = "text", width: int = WORDS,
           threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): every leak of an item into a document."""
+    return leaking_texts(docs, items, F.xxhash64(text), doc_id, text, item_id, item_text, width,
+                         threshold).drop("copy")
+
+
+def leaking_texts(docs: DataFrame, items: DataFrame, copy: Column, doc_id: str = "doc_id",
+                  text: str = "text", item_id: str = "item_id", item_text: str = "text",
+                  width: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The leaks with ``copy``, which tells texts of the same id apart."""
     shingles = stored(item_shingles(items, item_id, item_text, width), "item-shingles")
     spans = sorted(r[0] for r in shingles.select("span").distinct().collect())  # <= width values
     spark = docs.sparkSession
     if not spans:
         return spark.createDataFrame([], f"doc_id {docs.schema[doc_id].dataType.simpleString()}, "
                                      f"item_id {items.schema[item_id].dataType.simpleString()}, "
-                                     "n_shared long, n_item long, containment double")
+                                     "n_shared long, n_item long, containment double") \
+            .withColumn("copy", F.lit(None).cast("string"))
     sketch = stored(sketches(shingles, threshold), "item-sketches")
     few = sketch.count() <= BROADCAST_HASHES
     probe = sketch.withColumnRenamed("span", "item_span")
@@ -120,11 +129,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     pairs = stored(found.select("doc_id", "item_no").distinct(), "leak-candidates")
 
     suspects = pairs.select(F.col("doc_id").alias("_doc")).distinct()
-    again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
+    again = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
+                        copy.alias("copy")).join(
         F.broadcast(suspects) if suspects.count() <= BROADCAST_HASHES else suspects,
         F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
     again = again.distinct().select(
-        "doc_id", F.xxhash64("text").alias("copy"), words(F.col("text")).alias("w"))
+        "doc_id", "copy", words(F.col("text")).alias("w"))
     held = None
     for span in spans:
         rows = (again.filter(F.size("w") >= span)
@@ -146,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
                          & (F.col("item_no") == F.col("_item")), "left_semi")
     return (shared.filter(F.col("n_shared") >= needed(F.col("size"), threshold))
             .select("doc_id", "item_id", "n_shared", F.col("size").alias("n_item"),
-                    (F.col("n_shared") / F.col("size")).alias("containment")))
+                    (F.col("n_shared") / F.col("size")).alias("containment"), "copy"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +164,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: documents into which no benchmark item leaks."""
-    found = stored(leaks(docs, read(spark, sf_dir, "benchmark")).select(
-        F.col("doc_id").alias("_bad")).distinct(), "leaking-documents")
+    """Stage: documents into which no benchmark item leaks; an id, or its lack, that clean and
+    leaking texts share is no reason to go."""
+    copy = F.sha2(F.col("text").cast("binary"), 256)
+    found = stored(leaking_texts(docs, read(spark, sf_dir, "benchmark"), copy).select(
+        F.col("doc_id").alias("_bad"), F.col("copy").alias("_copy")).distinct(), "leaking-documents")
     found = F.broadcast(found) if found.count() <= BROADCAST_HASHES else found
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")) & (copy == F.col("_copy")),
+                     "left_anti")
 
 
 OP4_SQL = rf"""
