@@ -128,3 +128,17 @@ def test_shared_counts_over_slices(monkeypatch):
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 30, 60, 90, 9)]
     got = ngram_join.shared_counts(sets, slice(0, 3), slice(3, 6))
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3]]
+
+
+def test_ids_with_several_texts(spark):
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 90)
+    texts, ids = [a, a, b, edited(b, 1, 1), c, "", ""], [3, 5, 5, 9, 9, 5, 7]
+    docs = documents(spark, texts, ids=ids)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.joined(docs).collect()}
+    assert got == {3: (77, 3), 5: (77, 3), 9: (87, 3), 7: (0, 7)}
+    only = documents(spark, [a, a, b, b], ids=[3, 5, 5, 9])
+    rows = sorted(tuple(r) for r in ngram_join.joined(only).collect())
+    assert rows == [(3, 77, 3), (5, 77, 3), (5, 77, 3), (9, 77, 3)]
+    kept = ngram_join.one_of_each(spark, docs.union(docs), "")
+    assert kept.columns == docs.columns
+    assert sorted(r.n for r in kept.collect()) == [0, 2, 4, 5, 6]

@@ -25,7 +25,8 @@ document throughout.
 Defined results: a text without words, or null, has no shingles, links with nothing and is its own
 component; a null id gets its n_shingles, a null component, and no links; rows repeating id and
 text give equal rows; rows that share an id but not a text count as one document for links, with the
-largest n_shingles. Texts are read whole, whatever their length. Other columns are not looked at.
+largest n_shingles: each text is a set of its own, and what links with one is tied to the others
+(texts without shingles tie nothing). The pipeline's stage judges texts, not ids. Texts are read whole, whatever their length. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,13 +256,37 @@ def with_texts(sent: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").join(F.broadcast(sent) if few else sent, "doc")
 
 
+def copy_of(text: str = "text") -> Column:
+    """What tells texts apart; empty for a null text."""
+    return F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit(""))
+
+
 def text_copies(docs: DataFrame) -> DataFrame:
-    """(doc, rep): each document with the smallest id that has the same text; stored."""
-    keyed = docs.select("doc", F.sha2(F.col("text").cast("binary"), 256).alias("copy")).filter(
-        F.col("doc").isNotNull()).distinct()
+    """(doc, copy, rep, node): each text of each document, with the smallest id that has the same
+    text, and the id of the text itself; stored.
+
+    The node of a text is its ``rep``, or a hash where another text took that before.
+    """
+    keyed = docs.filter(F.col("doc").isNotNull()).select("doc", copy_of().alias("copy")).distinct()
     reps = keyed.groupBy("copy").agg(F.min("doc").alias("rep"))
-    return stored(keyed.join(reps, keyed["copy"].eqNullSafe(reps["copy"])).select("doc", "rep"),
-                  "text-copies")
+    turn = F.row_number().over(Window.partitionBy("rep").orderBy("copy"))
+    reps = reps.withColumn("node", F.when(turn == 1, F.col("rep")).otherwise(
+        F.xxhash64("copy", F.lit("text"))))
+    return stored(keyed.join(reps, "copy").select("doc", "copy", "rep", "node"), "text-copies")
+
+
+def several_texts(copies: DataFrame) -> bool:
+    """Whether an id has more than one text."""
+    return not copies.groupBy("doc").count().filter("count > 1").isEmpty()
+
+
+def by_text(docs: DataFrame, told: DataFrame, how: str, doc: str = "doc",
+            text: str = "text") -> DataFrame:
+    """``docs`` joined with ``told`` (doc, copy, ..) by id and text."""
+    told = stored(told.withColumnsRenamed({"doc": "_doc", "copy": "_copy"}), "ngram-texts")
+    few = told.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(told) if few else told, (F.col(doc) == F.col("_doc"))
+                     & (copy_of(text) == F.col("_copy")), how).drop("_doc", "_copy")
 
 
 def without(docs: DataFrame, ids: DataFrame, on: str) -> DataFrame:
@@ -276,8 +301,42 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id) of every row of ``documents``."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     copies = text_copies(docs)
-    single = without(docs.filter(F.col("doc").isNotNull()),
-                     copies.filter("doc <> rep").select("doc"), "doc")
+    several = several_texts(copies)
+    sizes, links = text_links(docs, copies, several, width, percent)
+    nodes = copies.join(sizes.withColumnRenamed("doc", "node"), "node")
+    if several:
+        # texts of one document are tied
+        first = nodes.filter("n > 0").groupBy("doc").agg(F.min("node").alias("b"))
+        links = links.union(nodes.filter("n > 0").join(first, "doc").filter("node <> b").select(
+            F.col("node").alias("a"), "b"))
+    parts = components(links)
+    known = nodes.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn(
+        "part", F.coalesce("component", "node"))
+    if several:
+        known = stored(known, "ngram-known")
+        # a component is named by its smallest document, which may not be its smallest node
+        names = stored(known.filter("n > 0").groupBy("part").agg(F.min("doc").alias("name"))
+                       .filter("part <> name"), "ngram-names")
+        names = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
+        known = known.join(names, "part", "left").withColumn("part", F.coalesce("name", "part"))
+    known = (known.groupBy("doc").agg(
+        F.max("n").alias("n_shingles"),
+        F.coalesce(F.min(F.when(F.col("n") > 0, F.col("part"))), F.col("doc"))
+        .alias("component_id")))
+    ids = docs.select("doc").filter(F.col("doc").isNotNull())
+    return ids.join(known, "doc").select(
+        F.col("doc").alias("doc_id"), "n_shingles", "component_id").union(_nameless(docs, width))
+
+
+def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
+               percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, n) and the links (a, b) of all distinct texts, by their nodes."""
+    if several:
+        single = by_text(docs, copies.filter("doc = rep").select("doc", "copy", "node"), "inner")
+        single = single.select(F.col("node").alias("doc"), "text")
+    else:
+        single = without(docs.filter(F.col("doc").isNotNull()),
+                         copies.filter("doc <> rep").select("doc"), "doc")
     same = Window.partitionBy("key")
     told = stored(signed(single, width, percent).withColumns({
         "freq": F.count(F.lit(1)).over(same),
@@ -304,17 +363,7 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
     links = links.union(_links(_pairs(held.filter(F.col("held") <= DENSE)), lists, single, width,
                                percent))
     links = links.union(_block_links(held.filter(F.col("held") > DENSE), single, width, percent))
-    parts = components(links)
-
-    known = (copies.join(sizes.withColumnRenamed("doc", "rep"), "rep")
-             .join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-             .select("doc", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc"))
-                     .otherwise(F.coalesce("component", "rep")).alias("component_id"))
-             .groupBy("doc").agg(F.max("n_shingles").alias("n_shingles"),
-                                 F.min("component_id").alias("component_id")))
-    ids = docs.select("doc").filter(F.col("doc").isNotNull())
-    return ids.join(known, "doc").select(
-        F.col("doc").alias("doc_id"), "n_shingles", "component_id").union(_nameless(docs, width))
+    return sizes, links
 
 
 def _nameless(docs: DataFrame, width: int) -> DataFrame:
@@ -423,6 +472,19 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of each group of linked documents (five words, 0.8) the smallest id stays."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    copies = text_copies(keyed)
+    if several_texts(copies):
+        sizes, links = text_links(keyed, copies, True, 5, 80)
+        own = copies.join(sizes.withColumnRenamed("doc", "node"), "node").filter("n > 0").join(
+            components(links).withColumnRenamed("id", "node"), "node", "left").withColumn(
+            "part", F.coalesce("component", "node"))
+        first = own.groupBy("part").agg(F.min(F.struct("doc", "copy")).alias("kept"))
+        surplus = own.join(first, "part").filter("struct(doc, copy) <> kept").select("doc", "copy")
+        kept = by_text(docs, surplus, "left_anti", "doc_id")
+        return (kept.filter("doc_id IS NOT NULL").withColumn("_copy", copy_of())
+                .dropDuplicates(["doc_id", "_copy"]).drop("_copy")
+                .unionByName(kept.filter("doc_id IS NULL")))
     told = stored(joined(docs, width=5, percent=80), "ngram-components")
     surplus = told.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = without(docs, surplus, "doc_id")
