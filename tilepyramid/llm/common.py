@@ -86,3 +86,25 @@ def ranked(df: DataFrame, groups: list[str], key: str, ties: list[Column], rank:
             .join(before, [*groups, part])
             .withColumn(rank, F.col("_before") + F.col("_own"))
             .drop("_own", "_before", part))
+
+
+def numbered(df: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """``df`` with the 0-based place of each row in the total order ``order``.
+
+    Rows are dealt by range into the session's number of shuffle partitions and numbered within
+    each; the counts of the partitions before are added. What is dealt is stored, so that a lost
+    task cannot change it. Rows equal in ``order`` are told apart by where they were read: they may
+    be many, and get their places in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.withColumn("_row", F.monotonically_increasing_id())
+                   .repartitionByRange(parts, *order, "_row")
+                   .withColumn("_part", F.spark_partition_id()), "numbered")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)  # over one row per partition
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_row")) - 1
+    return (dealt.withColumn("_own", own).join(F.broadcast(before), "_part")
+            .withColumn(place, F.col("_before") + F.col("_own"))
+            .drop("_part", "_row", "_own", "_before"))

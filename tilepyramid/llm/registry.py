@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tilepyramid.llm import (
+    conversations,
     cotraining,
     decontamination,
     embedding_dedup,
@@ -14,6 +15,7 @@ from tilepyramid.llm import (
     licenses,
     mixing,
     ngram_join,
+    resampling,
     secret_scan,
     sharding,
     warc,
@@ -34,6 +36,8 @@ def queries() -> dict[str, Query]:
         "op8_sharding": sharding.op8_sharding,
         "op9_warc": warc.op9_warc,
         "op10_licenses": licenses.op10_licenses,
+        "op11_resampling": resampling.op11_resampling,
+        "op13_conversations": conversations.op13_conversations,
     }
 
 
@@ -45,4 +49,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontamination.OP4_SQL,
         "op9_warc": warc.OP9_SQL,
         "op10_licenses": licenses.OP10_SQL,
+        "op11_resampling": resampling.OP11_SQL,
+        "op13_conversations": conversations.OP13_SQL,
     }
