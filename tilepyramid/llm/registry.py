@@ -11,6 +11,7 @@ from tilepyramid.llm import (
     cotraining,
     decontamination,
     embedding_dedup,
+    html_extraction,
     language_id,
     licenses,
     mixing,
@@ -37,6 +38,7 @@ def queries() -> dict[str, Query]:
         "op9_warc": warc.op9_warc,
         "op10_licenses": licenses.op10_licenses,
         "op11_resampling": resampling.op11_resampling,
+        "op12_html": html_extraction.op12_html,
         "op13_conversations": conversations.op13_conversations,
     }
 
