@@ -131,6 +131,37 @@ def test_mixed_coarseness_changes_nothing(source, monkeypatch, method, oversampl
     assert cells_of(tile_cells(*source, [2], method=method)) == want
 
 
+@pytest.mark.parametrize("fine", [0.0, 2.0, 3.0, 5.0, 1e9])
+@pytest.mark.parametrize("options", [
+    {}, {"compat": False}, {"method": "forward", "bands": None},
+    {"method": "forward", "window": "abs", "compat": False}])
+def test_patches_and_cells_agree(source, monkeypatch, options, fine):
+    """All by patches, all by cells, and levels where scenes go both ways."""
+    scenes = source[0].filter("scene_id <> 4") if options.get("window") else source[0]
+    build = tile_cells(scenes, source[1], "1-3", **options)
+    want = cells_of(build)
+    monkeypatch.setattr(mosaic_module, "FINE", fine)
+    assert cells_of(tile_cells(scenes, source[1], "1-3", **options)) == want
+
+
+@pytest.mark.parametrize("method", ["forward", "inverse"])
+def test_crowded_tiles_are_merged_in_parts(source, monkeypatch, method):
+    want = cells_of(tile_cells(*source, "1-2", method=method))
+    monkeypatch.setattr(mosaic_module, "LAYERS", 1)
+    assert cells_of(tile_cells(*source, "1-2", method=method)) == want
+
+
+def test_missing_samples_leave_the_cell_to_others(spark):
+    gt = [100.3, 50000.1, 0, -100.3, 0, -50000.1]
+    scenes, blocks = tables(spark, [scene(1, 0, 3857, 4, 4, gt, values=lambda: 9),
+                                    scene(2, 1, 3857, 4, 4, gt, values=lambda: 5)])
+    holed = blocks.withColumn("cells", F.transform("cells", lambda v, i: F.when(
+        (F.col("scene_id") == 1) | (i % 2 == 0), v)))
+    for method in ("inverse", "forward"):
+        got = cells_of(tile_cells(scenes, holed, [3], method=method))
+        assert set(got.values()) == {5, 9}
+
+
 def test_spreading_coarse_blocks_changes_nothing(source, inverse_model, monkeypatch):
     monkeypatch.setattr(mosaic_module, "OVERSAMPLED", 0)
     assert cells_of(tile_cells(*source, [2])) == expected(inverse_model[True], 2)

@@ -42,11 +42,15 @@ def scene_stats(scenes: DataFrame) -> SceneStats:
     return SceneStats(row[0], *[v or 0 for v in row[1:6]], row[6] == row[0])
 
 
-def cell_side() -> Column:
-    """Longer side of a scene's cell in metres, roughly."""
-    g = affine_columns("gt")
+def affine_side(g: list[Column], geographic: Column) -> Column:
+    """Longer side of an affine's cell in metres, roughly."""
     side = F.greatest(F.abs(g[1]) + F.abs(g[2]), F.abs(g[4]) + F.abs(g[5]))
-    return F.when(F.col("epsg") == 4326, side * METRES_PER_DEGREE).otherwise(side)
+    return F.when(geographic, side * METRES_PER_DEGREE).otherwise(side)
+
+
+def cell_side() -> Column:
+    """:func:`affine_side` of a scene row."""
+    return affine_side(affine_columns("gt"), F.col("epsg") == 4326)
 
 
 def join_by_scene(

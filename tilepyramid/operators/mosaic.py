@@ -1,15 +1,18 @@
 """Mosaic and nearest-neighbour resampling of scene blocks into tile cells (O-A2..O-A5, O-J3).
 
-Both directions share one shape.  Each block is fanned out, where it was scanned, to the zooms
-and tiles it can touch and then to cells; this part is one whole-stage-codegen span of nested
-generators in which the block's array is passed by reference.  Cells then meet in a single
-hash aggregation keyed by one packed BIGINT, with map-side combine, that keeps the last write.
-A hot tile is therefore spread over its 65,536 cells, and a hot cell shrinks to one row per map
-task before the shuffle.
+A block's share of a tile goes one of two ways, by how its cells compare with the tile's. Where they
+are not much finer, the block is resampled to array patches, which are shuffled once, by tile, and laid
+over each other (``patches``). Where they are (``FINE`` or less of a tile cell, so that many blocks meet
+in few cells) each block is fanned out, where it was scanned, to tiles and then to cells in one
+whole-stage-codegen span of nested generators, and the cells meet in a hash aggregation keyed by one
+packed BIGINT, with map-side combine, that keeps the last write: a hot tile is spread over its 65,536
+cells, and a hot cell shrinks to one row per map task before the shuffle. Both hold a cell's order and
+value in one BIGINT, so that they merge. Where the order does not fit one, all go the second way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +25,7 @@ from tilepyramid.functions.tilekey import tile_row
 from tilepyramid.operators.georeference import (
     BROADCAST_ROWS,
     SceneStats,
+    affine_side,
     cell_side,
     georeference,
     scene_stats,
@@ -30,12 +34,20 @@ from tilepyramid.operators.grid import zoom_levels
 from tilepyramid.operators.overlap import (
     reached_columns,
     reached_rows,
+    scene_tile_pairs,
     spread,
     tile_east,
     tile_north,
     tile_south,
     tile_west,
 )
+from tilepyramid.operators.patches import (
+    VALUE_BIAS,
+    VALUE_BITS,
+    forward_cells,
+    inverse_patches,
+    overlaid,
+)
 from tilepyramid.sources.zooms import check_zooms
 
 # Slack, in tiles or cells, that keeps a computed window a superset of the exact answer: far
@@ -45,6 +57,10 @@ CELL_SLACK = 1e-3
 
 # Tile cells per source cell and axis above which one block makes too much work for one task.
 OVERSAMPLED = 16
+# Tile cells per source cell and axis up to which cells, not patches, are combined.
+FINE = 1 / 8
+# Scenes over one tile above which its patches are first merged in parts: about 1 GB of patches.
+LAYERS = 4_096
 
 AFFINE = [f"g{i}" for i in range(6)]
 
@@ -67,25 +83,145 @@ def mosaic(
     the forward scan to the source window under each tile (``"clip"``, or ``"abs"`` for the
     variant that takes the absolute end index).  ``bands=None`` means every band.
     """
-    if method not in ("inverse", "forward"):
-        raise ValueError(f"unknown method {method!r}")
-    if window not in (None, "clip", "abs") or (window and method == "inverse"):
-        raise ValueError(f"unknown window {window!r} for method {method!r}")
-    zooms = check_zooms(zooms)
-    stats = scene_stats(scenes)
-    if bands is not None:
-        blocks = blocks.filter(F.col("band").isin(*bands))
-    if not compat:  # compat wraps every sample to 16 bits
-        blocks = sixteen_bit(blocks)
-    forward = method == "forward"
-    written = None
-    for part, oversampled in _by_coarseness(scenes, stats, zooms):
-        placed = georeference(blocks, part, stats, broadcast_rows)
-        tiles = _block_tiles(placed, zooms, forward, oversampled)
-        cells = _forward_cells(tiles, window, compat) if forward else _inverse_cells(tiles, compat)
-        cells = _writes(cells, stats, forward, bands)
-        written = cells if written is None else written.union(cells)
-    return _last_write(written, stats, forward, bands)
+    build = _Build(blocks, scenes, zooms, method, window, bands, compat, broadcast_rows)
+    if not build.patch_zooms:
+        return build.decoded(build.last_writes(build.cell_zooms))
+    entries = build.laid().select("tile_id", "band", F.explode("entries").alias("entry"))
+    return entries.select(
+        # Never NULL; saying so keeps the null filters of later joins away from the arrays.
+        F.coalesce("tile_id", F.lit(-1)).alias("tile_id"), "band",
+        F.col("entry").bitwiseAND(0xFFFF).alias("cell"),
+        (F.shiftright("entry", 16) + (0 if compat else 32768)).alias("value"))
+
+
+def tile_arrays(
+    blocks: DataFrame,
+    scenes: DataFrame,
+    zooms: str | Iterable[int],
+    method: str = "inverse",
+    window: str | None = None,
+    bands: Sequence[int] | None = DEFAULT_BANDS,
+    compat: bool = True,
+    broadcast_rows: int = BROADCAST_ROWS,
+    touched: DataFrame | None = None,
+) -> DataFrame:
+    """The mosaic as one row per (tile, band): ``tile_id, band, entries, n_negative, n_filled``.
+
+    ``entries`` are the filled cells, sorted, each ``value << 16 | cell`` (the value less 32768 if not
+    ``compat``). ``touched`` (tile_id, band) adds tiles that were reached but got no cell.
+    """
+    build = _Build(blocks, scenes, zooms, method, window, bands, compat, broadcast_rows)
+    if build.patch_zooms:
+        return build.laid(touched)
+    return gather(build.decoded(build.last_writes(build.cell_zooms)), compat, touched)
+
+
+def gather(cells: DataFrame, compat: bool = True, touched: DataFrame | None = None) -> DataFrame:
+    """Rows of cells, at most one for each cell of a tile, as the arrays of :func:`tile_arrays`."""
+    bias = 0 if compat else 32768
+    entry = F.shiftleft(F.col("value") - bias, 16).bitwiseOR(F.col("cell"))
+    rows = cells.select("tile_id", "band", entry.alias("entry"))
+    if touched is not None:
+        rows = rows.unionByName(touched.select("tile_id", "band"), allowMissingColumns=True)
+    # The pre-shuffle leaves collect_list nothing to do map-side.
+    return rows.repartition("tile_id", "band").groupBy("tile_id", "band").agg(
+        F.sort_array(F.collect_list("entry")).alias("entries"),
+        # Only biased entries are negative without a negative value.
+        F.count_if(F.lit(compat) & (F.col("entry") < 0)).cast("int").alias("n_negative"),
+        F.count("entry").cast("int").alias("n_filled"))
+
+
+class _Build:
+    """One mosaic: which zooms go which way, and the two ways."""
+
+    def __init__(self, blocks, scenes, zooms, method, window, bands, compat, broadcast_rows):
+        if method not in ("inverse", "forward"):
+            raise ValueError(f"unknown method {method!r}")
+        if window not in (None, "clip", "abs") or (window and method == "inverse"):
+            raise ValueError(f"unknown window {window!r} for method {method!r}")
+        self.scenes, self.window, self.bands, self.compat = scenes, window, bands, compat
+        self.forward, self.broadcast_rows = method == "forward", broadcast_rows
+        zooms = check_zooms(zooms)
+        self.stats = stats = scene_stats(scenes)
+        if bands is not None:
+            blocks = blocks.filter(F.col("band").isin(*bands))
+        # compat wraps every sample to 16 bits
+        self.blocks = blocks if compat else sixteen_bit(blocks)
+        self.place_bits = stats.max_cells.bit_length() if self.forward else 0
+        if fits_one_long(stats, self.place_bits):
+            self.patch_zooms = [z for z in zooms if stats.coarsest > FINE * RESOLUTIONS[z]]
+            self.cell_zooms = [z for z in zooms if stats.finest <= FINE * RESOLUTIONS[z]]
+        else:
+            self.patch_zooms, self.cell_zooms = [], list(zooms)
+        # Only a zoom that goes both ways has to be told apart block by block.
+        self.both = set(self.patch_zooms) & set(self.cell_zooms)
+
+    def last_writes(self, zooms: Sequence[int]) -> DataFrame:
+        """(cell_id, [band,] last) of the cells way."""
+        written = None
+        for part, oversampled in _by_coarseness(self.scenes, self.stats, zooms):
+            placed = georeference(self.blocks, part, self.stats, self.broadcast_rows)
+            leveled = self._of_kind(_block_zooms(placed, zooms, self.forward), fine=True)
+            tiles = _block_tiles(leveled, self.forward, oversampled)
+            cells = (_forward_cells(tiles, self.window, self.compat) if self.forward
+                     else _inverse_cells(tiles, self.compat))
+            cells = _writes(cells, self.stats, self.forward, self.bands)
+            written = cells if written is None else written.union(cells)
+        return _last_write(written, self.stats, self.forward)
+
+    def _of_kind(self, leveled: DataFrame, fine: bool) -> DataFrame:
+        if not self.both:
+            return leveled
+        g = [F.col(c) for c in AFFINE]
+        small = affine_side(g, F.col("geographic")) <= FINE * F.col("res")
+        return leveled.filter(small if fine else ~small)
+
+    def decoded(self, kept: DataFrame) -> DataFrame:
+        return _decoded(kept, self.stats, self.forward, self.bands)
+
+    def patches(self) -> DataFrame:
+        if self.forward:
+            placed = georeference(self.blocks, self.scenes, self.stats, self.broadcast_rows)
+            leveled = self._of_kind(_block_zooms(placed, self.patch_zooms, True), fine=False)
+            return forward_cells(leveled, self.compat, self.window, self.place_bits)
+        found = None
+        for part, oversampled in _by_coarseness(self.scenes, self.stats, self.patch_zooms):
+            placed = georeference(self.blocks, part, self.stats, self.broadcast_rows)
+            leveled = self._of_kind(_block_zooms(placed, self.patch_zooms, False), fine=False)
+            tiles = _inverse_spans(_block_tiles(leveled, False, oversampled))
+            tiles = tiles.filter("dxs IS NOT NULL AND dys IS NOT NULL").withColumns({
+                "tile_id": tile_id(F.col("z"), F.col("tile_column"), F.col("grid_row")),
+                "dx0": F.col("dxs.first"), "dx1": F.col("dxs.last"),
+                "dy0": F.col("dys.first"), "dy1": F.col("dys.last")})
+            patches = inverse_patches(tiles, self.compat)
+            found = patches if found is None else found.union(patches)
+        return found
+
+    def laid(self, touched: DataFrame | None = None) -> DataFrame:
+        """The arrays of all tiles."""
+        rows = self.patches()
+        if self.cell_zooms:
+            band = (F.col("band") if self.bands is None or len(self.bands) > 1
+                    else F.lit(self.bands[0])).cast("int")
+            cell = F.struct(F.col("cell_id").bitwiseAND(0xFFFF).cast("int").alias("cell"), "last")
+            merged = self.last_writes(self.cell_zooms).groupBy(
+                F.shiftright("cell_id", 16).alias("tile_id"), band.alias("band")).agg(
+                F.collect_list(cell).alias("t"))
+            rows = rows.unionByName(merged.select(
+                "tile_id", "band", F.col("t.cell").alias("cells"), F.col("t.last").alias("packed")),
+                allowMissingColumns=True)
+        if touched is not None:
+            rows = rows.unionByName(touched.select("tile_id", "band"), allowMissingColumns=True)
+        return overlaid(rows, self.compat, self._salts())
+
+    def _salts(self) -> int:
+        """Parts in which a tile's patches are merged first: one unless more than ``LAYERS`` scenes
+        touch a tile of the lowest level, of which the tiles of the others are parts."""
+        if self.stats.rows <= LAYERS:
+            return 1
+        pairs = scene_tile_pairs(self.scenes, [min(self.patch_zooms)])
+        most = pairs.groupBy("x", "grid_row").count().agg(F.max("count")).first()[0] or 0
+        return 1 if most <= LAYERS else math.ceil(math.sqrt(most))
 
 
 def _by_coarseness(
@@ -111,15 +247,8 @@ def sixteen_bit(blocks: DataFrame) -> DataFrame:
                              .otherwise(F.col("cells")))
 
 
-def _block_tiles(
-    blocks: DataFrame, zooms: Sequence[int], forward: bool, oversampled: bool
-) -> DataFrame:
-    """Fan blocks out to the tiles their footprint can reach.
-
-    When cells are far coarser than the finest zoom, one block covers many tiles and its fan-out
-    would be one task's work; its (block, tile column) copies are then spread first, which moves
-    about a hundredth of what they grow into.
-    """
+def _block_zooms(blocks: DataFrame, zooms: Sequence[int], forward: bool) -> DataFrame:
+    """Blocks with their footprint, once for every level."""
     df = blocks.withColumns({
         "px0": F.col("block_col") * F.col("bw"), "py0": F.col("block_row") * F.col("bh"),
     })
@@ -140,8 +269,16 @@ def _block_tiles(
     west, south = crs.to_mercator(F.least(*xs), F.least(*ys), geographic)
     east, north = crs.to_mercator(F.greatest(*xs), F.greatest(*ys), geographic)
     df = df.withColumns({"west": west, "east": east, "south": south, "north": north})
+    return df.select("*", F.inline(zoom_levels(zooms)))
+
+
+def _block_tiles(df: DataFrame, forward: bool, oversampled: bool) -> DataFrame:
+    """Fan (block, zoom) rows out to the tiles their footprint can reach.
 
-    df = df.select("*", F.inline(zoom_levels(zooms)))
+    When cells are far coarser than the finest zoom, one block covers many tiles and its fan-out
+    would be one task's work; its (block, tile column) copies are then spread first, which moves
+    about a hundredth of what they grow into.
+    """
     # Truncation lets the forward direction reach the tile east and south of a cell's own.
     reach = F.col("res") if forward else F.lit(0.0)
     # A higher-order expression is not code-generated, which ends the block-level stage here on
@@ -156,15 +293,20 @@ def _block_tiles(
                            "tile_maxy": tile_north(F.col("grid_row"))})
 
 
-def _inverse_cells(tiles: DataFrame, compat: bool) -> DataFrame:
-    res, geographic = F.col("res"), F.col("geographic")
-    df = tiles.withColumns({
+def _inverse_spans(tiles: DataFrame) -> DataFrame:
+    """The tile cells ``dxs, dys`` that the block's footprint can reach."""
+    res = F.col("res")
+    return tiles.withColumns({
         "dys": _cell_span((F.col("tile_maxy") - F.col("north")) / res,
                           (F.col("tile_maxy") - F.col("south")) / res, F.lit(0), F.lit(TILE - 1)),
         "dxs": _cell_span((F.col("west") - F.col("tile_minx")) / res,
                           (F.col("east") - F.col("tile_minx")) / res, F.lit(0), F.lit(TILE - 1)),
     })
-    df = df.withColumn("dy", _each("dys"))
+
+
+def _inverse_cells(tiles: DataFrame, compat: bool) -> DataFrame:
+    res, geographic = F.col("res"), F.col("geographic")
+    df = _inverse_spans(tiles).withColumn("dy", _each("dys"))
     # The source y depends on the tile row alone, so its trigonometry runs once per row.
     df = df.withColumn("sy", crs.from_mercator_y(
         F.col("tile_maxy") + F.col("dy") * (-res), geographic))
@@ -303,14 +445,19 @@ def _place(forward: bool) -> Column | None:
     return F.col("py").cast("long") * F.col("width") + F.col("px") if forward else None
 
 
-def _last_write(
-    written: DataFrame, stats: SceneStats, forward: bool, bands: Sequence[int] | None
-) -> DataFrame:
-    """Keep the last value written to each tile cell."""
-    last, value = _last_value(stats, _place(forward))
+def _last_write(written: DataFrame, stats: SceneStats, forward: bool) -> DataFrame:
+    """Keep the last write to each tile cell."""
+    last, _ = _last_value(stats, _place(forward))
     keys = [k for k in ("cell_id", "band") if k in written.columns]
-    kept = written.groupBy(*keys).agg(last[1].alias("last"))
-    band = F.col("band") if "band" in keys else F.lit(bands[0])
+    return written.groupBy(*keys).agg(last[1].alias("last"))
+
+
+def _decoded(
+    kept: DataFrame, stats: SceneStats, forward: bool, bands: Sequence[int] | None
+) -> DataFrame:
+    """``tile_id, band, cell, value`` of the last writes."""
+    _, value = _last_value(stats, _place(forward))
+    band = F.col("band") if "band" in kept.columns else F.lit(bands[0])
     return kept.select(
         # Never NULL; saying so keeps the null filters of later joins out of the cell loops.
         F.coalesce(F.shiftright("cell_id", 16), F.lit(-1)).alias("tile_id"),
@@ -320,6 +467,12 @@ def _last_write(
     )
 
 
+def fits_one_long(stats: SceneStats, place_bits: int) -> bool:
+    """Whether the order of a write, without ties, and its value fit one BIGINT."""
+    order_bits = place_bits + stats.max_seq.bit_length()
+    return stats.unique_seq and stats.min_seq >= 0 and order_bits <= 63 - VALUE_BITS
+
+
 def _last_value(
     stats: SceneStats, place: Column | None
 ) -> tuple[tuple[list[Column], Column], Column]:
@@ -335,9 +488,9 @@ def _last_value(
     order_bits = place_bits + stats.max_seq.bit_length()
     if stats.unique_seq and stats.min_seq >= 0 and order_bits <= 63:
         order = seq if place is None else F.shiftleft(seq, place_bits).bitwiseOR(place)
-        if order_bits <= 63 - 17:
-            packed = F.shiftleft(order, 17).bitwiseOR((value + 32768).cast("long"))
-            decoded = F.col("last").bitwiseAND((1 << 17) - 1) - 32768
+        if fits_one_long(stats, place_bits):
+            packed = F.shiftleft(order, VALUE_BITS).bitwiseOR((value + VALUE_BIAS).cast("long"))
+            decoded = F.col("last").bitwiseAND((1 << VALUE_BITS) - 1) - VALUE_BIAS
             return ([packed.alias("packed")], F.max("packed")), decoded
         return ([order.alias("order"), value], F.max_by("value", "order")), F.col("last")
     parts = [seq.alias("seq"), F.col("scene_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilepyramid.constants import CLIP_HIGH, CLIP_LOW, TILE_CELLS
 from tilepyramid.operators.georeference import BROADCAST_ROWS, join_by_scene
-from tilepyramid.functions.cellvalue import sample
+from tilepyramid.operators.mosaic import gather
 
 
 def half_up(v: Column) -> Column:
@@ -50,31 +50,17 @@ def stretch(v: Column, lo: Column, hi: Column, compat: bool = True) -> Column:
 def tile_entries(
     cells: DataFrame, compat: bool = True, touched: DataFrame | None = None
 ) -> DataFrame:
-    """One row per (tile, band): ``entries``, the zero-inclusive cuts ``lo``, ``hi`` and ``blank``.
+    """:func:`tile_cuts` of a mosaic given as rows of cells."""
+    return tile_cuts(gather(cells, compat, touched), compat)
+
 
-    ``blank`` is the stretched 0, which every cell outside ``entries`` takes.
+def tile_cuts(arrays: DataFrame, compat: bool = True) -> DataFrame:
+    """One row per (tile, band): ``entries``, the zero-inclusive cuts ``lo``, ``hi`` and ``blank``.
 
-    A mosaic holds a cell at most once, so a group is at most 65,536 cells (256 KB) whatever the
-    input.  An entry is ``value << 16 | cell`` in one INT; sorting entries sorts values, and the
-    cuts of the zero-filled canvas are read by position without ever filling it.  ``touched``
-    (tile_id, band) adds tiles that were reached but received no cell.
+    ``blank`` is the stretched 0, which every cell outside ``entries`` takes. Sorting entries sorts
+    values, so the cuts of the zero-filled canvas are read by position without ever filling it.
     """
     bias = 0 if compat else 32768
-    entry = F.shiftleft(F.col("value") - bias, 16).bitwiseOR(F.col("cell"))
-    rows = cells.select("tile_id", "band", entry.alias("entry"))
-    if touched is not None:
-        rows = rows.unionByName(touched.select("tile_id", "band"), allowMissingColumns=True)
-    df = (
-        # The pre-shuffle leaves collect_list nothing to do map-side.
-        rows.repartition("tile_id", "band")
-        .groupBy("tile_id", "band")
-        .agg(
-            F.sort_array(F.collect_list("entry")).alias("entries"),
-            # Only biased entries are negative without a negative value.
-            F.count_if(F.lit(compat) & (F.col("entry") < 0)).cast("int").alias("n_negative"),
-            F.count("entry").cast("int").alias("n_filled"),
-        )
-    )
     pad = F.lit(TILE_CELLS) - F.col("n_filled")
 
     def at(i: int) -> Column:
@@ -86,7 +72,7 @@ def tile_entries(
             .otherwise(entry_value(i - pad))
         )
 
-    return df.withColumns({
+    return arrays.withColumns({
         "lo": percentile_at(at, TILE_CELLS, CLIP_LOW),
         "hi": percentile_at(at, TILE_CELLS, CLIP_HIGH),
     }).select("tile_id", "band", "n_filled", "lo", "hi",

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tilepyramid.constants import DEFAULT_BANDS
 from tilepyramid.operators.georeference import BROADCAST_ROWS
-from tilepyramid.operators.mosaic import mosaic, tile_id, tile_key_columns, unpack
+from tilepyramid.operators.mosaic import mosaic, tile_arrays, tile_id, tile_key_columns, unpack
 from tilepyramid.operators.overlap import scene_tile_pairs
-from tilepyramid.operators.payload import blank_payload, pack_tiles
+from tilepyramid.operators.payload import blank_payload, pack_entries
+from tilepyramid.operators.stretch import tile_cuts
 from tilepyramid.operators.tileset import dense_tiles
 from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.zooms import check_zooms
@@ -46,9 +47,10 @@ def build_pyramid(
     kind = payload or ("png" if stretch else "u16")
     if stretch == (kind == "u16"):
         raise ValueError(f"payload {kind!r} does not go with stretch={stretch}")
-    cells = mosaic(blocks, scenes, levels, method, window, bands, compat, broadcast_rows)
     touched = touched_tiles(scenes, levels, bands)
-    packed = pack_tiles(cells, kind, compat, touched)
+    arrays = tile_arrays(blocks, scenes, levels, method, window, bands, compat, broadcast_rows,
+                         touched)
+    packed = pack_entries(tile_cuts(arrays, compat), kind, compat)
     key = [c.alias(name) for name, c in zip(TILE_KEY, tile_key_columns(compat).values())]
     tiles = packed.select(*key, *([] if single else ["band"]), "tile_data")
     if dense:

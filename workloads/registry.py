@@ -11,9 +11,10 @@ from tilepyramid import mosaic, scene_tile_pairs, unpack
 from tilepyramid.constants import RESOLUTIONS
 from tilepyramid.functions import affine, cellvalue, crs, extent, tilekey
 from tilepyramid.operators.grid import grid_dims, subdivide
+from tilepyramid.operators.mosaic import tile_arrays
 from tilepyramid.operators.overlap import scene_footprints, scenes_per_tile
 from tilepyramid.operators.payload import PNG_SIGNATURE, blank_payload, pack_tiles, payload_sum
-from tilepyramid.operators.stretch import stretch_scenes, stretch_tiles, tile_entries
+from tilepyramid.operators.stretch import stretch_scenes, stretch_tiles, tile_cuts
 from tilepyramid.operators.tileset import dense_tiles, lookup, union_tilesets
 from tilepyramid.plans.pyramid import build_pyramid, pyramid_report, tile_cells
 from tilepyramid.schemas import TILE_KEY
@@ -190,7 +191,7 @@ def _mosaic(band: bool = False, **options) -> Query:
 
 def tile_percentile_cuts(spark, sf_dir):
     scenes, blocks = _sources(spark, sf_dir)
-    entries = tile_entries(mosaic(blocks, scenes, ZOOMS))
+    entries = tile_cuts(tile_arrays(blocks, scenes, ZOOMS))
     return unpack(entries.withColumn("cell", F.lit(0)).drop("entries", "n_filled", "blank")).drop(
         "band", "dx", "dy")
 
@@ -198,8 +199,8 @@ def tile_percentile_cuts(spark, sf_dir):
 def _stretch(compat: bool) -> Query:
     def run(spark, sf_dir):
         scenes, blocks = _sources(spark, sf_dir)
-        cells = mosaic(blocks, scenes, ZOOMS, method="forward", compat=compat)
-        return unpack(stretch_tiles(tile_entries(cells, compat), compat), compat).drop("band")
+        arrays = tile_arrays(blocks, scenes, ZOOMS, method="forward", compat=compat)
+        return unpack(stretch_tiles(tile_cuts(arrays, compat), compat), compat).drop("band")
     return run
 
 
