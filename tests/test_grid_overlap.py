@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests import model
 from tests.scenes import sample_scenes, scene, tables
+from tilepyramid.operators import overlap
 from tilepyramid import scene_tile_pairs, scenes_per_tile
 from tilepyramid.constants import WORLD_MAX_X, WORLD_MAX_Y, WORLD_MIN_X, WORLD_MIN_Y
 from tilepyramid.operators.grid import grid_dims, subdivide, world_dims, world_grid, zoom_table
@@ -101,3 +102,27 @@ def test_unknown_epsg_fails(spark):
     bad = [scene(1, 0, 32633, 2, 2, [0, 10, 0, 0, 0, -10])]
     with pytest.raises(Exception, match="unsupported EPSG"):
         scene_tile_pairs(tables(spark, bad)[0], "0-0").collect()
+
+
+@pytest.mark.parametrize("part", [65_536, 2])
+def test_ranked_scenes_of_a_crowded_tile(spark, monkeypatch, part):
+    monkeypatch.setattr(overlap, "RANK_PART", part)
+    scenes = random_scenes(40)
+    table = tables(spark, scenes)[0]
+    rows = overlap.ranked_scenes(scene_tile_pairs(table, "0-2"), (0, len(scenes))).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: r.rank):
+        got.setdefault((r.z, r.x, r.y), []).append((r.rank, r.scene_id))
+    want = {}
+    for z in range(3):
+        for j, i, _, s in model.pairs(scenes, z):
+            want.setdefault((z, j, 2 ** z - i), []).append(s["scene_id"])
+    assert got == {k: list(enumerate(v)) for k, v in want.items()}
+
+
+def test_intervals_are_the_pairs(spark):
+    table = tables(spark, random_scenes(40))[0]
+    runs = overlap.tile_intervals(table, "0-4").collect()
+    pairs = scene_tile_pairs(table, "0-4").select("z", "x", "grid_row").collect()
+    assert sorted((r.z, r.tile_column, i) for r in runs
+                  for i in range(r.first_row, r.last_row + 1)) == sorted(map(tuple, pairs))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.scenes import sample_scenes, tables
 from tilepyramid import build_pyramid, mosaic, scene_tile_pairs, scenes_per_tile
-from tilepyramid.operators.tileset import lookup
+from tilepyramid.operators.tileset import lookup, union_tilesets
 from tilepyramid.sinks.tables import write_tiles
 from tilepyramid.sources.rasters import read_blocks, read_scenes
 from tilepyramid.sources.tiles import read_tiles
@@ -54,6 +54,26 @@ def test_mosaic_is_one_shuffle_with_compiled_loops(source, options):
     assert sizes and max(sizes) < JIT_LIMIT
 
 
+def test_native_levels_shuffle_patches(source):
+    plan = explain(build_pyramid(*source, "2-3"))
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    # the patches, by tile, and before them the rows of tiles that scenes touch
+    assert sum("patch#" in s for s in shuffled) == 1 and not any("cell_id#" in s for s in shuffled)
+    assert "HashAggregate(keys=[cell_id" not in plan
+
+
+def test_lookups_over_a_built_pyramid_stay_compiled(spark, source):
+    requests = spark.createDataFrame([(2, 1, 1), (3, 1, 2)], "z int, x int, y int")
+    for options in ({"method": "forward"}, {}):
+        tiles = build_pyramid(*source, "2-3", payload="raw", **options)
+        named = union_tilesets({"a": tiles, "b": tiles})
+        for found in (lookup(requests, tiles),
+                      lookup(requests.withColumn("tileset", F.lit("a")), named)):
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)",
+                                                explain(found, "codegen"))]
+            assert sizes and max(sizes) < JIT_LIMIT
+
+
 def test_block_scan_is_pruned(source):
     plan = explain(mosaic(source[1], source[0], [2]))
     assert "EqualTo(band,1)" in plan
@@ -94,5 +114,4 @@ def test_lookup_prunes_zoom_partitions(spark, source, tmp_path):
     tiles = read_tiles(spark, str(tmp_path / "t"))
     plan = explain(lookup(requests, tiles))
     assert "BroadcastHashJoin" in plan
-    one = explain(tiles.filter(F.col("zoom_level") == 2))
-    assert re.search(r"PartitionFilters: \[.*zoom_level.*= 2", one)
+    assert re.search(r"PartitionFilters: \[.*zoom_level.*= 2", plan)

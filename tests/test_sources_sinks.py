@@ -1,11 +1,13 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests import model
 from tests.scenes import sample_scenes, tables
-from tilepyramid import build_pyramid, schemas
-from tilepyramid.operators.tileset import dense_tiles, lookup
+from tilepyramid import build_pyramid, mosaic, pyramid_report, schemas
+from tilepyramid.operators.tileset import dense_tiles, gaps, lookup
 from tilepyramid.sinks.files import export_tile_files
 from tilepyramid.sinks.shards import read_shards, write_shards
 from tilepyramid.sinks.tables import create_tiles_table, write_tiles
@@ -189,3 +191,54 @@ def test_dense_tiles(spark):
     assert len(rows) == 6
     assert {bytes(r.tile_data) for r in rows if r.is_blank} == {b"blank"}
     assert sum(not r.is_blank for r in rows) == 2
+
+
+@pytest.mark.parametrize("bands", [None, (1, 3)])
+def test_gaps_are_what_no_interval_covers(spark, bands):
+    rng = random.Random(3)
+    runs = [(z, rng.randrange(0, 2 ** z), a, a + rng.randrange(0, 3), rng.choice([1, 3]))
+            for z in (2, 3) for a in [rng.randrange(0, 2 ** z) for _ in range(9)]]
+    table = spark.createDataFrame(runs + [(3, 99, 0, 1, 1), (2, 0, 40, 41, 1)],
+                                  "z int, tile_column int, first_row int, last_row int, band int")
+    got = gaps(table if bands else table.drop("band"), "2-4", bands).collect()
+    want = set()
+    for z in (2, 3, 4):
+        n_cols, n_rows = model.dims(z)
+        for band in bands or [None]:
+            want |= {(z, j, i, band) for j in range(n_cols) for i in range(n_rows) if not any(
+                r[:2] == (z, j) and r[2] <= i <= r[3] and band in (None, r[4]) for r in runs)}
+    assert len(got) == len(want)
+    assert {(r.z, r.tile_column, r.grid_row, r.band if bands else None) for r in got} == want
+
+
+def test_lookup_by_band(spark, tmp_path):
+    scenes, blocks = tables(spark, sample_scenes())
+    tiles = build_pyramid(scenes, blocks, [2], bands=(1, 2), stretch=False).cache()
+    held = {(r.tile_column, r.tile_row, r.band): bytes(r.tile_data) for r in tiles.collect()}
+    requests = tiles.select(F.lit(2).alias("z"), F.col("tile_column").alias("x"),
+                            F.col("tile_row").alias("y")).distinct()
+    asked = requests.withColumn("band", F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))))
+    got = {(r.x, r.y, r.band): r.tile_data and bytes(r.tile_data)
+           for r in lookup(asked, tiles).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == held
+    assert len(got) == 3 * requests.count()
+    for sides in ((requests, tiles), (asked, tiles.drop("band"))):
+        with pytest.raises(ValueError, match="band"):
+            lookup(*sides)
+
+
+def test_writing_tells_what_was_written(spark, tmp_path):
+    scenes, blocks = tables(spark, sample_scenes())
+    tiles = build_pyramid(scenes, blocks, "1-3", payload="raw", status=True)
+    status = write_tiles(tiles, str(tmp_path / "t"))
+    stored = read_tiles(spark, str(tmp_path / "t"))
+    assert stored.columns == schemas.TILES.names
+    want = {r.z: tuple(r)[1:] for r in pyramid_report(mosaic(blocks, scenes, "1-3")).collect()}
+    assert [s["z"] for s in status] == [1, 2, 3]
+    for s in status:
+        n = stored.filter(f"zoom_level = {s['z']}").count()
+        assert (s["n_tiles"], s["n_bytes"]) == (n, 65536 * n) and n >= want[s["z"]][0]
+        assert (s["n_cells"], s["vmin"], s["vmax"]) == want[s["z"]][1:]
+    again = write_tiles(stored, format="noop")
+    assert [(s["z"], s["n_tiles"]) for s in again] == [(s["z"], s["n_tiles"]) for s in status]
+    assert write_tiles(stored.limit(0), str(tmp_path / "none")) == []

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilepyramid.constants import TILE, WORLD_MAX_Y, WORLD_MIN_X
@@ -18,6 +18,9 @@ from tilepyramid.functions.extent import overlaps_x, raster_extent
 from tilepyramid.functions.tilekey import tile_row
 from tilepyramid.operators.grid import zoom_levels
 
+# Numbers of a tile's scene order that one task ranks: as many scenes where numbers are unique.
+RANK_PART = 65_536
+
 FOOTPRINT = ["g0", "g1", "g2", "g3", "g4", "g5", "geographic", "x_radius", "x_degrees", "x_radians",
              "scene_minx", "scene_maxx", "scene_miny", "scene_maxy"]
 
@@ -101,6 +104,18 @@ def scene_tile_pairs(
     )
 
 
+def tile_intervals(scenes: DataFrame, zooms: str | Iterable[int]) -> DataFrame:
+    """The tiles of :func:`scene_tile_pairs` as runs of top-down rows, one for each scene and
+    column: z, tile_column, first_row, last_row, bands."""
+    df = scene_footprints(scenes).select("*", F.inline(zoom_levels(zooms)))
+    df = df.select("bands", "z", "res", "n_rows", "scene_miny", "scene_maxy", F.explode(
+        reached_columns(F.col("scene_minx"), F.col("scene_maxx"), 1.0)).alias("tile_column"))
+    rows = reached_rows(F.col("scene_miny"), F.col("scene_maxy"), 1.0)
+    return df.withColumn("rows", rows).filter(F.size("rows") > 0).select(
+        "z", "tile_column", F.array_min("rows").alias("first_row"),
+        F.array_max("rows").alias("last_row"), "bands")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over all shuffle partitions ahead of a fan-out.
 
@@ -120,3 +135,23 @@ def scenes_per_tile(pairs: DataFrame) -> DataFrame:
         F.min_by("scene_id", "seq").alias("first_scene"),
         F.max_by("scene_id", "seq").alias("last_scene"),
     )
+
+
+def ranked_scenes(pairs: DataFrame, seq_range: tuple[int, int]) -> DataFrame:
+    """The scenes of each tile in order: z, x, y, rank (from 0), scene_id.
+
+    ``seq_range`` bounds ``seq``. A tile may be covered by every scene, so its scenes are ranked within
+    parts of ``RANK_PART`` consecutive numbers, and the counts of the parts before are added.
+    """
+    low, high = seq_range
+    tile, order = ["z", "x", "y"], ["seq", "scene_id"]
+    if high - low < RANK_PART:
+        rank = F.row_number().over(Window.partitionBy(*tile).orderBy(*order)) - 1
+        return pairs.select(*tile, rank.alias("rank"), "scene_id")
+    parted = pairs.withColumn("part", F.floor((F.col("seq") - low) / RANK_PART))
+    own = F.row_number().over(Window.partitionBy(*tile, "part").orderBy(*order)) - 1
+    earlier = Window.partitionBy(*tile).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parted.groupBy(*tile, "part").agg(F.count(F.lit(1)).alias("n")).select(
+        *tile, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return parted.withColumn("own", own).join(before, [*tile, "part"]).select(
+        *tile, (F.col("before") + F.col("own")).cast("int").alias("rank"), "scene_id")

@@ -43,11 +43,11 @@ FORWARD = [*BLOCK, "z", "n_cols", "n_rows", "width", "x_radius", "x_degrees", "x
            "scene_minx", "scene_maxx", "scene_miny", "scene_maxy"]
 
 
-def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
-    """The values of each list, without copying; a missing value is a :data:`HOLE`."""
+def lists(column: pa.ListArray, missing: int = HOLE) -> Iterator[np.ndarray]:
+    """The values of each list, without copying; ``missing`` stands for a missing one."""
     flat, offsets = column.values, column.offsets.to_numpy()
     if flat.null_count:
-        flat = flat.fill_null(HOLE)
+        flat = flat.fill_null(missing)
     flat = flat.to_numpy()
     return (flat[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
 
@@ -81,10 +81,10 @@ class Rows:
             names=[f.split()[0] for f in PATCHES.split(", ")])
 
 
-def block_rows(batch: pa.RecordBatch) -> Iterator[dict]:
+def block_rows(batch: pa.RecordBatch, missing: int = HOLE) -> Iterator[dict]:
     names = [n for n in batch.schema.names if n != "cells"]
     told = zip(*[batch.column(n).to_pylist() for n in names])
-    for row, cells in zip(told, lists(batch.column("cells"))):
+    for row, cells in zip(told, lists(batch.column("cells"), missing)):
         yield dict(zip(names, row), cells=cells)
 
 

@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilepyramid.constants import CLIP_HIGH, CLIP_LOW, TILE_CELLS
 from tilepyramid.operators.georeference import BROADCAST_ROWS, join_by_scene
 from tilepyramid.operators.mosaic import gather
+from tilepyramid.operators.patches import block_rows, list_array, lists
+
+#: Marks a missing sample of a whole scene, where values are not bound to 16 bits.
+MISSING = -(1 << 31)
+#: Distinct values that a counting task holds before it hands them on.
+COUNTED = 1 << 22
+PLACED = ["scene_id", "band", "width", "height", "block_row", "block_col", "bw", "bh", "cells"]
 
 
 def half_up(v: Column) -> Column:
@@ -93,47 +103,143 @@ def stretch_tiles(entries: DataFrame, compat: bool = True) -> DataFrame:
     )
 
 
-def scene_cuts(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Exact ``lo``, ``hi`` per key group of a ``value`` column, without zero fill.
+def scene_cuts(placed: DataFrame) -> DataFrame:
+    """Exact ``lo``, ``hi`` per (scene_id, band) of blocks with their scene's size, no zero fill.
 
-    Values are counted first, with map-side combine, so a scene of any size reaches the
-    percentile as at most 65,536 (value, frequency) rows.
+    Values are counted within each task, so that what moves is one pair of arrays (values, counts)
+    for each task and band of a scene, however many blocks it has.
     """
-    counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("freq"))
-    cut = F.percentile("value", F.array(F.lit(CLIP_LOW), F.lit(CLIP_HIGH)), F.col("freq"))
-    return counts.groupBy(*keys).agg(cut.alias("cuts")).select(
-        *keys, half_up(F.col("cuts")[0]).alias("lo"), half_up(F.col("cuts")[1]).alias("hi"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+        for batch in batches:
+            for b in block_rows(batch, MISSING):
+                values = _own(b)
+                values = values[values != MISSING]
+                held.setdefault((b["scene_id"], b["band"]), []).append(np.unique(
+                    values, return_counts=True))
+                size += len(held[b["scene_id"], b["band"]][-1][0])
+                if size > COUNTED:
+                    yield _counts(held)
+                    held, size = {}, 0
+        yield _counts(held)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, done = None, [], []
+
+        def finish() -> None:
+            values, counts = _merged(parts)
+            if len(values):
+                ends = np.cumsum(counts)
+                done.append((*now, *[_cut(values, ends, p) for p in (CLIP_LOW, CLIP_HIGH)]))
+
+        for batch in batches:
+            keys = zip(batch.column("scene_id").to_pylist(), batch.column("band").to_pylist())
+            arrays = zip(lists(batch.column("values")), lists(batch.column("counts")))
+            for key, part in zip(keys, arrays):
+                if key != now and now is not None:
+                    finish()
+                    parts = []
+                elif len(parts) > 64:
+                    parts = [_merged(parts)]
+                now = key
+                parts.append(part)
+        if now is not None:
+            finish()
+        columns = list(zip(*done)) or [()] * 4
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                         names=["scene_id", "band", "lo", "hi"])
+
+    keys = ["scene_id", "band"]
+    counts = placed.select(*PLACED).mapInArrow(
+        count, "scene_id long, band int, values array<int>, counts array<long>")
+    return counts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        cut, "scene_id long, band int, lo int, hi int")
+
+
+def _own(b: dict) -> np.ndarray:
+    """The samples of a block row that belong to its scene, by row."""
+    cells = b["cells"]
+    whole = np.full(b["bw"] * b["bh"], MISSING, dtype=np.int32)
+    whole[:len(cells)] = cells[:len(whole)]
+    return whole.reshape(b["bh"], b["bw"])[
+        :max(0, b["height"] - b["block_row"] * b["bh"]), :max(0, b["width"] - b["block_col"] * b["bw"])]
+
+
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted (values, counts) pair of several."""
+    values, where = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(values), dtype=np.int64)
+    np.add.at(counts, where, np.concatenate([c for _, c in parts]))
+    return values, counts
+
+
+def _counts(held: dict[tuple, list]) -> pa.RecordBatch:
+    merged = [_merged(parts) for parts in held.values()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int32()),
+         list_array([v for v, _ in merged], np.int32), list_array([c for _, c in merged], np.int64)],
+        names=["scene_id", "band", "values", "counts"])
+
+
+def _cut(values: np.ndarray, ends: np.ndarray, p: float) -> int:
+    """The linear percentile of counted values, rounded half up."""
+    x = (int(ends[-1]) - 1) * p
+    i = math.floor(x)
+    a, b = (int(values[np.searchsorted(ends, k, side="right")])
+            for k in (i, min(i + 1, int(ends[-1]) - 1)))
+    return a if x == i else math.floor((1 - (x - i)) * a + (x - i) * b + 0.5)
 
 
-def stretch_scenes(
+def stretch_scene_blocks(
     blocks: DataFrame, scenes: DataFrame, compat: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Every band of every scene stretched by its own cuts: scene_id, band, px, py, b.
+    """Blocks of every band of every scene stretched by its own cuts: scene_id, band, px0, py0, w and
+    ``cells``, the bytes of the block's part of the scene, by row.
 
-    Samples stay unsigned here.  Padding cells of edge blocks are left out.
+    Samples stay unsigned here; a missing one becomes 0.
     """
-    n_scenes = scenes.count()
-    size = scenes.select("scene_id", "width", "height", "bands")
-    placed = join_by_scene(blocks, size, ["scene_id"], n_scenes, broadcast_rows)
-    cells = placed.select(
-        "scene_id", "band", "width", "height", "block_row", "block_col", "bw", "bh",
-        F.posexplode("cells").alias("pos", "value"))
-    inside = _inside(cells)
-    cuts = scene_cuts(inside.filter(F.col("value").isNotNull()), ["scene_id", "band"])
+    size = scenes.select("scene_id", "width", "height")
+    placed = join_by_scene(blocks, size, ["scene_id"], scenes.count(), broadcast_rows)
+    cuts = scene_cuts(placed)
     # Blocks may hold bands that no scene row declares: the bound is counted from them.
     band_rows = blocks.select("scene_id", "band").distinct().limit(broadcast_rows + 1).count()
-    stretched = join_by_scene(placed, cuts, ["scene_id", "band"], band_rows, broadcast_rows)
-    out = _inside(stretched.select(
-        "scene_id", "band", "width", "height", "block_row", "block_col", "bw", "bh", "lo", "hi",
-        F.posexplode("cells").alias("pos", "value")))
-    return out.select(
-        "scene_id", "band", "px", "py",
-        stretch(F.col("value"), F.col("lo"), F.col("hi"), compat).alias("b"))
-
-
-def _inside(cells: DataFrame) -> DataFrame:
-    return cells.withColumns({
-        "px": F.col("block_col") * F.col("bw") + F.col("pos") % F.col("bw"),
-        "py": F.col("block_row") * F.col("bh") + F.floor(F.col("pos") / F.col("bw")).cast("int"),
-    }).filter((F.col("px") < F.col("width")) & (F.col("py") < F.col("height")))
+    cut = join_by_scene(placed, cuts, ["scene_id", "band"], band_rows, broadcast_rows)
+    high = 0 if compat else 255
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cells = [], []
+            for b in block_rows(batch, MISSING):
+                own, lo, hi = _own(b), b["lo"], b["hi"]
+                out = np.where(own > hi, high, 0).astype(np.int16)
+                if hi != lo:
+                    scaled = ((own.astype(np.int64) - lo) / ((hi - lo) / 255.0)).astype(np.int16)
+                    out = np.where((own >= lo) & (own <= hi), scaled, out)
+                out[own == MISSING] = 0
+                rows.append((b["scene_id"], b["band"], b["block_col"] * b["bw"],
+                             b["block_row"] * b["bh"], own.shape[1]))
+                cells.append(out.ravel())
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, k) for c, k in zip(columns, kinds)], list_array(cells, np.int16)],
+                names=["scene_id", "band", "px0", "py0", "w", "cells"])
+
+    return cut.select(*PLACED, "lo", "hi").mapInArrow(
+        run, "scene_id long, band int, px0 int, py0 int, w int, cells array<smallint>")
+
+
+def stretch_scenes(
+    blocks: DataFrame, scenes: DataFrame, compat: bool = True,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """:func:`stretch_scene_blocks` as rows of cells: scene_id, band, px, py, b."""
+    stretched = stretch_scene_blocks(blocks, scenes, compat, broadcast_rows)
+    cells = stretched.select("scene_id", "band", "px0", "py0", "w",
+                             F.posexplode("cells").alias("at", "b"))
+    return cells.select(
+        "scene_id", "band", (F.col("px0") + F.col("at") % F.col("w")).alias("px"),
+        (F.col("py0") + F.floor(F.col("at") / F.col("w")).cast("int")).alias("py"), "b")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilepyramid.operators.grid import world_grid
+from tilepyramid.constants import RESOLUTIONS
+from tilepyramid.functions.tilekey import tile_row
+from tilepyramid.operators.grid import world_dims, zoom_table
 from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.zooms import check_zooms
 
@@ -21,13 +23,15 @@ def lookup(
 ) -> DataFrame:
     """Payload for each request row (z, x, y and, for named tilesets, ``tileset``).
 
-    ``tile_data`` is NULL when the tile is missing; if a key is stored more than once the
+    Where tiles of several bands are stored, requests name a ``band`` too. ``tile_data`` is NULL when the tile is missing; if a key is stored more than once the
     smallest payload is taken, so the answer does not depend on row order.  The tile table is
     first cut to the levels and to the column and row ranges that are asked for, as literal
     filters, so that partitions and row groups are skipped; then to the keys, by broadcast if they
     are counted small.
     """
-    named = ["tileset"] if "tileset" in requests.columns else []
+    if ("band" in requests.columns) != ("band" in tiles.columns):
+        raise ValueError("either both requests and tiles have a band, or neither")
+    named = [c for c in ("tileset", "band") if c in requests.columns]
     rename = {"zoom_level": "z", "tile_column": "x", "tile_row": "y"}
     stored = tiles.select(*named, *[F.col(c).alias(rename[c]) for c in TILE_KEY], "tile_data")
     on = [*named, "z", "x", "y"]
@@ -51,6 +55,7 @@ def lookup(
 def dense_tiles(
     tiles: DataFrame, zooms: str | Iterable[int], blank: bytes, compat: bool = True,
     covered: DataFrame | None = None, bands: Sequence[int] | None = None,
+    intervals: DataFrame | None = None,
 ) -> DataFrame:
     """``tiles`` plus a blank payload for every uncovered tile of the levels; adds ``is_blank``.
 
@@ -58,20 +63,49 @@ def dense_tiles(
     is generated by the tasks, so its size is bounded by the output alone.
 
     ``covered`` gives the keys of ``tiles`` when they can be had without computing or reading the
-    tiles a second time.
+    tiles a second time; ``intervals`` gives them as runs of rows (see :func:`gaps`).
     """
-    grid = world_grid(tiles.sparkSession, check_zooms(zooms), compat).select(
-        F.col("z").alias("zoom_level"), "tile_column", "tile_row")
-    key = [*TILE_KEY]
-    if bands is not None:
-        key.append("band")
-        grid = grid.withColumn("band", F.explode(F.array(*[F.lit(int(b)) for b in bands])))
-    keys = (tiles if covered is None else covered).select(*key)
-    blanks = grid.join(keys, key, "left_anti").select(
-        *key, F.lit(blank).alias("tile_data"), F.lit(True).alias("is_blank"))
+    zooms, key = check_zooms(zooms), [*TILE_KEY, *([] if bands is None else ["band"])]
+    if intervals is None:
+        row = tile_row(F.col("zoom_level"), F.col("tile_row"), compat)  # its own inverse
+        intervals = (tiles if covered is None else covered).select(
+            F.col("zoom_level").alias("z"), "tile_column", *key[3:], row.alias("first_row"),
+            row.alias("last_row"))
+    blanks = gaps(intervals, zooms, bands).select(
+        F.col("z").alias("zoom_level"), "tile_column",
+        tile_row(F.col("z"), F.col("grid_row"), compat).alias("tile_row"), *key[3:],
+        F.lit(blank).alias("tile_data"), F.lit(True).alias("is_blank"))
     return tiles.select(*key, "tile_data", F.lit(False).alias("is_blank")).unionByName(blanks)
 
 
+def gaps(
+    intervals: DataFrame, zooms: str | Iterable[int], bands: Sequence[int] | None = None
+) -> DataFrame:
+    """The tiles (z, tile_column, grid_row[, band]) of the levels that no interval covers.
+
+    ``intervals`` are (z, tile_column, first_row, last_row[, band]) in top-down rows, both ends
+    covered. Only intervals are shuffled, at most one for each first row of a column; a column's
+    gaps lie between those of its intervals, and are exploded last.
+    """
+    keys = ["z", "tile_column", *([] if bands is None else ["band"])]
+    columns = zoom_table(intervals.sparkSession, zooms).select(
+        "z", "n_rows", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("tile_column"))
+    if bands is not None:
+        columns = columns.withColumn("band", F.explode(F.array(*[F.lit(int(b)) for b in bands])))
+    # one interval just before and one just after each column's rows
+    ends = columns.select(*keys, F.explode(F.array(F.lit(-1), F.col("n_rows"))).alias("first_row"))
+    heights = F.array(*[F.lit(world_dims(z)[1]) for z in range(len(RESOLUTIONS))])
+    within = intervals.filter(F.col("first_row") < F.get(heights, F.col("z")))
+    longest = within.groupBy(*keys, "first_row").agg(F.max("last_row").alias("last_row"))
+    runs = longest.unionByName(ends.withColumn("last_row", F.col("first_row")))
+    before = Window.partitionBy(*keys).orderBy("first_row").rowsBetween(
+        Window.unboundedPreceding, -1)
+    free = runs.withColumn("after", F.max("last_row").over(before) + 1).filter(
+        F.col("after") < F.col("first_row"))
+    rows = F.explode(F.sequence(F.col("after"), F.col("first_row") - 1))
+    return free.select(*keys, rows.alias("grid_row")).filter("grid_row >= 0")
+
+
 def union_tilesets(parts: Mapping[str, DataFrame]) -> DataFrame | None:
     """Tile tables under their names in a ``tileset`` column; None if there is none."""
     named = [tiles.withColumn("tileset", F.lit(name)) for name, tiles in parts.items()]

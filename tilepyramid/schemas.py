@@ -40,6 +40,8 @@ def tiles_schema(band: bool) -> T.StructType:
     return T.StructType([*TILES.fields, *([T.StructField("band", T.IntegerType())] if band else [])])
 
 
+#: What a build can tell of a tile besides its payload.
+STATUS = ("n_filled", "vmin", "vmax")
 TILE_KEY = ("zoom_level", "tile_column", "tile_row")
 
 

@@ -255,8 +255,8 @@ TEXTS = """texts AS (
 
 SNAPPED = """snapped AS (
   SELECT k, floor(((k * 37) % 300 - 170) / 10e0) * 10 AS minx,
-    floor(((k * 37) % 300 - 170) / 10e0) * 10 + 10 AS maxx,
-    ((k * 23) % 110) // 10 * 10 AS miny, ((k * 23) % 110) // 10 * 10 + 10 AS maxy
+    floor(((k * 37) % 300 - 170) / 10e0) * 10 + 60 AS maxx,
+    ((k * 23) % 110) // 10 * 10 AS miny, ((k * 23) % 110) // 10 * 10 + 30 AS maxy
   FROM (SELECT s_suppkey AS k FROM supplier))"""
 
 
@@ -269,6 +269,8 @@ def sql() -> dict[str, str]:
   SELECT o_orderkey AS req_id, (2 + o_orderkey % 2)::INT AS z, (o_orderkey // 2 % 9)::INT AS x,
     (o_orderkey // 18 % 10 - 1)::INT AS y FROM orders)"""
     total = "coalesce(sum(b), 0)::BIGINT AS sum_bytes"
+    geo_x, geo_y = (f"(CASE WHEN geo THEN {f(v)} ELSE {v} END)"
+                    for f, v in ((to_lon, "x"), (to_lat, "y")))
     return {
         "affine_pixel_to_map": f"{PIXELS} SELECT scene_id, px, py, x, y FROM positions",
         "affine_map_to_pixel": f"""{PIXELS}, moved AS (
@@ -299,9 +301,45 @@ SELECT id, 'POLYGON((' || w || ' ' || s || ',' || w || ' ' || n || ',' || e || '
     || e || ' ' || s || ',' || w || ' ' || s || '))' AS wkt_closed
 FROM corners""",
         "extent_intersects": f"""WITH {SNAPPED}
-SELECT a.k AS id, b.k AS other, a.maxx >= b.minx AND b.maxx >= a.minx
-  AND a.maxy >= b.miny AND b.maxy >= a.miny AS hit
-FROM snapped a JOIN snapped b ON b.k BETWEEN a.k + 1 AND a.k + 20""",
+SELECT a.k AS id, b.k AS other FROM snapped a JOIN snapped b ON a.k < b.k
+  AND a.maxx >= b.minx AND b.maxx >= a.minx AND a.maxy >= b.miny AND b.maxy >= a.miny""",
+        "region_overlap": f"""WITH {SCENES}, {EXTENTS}, sides AS (
+  SELECT c_custkey AS k, -19000000 + (c_custkey * 7919 % 38000) * 1000 AS w,
+    -19000000 + (c_custkey * 104729 % 38000) * 1000 AS s FROM customer)
+SELECT scene_id, k AS region_id FROM extents, sides
+WHERE smaxx >= w AND sminx <= w + 20000 * (1 + k % 40)
+  AND smaxy >= s AND sminy <= s + 30000 * (1 + k % 23)""",
+        "point_samples": f"""WITH {SCENES}, {POINTS}, placed AS (
+  SELECT id, {to_x('lon')} AS x, {to_y('lat')} AS y FROM points), looked AS (
+  SELECT id AS point_id, scene_id, width, height,
+    trunc({col_of(geo_x, geo_y)}) AS px, trunc({row_of(geo_x, geo_y)}) AS py FROM placed, scenes)
+SELECT point_id, scene_id, px::INT AS px, py::INT AS py,
+  {cell_value('scene_id', '1', 'px::BIGINT', 'py::BIGINT', True)}::INT AS value
+FROM looked WHERE px >= 0 AND px < width AND py >= 0 AND py < height""",
+        "tile_scene_list": f"""{common(0, 4)}
+SELECT z, j AS x, {row_name()} AS y, scene_id,
+  (row_number() OVER (PARTITION BY z, i, j ORDER BY seq) - 1)::INT AS rank FROM pairs""",
+        "path_rank": """SELECT path, row_number() OVER (ORDER BY path) - 1 AS seq FROM (
+  SELECT 'scenes/s' || s_suppkey % 7 || '/scene_' || lpad(s_suppkey::VARCHAR, 6, '0') || '.tif' AS path
+  FROM supplier)""",
+        "scene_table": f"""WITH {SCENES}
+SELECT scene_id, seq, (CASE WHEN geo THEN 4326 ELSE 3857 END)::INT AS epsg, width::INT AS width,
+  height::INT AS height, bands::INT AS bands, g0 AS gt0, g5 AS gt5 FROM scenes""",
+        "tiles_written": payload(cell["inverse"], total),
+        "write_status": f"""{cell['inverse']}, touched AS (
+  SELECT z, count(DISTINCT (i, j)) AS n_tiles FROM pairs GROUP BY z), filled AS (
+  SELECT z, count(*) AS n_cells, min(value)::INT AS vmin, max(value)::INT AS vmax
+  FROM cells GROUP BY z)
+SELECT z, n_tiles, n_tiles * 65536 AS n_bytes, n_cells, vmin, vmax
+FROM touched JOIN filled USING (z)""",
+        "tile_lookup_bands": f"""{forward(2, 3, bands="bands")}, {requests}, stored AS (
+  SELECT p.z, p.j AS x, (2 ** p.z)::INT - p.i AS y, p.band::INT AS band,
+    coalesce(sum(value % 256 + value // 256), 0)::BIGINT AS sum_bytes
+  FROM (SELECT DISTINCT z, i, j, unnest(range(1, bands + 1)) AS band FROM pairs) p
+  LEFT JOIN cells c ON c.z = p.z AND c.i = p.i AND c.j = p.j AND c.band = p.band GROUP BY ALL)
+SELECT z, x, y, band, count(*) AS n_requests, sum_bytes
+FROM (SELECT *, (1 + req_id % 4)::INT AS band FROM requests) LEFT JOIN stored USING (z, x, y, band)
+GROUP BY ALL""",
         "grid_dims": f"""WITH {SCENES}, {EXTENTS}, leveled AS (
   SELECT *, (scene_id % 16)::INT AS z, {RES}[scene_id % 16 + 1] AS res FROM extents), sized AS (
   SELECT *, trunc((-res * smaxx - sminx * -res) / (res * -res))::INT + 1 AS total_cols,
@@ -385,7 +423,8 @@ FROM banded g LEFT JOIN cells b ON b.z = g.z AND b.i = g.i AND b.j = g.j AND b.b
 GROUP BY g.z, g.j, g.i, g.band""",
         "overlap_south_edge": f"""WITH {SCENES.replace("SELECT k AS scene_id", "SELECT k AS scene_id, k AS kk", 1)
     .replace("scenes AS", "placed AS", 1)},
-scenes AS (SELECT * REPLACE (-19500000e0 - (kk % 7) * 90000e0 AS g3) FROM placed WHERE NOT geo),
+scenes AS (SELECT * REPLACE (CASE WHEN geo THEN -84.3e0 - (kk % 7) * 0.07e0
+  ELSE -19500000e0 - (kk % 7) * 90000e0 END AS g3) FROM placed),
 {EXTENTS}, {grid(11, 11)}
 SELECT scene_id, j AS x, {row_name()} AS y FROM grid g, extents s
 WHERE NOT (s.smaxx < g.minx OR s.smaxy < g.miny OR s.sminx > g.maxx OR s.sminy > g.maxy)""",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilepyramid.functions.extent import extent
+
 BLOCK = 32
 
 
@@ -68,6 +72,25 @@ def blocks(scene_table: DataFrame) -> DataFrame:
     )
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An irregular grid of a user: one extent in 3857 per customer."""
+    k = F.col("c_custkey")
+    west, south = -19000000 + (k * 7919 % 38000) * 1000, -19000000 + (k * 104729 % 38000) * 1000
+    sides = [west, west + 20000 * (1 + k % 40), south, south + 30000 * (1 + k % 23)]
+    return table(spark, sf_dir, "customer").select(
+        k.alias("region_id"), extent(*[s.cast("double") for s in sides]).alias("region"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local session without one uses its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def embedding_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("scene_id"), F.lit(8).alias("width"), F.lit(8).alias("height"),

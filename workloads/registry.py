@@ -7,18 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepyramid import mosaic, scene_tile_pairs, unpack
+from tilepyramid import scene_tile_pairs, unpack
 from tilepyramid.constants import RESOLUTIONS
 from tilepyramid.functions import affine, cellvalue, crs, extent, tilekey
+from tilepyramid.operators.extentjoin import extent_join
 from tilepyramid.operators.grid import grid_dims, subdivide
 from tilepyramid.operators.mosaic import tile_arrays
-from tilepyramid.operators.overlap import scene_footprints, scenes_per_tile
-from tilepyramid.operators.payload import PNG_SIGNATURE, blank_payload, pack_tiles, payload_sum
+from tilepyramid.operators.overlap import ranked_scenes, scene_footprints, scenes_per_tile
+from tilepyramid.operators.payload import PNG_SIGNATURE, blank_payload, payload_sum
+from tilepyramid.operators.sampling import sample_points
 from tilepyramid.operators.stretch import stretch_scenes, stretch_tiles, tile_cuts
 from tilepyramid.operators.tileset import dense_tiles, lookup, union_tilesets
-from tilepyramid.plans.pyramid import build_pyramid, pyramid_report, tile_cells
+from tilepyramid.plans.pyramid import array_report, build_pyramid, tile_cells
 from tilepyramid.schemas import TILE_KEY
-from tilepyramid.sources.rasters import block_cells
+from tilepyramid.sinks.tables import write_tiles
+from tilepyramid.sources.rasters import block_cells, read_scenes, with_path_seq
+from tilepyramid.sources.tiles import read_tiles
 from workloads import rasters
 
 ZOOMS = "2-3"
@@ -110,19 +114,34 @@ def extent_wkt(spark, sf_dir):
 
 
 def extent_intersects(spark, sf_dir):
-    """Each extent, snapped to ten units so that many only touch, against its next 20."""
+    """All pairs of extents that meet, snapped to ten units so that many only touch."""
     k = F.col("s_suppkey")
 
     def snap(v):
-        return F.floor(v / F.lit(10.0)) * 10
+        return F.floor(v / F.lit(10.0)) * 10.0
 
     west, south = snap((k * 37) % 300 - 170), snap((k * 23) % 110)
     boxes = rasters.table(spark, sf_dir, "supplier").select(
-        k.alias("id"), extent.extent(west, west + 10, south, south + 10).alias("box"))
-    ahead = boxes.withColumn("other", F.explode(F.sequence(F.col("id") + 1, F.col("id") + 20)))
-    joined = ahead.join(boxes.select(F.col("id").alias("other"), F.col("box").alias("box2")),
-                        "other")
-    return joined.select("id", "other", extent.intersects(F.col("box"), F.col("box2")).alias("hit"))
+        k.alias("id"), extent.extent(west, west + 60, south, south + 30).alias("box"))
+    others = boxes.select(F.col("id").alias("other"), F.col("box").alias("other_box"))
+    return extent_join(boxes, others).filter("id < other").select("id", "other")
+
+
+def region_overlap(spark, sf_dir):
+    """Scenes over an irregular grid of the user's."""
+    boxes = scene_footprints(rasters.scenes(spark, sf_dir)).select(
+        "scene_id", extent.extent(*[F.col(f"scene_{c}") for c in ("minx", "maxx", "miny", "maxy")])
+        .alias("box"))
+    met = extent_join(boxes, rasters.regions(spark, sf_dir), right_box="region")
+    return met.select("scene_id", "region_id")
+
+
+def point_samples(spark, sf_dir):
+    scenes, blocks = _sources(spark, sf_dir)
+    x, y = crs.geographic_to_projected(F.col("lon"), F.col("lat"))
+    points = rasters.points(spark, sf_dir).select(
+        F.col("id").alias("point_id"), x.alias("x"), y.alias("y"))
+    return sample_points(points, scenes, blocks).drop("band")
 
 
 def _scene_boxes(spark, sf_dir, z):
@@ -176,6 +195,25 @@ def tile_scene_ranks(spark, sf_dir):
     return scenes_per_tile(_pairs(spark, sf_dir))
 
 
+def tile_scene_list(spark, sf_dir):
+    scenes = rasters.scenes(spark, sf_dir)
+    low, high = scenes.agg(F.min("seq"), F.max("seq")).first()
+    return ranked_scenes(scene_tile_pairs(scenes, "0-4"), (low or 0, high or 0))
+
+
+def path_rank(spark, sf_dir):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(rasters.scratch(spark, "checkpoints"))
+    return with_path_seq(rasters.scenes(spark, sf_dir).select("path"))
+
+
+def scene_table(spark, sf_dir):
+    path = rasters.scratch(spark, "scenes")
+    rasters.scenes(spark, sf_dir).write.parquet(path)
+    return read_scenes(spark, path).select("scene_id", "seq", "epsg", "width", "height", "bands",
+                                           F.col("gt")[0].alias("gt0"), F.col("gt")[5].alias("gt5"))
+
+
 def embedded_block_cells(spark, sf_dir):
     return block_cells(rasters.embedding_blocks(spark, sf_dir)).select(
         "scene_id", "px", "py", "value")
@@ -270,6 +308,17 @@ def tile_lookup(spark, sf_dir):
         F.col("tile_data").isNotNull(), payload_sum(data)).alias("sum_bytes"))
 
 
+def band_lookup(spark, sf_dir):
+    """Tiles of several bands, asked for by band; no scene has a fourth."""
+    scenes, blocks = _sources(spark, sf_dir)
+    tiles = build_pyramid(scenes, blocks, ZOOMS, method="forward", bands=None, stretch=False)
+    wanted = _requests(spark, sf_dir).withColumn("band", (1 + F.col("req_id") % 4).cast("int"))
+    wanted = wanted.groupBy("z", "x", "y", "band").agg(F.count(F.lit(1)).alias("n_requests"))
+    data = F.coalesce("tile_data", F.lit(b""))
+    return lookup(wanted, tiles).select("z", "x", "y", "band", "n_requests", F.when(
+        F.col("tile_data").isNotNull(), payload_sum(data)).alias("sum_bytes"))
+
+
 def tileset_lookup(spark, sf_dir):
     scenes, blocks = _sources(spark, sf_dir)
     parts = {
@@ -295,9 +344,10 @@ def bands_dense(spark, sf_dir):
 
 
 def overlap_south_edge(spark, sf_dir):
-    """The projected scenes moved to the southern edge of the grid, where rows turn negative."""
-    scenes = rasters.scenes(spark, sf_dir).filter(F.col("epsg") == 3857)
-    south = F.lit(-19500000.0) - (F.col("scene_id") % 7) * F.lit(90000.0)
+    """All scenes moved to the southern edge of the grid, where rows turn negative."""
+    scenes, k = rasters.scenes(spark, sf_dir), F.col("scene_id") % 7
+    south = F.when(F.col("epsg") == 3857, F.lit(-19500000.0) - k * F.lit(90000.0)).otherwise(
+        F.lit(-84.3) - k * F.lit(0.07))
     moved = scenes.withColumn("gt", F.transform(
         "gt", lambda g, i: F.when(i == 3, south).otherwise(g)))
     return scene_tile_pairs(moved, "11-11").select("scene_id", "x", "y")
@@ -305,7 +355,29 @@ def overlap_south_edge(spark, sf_dir):
 
 def zoom_report(spark, sf_dir):
     scenes, blocks = _sources(spark, sf_dir)
-    return pyramid_report(mosaic(blocks, scenes, "2-4"))
+    return array_report(tile_arrays(blocks, scenes, "2-4"))
+
+
+def _written(spark, sf_dir):
+    scenes, blocks = _sources(spark, sf_dir)
+    path = rasters.scratch(spark, "tiles")
+    return path, write_tiles(build_pyramid(scenes, blocks, ZOOMS, payload="raw", status=True), path)
+
+
+def tiles_written(spark, sf_dir):
+    """The pyramid written to a tile table and read again."""
+    path, _ = _written(spark, sf_dir)
+    return read_tiles(spark, path).select(
+        F.col("zoom_level").alias("z"), F.col("tile_column").alias("x"),
+        F.col("tile_row").alias("y"), *_sum()())
+
+
+def write_status(spark, sf_dir):
+    """What the write itself counted, a row per zoom."""
+    _, status = _written(spark, sf_dir)
+    return spark.createDataFrame(
+        [tuple(s[c] for c in ("z", "n_tiles", "n_bytes", "n_cells", "vmin", "vmax"))
+         for s in status], "z int, n_tiles long, n_bytes long, n_cells long, vmin int, vmax int")
 
 
 def queries() -> dict[str, Query]:
@@ -358,6 +430,14 @@ def queries() -> dict[str, Query]:
         "pyramid_inverse_png_strict": _pyramid(_sum(), compat=False),
         "tile_lookup": tile_lookup,
         "tileset_lookup": tileset_lookup,
+        "tile_lookup_bands": band_lookup,
+        "region_overlap": region_overlap,
+        "point_samples": point_samples,
+        "tile_scene_list": tile_scene_list,
+        "path_rank": path_rank,
+        "scene_table": scene_table,
+        "tiles_written": tiles_written,
+        "write_status": write_status,
         "pyramid_report": zoom_report,
     }
 
