@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilepyramid.constants import RESOLUTIONS
 
+ROWS_SOUTH = 64
 KEY_PATTERN = r"(-?\d+)[/\\](-?\d+)[/\\](-?\d+)(?:\.[^./\\]*)?$"
 
 
@@ -21,6 +22,20 @@ def tile_row(z: Column, grid_row: Column, compat: bool = True) -> Column:
     return top - grid_row if compat else top - 1 - grid_row
 
 
+def interleaved(x: Column, y: Column) -> Column:
+    """Key whose bits are those of column and row in turn: tiles near each other have near keys."""
+    def apart(v: Column) -> Column:
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF),
+                            (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333),
+                            (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    # Rows beyond the southern edge are below 0; no level has that many.
+    south = F.greatest(y.cast("long") + ROWS_SOUTH, F.lit(0))
+    return F.shiftleft(apart(south), 1).bitwiseOR(apart(F.greatest(x.cast("long"), F.lit(0))))
+
+
 def tile_path(root: Column, z: Column, x: Column, y: Column, ext: str = "png") -> Column:
     name = F.concat(y.cast("string"), F.lit(f".{ext}"))
     return F.concat_ws("/", root, z.cast("string"), x.cast("string"), name)

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilepyramid.constants import RESOLUTIONS
-from tilepyramid.functions.tilekey import tile_row
+from tilepyramid.functions.tilekey import interleaved, tile_row
 from tilepyramid.operators.grid import world_dims, zoom_table
 from tilepyramid.schemas import TILE_KEY
 from tilepyramid.sources.zooms import check_zooms
 
 # A request key is four short values; one million of them is tens of megabytes.
 BROADCAST_KEYS = 1_000_000
+# Boxes that requests are cut into, and the bits of the interleaved key that tell boxes apart.
+BOXES = 32
+PREFIX_BITS = 10
 
 
 def lookup(
@@ -25,9 +28,9 @@ def lookup(
 
     Where tiles of several bands are stored, requests name a ``band`` too. ``tile_data`` is NULL when the tile is missing; if a key is stored more than once the
     smallest payload is taken, so the answer does not depend on row order.  The tile table is
-    first cut to the levels and to the column and row ranges that are asked for, as literal
-    filters, so that partitions and row groups are skipped; then to the keys, by broadcast if they
-    are counted small.
+    first cut to the levels and to at most ``BOXES`` boxes of columns and rows that hold all keys, as
+    literal filters, so that partitions, files and row groups are skipped; then to the keys, by
+    broadcast if they are counted small.
     """
     if ("band" in requests.columns) != ("band" in tiles.columns):
         raise ValueError("either both requests and tiles have a band, or neither")
@@ -36,13 +39,10 @@ def lookup(
     stored = tiles.select(*named, *[F.col(c).alias(rename[c]) for c in TILE_KEY], "tile_data")
     on = [*named, "z", "x", "y"]
     keys = requests.select(*on).distinct()
-    n, levels, *ends = keys.agg(
-        F.count(F.lit(1)), F.collect_set("z"),  # the levels of a pyramid: a few
-        F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if levels:
-        stored = stored.filter(
-            F.col("z").isin(*sorted(levels)) & F.col("x").between(*ends[:2])
-            & F.col("y").between(*ends[2:]))
+    n, levels, boxes = _boxes(keys)
+    if boxes:
+        stored = stored.filter(F.col("z").isin(*levels) & reduce(lambda a, b: a | b, [
+            F.col("x").between(x0, x1) & F.col("y").between(y0, y1) for x0, x1, y0, y1 in boxes]))
     else:
         stored = stored.limit(0)
     if n <= broadcast_keys:
@@ -52,6 +52,29 @@ def lookup(
     return requests.join(hits, on, "left")
 
 
+def _boxes(keys: DataFrame) -> tuple[int, list[int], list[tuple[int, int, int, int]]]:
+    """The number of keys, their levels, and boxes (first and last column and row) that hold them.
+
+    Keys are boxed by the leading ``PREFIX_BITS`` of their interleaved key; of these boxes, few
+    thousand whatever the number of keys, neighbours are put together, but for the widest gaps.
+    """
+    spare = F.greatest(2 * (F.col("z") + 1) - PREFIX_BITS, F.lit(0))
+    prefix = F.call_function("shiftright", interleaved(F.col("x"), F.col("y")), spare)
+    ends = [f(c) for c in "xy" for f in (F.min, F.max)]
+    found = keys.groupBy("z", prefix.alias("prefix")).agg(F.count(F.lit(1)), *ends).collect()
+    found = sorted((r for r in found if r[0] is not None), key=lambda r: (r[0], r[1]))
+    # another level is a gap as well; within one, the distance of the prefixes
+    gaps = [float("inf") if a[0] != b[0] else b[1] - a[1] for a, b in zip(found, found[1:])]
+    cuts = sorted(sorted(range(len(gaps)), key=lambda k: -gaps[k])[:BOXES - 1])
+    boxes = []
+    for a, b in zip([0, *[k + 1 for k in cuts]], [*[k + 1 for k in cuts], len(found)]):
+        part = found[a:b]
+        if part:
+            boxes.append((min(r[3] for r in part), max(r[4] for r in part),
+                          min(r[5] for r in part), max(r[6] for r in part)))
+    return sum(r[2] for r in found), sorted({r[0] for r in found}), boxes
+
+
 def dense_tiles(
     tiles: DataFrame, zooms: str | Iterable[int], blank: bytes, compat: bool = True,
     covered: DataFrame | None = None, bands: Sequence[int] | None = None,

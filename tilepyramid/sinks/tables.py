@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tilepyramid import schemas
 from tilepyramid.constants import RESOLUTIONS
+from tilepyramid.functions.tilekey import interleaved
 from tilepyramid.operators.georeference import georeference
 
 
@@ -18,7 +19,8 @@ def write_tiles(tiles: DataFrame, path: str | None = None, format: str = "parque
     The Parquet form overwrites just the zooms it holds, so a repeated run does not duplicate
     rows; neighbouring tiles are stored together, so a lookup can skip row groups.  A ``band``
     column is kept.  Other sinks append in batches, unless ``mode`` says otherwise: they repeat
-    rows if a run is repeated.
+    rows if a run is repeated.  The order is that of interleaved column and row bits, so that a
+    file or row group covers a small box of tiles.
 
     Returns the status of each zoom written, counted while writing: ``z``, ``n_tiles`` (rows),
     ``n_bytes`` and, of tiles built with ``status=True``, ``n_cells``, ``vmin`` and ``vmax``.
@@ -28,7 +30,9 @@ def write_tiles(tiles: DataFrame, path: str | None = None, format: str = "parque
     if format == "parquet":
         rows = schemas.conform(tiles, T.StructType(
             [*schema.fields, *[T.StructField(c, T.IntegerType()) for c in told]]))
-        rows = rows.repartitionByRange(*schemas.TILE_KEY).sortWithinPartitions(*schemas.TILE_KEY)
+        place = ["zoom_level", interleaved(F.col("tile_column"), F.col("tile_row")),
+                 *schemas.TILE_KEY[1:]]
+        rows = rows.repartitionByRange(*place).sortWithinPartitions(*place)
     else:
         rows = tiles
     # Observed after the range shuffle, whose sampling reads the rows before it once more.
