@@ -49,10 +49,39 @@ def test_unsound_vectors_link_with_nothing(spark):
     told = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got}
     assert len(got) == len(rows)
     assert told[4] == (1, 2, False) and told[2] == (1, 2, True)
-    assert all(told[k] == (0, k, True) for k in (3, 5, 6, 7, 8, 9, 10, 11))
+    assert all(told[k] == (0, k, True) for k in (3, 5, 6, 7, 8, 9, 10, 11))  # 9: of another length
     assert told[None] == (0, None, True)
 
 
+def test_lengths_do_not_mix_but_each_is_searched(spark):
+    rng = np.random.default_rng(8)
+    long, short = rng.normal(size=(30, 8)), rng.normal(size=(5, 3))
+    rows = [*long.tolist(), *(long + rng.normal(size=long.shape) * 0.01).tolist(),
+            *short.tolist(), *(short * 1.5 + 0.001).tolist(), [2.0], [3.0], [-1.0]]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert all(got[30 + k].component_id == got[k].component_id != 30 + k for k in range(30))
+    assert all(got[65 + k].n_links >= 1 for k in range(5))
+    assert [(got[k].n_links, got[k].component_id) for k in (70, 71, 72)] == [(1, 70), (1, 70), (0, 72)]
+
+
+def test_few_cells_are_visited_and_links_at_the_threshold_found(spark):
+    rng = np.random.default_rng(21)
+    n, dim = 6000, 64
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    partner = turned(rng, x[:400], rng.uniform(0.9002, 0.91, 400))
+    all_rows = np.vstack([x, partner]).astype(np.float32)
+    vectors = table(spark, all_rows.tolist())
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors).collect()}
+    want = links_by_brute_force(all_rows)
+    found = np.array([got[k].n_links for k in range(len(all_rows))])
+    assert want.sum() == 800 and (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    unit = vectors.selectExpr("vec_id", "1L AS copies", "CAST(embedding AS array<double>) AS unit")
+    grid = embedding_dedup.fit(unit, len(all_rows))
+    mean = embedding_dedup.cells(unit, grid).agg({"n_cells": "avg"}).first()[0]
+    assert mean / (len(grid.first) * len(grid.second)) < 0.1
+
+
 def test_empty_and_all_unsound(spark):
     assert embedding_dedup.near_duplicates(table(spark, [])).collect() == []
     got = embedding_dedup.near_duplicates(table(spark, [None, [0.0, 0.0]])).collect()

@@ -1,30 +1,32 @@
 """Embedding near-duplicates by an inverted multi-index.
 
 Unit vectors are cut into two halves, each quantised by its own codebook of K codes; the product
-grid has K*K cells. A vector visits cells in the order of the multi-sequence traversal, i.e. by the
-sum of its squared distances to the cell's two codes, as far as a reach beyond its own cell, and
-with a cell all others of the same first code. Every pair met is verified by its cosine in double
-precision, and every pair verified counts.
+grid has K*K cells, about as many as there are rows. A vector visits cells in the order of the
+multi-sequence traversal, i.e. by the sum of its squared distances to the cell's two codes, as far as
+a reach beyond its own cell; only with the vectors of visited cells is it compared. A pair is met if
+either visits the other's cell. Every pair met is verified by its cosine in double precision.
 
 The reach is the larger of two, plus the margin ``SLACK``; neither is weighted by pairs, so a large
 group does not speak for the others. One is measured: sampled rows, taken in turn from all cells so
 that a crowded cell gives no more than others, are compared with all rows by brute force, and the
 farthest partner of any of them counts. Rounds of probes are drawn until ``ENOUGH`` have partners
 without being in a large group, or ``ROUNDS`` are through. The other needs no partners in the table:
-each sampled row is given partners at the threshold itself, turned toward other rows and in free
-directions, and all but ``1 - TARGET_RECALL`` of the rows have theirs within the reach.
+sampled rows are given partners at the threshold itself, turned toward other rows or in free
+directions, and ``TARGET_RECALL`` of such pairs of either kind are within the reach.
 
 The codebooks are fitted on at most ``MAX_FIT`` vectors, and the reach is set on those; this is a
 parameter of the method and bounds what the driver holds. All rows are indexed and all rows search.
 
-Exact copies are one vector with a multiplicity. Cells are dealt out by the first code, and a code's
-residents and visitors are cut into chunks of ``CHUNK``; each task compares one chunk with another
-as a matrix product, adds up links there and sends one row per vector, never one per pair. For
-components it sends a spanning forest of the links in the chunk.
+Exact copies are one vector with a multiplicity. For the shuffle the codes of each half are put into
+groups of near codes; a pair of groups is a bucket of about ``CHUNK`` vectors, and a vector is sent to
+the buckets in which it visits a cell. A bucket's residents and visitors are cut into chunks; each task
+compares the visited cells of one chunk with another, adds up links there and sends one row per
+vector, never one per pair. For components it sends a spanning forest of the links in the chunk.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another
-length than most, link with nothing and are their own component; a null id is kept, as a vector
-without links; rows that repeat id and vector count as copies of each other.
+Defined results: vectors that are null, zero or hold null or non-finite components link with nothing
+and are their own component; vectors of different lengths do not link, each length has an index of its
+own; a null id is kept, as a vector without links; rows that repeat id and vector count as copies of
+each other; an empty table gives no row; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ from tilepyramid.llm.components import components
 
 THRESHOLD = 0.9
 TARGET_RECALL = 0.995
-SLACK = 0.1
+SLACK = 0.02
 MAX_FIT = 8_000
 #: Probes of the rounds: each is compared with all rows.
 MAX_PROBES = 256
@@ -53,21 +55,37 @@ ENOUGH = 64
 #: Partners drawn for a sampled row, of each kind.
 DRAWS = 4
 CHUNK = 2_048
+#: Pairs of vectors whose cosines are told at a time.
+PAIRS = 1 << 16
+#: More than what distances told by matrix products are off; whether a cell is visited is then told
+#: by sums of its own.
+ROUNDING = 1e-9
 COUNT, TIE = 0, 1
 
 
 @dataclass(frozen=True)
 class Grid:
-    """Two codebooks of K codes each, and the reach of the traversal."""
+    """Two codebooks of K codes each, the group of each code, and the reach of the traversal."""
 
     first: np.ndarray
     second: np.ndarray
     reach: float = math.inf
+    groups: tuple[np.ndarray, np.ndarray] | None = None
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = x.shape[1] // 2
         return _squared(x[:, :half], self.first), _squared(x[:, half:], self.second)
 
+    def beyond(self, x: np.ndarray, nearest: np.ndarray, own1: np.ndarray,
+               own2: np.ndarray) -> np.ndarray:
+        """How far beyond its own cell each row of ``x`` has the cell (own1, own2) of the same row.
+
+        Summed row by row, so that it is the same number in whatever company a row is told.
+        """
+        half = x.shape[1] // 2
+        return (((x[:, :half] - self.first[own1]) ** 2).sum(1)
+                + ((x[:, half:] - self.second[own2]) ** 2).sum(1) - nearest)
+
 
 def _squared(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ codes.T + (codes * codes).sum(1), 0)
@@ -92,8 +110,13 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def codes_for(rows: int) -> int:
-    """K so that a cell of the grid holds a few rows, between 4 and 1024."""
-    return int(min(1024, max(4, 2 ** round(math.log2(math.sqrt(max(rows, 1) / 8) + 1)))))
+    """K so that there are about as many cells as rows, between 4 and 1024."""
+    return int(min(1024, max(4, 2 ** round(math.log2(math.sqrt(max(rows, 1)))))))
+
+
+def groups_for(rows: int) -> int:
+    """Groups of the codes of a half, so that a bucket holds about ``CHUNK`` vectors; at most 64."""
+    return int(min(64, max(1, round(math.sqrt(rows / CHUNK)))))
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -107,19 +130,22 @@ def _sample(unit: DataFrame, rows: int, most: int, seed: str) -> np.ndarray:
 
 
 def _away(grid: Grid, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How far beyond the own cell of each row of ``x`` the cell of the same row of ``y`` lies."""
+    """The reach with which the same rows of ``x`` and ``y`` meet, either way."""
     d1, d2 = grid.distances(x)
     e1, e2 = grid.distances(y)
     row = np.arange(len(x))
-    return d1[row, e1.argmin(1)] + d2[row, e2.argmin(1)] - d1.min(1) - d2.min(1)
+    there = d1[row, e1.argmin(1)] + d2[row, e2.argmin(1)] - d1.min(1) - d2.min(1)
+    back = e1[row, d1.argmin(1)] + e2[row, d2.argmin(1)] - e1.min(1) - e2.min(1)
+    return np.minimum(there, back)
 
 
 def imagined_reach(grid: Grid, sample: np.ndarray, threshold: float) -> float:
-    """The reach that the sampled rows need for partners at the threshold itself."""
+    """The reach that pairs of sampled rows and partners at the threshold itself need."""
     rng = np.random.default_rng(5)
-    worst = np.zeros(len(sample))
+    needed: list[list[np.ndarray]] = [[], []]
     for _ in range(DRAWS):
-        for toward in (sample[rng.permutation(len(sample))], rng.normal(size=sample.shape)):
+        kinds = (sample[rng.permutation(len(sample))], rng.normal(size=sample.shape))
+        for kind, toward in enumerate(kinds):
             side = toward - (toward * sample).sum(1)[:, None] * sample
             length = np.linalg.norm(side, axis=1)
             turned = np.flatnonzero(length > 1e-9)
@@ -127,8 +153,9 @@ def imagined_reach(grid: Grid, sample: np.ndarray, threshold: float) -> float:
                 row = turned[at:at + 512]
                 partner = threshold * sample[row] + math.sqrt(max(0, 1 - threshold ** 2)) * (
                     side[row] / length[row, None])
-                worst[row] = np.maximum(worst[row], _away(grid, sample[row], partner))
-    return float(np.quantile(worst, TARGET_RECALL, method="higher"))
+                needed[kind].append(_away(grid, sample[row], partner))
+    return max((float(np.quantile(np.concatenate(n), TARGET_RECALL, method="higher"))
+                for n in needed if n), default=0.0)
 
 
 def probes_in_turn(grid: Grid, sample: np.ndarray) -> np.ndarray:
@@ -148,6 +175,7 @@ def probed(unit: DataFrame, grid: Grid, probes: np.ndarray, threshold: float) ->
         grid, probes = shipped.value
         to_first, to_second = grid.distances(probes)
         nearest = to_first.min(1) + to_second.min(1)
+        mine1, mine2 = to_first.argmin(1), to_second.argmin(1)
         partners, farthest = np.zeros(len(probes), dtype=np.int64), np.zeros(len(probes))
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -157,7 +185,10 @@ def probed(unit: DataFrame, grid: Grid, probes: np.ndarray, threshold: float) ->
                 cosine = x @ probes.T
                 # copies are gone, so a cosine of one is the probe itself
                 row, probe = np.nonzero((cosine >= threshold) & (cosine < 1 - 1e-12))
-                away = to_first[probe, own1[row]] + to_second[probe, own2[row]] - nearest[probe]
+                there = to_first[probe, own1[row]] + to_second[probe, own2[row]] - nearest[probe]
+                back = (d1[row, mine1[probe]] + d2[row, mine2[probe]]
+                        - d1[row, own1[row]] - d2[row, own2[row]])
+                away = np.minimum(there, back)
                 partners += np.bincount(probe, minlength=len(probes))
                 np.maximum.at(farthest, probe, away)
         at = np.flatnonzero(partners)
@@ -186,51 +217,77 @@ def fit(unit: DataFrame, rows: int, threshold: float = THRESHOLD) -> Grid:
         reach = max(reach, told[:, 1].max(initial=0.0))
         # a probe with a hundredth of all rows as partners is in a large group
         useful += int((told[:, 0] <= max(8, rows / 100)).sum())
-    return Grid(grid.first, grid.second, reach + SLACK)
+    n = groups_for(rows)
+    groups = tuple(_squared(codes, codebook(codes, min(n, len(codes)))).argmin(1)
+                   for codes in (grid.first, grid.second))
+    return Grid(grid.first, grid.second, reach + SLACK, groups)
+
+
+def _group_least(excess: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """The least of each row over the codes of each group; infinite for a group without codes."""
+    out = np.full((len(excess), n), np.inf)
+    for g in np.unique(groups):
+        out[:, g] = excess[:, groups == g].min(1)
+    return out
 
 
 def cells(unit: DataFrame, grid: Grid) -> DataFrame:
-    """(vec_id, copies, unit, own1, visits, visited): the own first code, and the first codes
-    visited, as a list and as bits."""
+    """(vec_id, copies, unit, own1, own2, nearest, bucket, visits, n_cells): the own cell and how near
+    it is, its bucket, the buckets with a visited cell, and the number of cells visited."""
     shipped = unit.sparkSession.sparkContext.broadcast(grid)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grid = shipped.value
+        g1, g2 = grid.groups
+        n1, n2 = int(g1.max()) + 1, int(g2.max()) + 1
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at:at + 512]
-                d1, _ = grid.distances(_matrix(part["unit"]))
-                near = d1 <= d1.min(1)[:, None] + grid.reach
-                yield part.assign(own1=d1.argmin(1),
-                                  visits=[np.flatnonzero(n).tolist() for n in near],
-                                  visited=[b.tobytes() for b in np.packbits(near, axis=1)])
+                x = _matrix(part["unit"])
+                d1, d2 = grid.distances(x)
+                own1, own2 = d1.argmin(1), d2.argmin(1)
+                nearest = grid.beyond(x, np.zeros(len(x)), own1, own2)
+                e1, e2 = d1 - d1.min(1)[:, None], d2 - d2.min(1)[:, None]
+                # the traversal: for each first code, nearest first, a prefix of the second codes
+                e1.sort(axis=1)
+                ordered = np.sort(e2, axis=1)
+                n_cells = [int(np.searchsorted(o, grid.reach - a[a <= grid.reach], "right").sum())
+                           for a, o in zip(e1, ordered)]
+                e1 = d1 - d1.min(1)[:, None]
+                near = (_group_least(e1, g1, n1)[:, :, None]
+                        + _group_least(e2, g2, n2)[:, None, :] <= grid.reach + ROUNDING)
+                yield part.assign(
+                    own1=own1, own2=own2, nearest=nearest, bucket=g1[own1] * n2 + g2[own2],
+                    visits=[np.flatnonzero(v).tolist() for v in near.reshape(len(x), -1)],
+                    n_cells=n_cells)
 
     return unit.mapInPandas(
-        run, "vec_id long, copies long, unit array<double>, own1 int, visits array<int>, "
-             "visited binary")
+        run, "vec_id long, copies long, unit array<double>, own1 int, own2 int, nearest double, "
+             "bucket int, visits array<int>, n_cells int")
 
 
-def near_links(placed: DataFrame, threshold: float) -> DataFrame:
+def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
     """(kind, a, b): kind COUNT tells b links more of vector a, kind TIE a link of the forest.
 
-    A pair is met where one visits the other's first code. If each visits the other's, each counts
-    its own side; if only one does, it counts both.
+    A pair is met where one visits the other's cell. If each visits the other's, each counts its own
+    side; if only one does, it counts both.
     """
-    # chunks of each first code: residents by their own code, visitors by the codes they visit
-    residents = placed.withColumn("code", F.col("own1"))
-    visitors = placed.withColumn("code", F.explode("visits"))
-    size = residents.groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn(
+    # chunks of each bucket: residents by their own one, visitors by those they visit
+    residents = placed
+    visitors = placed.drop("bucket").withColumn("bucket", F.explode("visits"))
+    size = residents.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "r_chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-    visit = visitors.groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn(
+    visit = visitors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "v_chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-    plan = F.broadcast(size.join(visit, "code"))  # K rows at most, K <= 1024
-    common = ["vec_id", "copies", "unit", "own1", "visited"]
+    plan = F.broadcast(size.join(visit, "bucket"))  # 64 * 64 rows at most
+    common = ["vec_id", "copies", "unit", "own1", "own2", "nearest"]
+    shipped = placed.sparkSession.sparkContext.broadcast(grid)
 
     def dealt(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
         mine = F.expr(f"CAST(pmod(xxhash64(vec_id, 'chunk'), {own}) AS INT)")
-        return (df.join(plan, "code").withColumn(own, mine)
+        return (df.join(plan, "bucket").withColumn(own, mine)
                 .withColumn(other, F.explode(F.expr(f"sequence(0, {other} - 1)")))
-                .select("code", "r_chunks", "v_chunks", F.lit(side).alias("side"), *common))
+                .select("bucket", "r_chunks", "v_chunks", F.lit(side).alias("side"), *common))
 
     rows = dealt(residents, "r_chunks", "v_chunks", 0).union(
         dealt(visitors, "v_chunks", "r_chunks", 1))
@@ -239,32 +296,46 @@ def near_links(placed: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        grid = shipped.value
         res, vis = frame[frame["side"] == 0], frame[frame["side"] == 1]
         if res.empty or vis.empty:
             return told(COUNT, np.zeros(0, np.int64), np.zeros(0, np.int64))
         y, y_id = _matrix(res["unit"]), res["vec_id"].to_numpy()
-        y_copies = res["copies"].to_numpy()
-        y_visits = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in res["visited"]]),
-                                 axis=1).astype(bool)
+        y1, y2, y_copies = (res[c].to_numpy() for c in ("own1", "own2", "copies"))
+        y_nearest = res["nearest"].to_numpy()
         out, y_more = [], np.zeros(len(y), dtype=np.int64)
         for at in range(0, len(vis), 512):
             part = vis.iloc[at:at + 512]
             x, x_id = _matrix(part["unit"]), part["vec_id"].to_numpy()
-            hits = (x @ y.T >= threshold) & (x_id[:, None] != y_id[None, :])
-            if not hits.any():
+            x_nearest, x_copies = part["nearest"].to_numpy(), part["copies"].to_numpy()
+            d1, d2 = grid.distances(x)
+            # the residents of visited cells, and only those, are compared
+            row, col = np.nonzero(d1[:, y1] + d2[:, y2]
+                                  <= (x_nearest + grid.reach + ROUNDING)[:, None])
+            linked = np.concatenate([np.zeros(0, dtype=bool), *(
+                np.einsum("ij,ij->i", x[row[k:k + PAIRS]], y[col[k:k + PAIRS]]) >= threshold
+                for k in range(0, len(row), PAIRS))])
+            linked &= x_id[row] != y_id[col]
+            row, col = row[linked], col[linked]
+            there = grid.beyond(x[row], x_nearest[row], y1[col], y2[col]) <= grid.reach
+            row, col = row[there], col[there]
+            if not len(row):
                 continue
-            n = hits @ y_copies
-            met = y_visits[:, part["own1"]].T
-            y_more += part["copies"].to_numpy() @ (hits & ~met)
-            mine = n > 0
-            out.append(told(COUNT, x_id[mine], n[mine]))
+            back = grid.beyond(y[col], y_nearest[col], part["own1"].to_numpy()[row],
+                               part["own2"].to_numpy()[row]) <= grid.reach
+            n = np.bincount(row, y_copies[col], minlength=len(x)).astype(np.int64)
+            y_more += np.bincount(col[~back], x_copies[row[~back]],
+                                  minlength=len(y)).astype(np.int64)
+            out.append(told(COUNT, x_id[n > 0], n[n > 0]))
+            hits = np.zeros((len(x), len(y)), dtype=bool)
+            hits[row, col] = True
             tied = spanning_forest(hits, x_id, y_id)
             out.append(told(TIE, tied[:, 0], tied[:, 1]))
         more = y_more > 0
         out.append(told(COUNT, y_id[more], y_more[more]))
         return pd.concat(out)
 
-    return rows.groupBy("code", "r_chunks", "v_chunks").applyInPandas(
+    return rows.groupBy("bucket", "r_chunks", "v_chunks").applyInPandas(
         compare, "kind int, a long, b long")
 
 
@@ -278,35 +349,35 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     v = v.withColumn("ok", F.coalesce(
         F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
         & (F.col("top") > 0) & (F.col("top") < math.inf), F.lit(False)))
-    lengths = v.filter("ok").groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    usual = lengths[0] if lengths else -1
-    unsound = v.filter(~F.col("ok") | (F.col("size") != usual)).select(
+    found = v.filter(~F.col("ok")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
         F.lit(True).alias("kept"))
-    if lengths is None:
-        return unsound
     scaled = F.expr("transform(v, x -> x / top)")
     norm = F.expr("sqrt(aggregate(s, 0D, (a, x) -> a + x * x))")
-    sound = (v.filter(F.col("ok") & (F.col("size") == usual)).withColumn("s", scaled)
-             .withColumn("norm", norm).selectExpr(
-                 "vec_id", "v", "transform(s, x -> x / norm) AS unit"))
+    sound = (v.filter("ok").withColumn("s", scaled).withColumn("norm", norm)
+             .selectExpr("vec_id", "v", "size", "transform(s, x -> x / norm) AS unit"))
+    # an index for each length; vectors of one table have one length, or a few
+    for size in sorted(r[0] for r in v.filter("ok").select("size").distinct().collect()):
+        found = found.union(_of_one_length(sound.filter(F.col("size") == size), threshold))
+    return found
+
+
+def _of_one_length(sound: DataFrame, threshold: float) -> DataFrame:
     # copies: one vector with its multiplicity, named by its smallest id
     copies = stored(sound.groupBy("v").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
         F.first("unit").alias("unit")), "vectors")
     unit = copies.select(F.col("first_id").alias("vec_id"), "copies", "unit")
-    count = copies.count()
-    grid = fit(unit, count, threshold)
-    links = stored(near_links(stored(cells(unit, grid), "cells"), threshold), "vector-links")
+    grid = fit(unit, copies.count(), threshold)
+    links = stored(near_links(stored(cells(unit, grid), "cells"), grid, threshold), "vector-links")
     counts = links.filter(F.col("kind") == COUNT).groupBy("a").agg(F.sum("b").alias("found"))
     comps = components(links.filter(F.col("kind") == TIE))
     told = (copies.join(counts, F.col("first_id") == F.col("a"), "left")
             .join(comps, F.col("first_id") == F.col("id"), "left")
             .select("v", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"),
                     F.coalesce("component", "first_id").alias("component_id")))
-    mine = sound.select("vec_id", "v").join(told, "v").select(
+    return sound.select("vec_id", "v").join(told, "v").select(
         "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return mine.union(unsound)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
