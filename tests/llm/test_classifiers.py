@@ -116,3 +116,10 @@ def test_stage_rejects_texts_of_no_learned_language(spark):
         [(-1 - k, text, None) for k, text in enumerate(odd)], real.schema))
     kept = {r.doc_id for r in language_id.known_language(spark, docs, "").collect()}
     assert kept == {r.doc_id for r in real.collect()}
+
+
+def test_numerals_that_are_no_letters_are_undetermined(spark):
+    model = language_id.fit(["the cat and the dog", "der hund und die katze"] * 20, ["en", "de"] * 20)
+    langs, scores, _ = language_id.predict(model, ["\u00bd \u2460", "\u2167", "12 _", "\u00aa", "\u0e01"])
+    assert langs[:3] == ["und"] * 3 and scores[:3] == [0.0] * 3
+    assert "und" not in langs[3:]

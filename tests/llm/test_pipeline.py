@@ -4,10 +4,14 @@
 import duckdb
 import pytest
 
+from helpers import prose
+
 import corpus_pipeline
 from tilepyramid.llm import registry
 from tilepyramid.llm.decontamination import leaks
+from tilepyramid.llm.mixing import mixed
 from tilepyramid.llm.ngram_join import joined
+from tilepyramid.llm.sharding import sharded
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,10 +39,43 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()) == sorted(before)
 
 
+CLASHING = ["lang_pred", "score", "ambiguous", "row", "stream", "block", "slot", "phase", "release",
+            "deadline", "position"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    texts = [prose(k, 60) for k in range(60)] + [None, "", "one", prose(1, 60)]
+    rows = [(k, t, "en", f"s{k % 3}", 1, *[f"mine{k}"] * len(CLASHING)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                                 "n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{number}")
+        docs = spark.read.parquet(f"{tmp_path}/{number}")
+        kept = docs.collect()
+        assert docs.columns[-len(CLASHING):] == CLASHING and len(kept) >= 58
+        assert all(r[c] == f"mine{r.doc_id}" for r in kept for c in CLASHING)
+
+
+def test_stages_and_pipeline_on_null_repeated_and_no_rows(spark, tmp_path):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    texts = [prose(3, 40), prose(3, 40), None, "", prose(4, 40)]
+    rows = [(1, texts[0], "en", None, 9), (1, texts[1], "en", None, 9), (None, texts[4], None, "a", 1),
+            (None, texts[4], None, "a", 1), (2, None, "en", "a", None), (3, "", None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for stage in (mixed, sharded):
+        got = stage(spark, docs, DATA).select(*docs.columns).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, docs.collect()))
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(
+            f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in want.description]

@@ -41,6 +41,16 @@ def test_a_group_with_a_third_of_all_rows_is_split(spark):
     assert counts.max() / counts.min() < 1.15
 
 
+def test_a_hot_group_without_ids_is_split_too(spark):
+    for hot in (None, 7):
+        texts = [prose(0, 40)] * 400 + [prose(k, 40) for k in range(1, 801)]
+        ids = [hot] * 400 + [1000 + k for k in range(800)]
+        rows = sharding.assign(documents(spark, texts, ids=ids), shards=8).collect()
+        check_shards(rows, texts, 8)
+        size = np.bincount([r.shard for r in rows], [r.size for r in rows], minlength=8)
+        assert size.max() / size.min() < 1.1
+
+
 def test_shard_cases(spark):
     texts = [None, "", " \n ", LONG, "a", "a", "é"]
     rows = sharding.assign(documents(spark, texts, ids=[None, 1, 2, 3, 4, 4, None]), shards=3).collect()
@@ -86,6 +96,22 @@ def test_audit_finds_corrupt_missing_and_surplus_records(spark):
     assert warc.differing(a, warc.tree(leaves(spark, []))).count() == 2100
 
 
+def test_whole_records_at_other_offsets_are_found(spark):
+    good = [(0, n, f"h{n}") for n in range(600)]
+    moved = leaves(spark, good).withColumn("start", F.when(
+        F.col("record_no") == 300, F.col("start") - 2).otherwise(F.col("start")))
+    found = warc.differing(warc.tree(leaves(spark, good)), warc.tree(moved)).collect()
+    assert [(r.file, r.node) for r in found] == [(0, 300)]
+
+
+def test_long_and_clashing_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 3_000_000, 5, "f"), (2, "v", None, 6, "g")],
+                                  "page_id long, url string, html string, start long, file string")
+    rec = warc.record(F.col("page_id"), F.col("url"), F.col("html"))
+    rows = warc.manifest(pages, {"d": F.sha2(rec, 256)}, F.octet_length(rec)).collect()
+    assert sorted(r.end - r.start for r in rows)[1] > 3_000_000 and {r.file for r in rows} == {0}
+
+
 def test_records_are_laid_end_to_end(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é</p>"), (None, None, None), (1, "u", "<p>é</p>"),
                                    (2, "v", "")], "page_id long, url string, html string")

@@ -51,6 +51,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        return free("_" + name) if name.lower() in taken else name
+
+    return tuple(free(n) for n in names)
+
+
 def id_key(doc_id: Column) -> Column:
     """Hex key by which rows are put in a fixed, well-mixed order; null ids get the empty key."""
     return F.coalesce(F.md5(doc_id.cast("string")), F.lit(""))

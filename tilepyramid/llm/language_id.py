@@ -10,17 +10,17 @@ classifiers fitted on the other half of them, so that documents of the known lan
 never below ``LEAST_BOUND``. With under ``MIN_CALIBRATION`` training rows or one language there is no
 bound.
 
-Defined results: a null text or one without a letter is ``und`` with score 0 and not ambiguous;
+Defined results: a null text or one without a letter (Unicode category L) is ``und`` with score 0 and not ambiguous;
 with no learned language every document is ``und``; with one, every document with a letter is that
 language with score 1. A null doc_id is not held out. Repeated rows give equal rows. Ties between
 codewords go to the language that sorts first. Texts are read whole, whatever their length. Only
-the columns named by parameters are read; others pass through :func:`identify` untouched.
+the columns named by parameters are read; others pass through :func:`identify` untouched, and
+through the stage whatever their names. An empty table gives no row.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilepyramid.llm.common import read
+from tilepyramid.llm.common import free_names, read
 from tilepyramid.llm.textbytes import chunks, gram_counts, joined, scaled, with_text_columns
 
 UNDETERMINED = "und"
@@ -42,7 +42,6 @@ ROUNDS = 120
 MIN_CALIBRATION = 100
 #: Half of the loss of a classifier that knows nothing.
 LEAST_BOUND = float(np.log(2)) / 2
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are not ASCII letters nor part of a longer character count as a space.
 LETTERS_ONLY = np.array(
     [b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
@@ -144,7 +143,8 @@ def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 def predict(model: Model, texts) -> list[list]:
     langs, scores, unsure = [], [], []
     for raws in chunks(texts):
-        lettered = [bool(LETTER.search(r.decode("utf-8", "replace"))) for r in raws]
+        # isalpha is true of the Unicode categories L*, as \p{L} is
+        lettered = [any(map(str.isalpha, r.decode("utf-8", "replace"))) for r in raws]
         if model.languages:
             x = features(raws)
             top, score, lead = decode(model, x)
@@ -183,12 +183,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     return replace(model, bound=bound(texts, langs)) if bounded else model
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` and ``ambiguous`` (columns of these names are
-    replaced)."""
-    added = T.StructType([T.StructField("lang_pred", T.StringType()),
-                          T.StructField("score", T.DoubleType()),
-                          T.StructField("ambiguous", T.BooleanType())])
+def identify(docs: DataFrame, model: Model, text: str = "text",
+             names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``docs`` with the predicted language, its score and whether it is ambiguous, as ``names``
+    (columns of these names are replaced)."""
+    added = T.StructType([T.StructField(n, t) for n, t in zip(
+        names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return with_text_columns(docs, text, added, lambda texts: predict(shipped.value, texts))
 
@@ -209,5 +209,6 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Stage: documents whose language can be told; those found ``und`` go, which are texts without
     letters and texts of no learned language."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), bounded=True)
-    return (identify(docs, model).filter(F.col("lang_pred") != UNDETERMINED)
+    names = free_names(docs, "lang_pred", "score", "ambiguous")
+    return (identify(docs, model, names=names).filter(F.col(names[0]) != UNDETERMINED)
             .select(*docs.columns))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepyramid.llm.common import id_key, ranked, read
+from tilepyramid.llm.common import free_names, id_key, ranked, read
 
 OTHER = "(other)"
 BLOCK_ROWS = 8
@@ -158,9 +158,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: all documents in the order of the mix; file by file and row by row the output is the
     mix, so a reader that goes through it in order sees the target shares."""
-    placed = mix(docs, WEIGHTS)
+    row, = free_names(docs, "row")
+    whole = docs.select("source", "doc_id", F.struct(*docs.columns).alias(row))
+    placed = mix(whole, WEIGHTS)  # whose own columns do not meet those of the documents
     return (placed.repartitionByRange("position").sortWithinPartitions("position")
-            .select(*docs.columns))
+            .select(f"{row}.*"))
 
 
 _STREAMS = ", ".join(f"('{s}', {i}, {w})" for i, (s, w) in enumerate([*WEIGHTS.items(), (OTHER, 1)]))

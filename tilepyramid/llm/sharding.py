@@ -8,8 +8,8 @@ would overflow come only after those that would not.
 To stay small at any size, the packer sees items and not groups: a group of at least
 1/(``LARGE`` * shards) of the total in some dimension is an item of its own (at most 3 * LARGE *
 shards of them), and all other groups are hashed by text into ``BUNDLES`` items. A group of more
-than half a shard in some dimension is cut by a hash of the id into pieces of at most about half a
-shard, since whole it would break the balance. The packer is a loop over this bounded table on the
+than half a shard in some dimension is cut into pieces of at most about half a shard, by the place of
+a row among the group's ids, since whole it would break the balance. The packer is a loop over this bounded table on the
 driver; documents never go there.
 
 Law: ``bytes`` (sizes near equal); the size is the text's UTF-8 bytes plus 8.
@@ -89,11 +89,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: st
         large.collect(), "_group binary, _pieces int")  # 3 * LARGE * shards rows at most
 
     def with_item(df: DataFrame) -> DataFrame:
-        item = F.when(F.col("_pieces").isNull(), F.concat(F.lit("b"), F.pmod(
-            F.xxhash64("_group"), F.lit(BUNDLES)))).otherwise(F.concat(
-                F.hex("_group"), F.lit("/"),
-                F.pmod(F.xxhash64(F.col(doc_id), F.lit("piece")), F.col("_pieces"))))
-        return df.join(F.broadcast(known), "_group", "left").withColumn("_item", item)
+        joined = df.join(F.broadcast(known), "_group", "left")
+        small = joined.filter(F.col("_pieces").isNull()).withColumn(
+            "_item", F.concat(F.lit("b"), F.pmod(F.xxhash64("_group"), F.lit(BUNDLES))))
+        if known.isEmpty():
+            return small
+        # rows equal in group and id are alike to the packer, so their order does not matter
+        whole = joined.filter(F.col("_pieces").isNotNull()).withColumns(
+            {"_name": F.hex("_group"), "_id": id_key(F.col(doc_id))})
+        cut = ranked(whole, ["_name"], "_id", [F.col(doc_id)], "_rank", int(totals[2] or 0))
+        piece = (F.col("_rank") % F.col("_pieces")).cast("string")
+        return small.unionByName(cut.withColumn("_item", F.concat_ws("/", "_name", piece)).drop(
+            "_name", "_id", "_rank"))
 
     items = (with_item(lean).groupBy("_item")
              .agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1)))

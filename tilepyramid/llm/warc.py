@@ -1,15 +1,16 @@
 """WARC fixity audit by Merkle trees.
 
 Records are laid out in files of ``RECORDS_PER_FILE`` in a fixed mixed order, each at a byte offset.
-A leaf is the SHA-256 of a record's bytes; a node is the SHA-256 of its ``FANOUT`` children's
-hashes with their places, and stands for the byte range they cover; a file has ``LEVELS`` levels
+A leaf is the SHA-256 of a record's offsets and of the SHA-256 of its bytes; a node is that of its own
+offsets and of its ``FANOUT`` children's hashes with their places: a record that is whole but not where
+it should be differs as well. A file has ``LEVELS`` levels
 above its leaves, the last being the root. Two replicas are compared at the roots; only below a
 node that differs are the children compared, down to the records that are corrupt, missing or
 surplus. Every group is bounded: ``FANOUT`` children, ``RECORDS_PER_FILE`` records of a file.
 
 DataFrame and SQL functions only. Defined results: a null url or page counts as empty; a null id
 is written as ``null``; repeated pages are records of their own; equal replicas, and empty ones,
-give no row; records of any length are hashed whole; other columns are not looked at.
+give no row; records of any length are hashed whole; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,16 +61,21 @@ def manifest(pages: DataFrame, digests: dict[str, Column], length: Column,
 
 def tree(leaves: DataFrame) -> DataFrame:
     """(level, file, node, start, end, hash) of all levels, from (file, record_no, start, end,
-    hash); stored."""
-    level = leaves.select("file", F.col("record_no").alias("node"), "start", "end", "hash")
+    hash), the last being the digest of the record's bytes; stored."""
+    own = F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("end").cast("string"),
+                             "hash"), 256)
+    level = leaves.select("file", F.col("record_no").alias("node"), "start", "end",
+                          own.alias("hash"))
     found = level.select(F.lit(0).alias("level"), "*")
     for number in range(1, LEVELS + 1):
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))
         told = F.array_join(F.transform(children, lambda c: F.concat_ws(
             ":", (c["node"] % FANOUT).cast("string"), c["hash"])), "\n")
+        ends = [F.min("start"), F.max("end")]
+        whole = F.concat_ws(":", *[e.cast("string") for e in ends], told)
         level = level.groupBy("file", F.expr(f"node div {FANOUT}").alias("parent")).agg(
-            F.min("start").alias("start"), F.max("end").alias("end"),
-            F.sha2(told, 256).alias("hash")).withColumnRenamed("parent", "node")
+            ends[0].alias("start"), ends[1].alias("end"),
+            F.sha2(whole, 256).alias("hash")).withColumnRenamed("parent", "node")
         found = found.union(level.select(F.lit(number).alias("level"), "file", "node", "start",
                                          "end", "hash"))
     return stored(found, "merkle-tree")
@@ -100,10 +106,11 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of a replica of all pages in which some runs of records have rotted.
+    """Audit of a replica of all pages in which some runs of records have rotted or moved.
 
-    The rot is the audit's test case, not given data: in every file, the version line of each
-    record whose number modulo 512 is below 3 reads 1.0 instead of 1.1.
+    The faults are the audit's test case, not given data: in every file, the version line of each
+    record whose number modulo 512 is below 3 reads 1.0 instead of 1.1, and the offsets of those for
+    which it is 300 to 302 are stale by 4 bytes.
     """
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     good = record(F.col("page_id"), F.col("url"), F.col("html"))
@@ -112,7 +119,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.octet_length(good))
     rotten = F.col("record_no") % 512 < 3
     archive = tree(table.withColumn("hash", F.col("good")))
-    replica = tree(table.withColumn("hash", F.when(rotten, F.col("bad")).otherwise(F.col("good"))))
+    stale = F.when((F.col("record_no") % 512).between(300, 302), 4).otherwise(0)
+    replica = tree(table.withColumns({
+        "hash": F.when(rotten, F.col("bad")).otherwise(F.col("good")),
+        "start": F.col("start") + stale, "end": F.col("end") + stale}))
     found = differing(archive, replica).withColumnRenamed("node", "record_no")
     return found.join(table.select("file", "record_no", "page_id"), ["file", "record_no"]).select(
         "file", "record_no", "page_id", F.col("start").alias("start_byte"),
@@ -138,7 +148,9 @@ spans AS (
   SELECT *, sum(strlen(r)) OVER (PARTITION BY file ORDER BY record_no)::BIGINT AS end_byte
   FROM placed)
 SELECT file, record_no, page_id, end_byte - strlen(r) AS start_byte, end_byte,
-       sha256(r) AS archive_hash,
-       sha256(concat('WARC/1.0', substr(r, 9))) AS replica_hash
-FROM spans WHERE record_no % 512 < 3
+       sha256(concat_ws(':', end_byte - strlen(r), end_byte, sha256(r))) AS archive_hash,
+       sha256(concat_ws(':', end_byte - strlen(r) + moved, end_byte + moved, sha256(
+         CASE WHEN moved = 0 THEN concat('WARC/1.0', substr(r, 9)) ELSE r END))) AS replica_hash
+FROM (SELECT *, CASE WHEN record_no % 512 >= 300 THEN 4 ELSE 0 END AS moved FROM spans)
+WHERE record_no % 512 < 3 OR record_no % 512 BETWEEN 300 AND 302
 """
