@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from helpers import LONG, Roots, documents, edited, prose
 
@@ -65,8 +66,6 @@ def test_groups_meet_for_all_sizes_that_can_link():
 
 
 def test_linked_sets_share_more_keys_than_are_spare():
-    import numpy as np
-
     rng = np.random.default_rng(4)
     for n in (3, 8, 20, 60, 300, 2000):
         a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
@@ -74,6 +73,7 @@ def test_linked_sets_share_more_keys_than_are_spare():
             0, 2**64, n * 15 // 200, dtype=np.uint64)]))
         assert 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
         shared = {}
+        a, b = np.stack([a, a], axis=1), np.stack([b, b], axis=1)
         for k, p in set(zip(*map(tuple, ngram_join.signatures(a, 85)), strict=True)) & set(
                 zip(*map(tuple, ngram_join.signatures(b, 85)), strict=True)):
             shared[int(p)] = shared.get(int(p), 0) + 1
@@ -121,12 +121,11 @@ def test_blocks_of_dense_keys_change_nothing(spark, monkeypatch):
 
 
 def test_shared_counts_over_slices(monkeypatch):
-    import numpy as np
-
     monkeypatch.setattr(ngram_join, "SLICE", 7)
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 5, 30, 60, 90, 9)]
-    got = ngram_join.shared_counts(sets, slice(0, 3), slice(3, 6))
+    got = ngram_join.shared_counts([np.stack([t, t % 7], axis=1) for t in sets], slice(0, 3),
+                                   slice(3, 6))
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3]]
 
 
@@ -142,3 +141,23 @@ def test_ids_with_several_texts(spark):
     kept = ngram_join.one_of_each(spark, docs.union(docs), "")
     assert kept.columns == docs.columns
     assert sorted(r.n for r in kept.collect()) == [0, 2, 4, 5, 6]
+
+
+def test_words_that_any_polynomial_confuses_are_told_apart(spark):
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: tuple(r)[1:] for r in ngram_join.joined(
+        documents(spark, [thue, other, f"{thue} {other} x y z", thue])).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (2, 2), 3: (1, 0)}
+
+
+def test_shingles_that_agree_in_half_their_bits_are_told_apart():
+    rows = np.array([[5, 1], [5, 2], [5, 2], [5, 1], [7, 1], [3, 9]], dtype=np.uint64)
+    a = ngram_join.distinct(rows)
+    assert a.tolist() == [[3, 9], [5, 1], [5, 2], [7, 1]]
+    b = ngram_join.distinct(np.array([[5, 2], [5, 3], [7, 2], [3, 9]], dtype=np.uint64))
+    assert ngram_join.shared(a, b) == ngram_join.shared(b, a) == 2
+    counts = ngram_join.shared_counts([a, a[:0], b], slice(0, 2), slice(2, 3))
+    assert counts.tolist() == [[2], [0]]

@@ -15,7 +15,8 @@ large ones. And groups of large sets have ``spare`` segments beyond H + 1: linke
 of sets in which each key occurs, and pairs that share no more than ``spare`` keys are dropped
 before their texts are looked at. A passage that many documents share costs nothing this way.
 
-What is left is verified exactly on the shingle sets of the whole texts: each document with its best
+A shingle is told by 128 bits made from the 128-bit BLAKE2 digests of its words; keys use the first
+half. What is left is verified on the whole shingle sets of the whole texts: each document with its best
 hub; then, where a key is held by several components, every pair of different ones. Keys with few
 holders give pairs; documents tied by keys with many holders are compared chunk by chunk, as a
 product of matrices that returns a spanning forest, so a group of thousands of near copies never
@@ -26,13 +27,15 @@ Defined results: a text without words, or null, has no shingles, links with noth
 component; a null id gets its n_shingles, a null component, and no links; rows repeating id and
 text give equal rows; rows that share an id but not a text count as one document for links, with the
 largest n_shingles: each text is a set of its own, and what links with one is tied to the others
-(texts without shingles tie nothing). The pipeline's stage judges texts, not ids. Texts are read whole, whatever their length. Other columns are not looked at.
+(texts without shingles tie nothing). The pipeline's stage judges texts, not ids. Texts are read whole,
+whatever their length. An empty table gives no row. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -66,12 +69,7 @@ SLICE = 4_096
 #: Keys of a group are told apart by group * PART + spare.
 PART = 1 << 20
 
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint64)
-LOWER[0x41:0x5B] += np.uint64(32)
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                    0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                    0x589965CC75374CC3, 0x1D8E4E27C47D124F], dtype=np.uint64)
@@ -83,46 +81,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, FACTOR, dtype=np.uint64)
-    down = np.full(size, INVERSE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in order, and the number of words of each text."""
-    flat = np.frombuffer(b" ".join([b"", *raws, b""]), dtype=np.uint8)
-    size = 1 << max(20, int(len(flat) + 1).bit_length())
-    up, down = _powers(size)
-    gap = SPACE[flat]
-    turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # starts and ends in turn: gaps at both ends
-    starts, ends = turn[0::2], turn[1::2]
-    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum((LOWER[flat] + np.uint64(1)) * up[:len(flat)], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
-    begins = np.cumsum([1, *[len(r) + 1 for r in raws]])
-    counts = np.diff(np.searchsorted(starts, begins))
-    return hashes, counts
+def word_digests(raws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The 128-bit BLAKE2 digests, as two numbers each, of all words of the texts in order, and the
+    number of words of each text."""
+    split = [raw.translate(LOWER).split() for raw in raws]  # at 0x20 and 0x09 to 0x0D
+    words = [w for found in split for w in found]
+    place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    told = b"".join(blake2b(w, digest_size=16).digest() for w in place)
+    digests = np.frombuffer(told, dtype=np.uint64).reshape(-1, 2)
+    which = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
+    return digests[which], [len(found) for found in split]
 
 
 def shingle_sets(raws: list[bytes], width: int) -> Iterator[np.ndarray]:
-    """Of each text the sorted distinct hashes of its shingles."""
-    hashes, counts = word_hashes(raws)
+    """Of each text its distinct shingles, sorted: a row of two numbers each, made from the two halves
+    of the digests of its words."""
+    digests, counts = word_digests(raws)
     at = 0
     for n in counts:
-        words = hashes[at:at + n]
+        words = digests[at:at + n]
         at += n
         if n == 0:
             yield words
         elif n < width:
-            yield mixed((words * PLACES[:n]).sum(keepdims=True) + np.uint64(n))
+            places = PLACES[np.arange(n) % len(PLACES), None]
+            yield mixed((words * places).sum(axis=0, keepdims=True) + np.uint64(n))
         else:
-            total = np.full(n - width + 1, width, dtype=np.uint64)
+            total = np.full((n - width + 1, 2), width, dtype=np.uint64)
             for k in range(width):
                 total += words[k:n - width + 1 + k] * PLACES[k]
-            yield np.unique(mixed(total))
+            yield distinct(mixed(total))
+
+
+def distinct(tokens: np.ndarray) -> np.ndarray:
+    """The different rows, sorted."""
+    rows = tokens[np.argsort(tokens[:, 0], kind="stable")]
+    same = rows[1:, 0] == rows[:-1, 0]
+    if (rows[1:][same, 1] != rows[:-1][same, 1]).any():  # different shingles of one first number
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        same = (rows[1:] == rows[:-1]).all(axis=1)
+    return rows[np.concatenate([[True], ~same])]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many rows two sets have in common."""
+    if len(a) > len(b):
+        a, b = b, a
+    low = np.searchsorted(b[:, 0], a[:, 0])
+    found = 0
+    while len(a):  # once, unless rows of ``b`` agree in the first number only
+        held = low < len(b)
+        a, low = a[held], low[held]
+        held = b[low, 0] == a[:, 0]
+        a, low = a[held], low[held]
+        equal = b[low, 1] == a[:, 1]
+        found += int(equal.sum())
+        a, low = a[~equal], low[~equal] + 1
+    return found
 
 
 @lru_cache(maxsize=8)
@@ -168,7 +183,8 @@ def allocation(most: int, size: int) -> tuple[int, int, int]:
 def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of a set, and for each its part: group * PART + spare."""
     keys, parts = [], []
-    for group, least, most in groups_of(len(tokens), percent):
+    size, tokens = len(tokens), tokens[:, 0]
+    for group, least, most in groups_of(size, percent):
         m, twos, spare = allocation(most, least)
         segment = ((tokens >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
         sums = np.zeros(m, dtype=np.uint64)
@@ -238,7 +254,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                     if frame["role"][at] == 0:
                         hub, held = frame["hub"][at], tokens
                     elif frame["hub"][at] == hub and len(tokens) and len(held):
-                        both = len(np.intersect1d(tokens, held, assume_unique=True))
+                        both = shared(tokens, held)
                         if 100 * both >= percent * (len(tokens) + len(held) - both):
                             found.append((frame["doc"][at], hub))
                     at += 1
@@ -438,9 +454,12 @@ def shared_counts(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarr
     memory is bounded whatever the length of the texts.
     """
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, token, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]),
-                                return_inverse=True, return_counts=True)
-    kept = count[token] > 1
+    rows = np.concatenate([*sets, np.zeros((0, 2), np.uint64)])
+    by = np.lexsort((rows[:, 1], rows[:, 0]))
+    new = (rows[by][1:] != rows[by][:-1]).any(axis=1)
+    token = np.zeros(len(rows), dtype=np.int64)
+    token[by] = np.concatenate([np.zeros(min(1, len(rows)), np.int64), np.cumsum(new)])
+    kept = np.bincount(token)[token] > 1 if len(rows) else np.zeros(0, dtype=bool)
     order = np.argsort(token[kept], kind="stable")
     owner, token = owner[kept][order], token[kept][order]
     out = np.zeros((len(sets[left]), len(sets[right])), dtype=np.int64)
