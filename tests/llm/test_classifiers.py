@@ -76,6 +76,14 @@ def test_quality_held_out(spark):
     assert np.mean(good) > np.mean(bad) + 0.5
 
 
+def test_features_do_not_depend_on_the_texts_around():
+    raws = [b"the cat", b"", b"a", "h\u00e9 \u0e01".encode(), b"zz zz", b"\n\n"]
+    for features in (cotraining.text_view, language_id.features):
+        together = features(raws)
+        for k, raw in enumerate(raws):
+            assert np.array_equal(together[k], features([raw])[0])
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = (rng.random(900) < 0.5).astype(float)
@@ -89,6 +97,73 @@ def test_views_teach_each_other():
     assert np.mean((odds > 0) == (y[rest] > 0.5)) > 0.95
 
 
+def _mixed_docs(spark, n=400):
+    rng = np.random.default_rng(5)
+    words = [["river", "stone", "quiet", "evening", "garden"], ["buy", "CLICK", "$$$", "now!!", "win"]]
+    bad = rng.random(n) < 0.4
+    texts = [" ".join(rng.choice(words[int(b)], rng.integers(5, 60))) for b in bad]
+    sources = [("shop" if b else "book") if rng.random() < 0.9 else "mail" for b in bad]
+    return documents(spark, texts, langs=["en"] * n, sources=sources, ids=list(range(n))), bad
+
+
+def test_all_unlabelled_rows_are_labelled_in_each_round(spark):
+    docs, bad = _mixed_docs(spark)
+    rows = docs.orderBy("doc_id").collect()
+    known = [r for r in rows if r.doc_id < 60]
+    free = [r for r in rows if r.doc_id >= 60]
+    y = (~bad[:60]).astype(float)
+    views = cotraining._both(known)
+    teachers = tuple(cotraining.calibrated(cotraining.logistic(v, y), v, y) for v in views)
+    got = cotraining.sums_of(docs.filter("doc_id >= 60").repartition(7), teachers)
+    both = cotraining._both(free)
+    want = {}  # row by row
+    for k in (0, 1):
+        for row in range(len(free)):
+            odds = float(teachers[k].log_odds(both[k][row:row + 1])[0])
+            if abs(odds) < np.log(9):
+                continue
+            x = both[1 - k][row]
+            band = min(int((abs(odds) - np.log(9)) / cotraining.BAND_WIDTH), cotraining.BANDS - 1)
+            side = x @ cotraining._planes(len(x)) > 0
+            key = (k, int(odds > 0), band, int(side[0]) + 2 * int(side[1]))
+            n, total = want.get(key, (0, 0))
+            want[key] = (n + 1, total + np.rint(x * 65536).astype(np.int64))
+    assert sum(n for n, _ in want.values()) > len(free)
+    assert got.keys() == want.keys()
+    for key, (n, total) in want.items():
+        assert got[key][0] == n and (got[key][1] == total).all()
+    # the whole fit, with the unlabelled rows in memory, gives the same model
+    labels = spark.createDataFrame([(k, int(not bad[k])) for k in range(60)], "doc_id long, quality int")
+    model = cotraining.train(docs, labels)
+    order = sorted(range(60), key=lambda k: zlib.crc32(str(k).encode()))
+    check = np.arange(60) % 3 == 0
+    alone = cotraining.cotrain(tuple(v[order] for v in views), y[order], check, both)
+    for view, other in zip((model.text, model.meta), alone, strict=True):
+        assert np.allclose(view.weights, other.weights, rtol=1e-4, atol=1e-4)
+        assert np.isclose(view.slope, other.slope, rtol=1e-3)
+
+
+def test_bands_pass_from_the_surest_down_until_enough_rows():
+    one = np.array([65536])
+    sums = {(0, 1, 11, 0): (2, 2 * one), (0, 1, 11, 3): (1, 3 * one), (0, 1, 4, 1): (4, 4 * one),
+            (0, 1, 0, 0): (9, 9 * one), (1, 1, 11, 0): (7, one), (0, 0, 11, 0): (7, one)}
+    assert [(n, x[0]) for n, x in cotraining.passed(sums, 0, 1, 3)] == [(2, 1.0), (1, 3.0)]
+    assert [n for n, _ in cotraining.passed(sums, 0, 1, 3.5)] == [2, 1, 4]
+    assert cotraining.passed(sums, 0, 1, 0) == []
+
+
+def test_many_labels_take_all_rows_or_leave_some(spark, monkeypatch):
+    docs, bad = _mixed_docs(spark, 200)
+    labels = spark.createDataFrame([(k, int(not bad[k])) for k in range(200)], "doc_id long, quality int")
+    told = [r.quality for r in cotraining.score(docs, cotraining.train(docs, labels)).orderBy(
+        "doc_id").collect()]
+    assert np.mean(np.array(told) == ~bad) > 0.95  # nothing unlabelled
+    monkeypatch.setattr(cotraining, "BROADCAST_IDS", 0)
+    clash = docs.withColumnsRenamed({"slot": "_id"}) if "slot" in docs.columns else docs
+    model = cotraining.train(clash, labels.filter("doc_id < 150"))
+    assert cotraining.score(clash, model).count() == 200
+
+
 def test_quality_cases(spark):
     docs = documents(spark, [None, "", LONG, "a"], langs=[None] * 4, sources=[None, "s", "s", "s"],
                      ids=[0, None, 2, 2])

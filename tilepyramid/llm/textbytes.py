@@ -44,7 +44,8 @@ def gram_counts(flat: np.ndarray, owner: np.ndarray, n: int, sizes: tuple[int, .
                 bits: int) -> np.ndarray:
     """Hashed byte n-gram counts of each text, float32 of shape (n, 2**bits).
 
-    Texts are separated by a gap in ``flat``; a gram is counted for the text of its first byte.
+    Texts are followed by a gap in ``flat``; a gram that reaches into the next text is not counted,
+    so a text's counts do not depend on its neighbours.
     """
     out = np.zeros(n << bits, dtype=np.float32)
     wide = flat.astype(np.uint32)
@@ -56,7 +57,8 @@ def gram_counts(flat: np.ndarray, owner: np.ndarray, n: int, sizes: tuple[int, .
             gram = gram * np.uint32(257) + wide[k:len(wide) - size + 1 + k]
         gram *= GRAM_FACTOR
         gram >>= np.uint32(32 - bits)
-        cells = (owner[:len(gram)] << bits) + gram
+        inside = owner[:len(gram)] == owner[size - 1:]
+        cells = ((owner[:len(gram)] << bits) + gram)[inside]
         out += np.bincount(cells, minlength=n << bits).astype(np.float32)
     return out.reshape(n, 1 << bits)
 
