@@ -53,6 +53,32 @@ def test_added_rules():
         ("private_key", b"-----BEGI")]
 
 
+# (kind, pattern, least length), looked for one after the other
+ADDED = [("github", r"gh[pousr]_[A-Za-z0-9]+", 24), ("slack", r"xox[baprs]-[A-Za-z0-9][A-Za-z0-9-]*", 15),
+         ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0)]
+
+
+def test_all_spans_come_from_the_automaton():
+    """Every rule against its regular expression, on texts whose matches touch and overlap."""
+    scanner = secret_scan.Scanner()
+    parts = ["ghp_", "gho_", "xoxb-", "xoxa--", "abcdefgh", "0" * 12, "a", "-", "_", " ", "-----BEGIN ",
+             "RSA ", "PRIVATE KEY-----", "token", "secret", "=", ": ", '"', "AKIA", "AKIA" + "Z" * 16,
+             "f" * 23, "password=", "é"]
+    some = 0
+    for seed in range(20_000):
+        rng = random.Random(seed)
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = [(a, k, kind, b) for kind, a, b in base_spans(text)
+                for k in [["assign", "access", "hex"].index(kind)]]
+        want += [(m.start(), 3 + k, kind, m.end()) for k, (kind, p, least) in enumerate(ADDED)
+                 for m in re.finditer(p, text) if len(m[0]) >= least]
+        data = text.encode()
+        got = secret_scan.in_code_points(data, scanner.spans(data))
+        assert [(a, k, kind, b) for k, kind, a, b in got] == sorted(want), text
+        some += len(got) > 1
+    assert some > 1000
+
+
 @pytest.mark.parametrize("pattern", ["a(b|cd)*e", "[^a-c]x{3}", "x?y+z", r"\.\x41[0-9]"])
 def test_automaton_accepts_where_matches_end(pattern):
     auto, rng = secret_scan.compile_rules([pattern]), random.Random(pattern)

@@ -1,18 +1,22 @@
 """Secret scan by one combined deterministic automaton.
 
-The rules' trigger patterns are compiled together: Thompson NFA, subset construction, Moore
-minimisation, transition rows by byte. One pass over the bytes of a text runs all rules; where a
-state accepts, the rule's full pattern is applied at that place to fix the span. A trigger is the
-shortest beginning of a match that already decides it, so it fires once for each match.
-
-Defined results: a null text counts as empty and has no span; so has a text without a match. Spans
-are in code points, end exclusive. Repeated rows give equal rows. Texts are read whole.
+All rules are compiled together: Thompson NFA, subset construction, Moore minimisation, transition
+rows by byte. Each rule gives the automaton two patterns, its trigger, the shortest beginning of a
+match that decides it, and the whole match, the trigger with any more bytes of its tail. One pass
+over the bytes of a text runs all of them and gives the spans: a match opens where its trigger is
+accepted and ends with the last byte in a row at which the whole is. Where a trigger has no fixed
+length, its openings are patterns of the automaton too, and the match starts with the last one seen.
+
+Defined results: a null text counts as empty and has no span; so has a text without a match, and an
+empty table gives no rows. Matches of one rule do not overlap, the leftmost wins; spans of several
+rules may, and those that start together are in the order of the rules. Spans are in code points,
+end exclusive. Repeated rows give equal rows; other columns, whatever their names, are not read.
+Texts are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -23,39 +27,49 @@ from tilepyramid.llm.common import read
 from tilepyramid.llm.textbytes import with_text_columns
 
 # The patterns of the rules (bytes), as the contract and public token formats state.
-KEYWORD = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]" \
-          r"|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 VALUE = r"[A-Za-z0-9+/_.=-]"
 BETWEEN = r"[\"']?\x20*[:=]\x20*[\"']?"
+BEGIN = "-----BEGIN "
+
+
+def either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+KEYWORD = f"({'|'.join(either_case(w) for w in KEYWORDS)})"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``trigger`` ends where a match is decided; ``full`` is matched from the match's start.
+    """A match is ``trigger`` and then all bytes of the class ``tail``, which must hold every byte
+    that can end the trigger; without a tail it is the trigger.
 
-    ``lead`` is the number of trigger bytes before the match, ``length`` the trigger's fixed
-    length, or None where the start is that of the last keyword seen. ``group`` must have
-    ``least`` characters.
+    ``lead`` is the number of trigger bytes before the match, ``length`` the trigger's fixed length.
+    Without one, ``openings`` are (pattern, length) of what a match can start with; the last one seen
+    before a trigger's end must be that of its match. A match, or with ``of_tail`` what follows the
+    trigger from its last byte on, must have ``least`` bytes.
     """
 
     kind: str
     trigger: str
-    full: str
+    tail: str = ""
     lead: int = 0
     length: int | None = None
-    group: int = 0
+    openings: tuple[tuple[str, int], ...] = ()
     least: int = 0
+    of_tail: bool = False
 
 
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
-    Rule("assign", KEYWORD + BETWEEN + VALUE, KEYWORD + BETWEEN + f"({VALUE}+)", group=2, least=6),
-    Rule("access", r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", length=5, least=20),
-    Rule("hex", r"[^0-9a-f][0-9a-f]{24}", r"[0-9a-f]+", lead=1, length=25, least=24),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]+", length=5, least=24),
-    Rule("slack", r"xox[baprs]-[A-Za-z0-9]", r"xox[baprs]-[A-Za-z0-9-]+", length=6, least=15),
-    Rule("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----",
-         r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("assign", KEYWORD + BETWEEN + VALUE, VALUE,
+         openings=tuple((either_case(w), len(w)) for w in KEYWORDS), least=6, of_tail=True),
+    Rule("access", r"AKIA[A-Z0-9]", r"[A-Z0-9]", length=5, least=20),
+    Rule("hex", r"[^0-9a-f][0-9a-f]{24}", r"[0-9a-f]", lead=1, length=25, least=24),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]", r"[A-Za-z0-9]", length=5, least=24),
+    Rule("slack", r"xox[baprs]-[A-Za-z0-9]", r"[A-Za-z0-9-]", length=6, least=15),
+    Rule("private_key", BEGIN + r"([A-Z]+ )*PRIVATE KEY-----", openings=((BEGIN, len(BEGIN)),)),
 )
 
 
@@ -245,43 +259,45 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.automaton = compile_rules([r.trigger for r in rules] + [KEYWORD])
-        self.full = [re.compile(r.full.encode("ascii")) for r in rules]
+        #: (rule, length) of each opening, in the order of their patterns.
+        self.openings = [(k, n) for k, r in enumerate(rules) for _, n in r.openings]
+        # Patterns are accepted in this order: openings, whole matches, triggers.
+        self.automaton = compile_rules([
+            *[pattern for r in rules for pattern, _ in r.openings],
+            *[r.trigger + (r.tail and r.tail + "*") for r in rules], *[r.trigger for r in rules]])
 
     def spans(self, data: bytes) -> list[tuple[int, str, int, int]]:
         """Byte spans (rule number, kind, start, end) by start, then rule."""
-        auto, rules = self.automaton, self.rules
-        rows, first = auto.rows, auto.first_accept
-        taken, found, keyword_end = [0] * len(rules), [], 0
+        auto, rules, openings = self.automaton, self.rules, self.openings
+        rows, first, accepts = auto.rows, auto.first_accept, auto.accepts
+        wholes = len(openings)
+        triggers = wholes + len(rules)
+        opened = [0] * len(rules)  # where the last opening of each rule starts
+        ends = [0] * len(rules)  # of each rule's last match, so far
+        matches: list[list] = [[] for _ in rules]  # (start, place of the trigger's last byte, end)
         state = auto.start
         for at, byte in enumerate(data, 1):
             state = rows[state][byte]
             if state >= first:
-                for k in auto.accepts[state - first]:
-                    if k == len(rules):
-                        keyword_end = at
-                        continue
-                    rule = rules[k]
-                    if rule.length is not None:
-                        start = at - rule.length + rule.lead
-                    elif rule.kind == "assign":
-                        start = keyword_end - _keyword_length(data, keyword_end)
+                for p in accepts[state - first]:
+                    if p < wholes:
+                        k, length = openings[p]
+                        opened[k] = at - length
+                    elif p < triggers:
+                        k = p - wholes
+                        if ends[k] == at - 1 and matches[k]:
+                            ends[k] = matches[k][-1][2] = at
                     else:
-                        start = data.rindex(b"-----BEGIN ", 0, at)
-                    if start < taken[k]:
-                        continue
-                    match = self.full[k].match(data, start)
-                    taken[k] = match.end()
-                    if len(match[rule.group]) >= rule.least:
-                        found.append((k, rule.kind, start, match.end()))
-        return sorted(found, key=lambda s: (s[2], s[0]))
-
-
-def _keyword_length(data: bytes, end: int) -> int:
-    tail = data[max(0, end - 8):end].lower()
-    # The keywords of the assign rule.
-    return max(len(w) for w in (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-               if tail.endswith(w))
+                        k = p - triggers
+                        rule = rules[k]
+                        start = opened[k] if rule.length is None else at - rule.length + rule.lead
+                        if start >= ends[k]:
+                            matches[k].append([start, at - 1, at])
+                            ends[k] = at
+        return sorted(((k, rule.kind, start, end) for k, rule in enumerate(rules)
+                       for start, tail, end in matches[k]
+                       if end - (tail if rule.of_tail else start) >= rule.least),
+                      key=lambda s: (s[2], s[0]))
 
 
 def in_code_points(data: bytes, spans: list[tuple[int, str, int, int]]) -> list[tuple]:
