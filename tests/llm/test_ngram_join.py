@@ -161,3 +161,25 @@ def test_shingles_that_agree_in_half_their_bits_are_told_apart():
     assert ngram_join.shared(a, b) == ngram_join.shared(b, a) == 2
     counts = ngram_join.shared_counts([a, a[:0], b], slice(0, 2), slice(2, 3))
     assert counts.tolist() == [[2], [0]]
+
+
+def test_a_passage_that_many_share_sends_each_text_a_few_times(spark, monkeypatch):
+    """Texts that share most of their words, but do not link, are not sent once per chunk."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    monkeypatch.setattr(ngram_join, "DENSE", 8)
+    sent = []
+    real = ngram_join.with_texts
+    monkeypatch.setattr(ngram_join, "with_texts", lambda rows, docs: sent.append(rows.count()) or real(
+        rows, docs))
+    passage = prose(1, 60, 10_000)
+    rows = []
+    for n in (150, 300):
+        sent.clear()
+        texts = [f"{passage} {prose(100 + k, 12, 10_000)}" for k in range(n)]
+        # some that do link
+        texts[5] = edited(texts[4], 3, 1)
+        texts[n - 1] = edited(texts[7], 4, 1)
+        got = ngram_join.joined(documents(spark, texts)).collect()
+        assert {tuple(r) for r in got} == brute(texts, 4, 85)
+        rows.append(sum(sent))
+    assert rows[1] < 3 * rows[0]

@@ -378,7 +378,7 @@ def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
     held = _open_keys(used, components(links))
     links = links.union(_links(_pairs(held.filter(F.col("held") <= DENSE)), lists, single, width,
                                percent))
-    links = links.union(_block_links(held.filter(F.col("held") > DENSE), single, width, percent))
+    links = links.union(_dense_links(held.filter(F.col("held") > DENSE), single, width, percent))
     return sizes, links
 
 
@@ -411,17 +411,85 @@ def _pairs(held: DataFrame) -> DataFrame:
             .select("doc", "hub", "part").distinct())
 
 
-def _block_links(held: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _dense_links(held: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among documents that share keys with many holders, without a row for each pair.
 
-    Documents tied by such keys form clusters; a cluster is cut into chunks of about ``CHUNK``, and
-    each task compares one chunk with another and returns a spanning forest of the links it finds.
+    Documents tied by such keys form clusters. One of at most about ``CHUNK`` documents is one
+    task's block. In a larger one documents are first told apart by shingles: those that link share
+    one of the rarest few, so that a passage which many hold ties no two of them. Only what is tied
+    by a rare shingle with more than ``DENSE`` holders still goes to blocks.
     """
-    ties = held.withColumn("hub", F.min("doc").over(Window.partitionBy("key")))
+    clusters = stored(_clusters(held, ["key"]), "ngram-clusters")
+    links = _block_links(clusters.filter("chunks = 1"), docs, width, percent)
+    large = clusters.filter("chunks > 1").select(F.col("id").alias("doc"))
+    if large.isEmpty():
+        return links
+    token = ["hi", "lo"]
+    rare = _rare_shingles(held.select("doc", "comp").distinct().join(large, "doc"), docs, width,
+                          percent)
+    counts = rare.groupBy(*token).agg(
+        F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    rare = stored(rare.join(counts.filter("low < high"), token).drop("low", "high"), "ngram-rare")
+    few = rare.filter(F.col("held") <= DENSE)
+    other = few.select(*token, *[F.col(c).alias(f"hub_{c}") for c in ("doc", "comp", "n")])
+    pairs = few.join(other, token).filter(
+        (F.col("doc") > F.col("hub_doc")) & (F.col("comp") != F.col("hub_comp"))
+        & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
+    pairs = stored(pairs.select("doc", F.col("hub_doc").alias("hub")).distinct(), "ngram-pairs")
+    links = links.union(stored(verified(pairs, docs, width, percent), "ngram-links"))
+    return links.union(_block_links(
+        _clusters(rare.filter(F.col("held") > DENSE), token), docs, width, percent))
+
+
+def _rare_shingles(who: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc, comp, n, hi, lo): of each document in ``who`` (doc, comp) so many of its shingles, the
+    rarest of all of theirs first, that two documents which link have one of these in common.
+
+    A document of n shingles shares at least ``need``, its percentage of n, with one that it links
+    to, so one of those is among its first n - need + 1. What no other document holds is left out.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "comp")]
+            at = 0
+            for raws in chunks(batch.column("text").to_pylist()):
+                sets = list(shingle_sets(raws, width))
+                sizes = np.array([len(x) for x in sets])
+                rows = np.concatenate([*sets, np.zeros((0, 2), np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(np.repeat(c[at:at + len(sets)], sizes)) for c in told],
+                     pa.array(np.repeat(sizes, sizes)), pa.array(rows[:, 0].copy()),
+                     pa.array(rows[:, 1].copy())], names=["doc", "comp", "n", "hi", "lo"])
+                at += len(sets)
+
+    texts = with_texts(who, docs).select("doc", "comp", "text")
+    shingles = stored(texts.mapInArrow(run, "doc long, comp long, n long, hi long, lo long"),
+                      "ngram-shingles")
+    often = shingles.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    own = Window.partitionBy("doc")
+    # A repeated row repeats its shingles: equal ones share a rank.
+    ranked = shingles.join(often, ["hi", "lo"]).withColumn(
+        "rank", F.dense_rank().over(own.orderBy("often", "hi", "lo"))).withColumn(
+        "last", F.max("rank").over(own))
+    need = F.expr(f"(n * {percent} + 99) div 100")
+    return ranked.filter(F.col("rank") <= F.col("last") - need + 1).select(
+        "doc", "comp", "n", "hi", "lo")
+
+
+def _clusters(held: DataFrame, key: list[str]) -> DataFrame:
+    """(id, component, chunks) of the documents that share keys, and into how many chunks of about
+    ``CHUNK`` their cluster is cut."""
+    ties = held.join(held.groupBy(*key).agg(F.min("doc").alias("hub")), key)
     clusters = components(ties.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
     sizes = clusters.groupBy("component").agg(
         F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    dealt = (clusters.join(sizes, "component")
+    return clusters.join(sizes, "component")
+
+
+def _block_links(clusters: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within clusters (id, component, chunks): each task compares one chunk with another and
+    returns a spanning forest of the links it finds."""
+    dealt = (clusters
              .withColumn("own", F.expr("CAST(pmod(xxhash64(id), chunks) AS INT)"))
              .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
              .select(F.col("id").alias("doc"), "component", F.least("own", "other").alias("low"),
