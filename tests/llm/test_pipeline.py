@@ -1,13 +1,16 @@
 """The whole pipeline, stage by stage, and the registered SQL at the smallest scale."""
 
+from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import prose
 
 import corpus_pipeline
 from tilepyramid.llm import registry
+from tilepyramid.llm.common import scratch, shared_dir, stored, with_totals
 from tilepyramid.llm.decontamination import leaks
 from tilepyramid.llm.mixing import mixed
 from tilepyramid.llm.ngram_join import joined
@@ -39,6 +42,29 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, DATA).collect()) == sorted(before)
 
 
+def test_totals_of_groups_and_their_folder(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 5), ("a", 5), ("b", 2), (None, 3), (None, 4)],
+                                 "k string, v long")
+    with scratch(spark) as folder:
+        got = with_totals(rows, ["k"], [F.max("v").alias("top"), F.count("v").alias("n")], "n > 1")
+        with scratch(spark) as inner:
+            assert stored(rows, "rows").count() == 6
+        assert sorted(map(tuple, got.collect())) == [("a", 1, 5, 3), ("a", 5, 5, 3), ("a", 5, 5, 3)]
+        shown = got._jdf.queryExecution().toString()
+        assert "Window" not in shown
+    base = Path(shared_dir(spark).removeprefix("file:"))
+    assert base.exists()
+    assert not [f for f in (folder, inner) if Path(f.removeprefix("file:")).exists()]
+
+
+def test_pipeline_leaves_its_stages_only(spark):
+    base = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(base.iterdir())
+    corpus_pipeline.run(spark, DATA).count()
+    new = [p.name for p in set(base.iterdir()) - before]
+    assert len(new) == 1 and new[0].startswith("pipeline-")
+
+
 CLASHING = ["lang_pred", "score", "ambiguous", "row", "stream", "block", "slot", "phase", "release",
             "deadline", "position"]
 

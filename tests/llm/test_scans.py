@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from helpers import LONG, documents
 
@@ -120,6 +121,15 @@ def license_rows(texts):
                 if share >= 0.8 - 1e-9:
                     found.add(label)
                     best = max(best, share)
+        for template, label in licenses.TEMPLATES.items():
+            t = set(template.split())
+            needed = next(k for k in range(len(t) + 1) if k / len(t) >= 0.8 - 1e-9)
+            reach = len(template.split()) + len(t) - needed
+            starts = range(max(1, len(words) - reach + 1)) if len(t & set(words)) >= needed else ()
+            share = max((len(t.intersection(words[i:i + reach])) / len(t) for i in starts), default=0)
+            if share >= 0.8 - 1e-9:
+                found.add(label)
+                best = max(best, share)
         at = [p[0] for p in places]
         yield (k, len(words), len(at), min(at, default=None), max(at, default=None),
                ",".join(sorted({p[1] for p in places})),
@@ -150,11 +160,50 @@ def test_wrapped_notices_are_found(spark, tmp_path):
     template = next(t for t, label in licenses.TEMPLATES.items() if label == "bsd-grant")
     short = " * " + "\n * ".join(template.split())
     far = template.replace(" with", "\n" + "x " * 40 + "\nwith")
+    swapped = bsd.replace("without\nmodification", "modification\nwithout")
     texts = [bsd, short, far, "intro\n\n" + bsd.replace("binary", "object"), "all\nrights reserved",
-             bsd.split("\n")[0]]
+             bsd.split("\n")[0], swapped]
     documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r for r in licenses.op10_licenses(spark, str(tmp_path)).collect()}
-    assert [rows[k].labels for k in range(6)] == [
-        "bsd-grant", "bsd-grant", "", "bsd-grant", "all-rights-reserved", ""]
+    assert [rows[k].labels for k in range(7)] == [
+        "bsd-grant", "bsd-grant", "", "bsd-grant", "all-rights-reserved", "", "bsd-grant"]
     assert rows[0].score == rows[1].score == 1.0 and rows[2].score == rows[5].score == 0
     assert 0.8 <= rows[3].score < 1
+
+
+def test_license_sql_knows_wrapped_notices(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [None, "", *NOTICES]
+    for template in licenses.TEMPLATES:
+        for _ in range(6):
+            words = template.split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(["x", "the", "license"])
+            a, b = rng.randrange(len(words)), rng.randrange(len(words))
+            words[a], words[b] = words[b], words[a]
+            texts.append("".join(w + rng.choice([" ", " ", "\n", ", ", "\n# "]) for w in words))
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(licenses.OP10_SQL)
+    names = [d[0] for d in want.description]
+    rows = {tuple(r) for r in want.fetchall()}
+    got = {tuple(r[n] for n in names) for r in
+           licenses.op10_licenses(spark, str(tmp_path)).collect()}
+    assert got == rows == set(license_rows(texts))
+    assert sum(r[names.index("labels")] != "" for r in rows) > 40
+
+
+def test_templates_of_a_table(spark, monkeypatch):
+    paragraph = " ".join(f"Clause{k}, of this licence;" for k in range(300))
+    table = spark.createDataFrame([(paragraph, "long"), (paragraph, "longer"), (None, "no"), ("--", "mark"),
+                                   ("Public Domain!", "pd")], "text string, label string")
+    templates = licenses.templates_of(table)
+    assert templates == {paragraph: "long", "--": "mark", "Public Domain!": "pd"}
+    texts = ["x\n" + paragraph.replace("; ", "\n  "), "public\n\ndomain", "-- public", None]
+    got = licenses.scan(documents(spark, texts), templates=templates, phrases={})
+    assert {r.doc_id: [(b.line, b.label, b.containment) for b in r.blocks] for r in got.collect()} \
+        == {0: [(1, "long", 1.0)], 1: [(0, "pd", 1.0)], 2: [], 3: []}
+    monkeypatch.setattr(licenses, "TEMPLATE_BYTES", 100)
+    with pytest.raises(ValueError, match="templates"):
+        licenses.templates_of(table)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,14 +46,56 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+#: The folder of the innermost :func:`scratch` that is open.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables through the file system that it lies in."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """One folder in the shared one for all that is stored inside, dropped at the end.
+
+    Results are lazy and read what is stored: write them before the end, and elsewhere.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    outer = _scratch.set(path)
+    try:
+        yield path
+    finally:
+        _scratch.reset(outer)
+        drop_folder(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that no later step runs it again."""
+    """``df`` written to the shared folder and read back, so that no later step runs it again.
+
+    It stays there, as lazy results read it, unless :func:`scratch` is open.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    base = _scratch.get() or shared_dir(spark).rstrip("/")
+    path = f"{base}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_totals(df: DataFrame, keys: list[str], totals: list[Column], keep: str = "true",
+                name: str = "totals") -> DataFrame:
+    """Rows of ``df`` with the aggregates ``totals`` of their group, of the groups that ``keep``
+    says; null keys go.
+
+    Sums are formed in each task first. They are stored, so that the join back shuffles both of its
+    sides and adaptive execution can cut the partition of a key that holds a third of all rows,
+    which a window over the key could not. ``df`` is run twice: store it if it costs much.
+    """
+    return df.join(stored(df.groupBy(*keys).agg(*totals).filter(keep), name), keys)
+
+
 def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, each with as many underscores before it as it takes to be no column of ``df``."""
     taken = {c.lower() for c in df.columns}

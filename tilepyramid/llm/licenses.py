@@ -1,21 +1,25 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document, a template a known license notice; both are sets of words. A notice
-may also be wrapped anywhere, over any number of lines: a run of words over line breaks is a block
-too, if it holds the template's words in their order but for as many as it may miss, and no more
-other words than that and one for each line begun, as in a comment (words of neighbouring lines in
-any order or far apart are not a notice). A block matches where it holds at least ``THRESHOLD`` of the template's words. Words are ordered by
+A template is a known license notice; blocks and templates are sets of words. A document's blocks
+are its lines, and, as a notice may be wrapped anywhere, for each template every run of as many
+consecutive words as its text has and one more for each word that may be missing. A block matches
+where it holds at least ``THRESHOLD`` of the template's words, in any order. Words are ordered by
 their frequency in the corpus, rare ones first. If a block misses too few words to fail, it must
 hold one of the template's first ``size - needed + 1`` words in that order (prefix filter); it
 needs at least ``needed`` distinct words (length filter), and from the first shared word on the
-template must have enough words left (positional filter). What passes is counted exactly.
+template must have enough words left (positional filter). What passes is counted exactly; runs are
+counted by sliding over the places of the template's words, so long texts take linear time.
 
 Phrases are found in the same way: a phrase is a template whose words are all needed and must
 stand consecutively, so only documents that hold its rarest word are looked at.
 
+Templates are given as texts with labels or as a table of them (:func:`templates_of`), which may hold
+whole paragraphs. They are broadcast, so a table of more than ``TEMPLATE_BYTES`` is refused.
+
 Defined results: a null or empty text has no words, null first and last word, empty labels and
-score 0. Lines without words match nothing. Repeated rows give equal rows; ties in frequency are
-broken by the word. Texts are read whole, whatever their length.
+score 0; an empty table gives no row. Lines and templates without words match nothing. Repeated rows
+give equal rows; ties in frequency are broken by the word. Other columns are not looked at, whatever
+their names. Texts are read whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -59,32 +63,31 @@ TEMPLATES = {
     "redistribution and use in source and binary forms with or without modification are permitted":
         "bsd-grant",
     "this source code form is subject to the terms of the mozilla public license": "mpl-notice",
+    "this program is free software you can redistribute it and or modify it under the terms of the "
+    "gnu general public license as published by the free software foundation either version 2 of "
+    "the license or at your option any later version": "gpl-2.0-or-later-header",
+    "the above copyright notice and this permission notice shall be included in all copies or "
+    "substantial portions of the software": "mit-condition",
+    "permission to use copy modify and or distribute this software for any purpose with or without "
+    "fee is hereby granted provided that the above copyright notice and this permission notice "
+    "appear in all copies": "isc-grant",
+    "unless required by applicable law or agreed to in writing software distributed under the "
+    "license is distributed on an as is basis without warranties or conditions of any kind either "
+    "express or implied": "apache-2.0-warranty",
+    "redistributions of source code must retain the above copyright notice this list of conditions "
+    "and the following disclaimer": "bsd-source-condition",
 }
 
+#: Text and labels of all templates at most, as they are broadcast.
+TEMPLATE_BYTES = 64 << 20
+
 
 @dataclass(frozen=True)
 class Template:
     label: str
     words: tuple[bytes, ...]  # rare first
     needed: int
-    text: tuple[bytes, ...]  # in order, repeated words too
-
-    @property
-    def reach(self) -> int:
-        """Words of a run at most, besides one for each line begun."""
-        return len(self.text) + len(self.words) - self.needed
-
-    def in_order(self, words: list[bytes], width: int) -> bool:
-        """Whether ``words``, all that a run of ``width`` words holds of the template, are the text
-        in order, but for as many words as it may miss, and as many others."""
-        row = [0] * (len(self.text) + 1)  # longest common subsequence
-        for word in words:
-            left = 0
-            for k, own in enumerate(self.text, 1):
-                above = row[k]
-                row[k] = left + 1 if word == own else max(above, row[k - 1])
-                left = above
-        return max(len(self.text), width) - row[-1] <= len(self.words) - self.needed
+    reach: int  # words of a run
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -101,15 +104,16 @@ class Index:
 
         self.by_word: dict[bytes, list[tuple[int, Template]]] = {}
         for text, label in templates.items():
-            words = rare_first(text.encode().split())
+            written = WORD.findall(_lower(text))
+            words = rare_first(written)
             # the least count that reaches the threshold, safe from rounding
-            needed = math.ceil(round(threshold * len(words), 9))
-            template = Template(label, words, max(1, needed), tuple(text.encode().split()))
+            needed = max(1, math.ceil(round(threshold * len(words), 9)))
+            template = Template(label, words, needed, len(written) + len(words) - needed)
             for place, word in enumerate(template.prefix):
                 self.by_word.setdefault(word, []).append((place, template))
         self.phrases: dict[bytes, list[tuple[list[bytes], int, str]]] = {}
         for text, label in phrases.items():
-            words = text.encode().split()
+            words = WORD.findall(_lower(text))
             rarest = rare_first(words)[0]
             self.phrases.setdefault(rarest, []).append((words, words.index(rarest), label))
         self.words = frozenset(self.by_word) | frozenset(self.phrases)
@@ -125,47 +129,38 @@ class Index:
                         found.append((start, label))
         return sorted(found)
 
+    def candidates(self, hits: Iterable[bytes]) -> Iterator[Template]:
+        """The templates that share a word of their prefix and have enough words left from there."""
+        first: dict[Template, int] = {}
+        for word in hits:
+            for place, template in self.by_word.get(word, ()):
+                first[template] = min(place, first.get(template, place))
+        return (t for t, place in first.items() if len(t.words) - place >= t.needed)
+
     def blocks(self, lines: list[bytes], hits: frozenset[bytes]) -> list[tuple[int, str, float]]:
         """(line, label, containment) of every line that meets a template's threshold."""
         found = []
         for number, line in enumerate(lines):
             block = set(WORD.findall(line))
-            tried: dict[int, tuple[int, Template]] = {}
-            for word in hits & block:
-                for place, template in self.by_word.get(word, ()):
-                    if id(template) not in tried or place < tried[id(template)][0]:
-                        tried[id(template)] = (place, template)
-            for place, template in tried.values():
-                size = len(template.words)
-                if len(block) < template.needed or size - place < template.needed:
-                    continue
-                held = sum(w in block for w in template.words[place:])
+            for template in self.candidates(hits & block):
+                held = sum(w in block for w in template.words) \
+                    if len(block) >= template.needed else 0
                 if held >= template.needed:
-                    found.append((number, template.label, held / size))
+                    found.append((number, template.label, held / len(template.words)))
         return sorted(found)
 
     def wrapped(self, lines: list[bytes], hits: frozenset[bytes]) -> list[tuple[int, str, float]]:
-        """(line, label, containment) of the runs of words over line breaks that meet a template's
-        threshold: of those that begin in a line, the best."""
-        candidates: dict[int, tuple[int, Template]] = {}
-        for word in hits:
-            for place, template in self.by_word.get(word, ()):
-                if id(template) not in candidates or place < candidates[id(template)][0]:
-                    candidates[id(template)] = (place, template)
-        able = [t for place, t in candidates.values() if len(t.words) - place >= t.needed]
-        if not able or len(lines) < 2:
-            return []
+        """(line, label, containment) of the runs over line breaks that meet a template's threshold:
+        of those whose first word of the template is in a line, the best."""
+        able = list(self.candidates(hits)) if len(lines) > 1 else []
         vocabulary = {w for t in able for w in t.words}
-        # place of each word, less one for each line begun
-        spots: dict[bytes, list[tuple[int, int]]] = {}
+        spots: dict[bytes, list[tuple[int, int]]] = {}  # (place, line) of each word
         at = 0
-        for number, line in enumerate(lines):
-            words = WORD.findall(line)
-            at -= bool(words)
-            for word in words:
-                at += 1
+        for number, line in enumerate(lines) if able else ():
+            for word in WORD.findall(line):
                 if word in vocabulary:
-                    spots.setdefault(word, []).append((number, at))
+                    spots.setdefault(word, []).append((at, number))
+                at += 1
         found = []
         for template in able:
             if sum(w in spots for w in template.words) < template.needed:
@@ -174,26 +169,32 @@ class Index:
             best: dict[int, int] = {}
             held: Counter = Counter()
             first = 0
-            for end, (number, place, word) in enumerate(run, 1):
+            for place, number, word in run:
                 held[word] += 1
-                while run[first][1] <= place - template.reach:
+                while run[first][0] <= place - template.reach:
                     gone = run[first][2]
                     held[gone] -= 1
                     if not held[gone]:
                         del held[gone]
                     first += 1
-                for begin in range(first, end) if len(held) >= template.needed else ():
-                    start, place_0, _ = run[begin]
-                    words = [w for _, _, w in run[begin:end]]
-                    holds = len(set(words))
-                    if start == number or holds < template.needed:
-                        break
-                    if holds > best.get(start, 0) and template.in_order(words, place - place_0 + 1):
-                        best[start] = holds
+                start = run[first][1]
+                if len(held) >= template.needed and start < number:
+                    best[start] = max(best.get(start, 0), len(held))
             found += [(n, template.label, k / len(template.words)) for n, k in best.items()]
         return sorted(found)
 
 
+def templates_of(table: DataFrame, text: str = "text", label: str = "label") -> dict[str, str]:
+    """Templates from a table of texts and labels, for :func:`scan`; rows with nulls go, and of
+    several labels of one text the least stays. Fails beyond ``TEMPLATE_BYTES``."""
+    rows = table.select(F.col(text).alias("text"), F.col(label).alias("label")).dropna()
+    rows = rows.groupBy("text").agg(F.min("label").alias("label"))
+    size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("label"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates, over the {TEMPLATE_BYTES} that are broadcast")
+    return {r.text: r.label for r in rows.orderBy("text").collect()}
+
+
 def _lower(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if isinstance(text, str) else b""
 
@@ -223,8 +224,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
          templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES,
          threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: id, ``n_words``, ``places`` (phrase matches by first word) and
-    ``blocks`` (matching lines, and first lines of matching runs, with label and containment)."""
-    vocabulary = {w for t in [*templates, *phrases] for w in t.encode().split()}
+    ``blocks`` (matching lines, and lines where matching runs over line breaks begin, with label and
+    containment)."""
+    vocabulary = {w for t in [*templates, *phrases] for w in WORD.findall(_lower(t))}
     index = Index(frequencies(docs, vocabulary, text), templates, phrases, threshold)
     shipped = docs.sparkSession.sparkContext.broadcast(index)
     place = T.StructType([T.StructField("word", T.LongType()), T.StructField("label", T.StringType())])
@@ -285,16 +287,31 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word FROM place
   GROUP BY doc_id),
 template(p, label) AS (VALUES {_values(TEMPLATES.items())}),
-tw AS (SELECT label, list_distinct(string_split(p, ' ')) AS ws FROM template),
+tw AS (SELECT label, p, list_distinct(string_split(p, ' ')) AS ws,
+              CAST(ceil(round({THRESHOLD} * len(ws), 9)) AS BIGINT) AS needed,
+              len(string_split(p, ' ')) + len(ws) - needed AS reach FROM template),
 line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM doc),
 block AS (SELECT doc_id, list_distinct(regexp_extract_all(l, {SQL_WORD})) AS ws FROM line),
 match AS (
   SELECT doc_id, label, len(list_intersect(block.ws, tw.ws))::DOUBLE / len(tw.ws) AS containment
   FROM block, tw
-  WHERE len(list_intersect(block.ws, tw.ws)) >= ceil(round({THRESHOLD} * len(tw.ws), 9))),
+  WHERE len(list_intersect(block.ws, tw.ws)) >= needed),
+word AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM doc),
+spot AS (
+  SELECT doc_id, label, i, reach, w FROM word
+  JOIN (SELECT label, reach, unnest(ws) AS w FROM tw) USING (w)),
+run AS (
+  SELECT a.doc_id, a.label, a.i, count(DISTINCT b.w) AS held
+  FROM spot a JOIN spot b
+    ON a.doc_id = b.doc_id AND a.label = b.label AND b.i > a.i - a.reach AND b.i <= a.i
+  GROUP BY ALL),
+runs AS (
+  SELECT doc_id, label, max(held)::DOUBLE / len(tw.ws) AS containment FROM run JOIN tw USING (label)
+  WHERE held >= needed GROUP BY doc_id, label, tw.ws),
 label AS (
   SELECT doc_id, label, true AS is_base, CAST(1 AS DOUBLE) AS s FROM place
-  UNION ALL SELECT doc_id, label, false, containment FROM match),
+  UNION ALL SELECT doc_id, label, false, containment FROM match
+  UNION ALL SELECT doc_id, label, false, containment FROM runs),
 told AS (
   SELECT doc_id, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '')
            AS base_labels,

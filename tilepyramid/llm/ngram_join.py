@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilepyramid.llm.blocks import spanning_forest
-from tilepyramid.llm.common import read, stored
+from tilepyramid.llm.common import read, stored, with_totals
 from tilepyramid.llm.components import components
 from tilepyramid.llm.textbytes import chunks, with_text_columns
 
@@ -288,6 +288,7 @@ def text_copies(docs: DataFrame) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("rep").orderBy("copy"))
     reps = reps.withColumn("node", F.when(turn == 1, F.col("rep")).otherwise(
         F.xxhash64("copy", F.lit("text"))))
+    reps = stored(reps, "text-reps")  # both sides of the join are shuffled: copies may be many
     return stored(keyed.join(reps, "copy").select("doc", "copy", "rep", "node"), "text-copies")
 
 
@@ -319,15 +320,13 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
     copies = text_copies(docs)
     several = several_texts(copies)
     sizes, links = text_links(docs, copies, several, width, percent)
-    nodes = copies.join(sizes.withColumnRenamed("doc", "node"), "node")
     if several:
         # texts of one document are tied
-        first = nodes.filter("n > 0").groupBy("doc").agg(F.min("node").alias("b"))
-        links = links.union(nodes.filter("n > 0").join(first, "doc").filter("node <> b").select(
+        nodes = copies.join(sizes.withColumnRenamed("doc", "node"), "node").filter("n > 0")
+        first = nodes.groupBy("doc").agg(F.min("node").alias("b"))
+        links = links.union(nodes.join(first, "doc").filter("node <> b").select(
             F.col("node").alias("a"), "b"))
-    parts = components(links)
-    known = nodes.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn(
-        "part", F.coalesce("component", "node"))
+    known = copies.join(_parts(sizes, components(links)), "node")
     if several:
         known = stored(known, "ngram-known")
         # a component is named by its smallest document, which may not be its smallest node
@@ -344,6 +343,14 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
         F.col("doc").alias("doc_id"), "n_shingles", "component_id").union(_nameless(docs, width))
 
 
+def _parts(sizes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, n, part): the component of every distinct text; stored, so that what is joined with it
+    is shuffled beside it and a text with very many copies can be cut."""
+    return stored(sizes.withColumnRenamed("doc", "node").join(
+        parts.withColumnRenamed("id", "node"), "node", "left").select(
+        "node", "n", F.coalesce("component", "node").alias("part")), "ngram-parts")
+
+
 def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
                percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc, n) and the links (a, b) of all distinct texts, by their nodes."""
@@ -353,14 +360,13 @@ def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
     else:
         single = without(docs.filter(F.col("doc").isNotNull()),
                          copies.filter("doc <> rep").select("doc"), "doc")
-    same = Window.partitionBy("key")
-    told = stored(signed(single, width, percent).withColumns({
-        "freq": F.count(F.lit(1)).over(same),
-        "low": F.min("doc").over(same), "high": F.max("doc").over(same)})
-        .filter((F.col("part") < 0) | (F.col("low") < F.col("high")))
-        .select("key", "doc", "part", "freq"), "ngram-keys")
+    told = stored(signed(single, width, percent), "ngram-signed")
     sizes = told.filter("part < 0").groupBy("doc").agg((-1 - F.min("part")).alias("n"))
-    keys = told.filter("part >= 0")  # a repeated row only makes its set give up fewer keys
+    # a repeated row only makes its set give up fewer keys
+    keys = stored(with_totals(
+        told.filter("part >= 0"), ["key"],
+        [F.count(F.lit(1)).alias("freq"), F.min("doc").alias("low"), F.max("doc").alias("high")],
+        "low < high").select("key", "doc", "part", "freq"), "ngram-keys")
     costly = Window.partitionBy("doc", "part").orderBy(F.desc("freq"), "key")
     used = stored(keys.withColumn("rank", F.row_number().over(costly))
                   .filter(F.col("rank") > F.col("part") % PART).select("key", "doc", "part"),
@@ -369,7 +375,7 @@ def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
                    .join(sizes, "doc"), "ngram-key-lists")
 
     # round 1: each document with the hub that it shares most keys with
-    hubs = used.withColumn("hub", F.min("doc").over(same)).filter("doc <> hub")
+    hubs = with_totals(used, ["key"], [F.min("doc").alias("hub")]).filter("doc <> hub")
     best = hubs.groupBy("doc", "hub", "part").agg(F.count(F.lit(1)).alias("shared"))
     best = best.groupBy("doc").agg(
         F.max_by(F.struct("hub", "part"), F.struct("shared", -F.col("hub"))).alias("b"))
@@ -392,15 +398,19 @@ def _nameless(docs: DataFrame, width: int) -> DataFrame:
                        F.lit(None).cast("long").alias("component_id"))
 
 
+def _held() -> list[Column]:
+    """Of a key or shingle: its holders, and the first and last of their components."""
+    return [F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"),
+            F.max("comp").alias("high")]
+
+
 def _open_keys(used: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, doc, part, comp, held): used keys that several components hold; stored."""
-    same = Window.partitionBy("key")
     placed = used.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn(
         "comp", F.coalesce("component", "doc")).drop("component")
-    return stored(placed.withColumns({
-        "held": F.count(F.lit(1)).over(same), "low": F.min("comp").over(same),
-        "high": F.max("comp").over(same)}).filter("low < high").drop("low", "high"),
-        "ngram-open-keys")
+    placed = stored(placed, "ngram-placed-keys")
+    return stored(with_totals(placed, ["key"], _held(), "low < high").drop("low", "high"),
+                  "ngram-open-keys")
 
 
 def _pairs(held: DataFrame) -> DataFrame:
@@ -427,9 +437,7 @@ def _dense_links(held: DataFrame, docs: DataFrame, width: int, percent: int) ->
     token = ["hi", "lo"]
     rare = _rare_shingles(held.select("doc", "comp").distinct().join(large, "doc"), docs, width,
                           percent)
-    counts = rare.groupBy(*token).agg(
-        F.count(F.lit(1)).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rare = stored(rare.join(counts.filter("low < high"), token).drop("low", "high"), "ngram-rare")
+    rare = stored(with_totals(rare, token, _held(), "low < high").drop("low", "high"), "ngram-rare")
     few = rare.filter(F.col("held") <= DENSE)
     other = few.select(*token, *[F.col(c).alias(f"hub_{c}") for c in ("doc", "comp", "n")])
     pairs = few.join(other, token).filter(
@@ -465,21 +473,21 @@ def _rare_shingles(who: DataFrame, docs: DataFrame, width: int, percent: int) ->
     texts = with_texts(who, docs).select("doc", "comp", "text")
     shingles = stored(texts.mapInArrow(run, "doc long, comp long, n long, hi long, lo long"),
                       "ngram-shingles")
-    often = shingles.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     own = Window.partitionBy("doc")
     # A repeated row repeats its shingles: equal ones share a rank.
-    ranked = shingles.join(often, ["hi", "lo"]).withColumn(
+    ranked = with_totals(shingles, ["hi", "lo"], [F.count(F.lit(1)).alias("often")],
+                         "often > 1").withColumn(
         "rank", F.dense_rank().over(own.orderBy("often", "hi", "lo"))).withColumn(
         "last", F.max("rank").over(own))
     need = F.expr(f"(n * {percent} + 99) div 100")
-    return ranked.filter(F.col("rank") <= F.col("last") - need + 1).select(
-        "doc", "comp", "n", "hi", "lo")
+    return stored(ranked.filter(F.col("rank") <= F.col("last") - need + 1).select(
+        "doc", "comp", "n", "hi", "lo"), "ngram-prefixes")
 
 
 def _clusters(held: DataFrame, key: list[str]) -> DataFrame:
     """(id, component, chunks) of the documents that share keys, and into how many chunks of about
     ``CHUNK`` their cluster is cut."""
-    ties = held.join(held.groupBy(*key).agg(F.min("doc").alias("hub")), key)
+    ties = with_totals(held, key, [F.min("doc").alias("hub")])
     clusters = components(ties.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
     sizes = clusters.groupBy("component").agg(
         F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
@@ -563,9 +571,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = text_copies(keyed)
     if several_texts(copies):
         sizes, links = text_links(keyed, copies, True, 5, 80)
-        own = copies.join(sizes.withColumnRenamed("doc", "node"), "node").filter("n > 0").join(
-            components(links).withColumnRenamed("id", "node"), "node", "left").withColumn(
-            "part", F.coalesce("component", "node"))
+        own = copies.join(_parts(sizes, components(links)), "node").filter("n > 0")
         first = own.groupBy("part").agg(F.min(F.struct("doc", "copy")).alias("kept"))
         surplus = own.join(first, "part").filter("struct(doc, copy) <> kept").select("doc", "copy")
         kept = by_text(docs, surplus, "left_anti", "doc_id")
