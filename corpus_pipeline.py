@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilepyramid.llm.common import read, shared_dir
+from tilepyramid.llm.common import read, scratch, shared_dir
 from tilepyramid.llm.decontamination import clean
 from tilepyramid.llm.language_id import known_language
 from tilepyramid.llm.mixing import mixed
@@ -27,11 +27,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, from ``documents``; what each keeps is written as Parquet
-    in the shared folder and is all that the next one reads."""
+    in the shared folder and is all that the next one reads. What a stage stores on its way is dropped
+    when it is written."""
     docs = read(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
