@@ -51,6 +51,22 @@ def test_one_place_for_all(spark):
         extent_join(boxes(spark, same, "i", "box"), boxes(spark, same, "i", "other_box"))
 
 
+def test_pairs_of_one_cell_are_spread_over_tasks(spark):
+    same = [(k, 5.0, 5.5, 5.0, 5.5) for k in range(60)]
+    joined = extent_join(boxes(spark, same, "i", "box"), boxes(spark, same, "j", "other_box"),
+                         part_rows=10)
+    tasks = joined.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 3600
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 2400
+
+
+def test_both_sides_of_a_hot_key_are_cut(spark):
+    left = spark.createDataFrame([(1, k) for k in range(40)] + [(2, 40)], "k int, v int")
+    right = spark.createDataFrame([(1, k) for k in range(70)] + [(3, 0)], "k int, w int")
+    found = [tuple(r) for r in split_join(left, right, ["k"], 10).select("v", "w").collect()]
+    assert sorted(found) == [(v, w) for v in range(40) for w in range(70)]
+
+
 def test_hot_keys_are_cut(spark):
     left = spark.createDataFrame([(1 if k < 90 else k, k) for k in range(100)], "k int, v int")
     right = spark.createDataFrame([(k, -k) for k in range(100)], "k int, w int")

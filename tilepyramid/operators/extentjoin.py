@@ -3,7 +3,9 @@
 Every extent has a level: the power of two that its longer side fits in. At its level it touches at
 most two cells along an axis, so it is dealt to four cells at most, and to as many at each coarser level
 that the other side has. Two extents meet at the coarser of their levels, in each cell that both touch;
-the pair is reported in the one cell that holds the lower left corner of what they share.
+the pair is reported in the one cell that holds the lower left corner of what they share. That is the
+cell which, on each axis, is the first that one of the two touches, at a level that is one's own: a dealt
+row carries these three marks, so that a pair is told by one bit test.
 """
 
 from __future__ import annotations
@@ -15,27 +17,41 @@ from pyspark.sql import functions as F
 
 from tilepyramid.functions.extent import intersects
 
-# Rows of one cell that one task joins with the cell's other side.
-PART_ROWS = 50_000
+# Rows of each side of one cell that one task joins with each other: 25 million pairs.
+PART_ROWS = 5_000
+# Marks of a dealt row: its own level, the first column and the first line that it touches.
+OWN_LEVEL, FIRST_X, FIRST_Y = 4, 2, 1
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str],
                part_rows: int = PART_ROWS) -> DataFrame:
-    """Inner equi-join in which a key's ``left`` rows are cut into parts of about ``part_rows``.
+    """Inner equi-join in which a key with more than ``part_rows`` squared pairs is cut into parts.
 
-    Keys are counted with map-side combine; only for keys with more rows than that the ``right`` rows
-    are repeated, once for each part, and the ``left`` rows dealt among the parts.
+    Keys are counted with map-side combine. A key's ``right`` rows, which a task holds, are dealt among
+    parts of about ``part_rows``, its ``left`` rows among as many as keep the pairs of a part within
+    ``part_rows`` squared; each row is repeated for the parts of the other side. Work follows the pairs
+    and not the bytes of the rows, so the number of partitions is left to neither size nor merging.
     """
-    parts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") > part_rows).select(
-        *keys, F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts"))
-    number = F.coalesce("_parts", F.lit(1))
-    dealt = left.withColumn("_row", F.monotonically_increasing_id()).join(parts, keys, "left")
-    dealt = dealt.withColumn("_part", F.pmod(F.hash("_row"), number))
-    copies = right.join(parts, keys, "left").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), number - 1)))
-    return dealt.drop("_row", "_parts").join(
-        copies.drop("_parts"), [*keys, "_part"]).drop("_part")
+    n_left, n_right = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+                       for df, n in ((left, "_n_left"), (right, "_n_right")))
+    held = F.least(F.col("_n_right"), F.lit(part_rows))
+    parts = n_left.join(n_right, keys).select(
+        *keys,
+        F.ceil(F.col("_n_left") * held / float(part_rows) ** 2).cast("int").alias("_left_parts"),
+        F.ceil(F.col("_n_right") / part_rows).cast("int").alias("_right_parts"),
+    ).filter((F.col("_left_parts") > 1) | (F.col("_right_parts") > 1))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = []
+    for df, own, other in ((left, "left", "right"), (right, "right", "left")):
+        own_parts, other_parts = (F.coalesce(f"_{side}_parts", F.lit(1)) for side in (own, other))
+        rows = df.withColumn("_row", F.monotonically_increasing_id()).join(parts, keys, "left")
+        rows = rows.withColumns({
+            f"_{own}_part": F.pmod(F.hash("_row"), own_parts),
+            f"_{other}_part": F.explode(F.sequence(F.lit(0), other_parts - 1)),
+        }).drop("_row", "_left_parts", "_right_parts")
+        dealt.append(rows.repartition(n, *keys, "_left_part", "_right_part").hint("merge"))
+    return dealt[0].join(dealt[1], [*keys, "_left_part", "_right_part"]).drop(
+        "_left_part", "_right_part")
 
 
 def extent_join(left: DataFrame, right: DataFrame, left_box: str = "box",
@@ -56,19 +72,13 @@ def extent_join(left: DataFrame, right: DataFrame, left_box: str = "box",
     left_levels, right_levels = (
         sorted(r[0] for r in df.select(level).distinct().collect())
         for df, level in ((left, "_left_level"), (right, "_right_level")))
-    pairs = split_join(_dealt(left, left_box, "_left_level", right_levels),
-                       _dealt(right, right_box, "_right_level", left_levels),
+    pairs = split_join(_dealt(left, left_box, "_left_level", right_levels, "_left_marks"),
+                       _dealt(right, right_box, "_right_level", left_levels, "_right_marks"),
                        ["_level", "_x", "_y"], part_rows)
-    a, b, side = F.col(left_box), F.col(right_box), F.pow(F.lit(2.0), F.col("_level"))
-
-    def corner(low: str) -> Column:
-        return F.floor(F.greatest(a[low], b[low]) / side)
-
-    return pairs.filter(
-        (F.greatest("_left_level", "_right_level") == F.col("_level")) & intersects(a, b)
-        & (corner("minx") == F.col("_x")) & (corner("miny") == F.col("_y"))
-    ).select(*[c for c in left.columns if c != "_left_level"],
-             *[c for c in right.columns if c != "_right_level"])
+    first = F.col("_left_marks").bitwiseOR(F.col("_right_marks")) == OWN_LEVEL + FIRST_X + FIRST_Y
+    return pairs.filter(first & intersects(F.col(left_box), F.col(right_box))).select(
+        *[c for c in left.columns if c != "_left_level"],
+        *[c for c in right.columns if c != "_right_level"])
 
 
 def _finest_level(left: DataFrame, left_box: str, right: DataFrame, right_box: str) -> int:
@@ -88,13 +98,17 @@ def _level(box: Column, base: int) -> Column:
     return F.greatest(F.lit(base), own)
 
 
-def _dealt(df: DataFrame, box: str, level: str, others: list[int]) -> DataFrame:
-    """Rows with each (``_level``, ``_x``, ``_y``) where they can meet a row of the other side."""
-    coarser = F.filter(F.array(*[F.lit(n) for n in others]).cast("array<int>"),
-                       lambda n: n > F.col(level))
-    df = df.withColumn("_level", F.explode(F.concat(F.array(F.col(level)), coarser)))
+def _dealt(df: DataFrame, box: str, level: str, others: list[int], marks: str) -> DataFrame:
+    """Rows with each (``_level``, ``_x``, ``_y``) where they can meet a row of the other side, and their
+    ``marks`` there."""
+    met = F.array(*[F.lit(n) for n in others]).cast("array<int>")
+    own = F.when(F.exists(met, lambda n: n <= F.col(level)), F.array(F.col(level))).otherwise(
+        F.array().cast("array<int>"))
+    df = df.withColumn("_level", F.explode(F.concat(own, F.filter(met, lambda n: n > F.col(level)))))
     side, b = F.pow(F.lit(2.0), F.col("_level")), F.col(box)
-    for axis in ("x", "y"):
-        df = df.withColumn(f"_{axis}", F.explode(F.sequence(
-            F.floor(b[f"min{axis}"] / side), F.floor(b[f"max{axis}"] / side))))
-    return df
+    mark = F.when(F.col("_level") == F.col(level), OWN_LEVEL).otherwise(0)
+    for axis, first in (("x", FIRST_X), ("y", FIRST_Y)):
+        low = F.floor(b[f"min{axis}"] / side)
+        df = df.withColumn(f"_{axis}", F.explode(F.sequence(low, F.floor(b[f"max{axis}"] / side))))
+        mark = mark + F.when(F.col(f"_{axis}") == low, first).otherwise(0)
+    return df.withColumn(marks, mark).drop(level)
