@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests import model
 from tests.scenes import sample_scenes, tables
+from tests.test_plans import JIT_LIMIT, explain
 from tilepyramid.functions.extent import extent
 from tilepyramid.operators.extentjoin import extent_join, split_join
 from tilepyramid.operators.sampling import sample_points
@@ -96,3 +98,15 @@ def test_points_take_the_cell_that_holds_them(spark, compat):
         got = sample_points(table, *tables(spark, scenes), compat=compat, part_rows=part_rows)
         assert {(r.point_id, r.scene_id): (r.px, r.py, r.value) for r in got.collect()} == want
     assert len(want) > 100 and not math.isnan(points[0][0])
+
+
+def test_samples_are_not_moved(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "point_id int, x double, y double")
+    plan = explain(sample_points(points, *tables(spark, sample_scenes())), "formatted")
+    # what is found is not shuffled by block again: the join by grid cells is the last of the plan
+    joins = re.findall(r"SortMergeJoin(?: \w+)*\nLeft keys \[\d+\]: (.*)", plan)
+    assert any("_level" in keys for keys in joins)
+    assert not any("block_row" in keys for keys in joins)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", explain(
+        sample_points(points, *tables(spark, sample_scenes())), "codegen"))]
+    assert sizes and max(sizes) < JIT_LIMIT
