@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from tilepyramid import mosaic, tile_cells, unpack
 from tilepyramid.constants import RESOLUTIONS, WORLD_MAX_Y, WORLD_MIN_X
 from tilepyramid.operators import mosaic as mosaic_module
 from tilepyramid.operators.georeference import GEOREFERENCE, SceneStats, georeference
+from tilepyramid.operators.patches import Rows
 from tilepyramid.sinks.tables import write_blocks
 from tilepyramid.sources.rasters import read_blocks
 
@@ -219,3 +221,22 @@ def test_bad_options(source):
     for bad in ({"method": "cubic"}, {"window": "clip"}, {"method": "forward", "window": "x"}):
         with pytest.raises(ValueError):
             mosaic(source[1], source[0], [2], **bad)
+
+
+def test_hot_tiles_are_merged_in_no_more_parts_than_layers_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(mosaic_module, "LAYERS", 8)
+    pile = [scene(k, k, 3857, 4, 4, [100000.5, 30000.7, 0, 900000.3, 0, -30000.7])
+            for k in range(1, 17)]
+    scenes, blocks = tables(spark, pile)
+    build = mosaic_module._Build(blocks, scenes, [2], "inverse", None, (1,), True, 100)
+    assert build._salts() == 2
+    whole = cells_of(tile_cells(scenes, blocks, [2]))
+    monkeypatch.setattr(mosaic_module, "LAYERS", 100)
+    assert whole and cells_of(tile_cells(scenes, blocks, [2])) == whole
+
+
+def test_patches_wait_as_four_byte_cells():
+    rows = Rows()
+    rows.add(1, 1, patch=np.arange(9, dtype=np.int64))
+    rows.add(1, 1, cells=np.arange(4), packed=np.arange(4))
+    assert rows.rows[0][6].dtype == rows.rows[1][7].dtype == np.int32
