@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -183,3 +184,34 @@ def test_a_passage_that_many_share_sends_each_text_a_few_times(spark, monkeypatc
         assert {tuple(r) for r in got} == brute(texts, 4, 85)
         rows.append(sum(sent))
     assert rows[1] < 3 * rows[0]
+
+
+@pytest.mark.parametrize("flush", [1 << 20, 300])
+def test_keys_with_one_holder_are_dropped_on_the_way(spark, monkeypatch, flush):
+    monkeypatch.setattr(ngram_join, "FLUSH", flush)
+    texts = corpus()
+    docs = documents(spark, texts).selectExpr("doc_id AS doc", "text")
+    rows = []
+    for doc, tokens in enumerate(ngram_join.shingle_sets([(t or "").encode() for t in texts], 4)):
+        rows.append((doc, doc, -1 - len(tokens)))
+        if len(tokens):
+            keys, parts = ngram_join.signatures(tokens, 85)
+            rows += zip(keys.view(np.int64).tolist(), [doc] * len(keys), parts.tolist(), strict=True)
+    held = Counter(key for key, _, part in rows if part >= 0)
+    want = Counter(r for r in rows if r[2] < 0 or held[r[0]] > 1)
+    got = Counter(tuple(r) for r in ngram_join.signed(docs, 4, 85).collect())
+    assert got == want and sum(want.values()) < len(rows)
+
+
+def test_a_key_of_many_holders_sends_two_to_its_bucket():
+    held = [ngram_join._rows(doc, np.arange(8, dtype=np.uint64).reshape(4, 2), 85)
+            for doc in range(50)]
+    batch = ngram_join.packed(held, 16)
+    sent = {b: len(k) // 8 for b, k in zip(*(batch[c].to_pylist() for c in ("bucket", "key")),
+                                           strict=True)}
+    keys = len(held[0][0]) - 1
+    assert sum(n for b, n in sent.items() if b >= 0) == 2 * keys
+    assert sum(n for b, n in sent.items() if b < 0) == 50 * (keys + 1) - 2 * keys
+    kept = [ngram_join.let_through(b, [tuple(batch[c][k].as_py() for c in ("key", "doc", "part"))])
+            for k, b in enumerate(sent)]
+    assert sum(k.num_rows for k in kept) == 50 * (keys + 1)

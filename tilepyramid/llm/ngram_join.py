@@ -68,6 +68,9 @@ CHUNK = 256
 SLICE = 4_096
 #: Keys of a group are told apart by group * PART + spare.
 PART = 1 << 20
+#: Keys that a task holds before it deals them, and buckets for each shuffle partition.
+FLUSH = 1 << 20
+BUCKETS = 8
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -200,32 +203,96 @@ def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Flat rows (key, doc, part): the keys of (doc, text), and for each doc a row whose part is
-    -1 - n_shingles."""
-
-    def flat(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        keys, parts, owners = [], [], []
-        for doc, tokens in zip(ids, sets, strict=True):
-            if len(tokens):
-                key, part = signatures(tokens, percent)
-                keys.append(key.view(np.int64))
-                parts.append(part)
-                owners.append(np.full(len(key), doc, dtype=np.int64))
-            keys.append(np.array([doc], dtype=np.int64))
-            parts.append(np.array([-1 - len(tokens)]))
-            owners.append(keys[-1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(c)) for c in (keys, owners, parts)],
-            names=["key", "doc", "part"])
+    """Flat rows (key, doc, part): the keys of (doc, text) that more than one row holds, and for each
+    doc a row whose part is -1 - n_shingles.
+
+    Most keys have one holder and link nothing. Keys are moved once, packed by bucket, and a bucket lets
+    only those through that come to it twice.
+    """
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             ids, at = batch.column("doc").to_pylist(), 0
             for raws in chunks(batch.column("text").to_pylist()):
-                yield flat(ids[at:at + len(raws)], list(shingle_sets(raws, width)))
+                for doc, tokens in zip(ids[at:at + len(raws)], shingle_sets(raws, width), strict=True):
+                    held.append(_rows(doc, tokens, percent))
+                    n += len(held[-1][0])
+                    if n >= FLUSH:
+                        yield packed(held, buckets)
+                        held, n = [], 0
                 at += len(raws)
+        if held:
+            yield packed(held, buckets)
 
-    return docs.select("doc", "text").mapInArrow(run, "key long, doc long, part long")
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[0] != bucket and held:
+                    yield let_through(bucket, held)
+                    held = []
+                bucket = row[0]
+                held.append(row[1:])
+                if bucket < 0:
+                    yield let_through(bucket, held)
+                    held = []
+        if held:
+            yield let_through(bucket, held)
+
+    dealt = docs.select("doc", "text").mapInArrow(
+        run, "bucket long, key binary, doc binary, part binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        sieve, "key long, doc long, part long")
+
+
+def _rows(doc: int, tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, doc and part of the rows of one document."""
+    size = np.array([-1 - len(tokens)])
+    keys, parts = np.array([doc], dtype=np.int64), size
+    if len(tokens):
+        key, part = signatures(tokens, percent)
+        keys, parts = np.concatenate([key.view(np.int64), keys]), np.concatenate([part, size])
+    return keys, np.full(len(keys), doc, dtype=np.int64), parts.astype(np.int32)
+
+
+def packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
+    """One row (bucket, key, doc, part) for each bucket, with the rows of ``held`` as bytes.
+
+    Two holders of a key are enough for its bucket to let all of them through. Those after the second
+    go past the buckets, in a row of negative bucket, as do sizes: a key that very many hold is not the
+    work of one task.
+    """
+    key, doc, part = (np.concatenate(c) for c in zip(*held, strict=True))
+    bucket = (key.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    past = part < 0
+    order = np.flatnonzero(~past)
+    order = order[np.argsort(key[order], kind="stable")]
+    third = key[order][2:] == key[order][:-2]
+    past[order[2:][third]] = True
+    bucket[past] = -1 - doc[0] % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    bounds = [*firsts.tolist(), len(bucket)]
+    columns = [pa.array([c[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)],
+                        pa.binary()) for c in (key[order], doc[order], part[order])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[firsts]), *columns],
+                                      names=["bucket", "key", "doc", "part"])
+
+
+def let_through(bucket: int, held: list[tuple]) -> pa.RecordBatch:
+    """The rows of a bucket whose key is there more than once; all rows of a negative bucket."""
+    key, doc, part = (np.frombuffer(b"".join(c), dtype=t) for c, t in zip(
+        zip(*held, strict=True), (np.int64, np.int64, np.int32), strict=True))
+    if bucket >= 0:
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        key, doc, part = key[order], doc[order], part[order]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, doc, part.astype(np.int64))],
+                                      names=["key", "doc", "part"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
