@@ -11,6 +11,7 @@ from tests import model
 from tests.scenes import sample_scenes, tables
 from tests.test_plans import JIT_LIMIT, explain
 from tilepyramid.functions.extent import extent
+from tilepyramid.operators import extentjoin
 from tilepyramid.operators.extentjoin import extent_join, split_join
 from tilepyramid.operators.sampling import sample_points
 
@@ -62,6 +63,29 @@ def test_pairs_of_one_cell_are_spread_over_tasks(spark):
     assert len(tasks) == 4 and max(r["count"] for r in tasks) < 2400
 
 
+def test_tasks_grow_with_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(extentjoin, "TASK_PAIRS", 100)
+    same = [(k, 5.0, 5.5, 5.0, 5.5) for k in range(60)]
+    joined = extent_join(boxes(spark, same, "i", "box"), boxes(spark, same, "j", "other_box"),
+                         part_rows=5)
+    tasks = joined.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 3600
+    assert len(tasks) > 15 and max(r["count"] for r in tasks) < 900
+
+
+def test_narrow_rows_of_one_file_are_dealt_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(extentjoin, "SPREAD_ROWS", 10)
+    seen = []
+    real = extentjoin._dealt
+    monkeypatch.setattr(extentjoin, "_dealt", lambda df, *rest: seen.append(
+        df.rdd.getNumPartitions()) or real(df, *rest))
+    a = boxes(spark, rows(1, 60), "i", "box").coalesce(1)
+    b = boxes(spark, rows(2, 30), "j", "other_box").coalesce(1)
+    extent_join(a, b)
+    extent_join(a, b.withColumn("cells", F.array(F.lit(1))))  # wide rows stay where they are
+    assert seen == [9, 9, 9, 1]
+
+
 def test_both_sides_of_a_hot_key_are_cut(spark):
     left = spark.createDataFrame([(1, k) for k in range(40)] + [(2, 40)], "k int, v int")
     right = spark.createDataFrame([(1, k) for k in range(70)] + [(3, 0)], "k int, w int")

@@ -14,11 +14,16 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilepyramid.functions.extent import intersects
 
 # Rows of each side of one cell that one task joins with each other: 25 million pairs.
 PART_ROWS = 5_000
+# Pairs that one task tests on average: partitions grow with the pairs.
+TASK_PAIRS = 100_000_000
+# Narrow rows that one task deals to cells on average.
+SPREAD_ROWS = 100_000
 # Marks of a dealt row: its own level, the first column and the first line that it touches.
 OWN_LEVEL, FIRST_X, FIRST_Y = 4, 2, 1
 
@@ -30,17 +35,20 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str],
     Keys are counted with map-side combine. A key's ``right`` rows, which a task holds, are dealt among
     parts of about ``part_rows``, its ``left`` rows among as many as keep the pairs of a part within
     ``part_rows`` squared; each row is repeated for the parts of the other side. Work follows the pairs
-    and not the bytes of the rows, so the number of partitions is left to neither size nor merging.
+    and not the bytes of the rows, so the number of partitions is left to neither size nor merging: it
+    is ``spark.sql.shuffle.partitions``, or as many as keep a task at about ``TASK_PAIRS``.
     """
     n_left, n_right = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
                        for df, n in ((left, "_n_left"), (right, "_n_right")))
     held = F.least(F.col("_n_right"), F.lit(part_rows))
-    parts = n_left.join(n_right, keys).select(
+    counts = n_left.join(n_right, keys)
+    pairs = counts.agg(F.sum(F.col("_n_left") * F.col("_n_right").cast("double"))).first()[0] or 0
+    parts = counts.select(
         *keys,
         F.ceil(F.col("_n_left") * held / float(part_rows) ** 2).cast("int").alias("_left_parts"),
         F.ceil(F.col("_n_right") / part_rows).cast("int").alias("_right_parts"),
     ).filter((F.col("_left_parts") > 1) | (F.col("_right_parts") > 1))
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(_shuffle_partitions(left), math.ceil(pairs / TASK_PAIRS))
     dealt = []
     for df, own, other in ((left, "left", "right"), (right, "right", "left")):
         own_parts, other_parts = (F.coalesce(f"_{side}_parts", F.lit(1)) for side in (own, other))
@@ -54,6 +62,10 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str],
         "_left_part", "_right_part")
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def extent_join(left: DataFrame, right: DataFrame, left_box: str = "box",
                 right_box: str = "other_box", part_rows: int = PART_ROWS) -> DataFrame:
     """All pairs of rows whose extents meet, touching included, with the columns of both.
@@ -65,7 +77,8 @@ def extent_join(left: DataFrame, right: DataFrame, left_box: str = "box",
         raise ValueError(f"both sides have the columns {sorted(shared)}")
     left, right = left.filter(F.col(left_box).isNotNull()), right.filter(
         F.col(right_box).isNotNull())
-    base = _finest_level(left, left_box, right, right_box)
+    base, rows = _finest_level(left, left_box, right, right_box)
+    left, right = _spread(left, rows), _spread(right, rows)
     left = left.withColumn("_left_level", _level(F.col(left_box), base))
     right = right.withColumn("_right_level", _level(F.col(right_box), base))
     # A level is an exponent of two between the finest one and that of the whole domain.
@@ -81,13 +94,29 @@ def extent_join(left: DataFrame, right: DataFrame, left_box: str = "box",
         *[c for c in right.columns if c != "_right_level"])
 
 
-def _finest_level(left: DataFrame, left_box: str, right: DataFrame, right_box: str) -> int:
-    """The level at which the domain has about as many cells as there are extents."""
+def _spread(df: DataFrame, rows: int) -> DataFrame:
+    """Rows of fixed width are spread before they fan out to cells and parts, so that one file of many
+    extents is not one task's work; wider ones stay where they are."""
+    if any(isinstance(f, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.VariantType))
+           for f in _leaves(df.schema)):
+        return df
+    return df.repartition(max(_shuffle_partitions(df), math.ceil(rows / SPREAD_ROWS)))
+
+
+def _leaves(kind: T.DataType) -> list[T.DataType]:
+    if isinstance(kind, T.StructType):
+        return [leaf for field in kind.fields for leaf in _leaves(field.dataType)]
+    return [kind]
+
+
+def _finest_level(left: DataFrame, left_box: str, right: DataFrame,
+                  right_box: str) -> tuple[int, int]:
+    """The level at which the domain has about as many cells as there are extents, and their number."""
     boxes = left.select(F.col(left_box).alias("b")).union(right.select(right_box))
     n, x0, x1, y0, y1 = boxes.agg(
         F.count(F.lit(1)), F.min("b.minx"), F.max("b.maxx"), F.min("b.miny"), F.max("b.maxy")).first()
     domain = max(x1 - x0, y1 - y0) if n else 0.0
-    return math.ceil(math.log2(domain / math.sqrt(n))) if domain > 0 else 0
+    return math.ceil(math.log2(domain / math.sqrt(n))) if domain > 0 else 0, n
 
 
 def _level(box: Column, base: int) -> Column:
