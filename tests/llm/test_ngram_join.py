@@ -189,6 +189,7 @@ def test_a_passage_that_many_share_sends_each_text_a_few_times(spark, monkeypatc
 @pytest.mark.parametrize("flush", [1 << 20, 300])
 def test_keys_with_one_holder_are_dropped_on_the_way(spark, monkeypatch, flush):
     monkeypatch.setattr(ngram_join, "FLUSH", flush)
+    monkeypatch.setattr(ngram_join, "PER_BUCKET", 1)
     texts = corpus()
     docs = documents(spark, texts).selectExpr("doc_id AS doc", "text")
     rows = []

@@ -68,9 +68,11 @@ CHUNK = 256
 SLICE = 4_096
 #: Keys of a group are told apart by group * PART + spare.
 PART = 1 << 20
-#: Keys that a task holds before it deals them, and buckets for each shuffle partition.
-FLUSH = 1 << 20
+#: Buckets for each shuffle partition, and keys that a task holds before it deals them: as many as
+#: ``FLUSH``, and ``PER_BUCKET`` for each bucket.
 BUCKETS = 8
+FLUSH = 1 << 18
+PER_BUCKET = 64
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 PLACES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -210,6 +212,7 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     only those through that come to it twice.
     """
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flush = max(FLUSH, PER_BUCKET * buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -219,7 +222,7 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 for doc, tokens in zip(ids[at:at + len(raws)], shingle_sets(raws, width), strict=True):
                     held.append(_rows(doc, tokens, percent))
                     n += len(held[-1][0])
-                    if n >= FLUSH:
+                    if n >= flush:
                         yield packed(held, buckets)
                         held, n = [], 0
                 at += len(raws)
@@ -229,12 +232,13 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[0] != bucket and held:
+            columns = batch.columns[1:]
+            for at, found in enumerate(batch.column("bucket").to_pylist()):
+                if found != bucket and held:
                     yield let_through(bucket, held)
                     held = []
-                bucket = row[0]
-                held.append(row[1:])
+                bucket = found
+                held.append(tuple(c[at].as_buffer() for c in columns))
                 if bucket < 0:
                     yield let_through(bucket, held)
                     held = []
@@ -271,7 +275,7 @@ def packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
     order = order[np.argsort(key[order], kind="stable")]
     third = key[order][2:] == key[order][:-2]
     past[order[2:][third]] = True
-    bucket[past] = -1 - doc[0] % buckets
+    bucket[past] = -1 - bucket[0]
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -284,8 +288,9 @@ def packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
 
 def let_through(bucket: int, held: list[tuple]) -> pa.RecordBatch:
     """The rows of a bucket whose key is there more than once; all rows of a negative bucket."""
-    key, doc, part = (np.frombuffer(b"".join(c), dtype=t) for c, t in zip(
-        zip(*held, strict=True), (np.int64, np.int64, np.int32), strict=True))
+    key, doc, part = (np.concatenate([np.frombuffer(c, dtype=t) for c in column])
+                      for column, t in zip(zip(*held, strict=True), (np.int64, np.int64, np.int32),
+                                           strict=True))
     if bucket >= 0:
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
