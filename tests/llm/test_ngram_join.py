@@ -2,11 +2,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LONG, Roots, documents, edited, prose
+from pyspark.sql import functions as F
 
 from tilepyramid.llm import ngram_join
+from tilepyramid.llm.common import BATCH_BYTES, small_batches
 from tilepyramid.llm.components import components
+from tilepyramid.llm.textbytes import slices
 
 
 def shingles(text, width):
@@ -216,3 +220,56 @@ def test_a_key_of_many_holders_sends_two_to_its_bucket():
     kept = [ngram_join.let_through(b, [tuple(batch[c][k].as_py() for c in ("key", "doc", "part"))])
             for k, b in enumerate(sent)]
     assert sum(k.num_rows for k in kept) == 50 * (keys + 1)
+
+
+def test_python_tasks_get_small_batches(spark, monkeypatch):
+    key, seen, store = "spark.sql.execution.arrow.maxBytesPerBatch", {}, ngram_join.stored
+
+    def noted(df, name):
+        seen.setdefault(name, set()).add(spark.conf.get(key))
+        return store(df, name)
+
+    texts = [f"{prose(1, 60)} {prose(k, 40)}" for k in range(40)] + [prose(1, 60)] * 2
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    monkeypatch.setattr(ngram_join, "DENSE", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 4)
+    before = spark.conf.get(key)
+    got = ngram_join.joined(documents(spark, texts)).collect()
+    assert {tuple(r) for r in got} == brute(texts, 4, 85)
+    small = {str(BATCH_BYTES)}
+    assert seen["ngram-signed"] == seen["ngram-links"] == seen["ngram-shingles"] == small
+    assert spark.conf.get(key) == before and spark.conf.get(key, None) is None
+
+
+def test_small_batches_bound_what_a_task_gets(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])],
+                                             names=["n", "size"])
+
+    def batches():
+        rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+        return rows.mapInArrow(run, "n long, size long").collect()
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    with small_batches(spark):
+        got = batches()
+    assert sum(r.n for r in got) == 3000 and max(r["size"] for r in got) < 1.1 * BATCH_BYTES
+    assert [r.n for r in batches()] == [3000]
+    spark.conf.set(key, "32m")  # the session's own
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(key) == "32m"
+        assert spark.conf.get(key) == "32m"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_batches_of_texts_are_worked_on_in_slices():
+    texts = [None, "", "x" * 500, *["word " * k for k in range(60)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(slices(batch, 1000))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == texts
+    assert max(p.num_rows for p in parts) < 10
+    assert [p.num_rows for p in slices(batch, 1)] == [1] * len(texts)
+    assert list(slices(batch.slice(0, 0))) == []

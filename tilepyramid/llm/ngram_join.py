@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilepyramid.llm.blocks import spanning_forest
-from tilepyramid.llm.common import read, stored, with_totals
+from tilepyramid.llm.common import read, small_batches, stored, with_totals
 from tilepyramid.llm.components import components
 from tilepyramid.llm.textbytes import chunks, with_text_columns
 
@@ -204,6 +204,12 @@ def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(parts)
 
 
+def stored_tasks(df: DataFrame, name: str) -> DataFrame:
+    """:func:`stored` for what Python tasks make of whole texts or packed keys."""
+    with small_batches(df.sparkSession):
+        return stored(df, name)
+
+
 def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Flat rows (key, doc, part): the keys of (doc, text) that more than one row holds, and for each
     doc a row whose part is -1 - n_shingles.
@@ -432,7 +438,7 @@ def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
     else:
         single = without(docs.filter(F.col("doc").isNotNull()),
                          copies.filter("doc <> rep").select("doc"), "doc")
-    told = stored(signed(single, width, percent), "ngram-signed")
+    told = stored_tasks(signed(single, width, percent), "ngram-signed")
     sizes = told.filter("part < 0").groupBy("doc").agg((-1 - F.min("part")).alias("n"))
     # a repeated row only makes its set give up fewer keys
     keys = stored(with_totals(
@@ -516,7 +522,7 @@ def _dense_links(held: DataFrame, docs: DataFrame, width: int, percent: int) ->
         (F.col("doc") > F.col("hub_doc")) & (F.col("comp") != F.col("hub_comp"))
         & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
     pairs = stored(pairs.select("doc", F.col("hub_doc").alias("hub")).distinct(), "ngram-pairs")
-    links = links.union(stored(verified(pairs, docs, width, percent), "ngram-links"))
+    links = links.union(stored_tasks(verified(pairs, docs, width, percent), "ngram-links"))
     return links.union(_block_links(
         _clusters(rare.filter(F.col("held") > DENSE), token), docs, width, percent))
 
@@ -543,8 +549,8 @@ def _rare_shingles(who: DataFrame, docs: DataFrame, width: int, percent: int) ->
                 at += len(sets)
 
     texts = with_texts(who, docs).select("doc", "comp", "text")
-    shingles = stored(texts.mapInArrow(run, "doc long, comp long, n long, hi long, lo long"),
-                      "ngram-shingles")
+    shingles = stored_tasks(texts.mapInArrow(run, "doc long, comp long, n long, hi long, lo long"),
+                            "ngram-shingles")
     own = Window.partitionBy("doc")
     # A repeated row repeats its shingles: equal ones share a rank.
     ranked = with_totals(shingles, ["hi", "lo"], [F.count(F.lit(1)).alias("often")],
@@ -592,7 +598,7 @@ def _block_links(clusters: DataFrame, docs: DataFrame, width: int, percent: int)
         return pd.DataFrame({"a": tied[:, 0], "b": tied[:, 1]})
 
     found = rows.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
-    return stored(found, "ngram-links")
+    return stored_tasks(found, "ngram-links")
 
 
 def shared_counts(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
@@ -630,7 +636,7 @@ def _links(pairs: DataFrame, lists: DataFrame, docs: DataFrame, width: int,
             .filter((F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
                     & (F.size(F.array_intersect("keys", "hub_keys")) > F.col("part") % PART))
             .select("doc", "hub").distinct())
-    return stored(verified(stored(able, "ngram-pairs"), docs, width, percent), "ngram-links")
+    return stored_tasks(verified(stored(able, "ngram-pairs"), docs, width, percent), "ngram-links")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
