@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepyramid.llm.common import read, stored
+from tilepyramid.llm.common import gathered, read, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -119,7 +119,7 @@ def leaking_texts(docs: DataFrame, items: DataFrame, copy: Column, doc_id: str =
                                      f"item_id {items.schema[item_id].dataType.simpleString()}, "
                                      "n_shared long, n_item long, containment double") \
             .withColumn("copy", F.lit(None).cast("string"))
-    sketch = stored(sketches(shingles, threshold), "item-sketches")
+    sketch = stored(gathered(sketches(shingles, threshold), shingles.count()), "item-sketches")
     few = sketch.count() <= BROADCAST_HASHES
     probe = sketch.withColumnRenamed("span", "item_span")
     probe = F.broadcast(probe) if few else probe
@@ -167,8 +167,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: documents into which no benchmark item leaks; an id, or its lack, that clean and
     leaking texts share is no reason to go."""
     copy = F.sha2(F.col("text").cast("binary"), 256)
-    found = stored(leaking_texts(docs, read(spark, sf_dir, "benchmark"), copy).select(
-        F.col("doc_id").alias("_bad"), F.col("copy").alias("_copy")).distinct(), "leaking-documents")
+    found = leaking_texts(docs, read(spark, sf_dir, "benchmark"), copy).select(
+        F.col("doc_id").alias("_bad"), F.col("copy").alias("_copy")).distinct()
+    found = stored(gathered(found, docs.count()), "leaking-documents")
     found = F.broadcast(found) if found.count() <= BROADCAST_HASHES else found
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_bad")) & (copy == F.col("_copy")),
                      "left_anti")

@@ -40,6 +40,8 @@ MAX_TRAINING_ROWS = 2_400
 AMBIGUOUS_BELOW = 0.2
 ROUNDS = 120
 MIN_CALIBRATION = 100
+#: Texts whose features a task holds at once: 2**BITS numbers each, however short they are.
+CHUNK_TEXTS = 256
 #: Half of the loss of a classifier that knows nothing.
 LEAST_BOUND = float(np.log(2)) / 2
 #: Bytes that are not ASCII letters nor part of a longer character count as a space.
@@ -142,7 +144,7 @@ def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def predict(model: Model, texts) -> list[list]:
     langs, scores, unsure = [], [], []
-    for raws in chunks(texts):
+    for raws in chunks(texts, most=CHUNK_TEXTS):
         # isalpha is true of the Unicode categories L*, as \p{L} is
         lettered = [any(map(str.isalpha, r.decode("utf-8", "replace"))) for r in raws]
         if model.languages:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepyramid.llm.common import free_names, id_key, ranked, read
+from tilepyramid.llm.common import free_names, id_key, ranked, read, small_table
 
 OTHER = "(other)"
 BLOCK_ROWS = 8
@@ -100,7 +100,7 @@ def timetable(rows_per_stream: DataFrame, weights: dict[str, int], other_weight:
         [*weights.items(), (OTHER, other_weight)])]
     if any(w < 1 for _, _, w in given):
         raise ValueError("weights must be positive integers")
-    order = spark.createDataFrame(given, "stream string, number int, weight long")
+    order = small_table(spark, given, "stream string, number int, weight long")
     one = rows_per_stream.join(F.broadcast(order), "stream").agg(F.array_sort(F.collect_list(
         F.struct("number", "stream", "weight", "rows"))).alias("all"))
     one = one.filter(F.size("all") > 0).selectExpr(
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str, int], other_weight: int = 1,
     stream = F.coalesce(F.when(named, F.col(source)), F.lit(OTHER))
     sizes = docs.groupBy(stream.alias("stream")).agg(F.count(F.lit(1)).alias("rows")).collect()
     spark = docs.sparkSession
-    rows = spark.createDataFrame([(r[0], r[1]) for r in sizes], "stream string, rows long")
+    rows = small_table(spark, [(r[0], r[1]) for r in sizes], "stream string, rows long")
     table = timetable(rows, weights, other_weight, block_rows)
     placed = ranked(docs.withColumn("stream", stream).withColumn("_key", id_key(F.col(doc_id))),
                     ["stream"], "_key", [F.col(c) for c in (doc_id, source, *ties)], "_rank",

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilepyramid.llm.blocks import spanning_forest
-from tilepyramid.llm.common import read, small_batches, stored, with_totals
+from tilepyramid.llm.common import gathered, read, small_batches, stored, with_totals
 from tilepyramid.llm.components import components
 from tilepyramid.llm.textbytes import chunks, with_text_columns
 
@@ -60,6 +60,8 @@ EXPECTED_SETS = 1_000
 RUN = 512
 #: Ids broadcast at most; beyond that the same join shuffles.
 BROADCAST_IDS = 200_000
+#: Texts that a task compares, where a table has few.
+TASK_TEXTS = 4_000
 
 #: A key with more holders is compared in blocks of ``CHUNK`` documents instead of by pairs.
 DENSE = 32
@@ -307,7 +309,7 @@ def let_through(bucket: int, held: list[tuple]) -> pa.RecordBatch:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (doc, hub) that link, by their exact sets.
+    """The pairs (doc, hub) that link, by their exact sets; stored, as ``pairs`` is.
 
     The texts of a hub's documents go to where the hub is, in runs of about ``RUN``; a task holds
     one hub's set and one batch of texts at a time.
@@ -319,6 +321,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
         F.lit(1).alias("role")).union(runs.select(
             F.col("hub").alias("doc"), "hub",
             F.explode(F.expr("sequence(0, runs - 1)")).alias("run"), F.lit(0).alias("role")))
+    count = pairs.count()
+    sent = stored(gathered(sent, 2 * count), "ngram-sent")  # a hub has no more runs than documents
     rows = with_texts(sent, docs).select("hub", "run", "role", "doc", "text")
     rows = rows.repartition("hub", "run").sortWithinPartitions("hub", "run", "role")
 
@@ -340,12 +344,13 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 [pa.array([f[0] for f in found], pa.int64()),
                  pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    links = rows.mapInArrow(run, "a long, b long")
+    return stored_tasks(gathered(links, 2 * count, TASK_TEXTS), "ngram-links")
 
 
 def with_texts(sent: DataFrame, docs: DataFrame) -> DataFrame:
-    """``sent`` with the text of each ``doc``; few rows go to the texts, many meet them halfway."""
-    sent = stored(sent, "ngram-sent")
+    """``sent``, which is stored, with the text of each ``doc``; few rows go to the texts, many meet
+    them halfway."""
     few = sent.count() <= BROADCAST_IDS
     return docs.select("doc", "text").join(F.broadcast(sent) if few else sent, "doc")
 
@@ -363,11 +368,13 @@ def text_copies(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.filter(F.col("doc").isNotNull()).select("doc", copy_of().alias("copy")).distinct()
     reps = keyed.groupBy("copy").agg(F.min("doc").alias("rep"))
+    count = docs.count()
     turn = F.row_number().over(Window.partitionBy("rep").orderBy("copy"))
     reps = reps.withColumn("node", F.when(turn == 1, F.col("rep")).otherwise(
         F.xxhash64("copy", F.lit("text"))))
-    reps = stored(reps, "text-reps")  # both sides of the join are shuffled: copies may be many
-    return stored(keyed.join(reps, "copy").select("doc", "copy", "rep", "node"), "text-copies")
+    reps = stored(gathered(reps, count), "text-reps")  # both sides of the join are shuffled: copies may be many
+    keyed = keyed.join(reps, "copy").select("doc", "copy", "rep", "node")
+    return stored(gathered(keyed, count), "text-copies")
 
 
 def several_texts(copies: DataFrame) -> bool:
@@ -396,7 +403,12 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
     """(doc_id, n_shingles, component_id) of every row of ``documents``."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     copies = text_copies(docs)
-    several = several_texts(copies)
+    return joined_texts(docs, copies, several_texts(copies), width, percent)
+
+
+def joined_texts(docs: DataFrame, copies: DataFrame, several: bool, width: int,
+                 percent: int) -> DataFrame:
+    """:func:`joined` of (doc, text), by their :func:`text_copies`."""
     sizes, links = text_links(docs, copies, several, width, percent)
     if several:
         # texts of one document are tied
@@ -404,7 +416,7 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
         first = nodes.groupBy("doc").agg(F.min("node").alias("b"))
         links = links.union(nodes.join(first, "doc").filter("node <> b").select(
             F.col("node").alias("a"), "b"))
-    known = copies.join(_parts(sizes, components(links)), "node")
+    known = copies.join(_parts(sizes, components(links, rows=links.count())), "node")
     if several:
         known = stored(known, "ngram-known")
         # a component is named by its smallest document, which may not be its smallest node
@@ -424,9 +436,10 @@ def joined(documents: DataFrame, width: int = WORDS, percent: int = PERCENT,
 def _parts(sizes: DataFrame, parts: DataFrame) -> DataFrame:
     """(node, n, part): the component of every distinct text; stored, so that what is joined with it
     is shuffled beside it and a text with very many copies can be cut."""
-    return stored(sizes.withColumnRenamed("doc", "node").join(
+    placed = sizes.withColumnRenamed("doc", "node").join(
         parts.withColumnRenamed("id", "node"), "node", "left").select(
-        "node", "n", F.coalesce("component", "node").alias("part")), "ngram-parts")
+        "node", "n", F.coalesce("component", "node").alias("part"))
+    return stored(gathered(placed, sizes.count()), "ngram-parts")
 
 
 def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
@@ -441,27 +454,30 @@ def text_links(docs: DataFrame, copies: DataFrame, several: bool, width: int,
     told = stored_tasks(signed(single, width, percent), "ngram-signed")
     sizes = told.filter("part < 0").groupBy("doc").agg((-1 - F.min("part")).alias("n"))
     # a repeated row only makes its set give up fewer keys
-    keys = stored(with_totals(
+    count = told.count()
+    keys = stored(gathered(with_totals(
         told.filter("part >= 0"), ["key"],
         [F.count(F.lit(1)).alias("freq"), F.min("doc").alias("low"), F.max("doc").alias("high")],
-        "low < high").select("key", "doc", "part", "freq"), "ngram-keys")
+        "low < high", rows=count).select("key", "doc", "part", "freq"), count), "ngram-keys")
+    count = keys.count()
     costly = Window.partitionBy("doc", "part").orderBy(F.desc("freq"), "key")
-    used = stored(keys.withColumn("rank", F.row_number().over(costly))
-                  .filter(F.col("rank") > F.col("part") % PART).select("key", "doc", "part"),
-                  "ngram-used-keys")
-    lists = stored(keys.groupBy("doc", "part").agg(F.collect_list("key").alias("keys"))
-                   .join(sizes, "doc"), "ngram-key-lists")
+    used = stored(gathered(
+        keys.withColumn("rank", F.row_number().over(costly))
+        .filter(F.col("rank") > F.col("part") % PART).select("key", "doc", "part"), count),
+        "ngram-used-keys")
+    lists = stored(gathered(keys.groupBy("doc", "part").agg(F.collect_list("key").alias("keys"))
+                            .join(sizes, "doc"), count), "ngram-key-lists")
 
     # round 1: each document with the hub that it shares most keys with
-    hubs = with_totals(used, ["key"], [F.min("doc").alias("hub")]).filter("doc <> hub")
+    hubs = with_totals(used, ["key"], [F.min("doc").alias("hub")], rows=count).filter("doc <> hub")
     best = hubs.groupBy("doc", "hub", "part").agg(F.count(F.lit(1)).alias("shared"))
     best = best.groupBy("doc").agg(
         F.max_by(F.struct("hub", "part"), F.struct("shared", -F.col("hub"))).alias("b"))
-    links = _links(best.select("doc", "b.hub", "b.part"), lists, single, width, percent)
+    links = _links(best.select("doc", "b.hub", "b.part"), lists, single, width, percent, count)
     # round 2: what else shares a key across components
-    held = _open_keys(used, components(links))
-    links = links.union(_links(_pairs(held.filter(F.col("held") <= DENSE)), lists, single, width,
-                               percent))
+    held = _open_keys(used, components(links, rows=links.count()), count)
+    few = held.filter(F.col("held") <= DENSE)
+    links = links.union(_links(_pairs(few), lists, single, width, percent, DENSE * few.count()))
     links = links.union(_dense_links(held.filter(F.col("held") > DENSE), single, width, percent))
     return sizes, links
 
@@ -482,13 +498,14 @@ def _held() -> list[Column]:
             F.max("comp").alias("high")]
 
 
-def _open_keys(used: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, doc, part, comp, held): used keys that several components hold; stored."""
+def _open_keys(used: DataFrame, parts: DataFrame, rows: int) -> DataFrame:
+    """(key, doc, part, comp, held): used keys, ``rows`` at most, that several components hold;
+    stored."""
     placed = used.join(parts.withColumnRenamed("id", "doc"), "doc", "left").withColumn(
         "comp", F.coalesce("component", "doc")).drop("component")
-    placed = stored(placed, "ngram-placed-keys")
-    return stored(with_totals(placed, ["key"], _held(), "low < high").drop("low", "high"),
-                  "ngram-open-keys")
+    placed = stored(gathered(placed, rows), "ngram-placed-keys")
+    return stored(gathered(with_totals(placed, ["key"], _held(), "low < high", rows=rows)
+                           .drop("low", "high"), rows), "ngram-open-keys")
 
 
 def _pairs(held: DataFrame) -> DataFrame:
@@ -507,22 +524,25 @@ def _dense_links(held: DataFrame, docs: DataFrame, width: int, percent: int) ->
     one of the rarest few, so that a passage which many hold ties no two of them. Only what is tied
     by a rare shingle with more than ``DENSE`` holders still goes to blocks.
     """
-    clusters = stored(_clusters(held, ["key"]), "ngram-clusters")
+    clusters = _clusters(held, ["key"])
     links = _block_links(clusters.filter("chunks = 1"), docs, width, percent)
     large = clusters.filter("chunks > 1").select(F.col("id").alias("doc"))
     if large.isEmpty():
         return links
     token = ["hi", "lo"]
-    rare = _rare_shingles(held.select("doc", "comp").distinct().join(large, "doc"), docs, width,
-                          percent)
-    rare = stored(with_totals(rare, token, _held(), "low < high").drop("low", "high"), "ngram-rare")
+    who = held.select("doc", "comp").distinct().join(large, "doc")
+    rare = _rare_shingles(gathered(who, held.count()), docs, width, percent)
+    count = rare.count()
+    rare = stored(gathered(with_totals(rare, token, _held(), "low < high", rows=count)
+                           .drop("low", "high"), count), "ngram-rare")
     few = rare.filter(F.col("held") <= DENSE)
     other = few.select(*token, *[F.col(c).alias(f"hub_{c}") for c in ("doc", "comp", "n")])
     pairs = few.join(other, token).filter(
         (F.col("doc") > F.col("hub_doc")) & (F.col("comp") != F.col("hub_comp"))
         & (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent))
-    pairs = stored(pairs.select("doc", F.col("hub_doc").alias("hub")).distinct(), "ngram-pairs")
-    links = links.union(stored_tasks(verified(pairs, docs, width, percent), "ngram-links"))
+    pairs = pairs.select("doc", F.col("hub_doc").alias("hub")).distinct()
+    pairs = stored(gathered(pairs, DENSE * few.count()), "ngram-pairs")
+    links = links.union(verified(pairs, docs, width, percent))
     return links.union(_block_links(
         _clusters(rare.filter(F.col("held") > DENSE), token), docs, width, percent))
 
@@ -548,28 +568,32 @@ def _rare_shingles(who: DataFrame, docs: DataFrame, width: int, percent: int) ->
                      pa.array(rows[:, 1].copy())], names=["doc", "comp", "n", "hi", "lo"])
                 at += len(sets)
 
+    who = stored(who, "ngram-sent")
     texts = with_texts(who, docs).select("doc", "comp", "text")
-    shingles = stored_tasks(texts.mapInArrow(run, "doc long, comp long, n long, hi long, lo long"),
-                            "ngram-shingles")
+    shingles = texts.mapInArrow(run, "doc long, comp long, n long, hi long, lo long")
+    shingles = stored_tasks(gathered(shingles, who.count(), TASK_TEXTS), "ngram-shingles")
+    count = shingles.count()
     own = Window.partitionBy("doc")
     # A repeated row repeats its shingles: equal ones share a rank.
     ranked = with_totals(shingles, ["hi", "lo"], [F.count(F.lit(1)).alias("often")],
-                         "often > 1").withColumn(
+                         "often > 1", rows=count).withColumn(
         "rank", F.dense_rank().over(own.orderBy("often", "hi", "lo"))).withColumn(
         "last", F.max("rank").over(own))
     need = F.expr(f"(n * {percent} + 99) div 100")
-    return stored(ranked.filter(F.col("rank") <= F.col("last") - need + 1).select(
-        "doc", "comp", "n", "hi", "lo"), "ngram-prefixes")
+    return stored(gathered(ranked.filter(F.col("rank") <= F.col("last") - need + 1).select(
+        "doc", "comp", "n", "hi", "lo"), count), "ngram-prefixes")
 
 
 def _clusters(held: DataFrame, key: list[str]) -> DataFrame:
     """(id, component, chunks) of the documents that share keys, and into how many chunks of about
-    ``CHUNK`` their cluster is cut."""
-    ties = with_totals(held, key, [F.min("doc").alias("hub")])
-    clusters = components(ties.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
+    ``CHUNK`` their cluster is cut; stored."""
+    count = held.count()
+    ties = with_totals(held, key, [F.min("doc").alias("hub")], rows=count)
+    clusters = components(ties.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(),
+                          rows=count)
     sizes = clusters.groupBy("component").agg(
         F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    return clusters.join(sizes, "component")
+    return stored(gathered(clusters.join(sizes, "component"), count), "ngram-clusters")
 
 
 def _block_links(clusters: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -580,7 +604,8 @@ def _block_links(clusters: DataFrame, docs: DataFrame, width: int, percent: int)
              .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
              .select(F.col("id").alias("doc"), "component", F.least("own", "other").alias("low"),
                      F.greatest("own", "other").alias("high"), "own"))
-    rows = with_texts(dealt, docs)
+    count = clusters.agg(F.sum("chunks")).first()[0] or 0
+    rows = with_texts(stored(gathered(dealt, count), "ngram-sent"), docs)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("own", kind="stable")
@@ -598,7 +623,7 @@ def _block_links(clusters: DataFrame, docs: DataFrame, width: int, percent: int)
         return pd.DataFrame({"a": tied[:, 0], "b": tied[:, 1]})
 
     found = rows.groupBy("component", "low", "high").applyInPandas(compare, "a long, b long")
-    return stored_tasks(found, "ngram-links")
+    return stored_tasks(gathered(found, count, TASK_TEXTS), "ngram-links")
 
 
 def shared_counts(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarray:
@@ -628,15 +653,16 @@ def shared_counts(sets: list[np.ndarray], left: slice, right: slice) -> np.ndarr
 
 
 def _links(pairs: DataFrame, lists: DataFrame, docs: DataFrame, width: int,
-           percent: int) -> DataFrame:
-    """The links (a, b) among ``pairs`` (doc, hub, part): by size, by shared keys, by the sets."""
+           percent: int, rows: int) -> DataFrame:
+    """The links (a, b) among ``pairs`` (doc, hub, part), ``rows`` at most: by size, by shared keys, by
+    the sets."""
     mine = lists.select("doc", "part", "keys", "n")
     other = mine.toDF("hub", "part", "hub_keys", "hub_n")
     able = (pairs.join(mine, ["doc", "part"]).join(other, ["hub", "part"])
             .filter((F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
                     & (F.size(F.array_intersect("keys", "hub_keys")) > F.col("part") % PART))
             .select("doc", "hub").distinct())
-    return stored_tasks(verified(stored(able, "ngram-pairs"), docs, width, percent), "ngram-links")
+    return verified(stored(gathered(able, rows), "ngram-pairs"), docs, width, percent)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -649,14 +675,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = text_copies(keyed)
     if several_texts(copies):
         sizes, links = text_links(keyed, copies, True, 5, 80)
-        own = copies.join(_parts(sizes, components(links)), "node").filter("n > 0")
+        parts = _parts(sizes, components(links, rows=links.count()))
+        own = copies.join(parts, "node").filter("n > 0")
         first = own.groupBy("part").agg(F.min(F.struct("doc", "copy")).alias("kept"))
         surplus = own.join(first, "part").filter("struct(doc, copy) <> kept").select("doc", "copy")
         kept = by_text(docs, surplus, "left_anti", "doc_id")
         return (kept.filter("doc_id IS NOT NULL").withColumn("_copy", copy_of())
                 .dropDuplicates(["doc_id", "_copy"]).drop("_copy")
                 .unionByName(kept.filter("doc_id IS NULL")))
-    told = stored(joined(docs, width=5, percent=80), "ngram-components")
+    told = gathered(joined_texts(keyed, copies, False, 5, 80), docs.count())
+    told = stored(told, "ngram-components")
     surplus = told.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = without(docs, surplus, "doc_id")
     repeated = told.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepyramid.llm.common import id_key, ranked, read, stored
+from tilepyramid.llm.common import gathered, id_key, ranked, read, small_table, stored
 
 SHARDS = 24
 LARGE = 32
@@ -77,16 +77,16 @@ def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: st
         [part.alias("_by")] if order else [])), text)
     lean = stored(rows.drop(*[c for c in kept if c != doc_id and (keep_text or c == text)]),
                   "measured")
-    groups = stored(lean.groupBy("_group").agg(
+    groups = stored(gathered(lean.groupBy("_group").agg(
         F.sum("size").alias("size"), F.sum("tokens").alias("tokens"),
-        F.count(F.lit(1)).alias("rows")), "text-groups")
+        F.count(F.lit(1)).alias("rows")), lean.count()), "text-groups")
     totals = groups.agg(*[F.sum(d) for d in DIMENSIONS]).first()
     total = [float(max(x or 0, 1)) for x in totals]
     share = F.greatest(*[F.col(d) / F.lit(t) for d, t in zip(DIMENSIONS, total, strict=True)])
     large = (groups.filter(share >= 1.0 / (LARGE * shards))
              .select("_group", F.ceil(share * 2 * shards).cast("int").alias("_pieces")))
-    known = docs.sparkSession.createDataFrame(
-        large.collect(), "_group binary, _pieces int")  # 3 * LARGE * shards rows at most
+    known = small_table(
+        docs.sparkSession, large.collect(), "_group binary, _pieces int")  # 3 * LARGE * shards rows at most
 
     def with_item(df: DataFrame) -> DataFrame:
         joined = df.join(F.broadcast(known), "_group", "left")
@@ -107,7 +107,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: st
              .orderBy("_item").collect())  # BUNDLES and the pieces of the large groups at most
     vectors = np.array([[r[k + 1] / total[k] for k in range(3)] for r in items]).reshape(-1, 3)
     where = [(r[0], int(s)) for r, s in zip(items, pack(vectors, shards), strict=True)]
-    target = docs.sparkSession.createDataFrame(where, "_item string, shard int")
+    target = small_table(docs.sparkSession, where, "_item string, shard int")
     placed = (with_item(rows if keep_text else lean).join(F.broadcast(target), "_item")
               .drop("_group", "_pieces", "_item"))
     return ranked(placed, ["shard"], "_key", [F.col(doc_id), F.col("text_crc32")], "slot",
