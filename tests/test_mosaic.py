@@ -7,7 +7,13 @@ from tests.scenes import cells_of, expected, sample_scenes, scene, tables
 from tilepyramid import mosaic, tile_cells, unpack
 from tilepyramid.constants import RESOLUTIONS, WORLD_MAX_Y, WORLD_MIN_X
 from tilepyramid.operators import mosaic as mosaic_module
-from tilepyramid.operators.georeference import GEOREFERENCE, SceneStats, georeference
+from tilepyramid.operators import patches
+from tilepyramid.operators.georeference import (
+    BROADCAST_ROWS,
+    GEOREFERENCE,
+    SceneStats,
+    georeference,
+)
 from tilepyramid.operators.patches import Rows
 from tilepyramid.sinks.tables import write_blocks
 from tilepyramid.sources.rasters import read_blocks
@@ -240,3 +246,21 @@ def test_patches_wait_as_four_byte_cells():
     rows.add(1, 1, patch=np.arange(9, dtype=np.int64))
     rows.add(1, 1, cells=np.arange(4), packed=np.arange(4))
     assert rows.rows[0][6].dtype == rows.rows[1][7].dtype == np.int32
+
+
+@pytest.mark.parametrize("held, rows", [(128, 2), (1, 60)])
+def test_forward_cells_of_many_blocks_leave_a_task_as_one_tile(spark, monkeypatch, held, rows):
+    """Blocks of 20 scenes meet in one tile at z = 2 and one at z = 3: a row for each tile, not for
+    each block, unless a task holds fewer tiles than its blocks go to in turn."""
+    monkeypatch.setattr(patches, "HELD_TILES", held)
+    res = RESOLUTIONS[2]
+    gt = [WORLD_MIN_X + 300 * res, res, 0, WORLD_MAX_Y - 300 * res, 0, -res]
+    scenes = [scene(k, (k * 7) % 20, 3857, 8, 4, gt) for k in range(20)]
+    source = tables(spark, scenes)
+    build = mosaic_module._Build(source[1].coalesce(1), source[0], "2-3", "forward", None, (1,), True,
+                                 BROADCAST_ROWS)
+    made = build.patches().filter("cells IS NOT NULL AND size(cells) > 0")
+    n = made.count()
+    assert n == rows if held > 1 else n >= rows
+    want = {**expected(model.forward(scenes, 2), 2), **expected(model.forward(scenes, 3), 3)}
+    assert cells_of(tile_cells(*source, "2-3", method="forward")) == want
