@@ -4,6 +4,7 @@ import numpy as np
 from helpers import Roots
 
 from tilepyramid.llm import embedding_dedup
+from tilepyramid.llm.blocks import forest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, kept string"
 
@@ -123,3 +124,39 @@ def test_a_large_group_does_not_set_the_reach_of_others(spark):
     assert (found <= want).all() and (found[4200:] == want[4200:]).all()
     pairs = [*range(200), *range(4000, 4200)]
     assert found[pairs].sum() >= 0.99 * want[pairs].sum()
+
+
+def test_rounds_of_residents_change_nothing_and_move_no_vector(spark, monkeypatch):
+    x = sample(300, seed=6).tolist()
+    vectors = table(spark, x)
+    whole = sorted(map(tuple, embedding_dedup.near_duplicates(vectors).collect()))
+    monkeypatch.setattr(embedding_dedup, "HELD_BYTES", 40 * 8 * 16)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 16)
+    monkeypatch.setattr(embedding_dedup, "GATHERED", 8)
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(vectors).collect())) == whole
+    assert any(r[1] for r in whole)
+    unit = vectors.selectExpr("vec_id", "1L AS copies", "CAST(embedding AS array<double>) AS unit")
+    grid = embedding_dedup.fit(unit, len(x))
+    placed = embedding_dedup.cells(unit, grid).cache()
+    sent = []
+    keep = embedding_dedup.stored
+    monkeypatch.setattr(embedding_dedup, "stored", lambda df, *a: sent.append(df) or keep(df, *a))
+    embedding_dedup.near_links(placed, grid, 0.9).collect()
+    assert len(sent) > 5
+    for df in sent:
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().split("InMemory")[0]
+
+
+def test_rounds_cut_large_buckets():
+    assert embedding_dedup.rounds({3: 4, 0: 2, 1: 3, 2: 25, 5: 1}, 10) == [
+        (0, 1, 0, 1), (2, 2, 0, 3), (2, 2, 1, 3), (2, 2, 2, 3), (3, 5, 0, 1)]
+
+
+def test_forest_has_a_row_for_each_node_but_the_least_of_its_component():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 500, (2, 400))
+    roots = Roots()
+    for u, v in zip(a.tolist(), b.tolist(), strict=True):
+        roots.join(u, v)
+    want = [(k, roots.root(k)) for k in range(500) if roots.root(k) != k]
+    assert list(map(tuple, forest(a, b, 500).tolist())) == want

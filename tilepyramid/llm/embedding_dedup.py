@@ -17,11 +17,13 @@ directions, and ``TARGET_RECALL`` of such pairs of either kind are within the re
 The codebooks are fitted on at most ``MAX_FIT`` vectors, and the reach is set on those; this is a
 parameter of the method and bounds what the driver holds. All rows are indexed and all rows search.
 
-Exact copies are one vector with a multiplicity. For the shuffle the codes of each half are put into
-groups of near codes; a pair of groups is a bucket of about ``CHUNK`` vectors, and a vector is sent to
-the buckets in which it visits a cell. A bucket's residents and visitors are cut into chunks; each task
-compares the visited cells of one chunk with another, adds up links there and sends one row per
-vector, never one per pair. For components it sends a spanning forest of the links in the chunk.
+Exact copies are one vector with a multiplicity. The codes of each half are put into groups of near
+codes; a pair of groups is a bucket of about ``CHUNK`` vectors. A vector visits a fair share of the
+buckets, so no vector is sent to those it visits: that would store it once for each. Buckets are taken
+in rounds of ``HELD_BYTES`` of resident vectors, which every task of the round holds while it reads the
+stored vectors where they lie and compares each with the residents of the cells it visits. Nothing is
+shuffled; a task adds up links and sends one row per vector, never one per pair, and for components a
+spanning forest of all links it has seen. Rounds grow with the rows, the memory of a task does not.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with nothing
 and are their own component; vectors of different lengths do not link, each length has an index of its
@@ -34,14 +36,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tilepyramid.llm.blocks import spanning_forest
-from tilepyramid.llm.common import read, stored
+from tilepyramid.llm.blocks import forest
+from tilepyramid.llm.common import drop_folder, read, stored, stored_path
 from tilepyramid.llm.components import components
 
 THRESHOLD = 0.9
@@ -55,6 +60,10 @@ ENOUGH = 64
 #: Partners drawn for a sampled row, of each kind.
 DRAWS = 4
 CHUNK = 2_048
+#: Bytes of the resident vectors of a round.
+HELD_BYTES = 32 << 20
+#: Links of a forest that a task gathers before it makes one forest of them.
+GATHERED = 1 << 20
 #: Pairs of vectors whose cosines are told at a time.
 PAIRS = 1 << 16
 #: More than what distances told by matrix products are off; whether a cell is visited is then told
@@ -231,149 +240,257 @@ def _group_least(excess: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def cells(unit: DataFrame, grid: Grid) -> DataFrame:
-    """(vec_id, copies, unit, own1, own2, nearest, bucket, visits, n_cells): the own cell and how near
-    it is, its bucket, the buckets with a visited cell, and the number of cells visited."""
+def _near(grid: Grid, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+    """Whether each row visits a cell of each bucket, from its distances to the codes."""
+    g1, g2 = grid.groups
+    e1, e2 = d1 - d1.min(1)[:, None], d2 - d2.min(1)[:, None]
+    near = (_group_least(e1, g1, int(g1.max()) + 1)[:, :, None]
+            + _group_least(e2, g2, int(g2.max()) + 1)[:, None, :] <= grid.reach + ROUNDING)
+    return near.reshape(len(d1), -1)
+
+
+def cells(unit: DataFrame, grid: Grid, counted: bool = True) -> DataFrame:
+    """``unit`` with own1, own2, nearest, bucket and, if ``counted``, n_cells: the own cell and how near
+    it is, its bucket, and the number of cells visited."""
     shipped = unit.sparkSession.sparkContext.broadcast(grid)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grid = shipped.value
         g1, g2 = grid.groups
-        n1, n2 = int(g1.max()) + 1, int(g2.max()) + 1
+        n2 = int(g2.max()) + 1
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at:at + 512]
                 x = _matrix(part["unit"])
                 d1, d2 = grid.distances(x)
                 own1, own2 = d1.argmin(1), d2.argmin(1)
-                nearest = grid.beyond(x, np.zeros(len(x)), own1, own2)
-                e1, e2 = d1 - d1.min(1)[:, None], d2 - d2.min(1)[:, None]
-                # the traversal: for each first code, nearest first, a prefix of the second codes
-                e1.sort(axis=1)
-                ordered = np.sort(e2, axis=1)
-                n_cells = [int(np.searchsorted(o, grid.reach - a[a <= grid.reach], "right").sum())
-                           for a, o in zip(e1, ordered)]
-                e1 = d1 - d1.min(1)[:, None]
-                near = (_group_least(e1, g1, n1)[:, :, None]
-                        + _group_least(e2, g2, n2)[:, None, :] <= grid.reach + ROUNDING)
-                yield part.assign(
-                    own1=own1, own2=own2, nearest=nearest, bucket=g1[own1] * n2 + g2[own2],
-                    visits=[np.flatnonzero(v).tolist() for v in near.reshape(len(x), -1)],
-                    n_cells=n_cells)
-
-    return unit.mapInPandas(
-        run, "vec_id long, copies long, unit array<double>, own1 int, own2 int, nearest double, "
-             "bucket int, visits array<int>, n_cells int")
+                told = {"own1": own1, "own2": own2, "bucket": g1[own1] * n2 + g2[own2],
+                        "nearest": grid.beyond(x, np.zeros(len(x)), own1, own2)}
+                if counted:
+                    # the traversal: for each first code, nearest first, a prefix of the second codes
+                    e1 = np.sort(d1 - d1.min(1)[:, None], axis=1)
+                    ordered = np.sort(d2 - d2.min(1)[:, None], axis=1)
+                    told["n_cells"] = [
+                        int(np.searchsorted(o, grid.reach - a[a <= grid.reach], "right").sum())
+                        for a, o in zip(e1, ordered)]
+                yield part.assign(**told)
+
+    made = [("own1", T.IntegerType()), ("own2", T.IntegerType()), ("bucket", T.IntegerType()),
+            ("nearest", T.DoubleType()), *([("n_cells", T.IntegerType())] if counted else [])]
+    schema = T.StructType([*unit.schema.fields, *(T.StructField(*f) for f in made)])
+    return unit.mapInPandas(run, schema)
+
+
+@dataclass(frozen=True)
+class Residents:
+    """The vectors of a round's buckets, by bucket; ``first`` and ``last`` are the ends of each."""
+
+    ids: np.ndarray
+    copies: np.ndarray
+    unit: np.ndarray
+    own1: np.ndarray
+    own2: np.ndarray
+    nearest: np.ndarray
+    buckets: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+PLACED = ["vec_id", "copies", "unit", "own1", "own2", "nearest"]
+
+
+def _columns(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    """The :data:`PLACED` columns, ``unit`` as a matrix."""
+    out = []
+    for name in PLACED:
+        column = batch.column(name)
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if name == "unit":
+            out.append(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1))
+        else:
+            out.append(column.to_numpy(zero_copy_only=False))
+    return out
+
+
+def rounds(sizes: dict[int, int], most: int) -> list[tuple[int, int, int, int]]:
+    """(first bucket, last bucket, part, parts) of rounds with about ``most`` vectors at most; a larger
+    bucket is cut into parts, each a round."""
+    out, held = [], 0
+    for bucket in sorted(sizes):
+        n = sizes[bucket]
+        if n > most:
+            parts = math.ceil(n / most)
+            out += [(bucket, bucket, p, parts) for p in range(parts)]
+            held = most
+        elif out and held + n <= most:
+            out[-1] = (out[-1][0], bucket, 0, 1)
+            held += n
+        else:
+            out.append((bucket, bucket, 0, 1))
+            held = n
+    return out
+
+
+def _residents(placed: DataFrame, first: int, last: int, part: int, parts: int) -> Residents:
+    own = placed.filter(F.col("bucket").between(first, last))
+    if parts > 1:
+        own = own.filter(F.expr(f"pmod(xxhash64(vec_id, 'chunk'), {parts}) = {part}"))
+    table = own.select("bucket", *PLACED).toArrow()
+    bucket = table.column("bucket").to_numpy()
+    by = np.argsort(bucket, kind="stable")
+    buckets, at = np.unique(bucket[by], return_index=True)
+    return Residents(*[c[by] for c in _columns(table)], buckets, at, np.append(at[1:], len(by)))
 
 
 def near_links(placed: DataFrame, grid: Grid, threshold: float) -> DataFrame:
     """(kind, a, b): kind COUNT tells b links more of vector a, kind TIE a link of the forest.
 
     A pair is met where one visits the other's cell. If each visits the other's, each counts its own
-    side; if only one does, it counts both.
+    side; if only one does, it counts both. ``placed`` is read twice in each round: store it.
     """
-    # chunks of each bucket: residents by their own one, visitors by those they visit
-    residents = placed
-    visitors = placed.drop("bucket").withColumn("bucket", F.explode("visits"))
-    size = residents.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "r_chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-    visit = visitors.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "v_chunks", F.ceil(F.col("n") / CHUNK).cast("int")).drop("n")
-    plan = F.broadcast(size.join(visit, "bucket"))  # 64 * 64 rows at most
-    common = ["vec_id", "copies", "unit", "own1", "own2", "nearest"]
-    shipped = placed.sparkSession.sparkContext.broadcast(grid)
-
-    def dealt(df: DataFrame, own: str, other: str, side: int) -> DataFrame:
-        mine = F.expr(f"CAST(pmod(xxhash64(vec_id, 'chunk'), {own}) AS INT)")
-        return (df.join(plan, "bucket").withColumn(own, mine)
-                .withColumn(other, F.explode(F.expr(f"sequence(0, {other} - 1)")))
-                .select("bucket", "r_chunks", "v_chunks", F.lit(side).alias("side"), *common))
-
-    rows = dealt(residents, "r_chunks", "v_chunks", 0).union(
-        dealt(visitors, "v_chunks", "r_chunks", 1))
-
-    def told(kind: int, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.full(len(a), kind, np.int32), "a": a, "b": b})
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = shipped.value
-        res, vis = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if res.empty or vis.empty:
-            return told(COUNT, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        y, y_id = _matrix(res["unit"]), res["vec_id"].to_numpy()
-        y1, y2, y_copies = (res[c].to_numpy() for c in ("own1", "own2", "copies"))
-        y_nearest = res["nearest"].to_numpy()
-        out, y_more = [], np.zeros(len(y), dtype=np.int64)
-        for at in range(0, len(vis), 512):
-            part = vis.iloc[at:at + 512]
-            x, x_id = _matrix(part["unit"]), part["vec_id"].to_numpy()
-            x_nearest, x_copies = part["nearest"].to_numpy(), part["copies"].to_numpy()
-            d1, d2 = grid.distances(x)
-            # the residents of visited cells, and only those, are compared
-            row, col = np.nonzero(d1[:, y1] + d2[:, y2]
-                                  <= (x_nearest + grid.reach + ROUNDING)[:, None])
-            linked = np.concatenate([np.zeros(0, dtype=bool), *(
-                np.einsum("ij,ij->i", x[row[k:k + PAIRS]], y[col[k:k + PAIRS]]) >= threshold
-                for k in range(0, len(row), PAIRS))])
-            linked &= x_id[row] != y_id[col]
-            row, col = row[linked], col[linked]
-            there = grid.beyond(x[row], x_nearest[row], y1[col], y2[col]) <= grid.reach
-            row, col = row[there], col[there]
-            if not len(row):
+    context = placed.sparkSession.sparkContext
+    sizes = {r[0]: r[1] for r in placed.groupBy("bucket").count().collect()}  # 64 * 64 at most
+    dim = grid.first.shape[1] + grid.second.shape[1]
+    shipped, found = context.broadcast(grid), []
+    for which in rounds(sizes, max(1, HELD_BYTES // (8 * dim))):
+        held = context.broadcast(_residents(placed, *which))
+        found.append(stored(placed.select(*PLACED).mapInArrow(
+            _comparing(shipped, held, threshold), "kind int, a long, b long"), "vector-links"))
+        held.destroy()
+    return reduce(DataFrame.union, found)
+
+
+def _comparing(shipped, held, threshold: float):
+    """What a task of a round does with the vectors it reads."""
+    def told(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a), kind, np.int32)), pa.array(a.astype(np.int64)),
+             pa.array(b.astype(np.int64))], names=["kind", "a", "b"])
+
+    def met(grid: Grid, res: Residents, x: np.ndarray, x_nearest: np.ndarray, rows: np.ndarray,
+            d1: np.ndarray, d2: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and residents of ``part`` that are linked, if the row visits the resident's cell."""
+        # the residents of visited cells, and only those, are compared
+        row, col = np.nonzero(d1[rows][:, res.own1[part]] + d2[rows][:, res.own2[part]]
+                              <= (x_nearest[rows] + grid.reach + ROUNDING)[:, None])
+        row, col = rows[row], col + part.start
+        linked = np.concatenate([np.zeros(0, dtype=bool), *(
+            np.einsum("ij,ij->i", x[row[k:k + PAIRS]], res.unit[col[k:k + PAIRS]]) >= threshold
+            for k in range(0, len(row), PAIRS))])
+        row, col = row[linked], col[linked]
+        there = grid.beyond(x[row], x_nearest[row], res.own1[col], res.own2[col]) <= grid.reach
+        return row[there], col[there]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, res = shipped.value, held.value
+        more = np.zeros(len(res.ids), dtype=np.int64)
+        ties: list[np.ndarray] = []
+        gathered = 0
+        for batch in batches:
+            if not len(batch):
                 continue
-            back = grid.beyond(y[col], y_nearest[col], part["own1"].to_numpy()[row],
-                               part["own2"].to_numpy()[row]) <= grid.reach
-            n = np.bincount(row, y_copies[col], minlength=len(x)).astype(np.int64)
-            y_more += np.bincount(col[~back], x_copies[row[~back]],
-                                  minlength=len(y)).astype(np.int64)
-            out.append(told(COUNT, x_id[n > 0], n[n > 0]))
-            hits = np.zeros((len(x), len(y)), dtype=bool)
-            hits[row, col] = True
-            tied = spanning_forest(hits, x_id, y_id)
-            out.append(told(TIE, tied[:, 0], tied[:, 1]))
-        more = y_more > 0
-        out.append(told(COUNT, y_id[more], y_more[more]))
-        return pd.concat(out)
-
-    return rows.groupBy("bucket", "r_chunks", "v_chunks").applyInPandas(
-        compare, "kind int, a long, b long")
+            columns = _columns(batch)
+            for at in range(0, len(batch), 512):
+                x_id, copies, x, own1, own2, nearest = (c[at:at + 512] for c in columns)
+                d1, d2 = grid.distances(x)
+                visits = _near(grid, d1, d2)[:, res.buckets]
+                n = np.zeros(len(x), dtype=np.int64)
+                for k in np.flatnonzero(visits.any(0)):
+                    rows = np.flatnonzero(visits[:, k])
+                    for start in range(res.first[k], res.last[k], CHUNK):
+                        part = slice(start, min(start + CHUNK, res.last[k]))
+                        row, col = met(grid, res, x, nearest, rows, d1, d2, part)
+                        other = x_id[row] != res.ids[col]
+                        row, col = row[other], col[other]
+                        if not len(row):
+                            continue
+                        back = grid.beyond(res.unit[col], res.nearest[col], own1[row],
+                                           own2[row]) <= grid.reach
+                        n += np.bincount(row, res.copies[col], minlength=len(x)).astype(np.int64)
+                        more[part] += np.bincount(
+                            col[~back] - start, copies[row[~back]],
+                            minlength=part.stop - start).astype(np.int64)
+                        ids = np.concatenate([x_id, res.ids[part]])
+                        ties.append(ids[forest(row, len(x) + col - start, len(ids))])
+                        gathered += len(ties[-1])
+                if gathered > GATHERED:
+                    ties = [_one_forest(ties)]
+                    gathered = len(ties[0])
+                    if gathered > GATHERED // 2:
+                        yield told(TIE, ties[0][:, 0], ties[0][:, 1])
+                        ties, gathered = [], 0
+                if n.any():
+                    yield told(COUNT, x_id[n > 0], n[n > 0])
+        if ties:
+            tied = _one_forest(ties)
+            yield told(TIE, tied[:, 0], tied[:, 1])
+        yield told(COUNT, res.ids[more > 0], more[more > 0])
+
+    return run
+
+
+def _one_forest(ties: list[np.ndarray]) -> np.ndarray:
+    """The links (a, b) of several forests as one forest."""
+    ids, at = np.unique(np.concatenate(ties), return_inverse=True)
+    at = at.reshape(-1, 2)
+    return ids[forest(at[:, 0], at[:, 1], len(ids))]
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
                     threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors``."""
+    # single precision stays as it is where vectors are stored and moved
+    single = vectors.schema[embedding].dataType == T.ArrayType(T.FloatType())
+    kind = "array<float>" if single else "array<double>"
     v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"),
-                       F.col(embedding).cast("array<double>").alias("v"))
+                       F.col(embedding).cast(kind).alias("v"))
     # scaled by the largest component first, so that no square overflows
-    v = v.withColumn("top", F.array_max(F.transform("v", F.abs))).withColumn("size", F.size("v"))
+    v = v.withColumn("top", _top()).withColumn("size", F.size("v"))
     v = v.withColumn("ok", F.coalesce(
         F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
         & (F.col("top") > 0) & (F.col("top") < math.inf), F.lit(False)))
     found = v.filter(~F.col("ok")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
         F.lit(True).alias("kept"))
-    scaled = F.expr("transform(v, x -> x / top)")
-    norm = F.expr("sqrt(aggregate(s, 0D, (a, x) -> a + x * x))")
-    sound = (v.filter("ok").withColumn("s", scaled).withColumn("norm", norm)
-             .selectExpr("vec_id", "v", "size", "transform(s, x -> x / norm) AS unit"))
+    sound = v.filter("ok").select("vec_id", "v", "size")
     # an index for each length; vectors of one table have one length, or a few
-    for size in sorted(r[0] for r in v.filter("ok").select("size").distinct().collect()):
+    for size in sorted(r[0] for r in sound.select("size").distinct().collect()):
         found = found.union(_of_one_length(sound.filter(F.col("size") == size), threshold))
     return found
 
 
+def _top() -> Column:
+    return F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+
+
+def _with_unit(df: DataFrame) -> DataFrame:
+    """``df`` with the unit vector of its sound ``v``; lambdas bind the largest component and the norm,
+    which would else be told anew for each component."""
+    return df.withColumn("unit", F.expr("""
+        transform(array(array_max(transform(v, x -> abs(CAST(x AS DOUBLE))))), t ->
+          transform(array(transform(v, x -> CAST(x AS DOUBLE) / t)), s ->
+            transform(array(sqrt(aggregate(s, 0D, (a, x) -> a + x * x))), n ->
+              transform(s, x -> x / n))[0])[0])[0]"""))
+
+
 def _of_one_length(sound: DataFrame, threshold: float) -> DataFrame:
     # copies: one vector with its multiplicity, named by its smallest id
+    spark = sound.sparkSession
+    path = stored_path(spark, "vectors")
     copies = stored(sound.groupBy("v").agg(
-        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"),
-        F.first("unit").alias("unit")), "vectors")
-    unit = copies.select(F.col("first_id").alias("vec_id"), "copies", "unit")
+        F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "vectors", path)
+    unit = _with_unit(copies)
     grid = fit(unit, copies.count(), threshold)
-    links = stored(near_links(stored(cells(unit, grid), "cells"), grid, threshold), "vector-links")
+    placed = stored(cells(unit, grid, counted=False).drop("unit"), "cells")
+    drop_folder(spark, path)  # the cells have the vectors too
+    links = near_links(_with_unit(placed), grid, threshold)
     counts = links.filter(F.col("kind") == COUNT).groupBy("a").agg(F.sum("b").alias("found"))
     comps = components(links.filter(F.col("kind") == TIE))
-    told = (copies.join(counts, F.col("first_id") == F.col("a"), "left")
-            .join(comps, F.col("first_id") == F.col("id"), "left")
+    first_id = F.col("first_id")
+    told = (placed.select("v", F.col("vec_id").alias("first_id"), "copies")
+            .join(counts, first_id == F.col("a"), "left")
+            .join(comps, first_id == F.col("id"), "left")
             .select("v", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"),
                     F.coalesce("component", "first_id").alias("component_id")))
     return sound.select("vec_id", "v").join(told, "v").select(
